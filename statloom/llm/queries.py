@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import sharding, token_counts
+from . import packing, sharding, token_counts
 from .common import table, text_crc32, utf8_bytes
 
 
@@ -35,8 +35,13 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(docs, vocabulary("byte_bpe_50k.json")).drop("text")
 
 
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return packing.pack(docs, vocabulary("word_bpe_49k.json")).select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_sharding": op1_sharding, "op2_token_counts": op2_token_counts}
+    return {"op1_sharding": op1_sharding, "op2_token_counts": op2_token_counts, "op3_packing": op3_packing}
 
 
 def oracle_sql() -> dict[str, str]:
