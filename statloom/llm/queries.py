@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, sharding, token_counts
+from . import grammar_ids, packing, sharding, token_counts
 from .common import table, text_crc32, utf8_bytes
 
 
@@ -40,8 +40,13 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(docs, vocabulary("word_bpe_49k.json")).select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op7_grammar_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return grammar_ids.grammar_ids(docs, vocabulary("word_bpe_49k.json")).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_sharding": op1_sharding, "op2_token_counts": op2_token_counts, "op3_packing": op3_packing}
+    return {"op1_sharding": op1_sharding, "op2_token_counts": op2_token_counts, "op3_packing": op3_packing, "op7_grammar_ids": op7_grammar_ids}
 
 
 def oracle_sql() -> dict[str, str]:
