@@ -15,6 +15,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 # Where a text may be cut without changing its tokens, by kind of vocabulary.
 _SAFE = {
@@ -150,7 +151,7 @@ def by_bytes(texts: pa.Array, limit: int = BATCH_BYTES) -> Iterator[list[str | N
     """The array's texts as lists of about as many bytes each; a longer text is a list of its own."""
     if not len(texts):
         return
-    sizes = pa.compute.fill_null(pa.compute.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64)
     ends = np.cumsum(sizes)
     at = 0
     while at < len(texts):
