@@ -10,8 +10,10 @@ from __future__ import annotations
 import json
 import os
 import re
+import struct
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -24,9 +26,25 @@ _SAFE = {
     # Pre-tokens of the lower-casing kind hold no white space.
     "word": re.compile(r"[ \n\t\r]+"),
 }
+# The published pre-token patterns of both kinds, with letters and numbers spelt out for the characters
+# that they are applied to here. For texts with others (rarer letters, special tokens) the library is asked.
+_L, _N = "A-Za-z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u017f", "0-9\u00b2\u00b3\u00b9\u00bc-\u00be"
+_PRE = {
+    "byte": re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_L}]+| ?[{_N}]+| ?[^\s{_L}{_N}]+|\s+(?!\S)|\s+"),
+    "word": re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_L}]+|[{_N}]|[^\s{_L}{_N}]+"),
+}
+_WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_PLAIN = re.compile(r"[ \n!-;=-~\u00a1-\u012f\u0131-\u017f]*")
 PIECE_CHARS = 1 << 20  # texts longer than this are cut at safe places before their chunks are listed
 BATCH_BYTES = 4 << 20  # encoded together; long and short texts even out
-MEMO_ENTRIES = 250_000
+MEMO_ENTRIES = 200_000
+
+
+def _byte_letters() -> dict[int, str]:
+    """The published letters that stand for bytes in byte-level vocabularies: printable ones for themselves, others from U+0100 on."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in own]
+    return {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
 def kind_of(path: str) -> str:
@@ -40,8 +58,9 @@ def kind_of(path: str) -> str:
         return "byte"
     steps = pre.get("pretokenizers") or []
     first = steps[0] if steps else {}
-    drops_space = first.get("type") == "Split" and first.get("behavior") == "Removed" and first.get("invert") and r"\s" in str(first.get("pattern"))
-    return "word" if drops_space and said["model"].get("end_of_word_suffix") else "whole"
+    if first.get("type") != "Split" or first.get("behavior") != "Removed" or not first.get("invert"):
+        return "whole"
+    return "word" if first["pattern"].get("Regex") == _WORD_PATTERN and said["model"].get("end_of_word_suffix") == "</w>" else "whole"
 
 
 class Encoder:
@@ -51,8 +70,9 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has a task on every core already
         self.count_only, self.kind = count_only, kind_of(path)
         self.zero = 0 if count_only else b""
-        self.memo: dict[str, int | bytes] = {"": self.zero}
+        self.memo: dict[str, int | bytes] = {}
         self.old: dict[str, int | bytes] = {}
+        self.pre: dict[str, int | bytes] = {}
         if path.endswith(".model"):
             import sentencepiece
 
@@ -65,18 +85,35 @@ class Encoder:
             self.library.no_truncation()
             self.library.no_padding()
             self.encode = lambda texts: [e.ids for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+            self.model, self.letters = self.library.model, _byte_letters()
 
     def _kept(self, ids: list[int]) -> int | bytes:
-        return len(ids) if self.count_only else np.asarray(ids, "<u4").tobytes()
+        return len(ids) if self.count_only else struct.pack(f"<{len(ids)}I", *ids)
+
+    def _plain(self, chunk: str) -> int | bytes | None:
+        """A chunk of plain letters, by pre-tokens; None for others."""
+        if self.kind == "whole" or not _PLAIN.fullmatch(chunk):
+            return None
+        known, got = self.pre, self.zero
+        for piece in _PRE[self.kind].findall(chunk.lower() if self.kind == "word" else chunk):
+            if (one := known.get(piece)) is None:
+                word = piece if self.kind == "word" and piece.isascii() else piece.encode().decode("latin-1").translate(self.letters)
+                one = self._kept([t.id for t in self.model.tokenize(word)])
+                if len(known) >= MEMO_ENTRIES:
+                    known.clear()
+                known[piece] = one
+            got += one
+        return got
 
     def _learn(self, chunks: Iterable[str]) -> None:
         """Puts every chunk into the memo; two generations bound its size."""
-        new = set(chunks).difference(self.memo)
+        every = set(chunks)
+        new = every.difference(self.memo)
         if len(self.memo) + len(new) > MEMO_ENTRIES:
-            self.old, self.memo = self.memo, {"": self.zero}
+            self.old, self.memo, new = self.memo, {}, every
         ask = []
         for c in new:
-            if (known := self.old.get(c)) is None:
+            if (known := self.old.get(c)) is None and (known := self._plain(c)) is None:
                 ask.append(c)
             else:
                 self.memo[c] = known
@@ -90,6 +127,13 @@ class Encoder:
                 self.memo[c] = self._kept(ids)
             at = upto
 
+    def _split(self, text: str) -> list[str]:
+        if self.kind == "word":
+            if _PLAIN.fullmatch(text):
+                text = text.lower()
+            return text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
+        return _SAFE[self.kind].split(text)
+
     def _chunks(self, text: str) -> Iterator[list[str]]:
         """Lists of chunks, one list per PIECE_CHARS or so."""
         if self.kind == "whole":
@@ -99,46 +143,28 @@ class Encoder:
         while at < len(text):
             end = len(text)
             if end - at > PIECE_CHARS and (m := safe.search(text, at + PIECE_CHARS)):
-                end = m.start() or end
-            part = text[at:end] if at or end < len(text) else text
-            yield safe.split(part)
+                end = m.start()
+            yield self._split(text[at:end])
             at = end
 
     def texts(self, texts: list[str | None]) -> list[int | bytes]:
         """One result per text; null counts as empty."""
-        small: list[list[str] | None] = []
-        out: list[int | bytes] = []
+        if sum(map(len, filter(None, texts))) <= PIECE_CHARS * 4:
+            split = [self._split(t) if self.kind != "whole" else [t] for t in (t or "" for t in texts)]
+            self._learn(chain.from_iterable(split))
+            return [self._joined(x) for x in split]
+        out = []
         for t in texts:
-            if t and len(t) > PIECE_CHARS:
-                total = self.zero
-                parts = []
-                for chunks in self._chunks(t):
-                    self._learn(chunks)
-                    parts.append(self._joined(chunks))
-                total = sum(parts) if self.count_only else b"".join(parts)
-                small.append(None)
-                out.append(total)
-            else:
-                small.append(next(self._chunks(t), []) if t else [])
-                out.append(self.zero)
-        seen: set[str] = set()
-        for chunks in small:
-            if chunks:
-                seen.update(chunks)
-        self._learn(seen)
-        for i, chunks in enumerate(small):
-            if chunks:
-                out[i] = self._joined(chunks)
+            got = []
+            for chunks in self._chunks(t or ""):
+                self._learn(chunks)
+                got.append(self._joined(chunks))
+            out.append(sum(got) if self.count_only else b"".join(got))
         return out
 
     def _joined(self, chunks: list[str]) -> int | bytes:
-        got = self.memo
-        try:
-            return sum(map(got.__getitem__, chunks)) if self.count_only else b"".join(map(got.__getitem__, chunks))
-        except KeyError:  # the memo turned over between learning and use
-            self._learn(chunks)
-            got = self.memo
-            return sum(map(got.__getitem__, chunks)) if self.count_only else b"".join(map(got.__getitem__, chunks))
+        got = map(self.memo.__getitem__, chunks)
+        return sum(got) if self.count_only else b"".join(got)
 
 
 @lru_cache(maxsize=4)
