@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import grammar_ids, licenses, packing, sharding, token_counts
-from .common import table, text_crc32, utf8_bytes
+from . import grammar_ids, langid, licenses, packing, sharding, token_counts
+from .common import fold, table, text_crc32, utf8_bytes
 
 
 def vocabulary(name: str) -> str:
@@ -45,13 +45,19 @@ def op7_grammar_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grammar_ids.grammar_ids(docs, vocabulary("word_bpe_49k.json")).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = langid.learn(docs, fold("doc_id") != 1)
+    return langid.identify(docs.select("doc_id", "text"), model).select("doc_id", (fold("doc_id") == 1).alias("held_out"), "lang_pred", "score")
+
+
 def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return licenses.scan_licenses(docs).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_sharding": op1_sharding, "op2_token_counts": op2_token_counts, "op3_packing": op3_packing, "op7_grammar_ids": op7_grammar_ids, "op10_licenses": op10_licenses}
+    return {"op1_sharding": op1_sharding, "op2_token_counts": op2_token_counts, "op3_packing": op3_packing, "op7_grammar_ids": op7_grammar_ids, "op8_language": op8_language, "op10_licenses": op10_licenses}
 
 
 def oracle_sql() -> dict[str, str]:
