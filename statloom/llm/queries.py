@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import grammar_ids, langid, licenses, packing, sharding, token_counts
+from . import grammar_ids, langid, licenses, packing, quality, sharding, token_counts
 from .common import fold, table, text_crc32, utf8_bytes
 
 
@@ -51,13 +51,19 @@ def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs.select("doc_id", "text"), model).select("doc_id", (fold("doc_id") == 1).alias("held_out"), "lang_pred", "score")
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.learn(docs, table(spark, sf_dir, "labels"), fold("doc_id") != 1)
+    return quality.score(docs, model).select("doc_id", (fold("doc_id") == 1).alias("held_out"), "score", "predicted")
+
+
 def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return licenses.scan_licenses(docs).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_sharding": op1_sharding, "op2_token_counts": op2_token_counts, "op3_packing": op3_packing, "op7_grammar_ids": op7_grammar_ids, "op8_language": op8_language, "op10_licenses": op10_licenses}
+    return {"op1_sharding": op1_sharding, "op2_token_counts": op2_token_counts, "op3_packing": op3_packing, "op7_grammar_ids": op7_grammar_ids, "op8_language": op8_language, "op9_quality": op9_quality, "op10_licenses": op10_licenses}
 
 
 def oracle_sql() -> dict[str, str]:
