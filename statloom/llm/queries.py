@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import grammar_ids, langid, licenses, packing, quality, sharding, simhash, token_counts
+from . import grammar_ids, langid, licenses, neighbours, packing, quality, sharding, simhash, token_counts
 from .common import fold, table, text_crc32, utf8_bytes
 
 
@@ -45,6 +45,10 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.linked(docs).select("doc_id", "fingerprint", "component_id")
 
 
+def op6_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op7_grammar_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return grammar_ids.grammar_ids(docs, vocabulary("word_bpe_49k.json")).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
@@ -68,7 +72,7 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_sharding": op1_sharding, "op2_token_counts": op2_token_counts, "op3_packing": op3_packing, "op5_simhash": op5_simhash, "op7_grammar_ids": op7_grammar_ids, "op8_language": op8_language, "op9_quality": op9_quality, "op10_licenses": op10_licenses}
+    return {"op1_sharding": op1_sharding, "op2_token_counts": op2_token_counts, "op3_packing": op3_packing, "op5_simhash": op5_simhash, "op6_neighbours": op6_neighbours, "op7_grammar_ids": op7_grammar_ids, "op8_language": op8_language, "op9_quality": op9_quality, "op10_licenses": op10_licenses}
 
 
 def oracle_sql() -> dict[str, str]:
