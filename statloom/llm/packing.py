@@ -35,12 +35,8 @@ def token_ids(path: str, end_id: int | None, length: int):
     def ids(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         own, step = encoder(path, False), 4 * length
         for texts in batches:
-            got: list[list[bytes]] = []
-            for part in by_bytes(texts):
-                for x in own.texts(part):
-                    x += end
-                    got.append([x[i : i + step] for i in range(0, len(x), step)])
-            yield pa.array(got, pa.list_(pa.binary()))
+            for part in by_bytes(texts):  # small batches go out as they are ready
+                yield pa.array([[x[i : i + step] for i in range(0, len(x), step)] for x in (y + end for y in own.texts(part))], pa.list_(pa.binary()))
 
     return ids
 
