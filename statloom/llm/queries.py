@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import grammar_ids, langid, licenses, neighbours, packing, quality, sharding, simhash, token_counts
+from . import decontaminate, grammar_ids, langid, licenses, neighbours, packing, quality, sharding, simhash, token_counts
 from .common import fold, table, text_crc32, utf8_bytes
 
 
@@ -40,6 +40,10 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(docs, vocabulary("word_bpe_49k.json")).select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return simhash.linked(docs).select("doc_id", "fingerprint", "component_id")
@@ -72,7 +76,7 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_sharding": op1_sharding, "op2_token_counts": op2_token_counts, "op3_packing": op3_packing, "op5_simhash": op5_simhash, "op6_neighbours": op6_neighbours, "op7_grammar_ids": op7_grammar_ids, "op8_language": op8_language, "op9_quality": op9_quality, "op10_licenses": op10_licenses}
+    return {"op1_sharding": op1_sharding, "op2_token_counts": op2_token_counts, "op3_packing": op3_packing, "op4_decontaminate": op4_decontaminate, "op5_simhash": op5_simhash, "op6_neighbours": op6_neighbours, "op7_grammar_ids": op7_grammar_ids, "op8_language": op8_language, "op9_quality": op9_quality, "op10_licenses": op10_licenses}
 
 
 def oracle_sql() -> dict[str, str]:
