@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import season
+from .plans import boards, movement, season, streams, texts
 
-MODULES = [season]
+MODULES = [season, movement, texts, boards, streams]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

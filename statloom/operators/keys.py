@@ -48,3 +48,10 @@ def thin_daily(df: DataFrame, keys: list[str], at: str, tie: str, before: Column
     day = F.to_date(at)
     place = F.row_number().over(Window.partitionBy(*keys, F.col("_day")).orderBy(F.col(at).desc(), F.col(tie).desc()))
     return df.withColumn("_day", day).withColumn("_place", place).where((F.col(at) >= before) | (F.col("_place") == 1)).drop("_day", "_place")
+
+
+def top_ranked(df: DataFrame, by: str, n: int) -> DataFrame:
+    """Rows of rank n or better (rank int, ties share one) by a column, largest first. Only those reach the last task."""
+    edge = df.orderBy(F.desc(by)).limit(n).agg(F.min(by).alias("_edge"))
+    best = df.crossJoin(F.broadcast(edge)).where(F.col(by) >= F.col("_edge")).drop("_edge")
+    return best.withColumn("rank", F.rank().over(Window.orderBy(F.desc(by))).cast("int")).where(F.col("rank") <= n)
