@@ -1,8 +1,8 @@
 """Tokenizing whole texts chunk by chunk inside Arrow functions.
 
-A vocabulary's pre-tokenizer never joins text across certain places (see ``_SAFE``). Texts are cut there, and every
-distinct chunk is encoded once per batch and kept in a bounded memo, so the library sees mostly new words. Ids and
-counts equal those of the library on the whole text.
+A vocabulary's pre-tokenizer never joins text across certain places (see ``_SAFE``). Texts are cut there; what each
+piece gives is kept in a bounded memo, so the library sees mostly new words. Ids and counts equal those of the library
+on the whole text.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ import json
 import os
 import re
 import struct
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 from itertools import chain
 
@@ -37,7 +37,7 @@ _WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 _PLAIN = re.compile(r"[ \n!-;=-~\u00a1-\u012f\u0131-\u017f]*")
 PIECE_CHARS = 1 << 20  # texts longer than this are cut at safe places before their chunks are listed
 BATCH_BYTES = 4 << 20  # encoded together; long and short texts even out
-MEMO_ENTRIES = 200_000
+MEMO_ENTRIES = 300_000
 
 
 def _byte_letters() -> dict[int, str]:
@@ -63,16 +63,32 @@ def kind_of(path: str) -> str:
     return "word" if first["pattern"].get("Regex") == _WORD_PATTERN and said["model"].get("end_of_word_suffix") == "</w>" else "whole"
 
 
+class Memo(dict):
+    """What make(key) gives, remembered; when full, a new generation begins and the one before the last goes."""
+
+    def __init__(self, make: Callable[[str], int | bytes], old: dict | None = None):
+        self.make, self.old = make, old or {}
+
+    def __missing__(self, key: str) -> int | bytes:
+        got = self.old.get(key)
+        self[key] = got = self.make(key) if got is None else got
+        return got
+
+    def next(self) -> Memo:
+        if len(self) < MEMO_ENTRIES:
+            return self
+        self.old = {}
+        return Memo(self.make, self)
+
+
 class Encoder:
     """Ids (little-endian unsigned 32-bit) or counts of whole texts by one vocabulary file."""
 
     def __init__(self, path: str, count_only: bool):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has a task on every core already
         self.count_only, self.kind = count_only, kind_of(path)
-        self.zero = 0 if count_only else b""
-        self.memo: dict[str, int | bytes] = {}
-        self.old: dict[str, int | bytes] = {}
-        self.pre: dict[str, int | bytes] = {}
+        self.pre = Memo(self._pre_token)  # of pre-tokens of plain texts
+        self.chunk = Memo(lambda chunk: self._kept(self.encode([chunk])[0]))  # of chunks of others
         if path.endswith(".model"):
             import sentencepiece
 
@@ -90,82 +106,49 @@ class Encoder:
     def _kept(self, ids: list[int]) -> int | bytes:
         return len(ids) if self.count_only else struct.pack(f"<{len(ids)}I", *ids)
 
-    def _plain(self, chunk: str) -> int | bytes | None:
-        """A chunk of plain letters, by pre-tokens; None for others."""
-        if self.kind == "whole" or not _PLAIN.fullmatch(chunk):
-            return None
-        known, got = self.pre, self.zero
-        for piece in _PRE[self.kind].findall(chunk.lower() if self.kind == "word" else chunk):
-            if (one := known.get(piece)) is None:
-                word = piece if self.kind == "word" and piece.isascii() else piece.encode().decode("latin-1").translate(self.letters)
-                one = self._kept([t.id for t in self.model.tokenize(word)])
-                if len(known) >= MEMO_ENTRIES:
-                    known.clear()
-                known[piece] = one
-            got += one
-        return got
+    def _pre_token(self, piece: str) -> int | bytes:
+        word = piece if self.kind == "word" and piece.isascii() else piece.encode().decode("latin-1").translate(self.letters)
+        return self._kept([t.id for t in self.model.tokenize(word)])
 
-    def _learn(self, chunks: Iterable[str]) -> None:
-        """Puts every chunk into the memo; two generations bound its size."""
-        every = set(chunks)
-        new = every.difference(self.memo)
-        if len(self.memo) + len(new) > MEMO_ENTRIES:
-            self.old, self.memo, new = self.memo, {}, every
-        ask = []
-        for c in new:
-            if (known := self.old.get(c)) is None and (known := self._plain(c)) is None:
-                ask.append(c)
-            else:
-                self.memo[c] = known
-        at = 0
-        while at < len(ask):
-            upto, size = at, 0
-            while upto < len(ask) and size < BATCH_BYTES // 4:
-                size += len(ask[upto])
-                upto += 1
-            for c, ids in zip(ask[at:upto], self.encode(ask[at:upto]), strict=True):
-                self.memo[c] = self._kept(ids)
-            at = upto
-
-    def _split(self, text: str) -> list[str]:
-        if self.kind == "word":
-            if _PLAIN.fullmatch(text):
-                text = text.lower()
-            return text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
-        return _SAFE[self.kind].split(text)
-
-    def _chunks(self, text: str) -> Iterator[list[str]]:
-        """Lists of chunks, one list per PIECE_CHARS or so."""
+    def _learn(self, chunks: list[str]) -> None:
+        """Asks the library for many chunks at once."""
+        ask = [c for c in set(chunks) if c not in self.chunk and c not in self.chunk.old]
+        for at in range(0, len(ask), 4096):
+            for c, ids in zip(ask[at : at + 4096], self.encode(ask[at : at + 4096]), strict=True):
+                self.chunk[c] = self._kept(ids)
+
+    def _one(self, text: str) -> int | bytes:
+        """By the pre-tokens of a plain text, or else by chunks."""
         if self.kind == "whole":
-            yield [text]
-            return
-        safe, at = _SAFE[self.kind], 0
-        while at < len(text):
-            end = len(text)
-            if end - at > PIECE_CHARS and (m := safe.search(text, at + PIECE_CHARS)):
-                end = m.start()
-            yield self._split(text[at:end])
-            at = end
+            return self._kept(self.encode([text])[0])
+        if _PLAIN.fullmatch(text):
+            memo, pieces = self.pre, _PRE[self.kind].findall(text.lower() if self.kind == "word" else text)
+        else:
+            memo, pieces = self.chunk, _SAFE[self.kind].split(text)
+            self._learn(pieces)
+        got = map(memo.__getitem__, pieces)
+        return sum(got) if self.count_only else b"".join(got)
+
+    def _parts(self, text: str) -> Iterator[str]:
+        """The text, cut at safe places every PIECE_CHARS or so."""
+        at = 0
+        while self.kind != "whole" and len(text) - at > PIECE_CHARS and (m := _SAFE[self.kind].search(text, at + PIECE_CHARS)):
+            yield text[at : m.start()]
+            at = m.start()
+        yield text[at:] if at else text
 
     def texts(self, texts: list[str | None]) -> list[int | bytes]:
         """One result per text; null counts as empty."""
-        if sum(map(len, filter(None, texts))) <= PIECE_CHARS * 4:
-            split = [self._split(t) if self.kind != "whole" else [t] for t in (t or "" for t in texts)]
-            self._learn(chain.from_iterable(split))
-            return [self._joined(x) for x in split]
-        out = []
+        out: list[int | bytes] = []
         for t in texts:
-            got = []
-            for chunks in self._chunks(t or ""):
-                self._learn(chunks)
-                got.append(self._joined(chunks))
-            out.append(sum(got) if self.count_only else b"".join(got))
+            self.pre, self.chunk = self.pre.next(), self.chunk.next()
+            if not t or len(t) <= PIECE_CHARS:
+                out.append(self._one(t or ""))
+            else:
+                got = [self._one(part) for part in self._parts(t)]
+                out.append(sum(got) if self.count_only else b"".join(got))
         return out
 
-    def _joined(self, chunks: list[str]) -> int | bytes:
-        got = map(self.memo.__getitem__, chunks)
-        return sum(got) if self.count_only else b"".join(got)
-
 
 @lru_cache(maxsize=4)
 def encoder(path: str, count_only: bool) -> Encoder:
