@@ -22,7 +22,8 @@ def normal_name(c: Column) -> Column:
 
 def t_score(value: Column, mean: Column, deviation: Column) -> Column:
     """50 + 10 z, between 1 and 99, one decimal; null without deviation."""
-    return F.round(F.least(F.greatest(50 + 10 * (value - mean) / F.nullif(deviation, F.lit(0.0)), F.lit(1.0)), F.lit(99.0)), 1)
+    clamped = F.least(F.greatest(50 + 10 * (value - mean) / F.nullif(deviation, F.lit(0.0)), F.lit(1.0)), F.lit(99.0))
+    return F.when(deviation != 0, F.round(clamped, 1))
 
 
 def trajectory(delta: Column) -> Column:

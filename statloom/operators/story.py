@@ -6,6 +6,7 @@ through the task; its state is the open stories of the last fortnight, not the h
 
 from __future__ import annotations
 
+from collections import defaultdict, deque
 from collections.abc import Iterator
 
 import pandas as pd
@@ -34,20 +35,37 @@ def choose(stories: list[dict], persons: frozenset, teams: frozenset, kind: str,
 
 
 class Fold:
-    """The open stories of one part."""
+    """The open stories of one part. Only stories that share a person or a team can score high enough, so those are looked up."""
 
     def __init__(self) -> None:
-        self.stories: list[dict] = []
+        self.stories: dict[int, dict] = {}
+        self.naming: dict[tuple, set[int]] = defaultdict(set)
+        self.touched: deque = deque()  # (when, story), oldest first
+
+    def _close_before(self, at) -> None:
+        while self.touched and (at - self.touched[0][0]).days >= WINDOW_DAYS:
+            when, number = self.touched.popleft()
+            s = self.stories.get(number)
+            if s and s["seen"] == when:
+                del self.stories[number]
+                for e in [*(("p", x) for x in s["persons"]), *(("t", x) for x in s["teams"])]:
+                    self.naming[e].discard(number)
+                    if not self.naming[e]:
+                        del self.naming[e]
 
     def add(self, article: int, at, kind: str, persons, teams) -> int:
         """The article's story; a story's id is its first article's."""
-        self.stories = [s for s in self.stories if (at - s["seen"]).days < WINDOW_DAYS]
+        self._close_before(at)
         persons, teams = frozenset(persons), frozenset(teams)
-        s = choose(self.stories, persons, teams, kind, at)
+        named = [*(("p", x) for x in persons), *(("t", x) for x in teams)]
+        near = set().union(*(self.naming[e] for e in named if e in self.naming))
+        s = choose([self.stories[n] for n in near], persons, teams, kind, at)
         if s is None:
-            s = {"id": article, "seed": persons | teams, "persons": persons, "teams": teams, "kind": kind}
-            self.stories.append(s)
+            s = self.stories[article] = {"id": article, "seed": persons | teams, "persons": persons, "teams": teams, "kind": kind}
         s["persons"], s["teams"], s["seen"] = s["persons"] | persons, s["teams"] | teams, at
+        for e in named:
+            self.naming[e].add(s["id"])
+        self.touched.append((at, s["id"]))
         return s["id"]
 
 

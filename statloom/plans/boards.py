@@ -194,10 +194,10 @@ def queue_view(spark, d):
 
 
 def story_assembly(spark, d):
-    """Documents' heads as articles, one fold for each language and source."""
+    """Events as articles, one fold for each kind."""
     c = table(spark, d, "events").where("event_type <> 'error'")
     kind = F.col("event_type")
-    a = c.select(kind.alias("part"), F.col("event_id").alias("article"), F.col("ts").cast("timestamp").alias("at"), kind.alias("kind"), F.array(F.col("user_id").cast("string")).alias("persons"), F.array((F.col("user_id") % 7).cast("string"), (F.col("event_id") % 5).cast("string")).alias("teams"))
+    a = c.select(kind.alias("part"), F.col("event_id").alias("article"), F.col("ts").cast("timestamp").alias("at"), kind.alias("kind"), F.array(F.col("user_id").cast("string")).alias("persons"), F.array((F.col("user_id") % 97).cast("string"), F.concat(F.lit("e"), (F.col("event_id") % 1009).cast("string"))).alias("teams"))
     return story.assemble(a)
 
 

@@ -301,10 +301,10 @@ ORACLES = {
       z AS (SELECT *, sign * coalesce((value - avg(value) FILTER (WHERE eligible) OVER w) / nullif(stddev_pop(value) FILTER (WHERE eligible) OVER w, 0), 0) AS z FROM m WINDOW w AS (PARTITION BY season, stat, mode)) SELECT l_suppkey, season, mode, round(sum(z), 4) AS composite FROM z GROUP BY ALL""",
     "event_rating": f"""WITH {EVENTS}, r AS (SELECT l_orderkey, l_linenumber, season, round(coalesce((l_quantity - avg(l_quantity) OVER w) / nullif(stddev_pop(l_quantity) OVER w, 0), 0) + coalesce((l_extendedprice - avg(l_extendedprice) OVER w) / nullif(stddev_pop(l_extendedprice) OVER w, 0), 0) - coalesce((l_discount - avg(l_discount) OVER w) / nullif(stddev_pop(l_discount) OVER w, 0), 0), 4) AS rating FROM ev WHERE l_quantity > 0 WINDOW w AS (PARTITION BY season))
       SELECT *, round(100 * percent_rank() OVER (PARTITION BY season ORDER BY CAST(rating AS DECIMAL(18,6))), 1) AS rating_pct FROM r""",
-    "t_score": f"WITH {SEASONS} SELECT l_suppkey, season, round(least(greatest(50 + 10 * (revenue - avg(revenue) OVER w) / nullif(stddev_pop(revenue) OVER w, 0), 1.0), 99.0), 1) AS score FROM st WINDOW w AS (PARTITION BY season)",
+    "t_score": f"WITH {SEASONS} SELECT l_suppkey, season, CASE WHEN stddev_pop(revenue) OVER w <> 0 THEN round(least(greatest(50 + 10 * (revenue - avg(revenue) OVER w) / nullif(stddev_pop(revenue) OVER w, 0), 1.0), 99.0), 1) END AS score FROM st WINDOW w AS (PARTITION BY season)",
     "tier_assignment": f"WITH {_TIER} SELECT * FROM ti",
     "history_snapshot_debounce": f"WITH {_TIER}, la AS (SELECT l_suppkey, tier FROM ti WHERE season <= 1999 QUALIFY row_number() OVER (PARTITION BY l_suppkey ORDER BY season DESC, tier DESC) = 1) SELECT n.l_suppkey, n.tier FROM ti n ANTI JOIN la ON la.l_suppkey = n.l_suppkey AND la.tier IS NOT DISTINCT FROM n.tier WHERE n.season = 2000",
     "cohort_leaderboard": f"""WITH {Z.replace('FROM lg JOIN gate USING (l_suppkey, season))', 'FROM lg JOIN gate USING (l_suppkey, season) WHERE season = 2000)')}, c AS (SELECT l_suppkey, n_regionkey, round(sum(z), 4) AS composite FROM zs GROUP BY ALL)
-      SELECT l_suppkey, n_regionkey, composite, round(100 * percent_rank() OVER (PARTITION BY n_regionkey ORDER BY CAST(composite AS DECIMAL(18,6))), 1) AS region_pct, round(least(greatest(50 + 10 * (composite - avg(composite) OVER w) / nullif(stddev_pop(composite) OVER w, 0), 1.0), 99.0), 1) AS score
+      SELECT l_suppkey, n_regionkey, composite, round(100 * percent_rank() OVER (PARTITION BY n_regionkey ORDER BY CAST(composite AS DECIMAL(18,6))), 1) AS region_pct, CASE WHEN stddev_pop(composite) OVER w <> 0 THEN round(least(greatest(50 + 10 * (composite - avg(composite) OVER w) / nullif(stddev_pop(composite) OVER w, 0), 1.0), 99.0), 1) END AS score
       FROM c WINDOW w AS (PARTITION BY n_regionkey) ORDER BY composite DESC, l_suppkey LIMIT 20""",
 }
