@@ -31,8 +31,8 @@ BUCKET_BYTES = 16 << 20  # of text; a task holds about three times that
 MAX_BUCKETS = 65_536
 
 
-def _scatter(docs: DataFrame, key: str, text: str, seed: int, bucket_bytes: int) -> tuple[Column, list[int]]:
-    """Each row's bucket, and every bucket's rows."""
+def _scatter(docs: DataFrame, key: str, text: str, seed: int, bucket_bytes: int, place: str) -> tuple[Column, list[int]]:
+    """Each row's bucket, and every bucket's rows. place: the column of row positions."""
     size = utf8_bytes(text) + 16
     total = docs.agg(F.sum(size)).first()[0] or 0
     n = int(min(MAX_BUCKETS, max(1, -(-total // bucket_bytes))))
@@ -49,7 +49,7 @@ def _scatter(docs: DataFrame, key: str, text: str, seed: int, bucket_bytes: int)
         first[b], at = at, at + parts - 1
     parts_of = F.create_map(*(F.lit(x) for kv in heavy.items() for x in kv))
     first_of = F.create_map(*(F.lit(x) for kv in first.items() for x in kv))
-    part = F.pmod(F.xxhash64(F.lit(seed), F.monotonically_increasing_id()), F.element_at(parts_of, base)).cast("int")
+    part = F.pmod(F.xxhash64(F.lit(seed), place), F.element_at(parts_of, base)).cast("int")
     bucket = F.when(~base.isin(*heavy) | (part == 0), base).otherwise(F.element_at(first_of, base) + part - 1)
     rows = [0] * at
     for r in docs.groupBy(bucket.alias("b")).count().collect():
@@ -62,10 +62,11 @@ def shuffle_into_shards(docs: DataFrame, shards: int, key: str = "doc_id", text:
     spark = docs.sparkSession
     docs = without(docs, "shard", "slot")
     path = path or new_path(spark, "shards")
-    bucket, rows = _scatter(docs, key, text, seed, bucket_bytes)
-    n, starts = sum(rows), np.concatenate([[0], np.cumsum(rows)]).tolist()
     names = free_name(docs, "bucket"), free_name(docs, "place")
-    dealt = docs.withColumn(names[0], bucket).repartitionById(len(rows), F.col(names[0]))
+    numbered = docs.withColumn(names[1], F.monotonically_increasing_id())
+    bucket, rows = _scatter(numbered, key, text, seed, bucket_bytes, names[1])
+    n, starts = sum(rows), np.concatenate([[0], np.cumsum(rows)]).tolist()
+    dealt = numbered.withColumn(names[0], bucket).drop(names[1]).repartitionById(len(rows), F.col(names[0]))
     schema = T.StructType([*docs.schema.fields, T.StructField(names[1], T.LongType())])
 
     def shuffled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
