@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from typing import Any
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,3 +41,14 @@ def fold(doc_id: str | Column, folds: int = 3) -> Column:
     """crc32 of the id as text, modulo folds: the split into learning and held-out documents."""
     doc_id = F.col(doc_id) if isinstance(doc_id, str) else doc_id
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % folds, F.lit(0)).cast("int")
+
+
+_held: dict[object, Any] = {}
+
+
+def held(key: object, make: Callable[[], Any]) -> Any:
+    """What make() gives, kept in this Python worker until another key is asked for: one large model at a time."""
+    if key not in _held:
+        _held.clear()
+        _held[key] = make()
+    return _held[key]

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from .common import utf8_bytes
+from .common import held, utf8_bytes
 from .licenses import text_blocks
 
 BUDGET = 0.1
@@ -134,8 +134,6 @@ class Finder:
         return [{"item_id": self.items[i][0], "distance": d, "budget": self.items[i][2], "end_at": end} for i, (d, end) in sorted(found.items())]
 
 
-_finders: dict[str, Finder] = {}
-
 FOUND = "array<struct<item_id:long,distance:int,budget:int,end_at:long>>"
 _FOUND = pa.list_(pa.struct([("item_id", pa.int64()), ("distance", pa.int32()), ("budget", pa.int32()), ("end_at", pa.int64())]))
 
@@ -146,10 +144,7 @@ def found_in(items: list[tuple[int, str]], spark, budget: float = BUDGET):
 
     @arrow_udf(FOUND)
     def search(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        if name not in _finders:
-            _finders.clear()
-            _finders[name] = Finder(sent.value, budget)
-        own = _finders[name]
+        own = held(name, lambda: Finder(sent.value, budget))
         for texts in batches:
             for data, offsets in text_blocks(texts):
                 yield pa.array([own.find(t) for t in plain(data, offsets)], _FOUND)

@@ -12,13 +12,13 @@ import os
 import re
 import struct
 from collections.abc import Callable, Iterator
-from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from .common import held
+
 # Where a text may be cut without changing its tokens, by kind of vocabulary.
 _SAFE = {
     # Byte-level pre-tokens hold one leading space at most, so a single space between two non-spaces begins one.
@@ -37,7 +37,7 @@ _WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 _PLAIN = re.compile(r"[ \n!-;=-~\u00a1-\u012f\u0131-\u017f]*")
 PIECE_CHARS = 1 << 20  # texts longer than this are cut at safe places before their chunks are listed
 BATCH_BYTES = 4 << 20  # encoded together; long and short texts even out
-MEMO_ENTRIES = 300_000
+MEMO_ENTRIES = 120_000
 
 
 def _byte_letters() -> dict[int, str]:
@@ -150,10 +150,9 @@ class Encoder:
         return out
 
 
-@lru_cache(maxsize=4)
 def encoder(path: str, count_only: bool) -> Encoder:
     """Made once in each Python worker."""
-    return Encoder(path, count_only)
+    return held((path, count_only), lambda: Encoder(path, count_only))
 
 
 def by_bytes(texts: pa.Array, limit: int = BATCH_BYTES) -> Iterator[list[str | None]]:

@@ -28,16 +28,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from .common import without
+from .common import held, without
 from .licenses import text_blocks
 
 TRAIN_DOCS = 2000
 LEAST_SEEN = 12
-MAX_CONTEXTS = 6000
+MAX_CONTEXTS = 4000
 SCORE_BYTES = 64
 UNKNOWN = "und"
 _START = 10  # a text is preceded by line ends
-_SLICE = 1 << 19
+_SLICE = 1 << 18
 
 
 def grams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -155,9 +155,6 @@ class Trees:
         return out
 
 
-_made: dict[str, Trees] = {}
-
-
 def learn(docs: DataFrame, learn_from: Column, text: str = "text", language: str = "lang", key: str = "doc_id", train_docs: int = TRAIN_DOCS):
     """A broadcast model of the languages of the rows where learn_from holds and language and text aren't null."""
     spark = docs.sparkSession
@@ -182,13 +179,6 @@ def learn(docs: DataFrame, learn_from: Column, text: str = "text", language: str
     return uuid.uuid4().hex, spark.sparkContext.broadcast(model)
 
 
-def _trees(name: str, model) -> Trees:
-    if name not in _made:
-        _made.clear()
-        _made[name] = Trees(*model.value)
-    return _made[name]
-
-
 def identify(docs: DataFrame, model, text: str = "text") -> DataFrame:
     """docs with lang_pred and score."""
     name, sent = model
@@ -198,7 +188,7 @@ def identify(docs: DataFrame, model, text: str = "text") -> DataFrame:
 
     @arrow_udf("struct<lang_pred:string,score:double>")
     def best(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        trees = _trees(name, sent)
+        trees = held(name, lambda: Trees(*sent.value))
         for texts in batches:
             won, score = [], []
             for data, offsets in text_blocks(texts):

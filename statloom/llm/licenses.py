@@ -14,7 +14,6 @@ from __future__ import annotations
 
 from collections import defaultdict
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -22,12 +21,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from .common import without
+from .common import held, without
 
 MIN_MATCH = 3  # words of an anchor
 MAX_GAP = 6  # words between anchors of a chain, in the document and in the template
 COVERED = 0.75  # of a template's words, for a span
-SCAN_BYTES = 8 << 20  # of texts looked at together
+SCAN_BYTES = 2 << 20  # of texts looked at together
 
 # Base phrases and their labels.
 BASE = (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl"))
@@ -265,11 +264,6 @@ class Scanner:
         return out
 
 
-@lru_cache(maxsize=1)
-def scanner() -> Scanner:
-    """Made once in each Python worker."""
-    return Scanner()
-
 
 RESULT = "struct<n_words:long,n_base:long,first_word:long,last_word:long,base_labels:string,labels:string,score:double,spans:array<struct<label:string,template:int,first_word:long,last_word:long,coverage:double>>>"
 _SPAN = pa.struct([("label", pa.string()), ("template", pa.int32()), ("first_word", pa.int64()), ("last_word", pa.int64()), ("coverage", pa.float64())])
@@ -294,7 +288,7 @@ def scan_licenses(docs: DataFrame, text: str = "text") -> DataFrame:
 
     @arrow_udf(RESULT)
     def scan(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        own = scanner()
+        own = held("licenses", Scanner)
         for texts in batches:
             got: list[dict] = []
             for data, offsets in text_blocks(texts):

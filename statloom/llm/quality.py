@@ -64,7 +64,7 @@ def lines(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     starts[is_first], stops[is_last] = offsets[:-1], offsets[1:]
     starts[~is_first], stops[~is_last] = ends_at + 1, ends_at
     size = stops - starts
-    line_of = np.repeat(np.arange(n, dtype=np.int64), size + ~is_last)
+    line_of = np.repeat(np.arange(n, dtype=np.int32), size + ~is_last)
     counts = np.bincount(line_of * _KINDS + _CLASS[data], minlength=n * _KINDS).reshape(n, _KINDS).astype(np.float64)
     counts[~is_last, 0] -= 1  # the line end
     share = counts[:, 1:] / np.maximum(size, 1)[:, None]
@@ -208,7 +208,7 @@ def score(docs: DataFrame, model, text: str = "text") -> DataFrame:
     def judge(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         w, t, slope, base = model
         for texts in batches:
-            for data, offsets in text_blocks(texts, 4 << 20):
+            for data, offsets in text_blocks(texts, 1 << 20):
                 x, weight, first = lines(data, offsets)
                 mean = document_means(marginals(x, first, w, t)[0], weight, first)
                 yield pa.array(1 / (1 + np.exp(-np.clip(slope * (mean - 0.5) + base, -30, 30))))

@@ -47,12 +47,18 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+TEXTS_PER_BATCH = 1000
 _shipped: set[str] = set()
 
 
 def ship(spark: SparkSession) -> None:
-    """Gives the executors' Python this package, once per application, so that functions sent by name are found there."""
+    """Gives the executors' Python this package, once per application, so that functions sent by name are found there.
+
+    Also lowers Spark's default of 10,000 rows an Arrow batch, unless another number is set: rows here hold whole texts.
+    """
     context = spark.sparkContext
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(TEXTS_PER_BATCH))
     if context.applicationId in _shipped:
         return
     root = Path(__file__).resolve().parent
