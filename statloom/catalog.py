@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import boards, movement, season, streams, texts
+from .plans import boards, movement, season, streams, texts, upkeep
 
-MODULES = [season, movement, texts, boards, streams]
+MODULES = [season, movement, texts, boards, streams, upkeep]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
