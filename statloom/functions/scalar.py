@@ -58,3 +58,10 @@ def content_hash(c: Column) -> Column:
 def key_of(c: Column) -> Column:
     """A ranking key: equal on every engine, whatever the order of a floating sum."""
     return c.cast("decimal(18,6)")
+
+
+def ordinal(c: Column) -> Column:
+    """1st, 2nd, 3rd, 4th, ..., 11th, ..., 21st."""
+    last = c % 10
+    suffix = F.when((c % 100).isin(11, 12, 13), "th").when(last == 1, "st").when(last == 2, "nd").when(last == 3, "rd").otherwise("th")
+    return F.concat(c.cast("string"), suffix)
