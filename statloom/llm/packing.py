@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
+from .common import utf8_bytes
 from .encoding import by_bytes, encoder
 
 LENGTH = 2048
@@ -69,7 +70,8 @@ def first_fit_decreasing(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray
 
 def pack(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", length: int = LENGTH, end_id: int = END_ID, seed: int = 77, group_pieces: int = GROUP_PIECES) -> DataFrame:
     """Pieces with key, start, length, ids (binary, little-endian unsigned 32-bit), doc_tokens, sequence_id, offset."""
-    groups = max(1, -(-docs.count() // group_pieces * 5 // 4))
+    size = docs.agg(F.count("*").alias("n"), F.sum(utf8_bytes(text)).alias("bytes")).first()
+    groups = max(1, -(-(size.n + (size.bytes or 0) // (4 * length)) // group_pieces))  # an id is about four bytes of text
     read = docs.select(F.col(key).alias("k"), F.col(text).alias("text"), F.monotonically_increasing_id().alias("row"))
     coded = read.select("k", "row", token_ids(path, end_id, length)("text").alias("pieces"))
     total = ((F.size("pieces") - 1).cast("long") * length + F.octet_length(F.element_at("pieces", -1)) / 4).cast("long")
