@@ -40,9 +40,46 @@ def queue_state(spark, d):
     return st.run_once(st.queue(s), "queue")
 
 
-QUERIES = {f.__name__: f for f in (stream_daily_series, debounce_stream, queue_state)}
+def stream_sessions(spark, d):
+    """Quiet-period sessions; the last batch's table."""
+    got = st.run_once(st.sessions(_stream(spark, d), "ts", "user_id"), "sessions", "complete")
+    return got.where(F.col("batch") == got.agg(F.max("batch")).first()[0]).select("user_id", F.col("started").cast("timestamp_ntz").alias("started"), "n")
+
+
+def barrier_stream(spark, d):
+    """The event with which a user's fifth kind of event is first seen."""
+    got = st.run_once(st.barrier(_stream(spark, d), "user_id", "event_type", "event_id", 5), "barrier")
+    return got.select(F.col("key").cast("long").alias("user_id"), F.col("ord").alias("event_id"))
+
+
+def crossing_stream(spark, d):
+    """Events that cross more of 90, 95 and 99 than the user's event before."""
+    got = st.run_once(st.crossings(_stream(spark, d), "user_id", "value", "event_id"), "crossings")
+    return got.select(F.col("key").cast("long").alias("user_id"), F.col("ord").alias("event_id"), "level")
+
+
+def stream_first_of_day(spark, d):
+    """A user's kinds of event of each day, once each: duplicates go as long as the watermark knows them."""
+    s = _stream(spark, d).withWatermark("ts", "60 days").withColumn("day", F.date_trunc("day", "ts")).dropDuplicates(["user_id", "event_type", "day"])
+    return st.run_once(s.select("user_id", "event_type", "day"), "firsts").select("user_id", "event_type", F.to_date("day").alias("day"))
+
+
+def stream_enriched(spark, d):
+    """A stream joined with a table: events of users who are customers, by market segment."""
+    c = table(spark, d, "customer").select(F.col("c_custkey").alias("user_id"), "c_mktsegment")
+    return st.run_once(_stream(spark, d).join(c, "user_id").select("event_id", "c_mktsegment"), "enriched")
+
+
+QUERIES = {f.__name__: f for f in (stream_daily_series, debounce_stream, queue_state, stream_sessions, barrier_stream, crossing_stream, stream_first_of_day, stream_enriched)}
 
 ORACLES = {
     "stream_daily_series": "SELECT CAST(ts AS DATE) AS day, event_type, count(*) AS n FROM events GROUP BY ALL",
     "debounce_stream": "SELECT user_id, event_id FROM (SELECT *, lag(event_type) OVER (PARTITION BY user_id ORDER BY event_id) AS b FROM events) WHERE b IS NULL OR b <> event_type",
+    "stream_sessions": """WITH e AS (SELECT *, coalesce(CAST(epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id) > 21600000000 AS INTEGER), 1) AS new FROM events),
+      s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM e) SELECT user_id, min(ts) AS started, count(*) AS n FROM s GROUP BY user_id, k""",
+    "barrier_stream": "WITH f AS (SELECT user_id, event_type, min(event_id) AS first_ FROM events GROUP BY ALL) SELECT user_id, max(first_) AS event_id FROM f GROUP BY user_id HAVING count(*) = 5",
+    "crossing_stream": """WITH l AS (SELECT user_id, event_id, CAST(value >= 90 AS INTEGER) + CAST(value >= 95 AS INTEGER) + CAST(value >= 99 AS INTEGER) AS level FROM events), b AS (SELECT *, coalesce(lag(level) OVER (PARTITION BY user_id ORDER BY event_id), 0) AS before_ FROM l)
+      SELECT user_id, event_id, level FROM b WHERE level > before_""",
+    "stream_first_of_day": "SELECT DISTINCT user_id, event_type, CAST(ts AS DATE) AS day FROM events",
+    "stream_enriched": "SELECT event_id, c_mktsegment FROM events JOIN customer ON c_custkey = user_id",
 }

@@ -104,3 +104,39 @@ def queue(stream: DataFrame) -> DataFrame:
         yield pd.DataFrame(out, columns=["key", "ord", "status", "wait", "attempts"])
 
     return stream.groupBy("key").applyInPandasWithState(step, "key string, ord long, status string, wait int, attempts int", "status string, version string, attempts int", "append", GroupStateTimeout.NoTimeout)
+
+
+def barrier(stream: DataFrame, key: str, stage: str, order: str, stages: int) -> DataFrame:
+    """(key, ord): when a key's last stage settles. State is the set of settled stages, dropped once all are."""
+
+    def step(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        seen, done = state.get if state.exists else ([], False)
+        seen, out = set(seen), []
+        for r in pd.concat(list(batches)).sort_values("ord").itertuples():
+            if not done:
+                seen.add(r.stage)
+                done = len(seen) == stages
+                if done:
+                    out.append((k[0], r.ord))
+        state.update((sorted(seen) if not done else [], done))
+        yield pd.DataFrame(out, columns=["key", "ord"])
+
+    named = stream.select(F.col(key).cast("string").alias("key"), F.col(stage).cast("string").alias("stage"), F.col(order).cast("long").alias("ord"))
+    return named.groupBy("key").applyInPandasWithState(step, "key string, ord long", "seen array<string>, done boolean", "append", GroupStateTimeout.NoTimeout)
+
+
+def crossings(stream: DataFrame, key: str, value: str, order: str, edges: tuple[float, ...] = (90.0, 95.0, 99.0)) -> DataFrame:
+    """(key, ord, level): rows that stand above more edges than the row before them of their key."""
+
+    def step(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        last, out = state.get[0] if state.exists else 0, []
+        for r in pd.concat(list(batches)).sort_values("ord").itertuples():
+            level = sum(r.value >= e for e in edges)
+            if level > last:
+                out.append((k[0], r.ord, level))
+            last = level
+        state.update((last,))
+        yield pd.DataFrame(out, columns=["key", "ord", "level"])
+
+    named = stream.select(F.col(key).cast("string").alias("key"), F.col(value).cast("double").alias("value"), F.col(order).cast("long").alias("ord"))
+    return named.groupBy("key").applyInPandasWithState(step, "key string, ord long, level int", "last int", "append", GroupStateTimeout.NoTimeout)
