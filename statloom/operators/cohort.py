@@ -29,9 +29,9 @@ def cold_start(df: DataFrame, current: str, games: str, window: Column, *anchors
 
 
 def leave_one_out(df: DataFrame, cohort: list[str], value: str) -> Column:
-    """Mean of the others in the cohort; null if there are none."""
-    w = Window.partitionBy(*cohort)
-    return (F.sum(value).over(w) - F.col(value)) / F.nullif((F.count(value).over(w) - 1).cast("double"), F.lit(0.0))
+    """Mean of the others in the cohort; null if there are none. Sums are exact to six decimals, so their order is nothing to it."""
+    w, exact = Window.partitionBy(*cohort), F.col(value).cast("decimal(18,6)")
+    return (F.sum(exact).over(w) - exact).cast("double") / F.nullif((F.count(value).over(w) - 1).cast("double"), F.lit(0.0))
 
 
 def crossings(before: DataFrame, after: DataFrame, keys: list[str], marks: tuple[int, ...] = (90, 95, 99), jump: float = 10) -> DataFrame:

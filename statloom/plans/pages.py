@@ -144,7 +144,7 @@ def prevented(spark, d):
 def cohort_sums(spark, d):
     """Sum and number of each stat in each cohort, so that one entity's peers are a subtraction."""
     s = seasons(spark, d).select("season", "n_regionkey", F.expr("stack(3, 'qty', qty, 'revenue', revenue, 'games', cast(games as double)) as (stat, value)"))
-    return s.groupBy("season", "n_regionkey", "stat").agg(F.round(F.sum("value"), 3).alias("total"), F.count("value").alias("n"))
+    return s.groupBy("season", "n_regionkey", "stat").agg(F.sum(S.key_of(F.col("value"))).cast("double").alias("total"), F.count("value").alias("n"))
 
 
 def ordinals(spark, d):
@@ -230,7 +230,7 @@ ORACLES = {
     "weekly_snapshots": f"""WITH e AS (SELECT user_id, date_diff('day', CAST(ts AS DATE), DATE '2024-01-31') AS age, value FROM events), g AS (SELECT user_id, age, round(avg(value), 4) AS mean FROM e WHERE age BETWEEN 1 AND 7 GROUP BY ALL)
       SELECT user_id, {_DAYS}, CAST(count(*) AS INTEGER) AS days FROM g GROUP BY user_id""",
     "prevented": "SELECT l_suppkey, round(count(*) * (SELECT count(*) FILTER (WHERE l_returnflag = 'R') / count(*)::DOUBLE FROM lineitem) - count(*) FILTER (WHERE l_returnflag = 'R'), 6) AS prevented FROM lineitem GROUP BY l_suppkey",
-    "cohort_sums": f"{_LONG} SELECT season, n_regionkey, stat, round(sum(value), 3) AS total, count(value) AS n FROM lg WHERE stat <> 'lines' GROUP BY ALL",
+    "cohort_sums": f"{_LONG} SELECT season, n_regionkey, stat, CAST(sum(CAST(value AS DECIMAL(18,6))) AS DOUBLE) AS total, count(value) AS n FROM lg WHERE stat <> 'lines' GROUP BY ALL",
     "ordinals": """WITH p AS (SELECT c_custkey, row_number() OVER (PARTITION BY c_nationkey ORDER BY CAST(c_acctbal AS DECIMAL(18,6)) DESC, c_custkey) AS p FROM customer)
       SELECT c_custkey, p || CASE WHEN p % 100 IN (11, 12, 13) THEN 'th' WHEN p % 10 = 1 THEN 'st' WHEN p % 10 = 2 THEN 'nd' WHEN p % 10 = 3 THEN 'rd' ELSE 'th' END AS place FROM p""",
     "latest_projection": "WITH l AS (SELECT * FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1) SELECT event_type, count(*) AS n, max(event_id) AS newest FROM l GROUP BY event_type",

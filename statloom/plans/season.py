@@ -175,7 +175,7 @@ def alltime_rank(spark, d):
 
 def peer_leave_one_out(spark, d):
     s = long(spark, d)
-    return s.select("l_suppkey", "season", "stat", F.round(cohort.leave_one_out(s, ["season", "n_regionkey", "stat"], "value"), 2).alias("peers"))
+    return s.select("l_suppkey", "season", "stat", cohort.leave_one_out(s, ["season", "n_regionkey", "stat"], "value").alias("peers"))
 
 
 def percentile_cross_events(spark, d):
@@ -290,7 +290,7 @@ ORACLES = {
       SELECT c.l_suppkey, c.season, round(CASE WHEN c.games < 80 THEN (1 - c.games / 80.0::DOUBLE) * coalesce(b.composite, rg.regional, 50) + c.games / 80.0::DOUBLE * c.composite ELSE c.composite END, 6) AS blended
       FROM co c LEFT JOIN co b ON b.l_suppkey = c.l_suppkey AND b.season + 1 = c.season LEFT JOIN rg ON rg.season = c.season AND rg.n_regionkey = c.n_regionkey""",
     "alltime_rank": f"WITH {_COMP} SELECT l_suppkey, composite, alltime_pct FROM (SELECT *, round(100 * percent_rank() OVER (PARTITION BY n_regionkey ORDER BY CAST(composite AS DECIMAL(18,6))), 4) AS alltime_pct FROM co) WHERE season = 2001",
-    "peer_leave_one_out": f"WITH {LONG} SELECT l_suppkey, season, stat, round((sum(value) OVER w - value) / nullif(count(value) OVER w - 1, 0), 2) AS peers FROM lg WINDOW w AS (PARTITION BY season, n_regionkey, stat)",
+    "peer_leave_one_out": f"WITH {LONG} SELECT l_suppkey, season, stat, CAST(sum(CAST(value AS DECIMAL(18,6))) OVER w - CAST(value AS DECIMAL(18,6)) AS DOUBLE) / nullif(count(value) OVER w - 1, 0) AS peers FROM lg WINDOW w AS (PARTITION BY season, n_regionkey, stat)",
     "percentile_cross_events": f"""WITH {LONG}, p AS (SELECT l_suppkey, season, stat, {_PCT.format(by='season, stat')} AS pct FROM lg), j AS (SELECT a.l_suppkey, a.stat, b.pct AS old_pct, a.pct AS new_pct, CAST(greatest(CASE WHEN b.pct < 90 AND a.pct >= 90 THEN 90 END, CASE WHEN b.pct < 95 AND a.pct >= 95 THEN 95 END, CASE WHEN b.pct < 99 AND a.pct >= 99 THEN 99 END) AS INTEGER) AS crossed
       FROM p a JOIN p b ON a.l_suppkey = b.l_suppkey AND a.stat = b.stat AND a.season = 2000 AND b.season = 1999) SELECT * FROM j WHERE crossed IS NOT NULL OR new_pct - old_pct >= 10""",
     "gate_eligibility": f"WITH {GATE} SELECT * FROM gate",
