@@ -13,7 +13,8 @@ Two rings use this:
 * ``near_duplicates``: texts whose sets of five-word shingles have a similarity of 0.8. Their 64-bit fingerprints
   differ by up to 15 bits, for which no segment is selective (see the README), so this ring has 12 segments, each the
   smallest shingle hash under a permutation of its own, and a budget of five unequal ones. Shares: the first two are
-  equal, the first four have one unequal at most, and so on. The full check compares 256 smallest hashes.
+  equal, the first four have one unequal at most, and so on. The full check deals each text's shingle hashes into 1024
+  bins and compares four bits of the smallest of every bin; texts of a few hundred words lose next to nothing by that.
 
 Equal sketches are one vertex. Within a bucket of equal keys only the edges of a spanning forest come out, found by
 visiting: each sketch is compared with those not reached yet. Buckets of more than BUCKET sketches are dealt out as
@@ -181,28 +182,47 @@ def linked(docs: DataFrame, text: str = "text", key: str = "doc_id", words: int
 
 
 NEAR_WORDS, SIMILARITY, MARGIN = 5, 0.8, 0.02
-SEGMENTS, BUDGET, HASHES = 12, 5, 256
+SEGMENTS, BUDGET, BINS = 12, 5, 1024
 
 
-def _permutations() -> tuple[np.ndarray, np.ndarray]:
-    r = np.random.default_rng(5)
-    return r.integers(0, 1 << 32, HASHES, np.uint64).astype(np.uint32) | np.uint32(1), r.integers(0, 1 << 32, HASHES, np.uint64).astype(np.uint32)
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = x ^ (x >> np.uint32(15))
+    return x * np.uint32(0x9E3779B1)
 
 
-def smallest_hashes(hashes: np.ndarray) -> np.ndarray:
+_RANDOM = np.random.default_rng(5)
+_FACTORS, _SHIFTS = (_RANDOM.integers(0, 1 << 32, SEGMENTS, np.uint64).astype(np.uint32) for _ in range(2))
+
+
+def ring_of(hashes: np.ndarray) -> np.ndarray:
     """The smallest hash of a set under each permutation."""
-    a, b = _permutations()
     low = (hashes >> np.uint64(32)).astype(np.uint32)
-    out = np.full(HASHES, 0xFFFFFFFF, np.uint32)
-    for i in range(0, len(low), 256):
-        x = low[i : i + 256, None] * a + b
-        x ^= x >> np.uint32(15)
-        out = np.minimum(out, (x * np.uint32(0x9E3779B1)).min(0))
+    out = np.full(SEGMENTS, 0xFFFFFFFF, np.uint32)
+    for i in range(0, len(low), 4096):
+        out = np.minimum(out, _mixed(low[i : i + 4096, None] * (_FACTORS | np.uint32(1)) + _SHIFTS).min(0))
     return out
 
 
+def bins_of(hashes: np.ndarray) -> np.ndarray:
+    """For each bin 0 if it is empty, else 1 to 15 by the smallest hash in it; two bins a byte."""
+    least = np.full(BINS, 0xFFFFFFFFFFFFFFFF, np.uint64)
+    np.minimum.at(least, (hashes % np.uint64(BINS)).astype(np.int64), hashes >> np.uint64(1))
+    code = (1 + _mixed((least >> np.uint64(8)).astype(np.uint32)) % np.uint32(15)).astype(np.uint8)
+    code[least == 0xFFFFFFFFFFFFFFFF] = 0
+    return code[::2] | code[1::2] << np.uint8(4)
+
+
+def similarities(one: np.ndarray, others: np.ndarray) -> np.ndarray:
+    """Estimated Jaccard similarity of a set to others, from unpacked bins; two empty sets are alike."""
+    there = others > 0
+    both = ((one > 0) & there).sum(1)
+    either = (one > 0).sum() + there.sum(1) - both
+    same = ((one == others) & there).sum(1)
+    return np.where(either > 0, (same - both / 15) * 15 / 14 / np.maximum(either, 1), 1.0)  # one in 15 unequal codes agrees
+
+
 def sketch_of(words: int = NEAR_WORDS):
-    """A column function: a 128-bit hash of the text, the lowest byte of each smallest hash, and the ring's keys."""
+    """A column function: a 128-bit hash of the text, its sketch (a byte of each segment, then the bins), and the ring's keys."""
 
     @arrow_udf("struct<h:binary,sketch:binary,keys:array<long>>")
     def found(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
@@ -210,10 +230,11 @@ def sketch_of(words: int = NEAR_WORDS):
             for part in by_bytes(texts):
                 h, sketch, keys = [], [], []
                 for t in part:
-                    m = smallest_hashes(np.unique(shingle_hashes(t, words)))
+                    own = shingle_hashes(t, words)
+                    m = ring_of(own)
                     h.append(xxhash.xxh3_128_digest((t or "").encode()))
-                    sketch.append((m & np.uint32(255)).astype(np.uint8).tobytes())
-                    ring = m[:SEGMENTS].tolist()
+                    sketch.append((m & np.uint32(255)).astype(np.uint8).tobytes() + bins_of(own).tobytes())
+                    ring = m.tolist()
                     keys.append([xxhash.xxh64_intdigest(b"%d %d %d" % (i, ring[i], ring[(i + 1) % SEGMENTS])) - (1 << 63) for i in range(SEGMENTS)])
                 yield pa.StructArray.from_arrays([pa.array(h, pa.binary()), pa.array(sketch, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], ["h", "sketch", "keys"])
 
@@ -221,14 +242,13 @@ def sketch_of(words: int = NEAR_WORDS):
 
 
 def _near_sets(similarity: float):
-    least = HASHES * (similarity + (1 - similarity) / 256)  # low bytes of unequal hashes agree now and then
-
     def near_in(_: int, sketch: pa.Array):
-        x = np.frombuffer(b"".join(sketch.to_pylist()), np.uint8).reshape(-1, HASHES)
+        x = np.frombuffer(b"".join(sketch.to_pylist()), np.uint8).reshape(-1, SEGMENTS + BINS // 2)
+        unpacked = lambda rows: np.concatenate([rows[..., SEGMENTS:] & 15, rows[..., SEGMENTS:] >> 4], axis=-1)
 
         def near(k: int, others: np.ndarray) -> np.ndarray:
             ok = (x[others, :SEGMENTS] != x[k, :SEGMENTS]).sum(1) <= BUDGET
-            ok[ok] = (x[others[ok]] == x[k]).sum(1) >= least
+            ok[ok] = similarities(unpacked(x[k]), unpacked(x[others[ok]])) >= similarity
             return ok
 
         return near
