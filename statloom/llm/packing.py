@@ -75,7 +75,7 @@ def pack(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", le
     read = docs.select(F.col(key).alias("k"), F.col(text).alias("text"), F.monotonically_increasing_id().alias("row"))
     coded = read.select("k", "row", token_ids(path, end_id, length)("text").alias("pieces"))
     total = ((F.size("pieces") - 1).cast("long") * length + F.octet_length(F.element_at("pieces", -1)) / 4).cast("long")
-    pieces = coded.select("k", "row", total.alias("doc_tokens"), F.posexplode("pieces").alias("no", "ids")).select(
+    pieces = coded.select("k", "row", total.alias("doc_tokens"), F.posexplode_outer("pieces").alias("no", "ids")).select(
         "k",
         "doc_tokens",
         (F.col("no").cast("long") * length).alias("start"),
