@@ -7,8 +7,9 @@ vector of a list follows up to a known error; vectors whose upper bound reaches
 compared exactly, in double precision.
 
 The index is fitted on a bounded sample (SAMPLE vectors, by a hash of the id) and holds every vector. A query looks at
-as many of its nearest lists as meet RECALL of the neighbours within the sample (more, while those hold fewer than k + 1
-vectors); vectors without clusters thus need most lists, clustered ones few. Lists and the queries for one are dealt out
+as many of its nearest lists as meet RECALL of the neighbours within the sample, both of those outside the own list and of
+those of queries of the same list (more, while the lists hold fewer than k + 1 vectors); vectors without clusters thus
+need most lists, clustered ones few. Lists and the queries for one are dealt out
 in blocks of at most BLOCK rows, so a hot list is many tasks; each block gives at most k rows a query.
 
 Defined results: vectors that are null, zero or of another dimension than most of the sample, or hold null or
@@ -31,6 +32,7 @@ from ..session import written
 SAMPLE = 20_000
 MAX_LISTS = 4096
 RECALL = 0.98  # aimed at, within the sample
+ASKED = 4096  # of the sample, to find out how many lists that takes
 BLOCK = 4096
 BOUND = 3.0  # of the estimate's standard error
 
@@ -51,18 +53,28 @@ class Index:
             c = np.where(size[:, None] > 0, sums / np.maximum(size, 1)[:, None], c).astype(np.float32)
         self.centres = c
 
-    def probes(self, sample: np.ndarray, k: int, recall: float) -> int:
-        """Lists to look at so that such a share of the sample's own neighbours is met."""
+    def probes(self, sample: np.ndarray, k: int, recall: float, seed: int = 6) -> np.ndarray:
+        """For queries of each list, lists to look at so that such a share of the sample's own neighbours is met.
+
+        Asked are vectors drawn from the whole sample. The share must be met among the neighbours outside the query's own
+        list, so that copies, which are all in it, don't outvote the others; and for the queries of each list by itself.
+        """
         x = sample.astype(np.float32)
+        asked = np.random.default_rng(seed).permutation(len(x))[:ASKED]
         ranks, own = [], self.lists_of(x)
-        for i in range(0, min(512, len(x)), 128):
-            q = x[i : i + 128]
-            said = q @ x.T
-            said[np.arange(len(q)), np.arange(i, i + len(q))] = -2
+        for i in range(0, len(asked), 128):
+            rows = asked[i : i + 128]
+            said = x[rows] @ x.T
+            said[np.arange(len(rows)), rows] = -2
             near = np.argpartition(-said, min(k, len(x) - 1), axis=1)[:, :k]
-            order = np.argsort(-(q @ self.centres.T - (self.centres**2).sum(1) / 2), axis=1)
-            ranks.append(np.take_along_axis(order.argsort(1), own[near], 1).ravel())
-        return int(np.quantile(np.concatenate(ranks), recall)) + 1
+            order = np.argsort(-(x[rows] @ self.centres.T - (self.centres**2).sum(1) / 2), axis=1)
+            ranks.append(np.take_along_axis(order.argsort(1), own[near], 1))
+        ranks = np.concatenate(ranks)
+        far = ranks[ranks > 0]
+        out = np.full(len(self.centres), int(np.ceil(np.quantile(far, recall))) + 1 if len(far) else 1)
+        for c in np.unique(own[asked]):
+            out[c] = max(out[c], int(np.ceil(np.quantile(ranks[own[asked] == c], recall))) + 1)
+        return out
 
     def lists_of(self, x: np.ndarray) -> np.ndarray:
         """Each unit vector's nearest centre."""
@@ -136,7 +148,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 5, key: str = "vec_id
             near = q @ index.centres.T - (index.centres**2).sum(1) / 2
             order = np.argsort(-near, axis=1, kind="stable")
             enough = np.cumsum(rows_in[order], axis=1) - rows_in[order] < k + 1
-            wanted = (np.cumsum(rows_in[order] > 0, axis=1) <= probes) | enough
+            wanted = (np.cumsum(rows_in[order] > 0, axis=1) <= probes[order[:, :1]]) | enough
             wanted &= rows_in[order] > 0
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("v"), pa.array([o[w] for o, w in zip(order, wanted, strict=True)], pa.list_(pa.int32()))], names=["id", "v", "lists"])
 

@@ -316,6 +316,28 @@ def test_neighbours(spark):
     assert got[200] == [201, 202, 203, 204, 205]
 
 
+@pytest.mark.parametrize("share", [3, 1.25])
+def test_neighbours_behind_a_block_of_copies(spark, share):
+    r = np.random.default_rng(3)
+    x = r.standard_normal((3000, 16))
+    copies = int(len(x) / share)
+    x[:copies] = np.repeat(x[: copies // 50 + 1], 50, axis=0)[:copies] + r.standard_normal((copies, 16)) * 1e-3
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    made = neighbours.Index(x, 40)
+    probes, own = np.broadcast_to(made.probes(x, 5, 0.98), 40), made.lists_of(x)
+    said = x @ x.T
+    np.fill_diagonal(said, -2)
+    near = np.argsort(-said, axis=1)[:, :5]
+    rank = np.argsort(-(x @ made.centres.T - (made.centres**2).sum(1) / 2), axis=1).argsort(1)
+    met = np.take_along_axis(rank, own[near], 1) < probes[own][:, None]
+    assert met[:copies].mean() >= 0.97 and met[copies:].mean() >= 0.97
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").coalesce(1)
+    got = defaultdict(set)
+    for g in neighbours.nearest(df, F.col("vec_id") % 20 == 0).collect():
+        got[g.query_id].add(g.vec_id)
+    assert np.mean([len(got[q] & set(near[q].tolist())) / 5 for q in range(-(-copies // 20) * 20, len(x), 20)]) >= 0.95
+
+
 def test_few_vectors(spark):
     df = spark.createDataFrame([(0, [1.0, 0.0]), (1, [1.0, 1.0]), (2, [-1.0, 0.0])], "vec_id long, embedding array<float>")
     got = neighbours.nearest(df, F.col("vec_id") == 0).orderBy("rank").collect()
