@@ -8,9 +8,9 @@ compared exactly, in double precision.
 
 The index is fitted on a bounded sample (SAMPLE vectors, by a hash of the id) and holds every vector. A query looks at
 as many of its nearest lists as meet RECALL of the neighbours within the sample, both of those outside the own list and of
-those of queries of the same list (more, while the lists hold fewer than k + 1 vectors); vectors without clusters thus
+those of queries of the same list (more, until one of them holds k + 1 ids); vectors without clusters thus
 need most lists, clustered ones few. Lists and the queries for one are dealt out
-in blocks of at most BLOCK rows, so a hot list is many tasks; each block gives at most k rows a query.
+in blocks of at most BLOCK rows, so a hot list is many tasks; each block gives at most k ids a query.
 
 Defined results: vectors that are null, zero or of another dimension than most of the sample, or hold null or
 non-finite components, take no part, nor do null ids; rows that share the query's id are its own; an id with several
@@ -121,7 +121,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 5, key: str = "vec_id
     n = rows.count()
     if not n:
         return spark.createDataFrame([], shape)
-    picked = rows.where(F.pmod(F.xxhash64("id", F.lit(3)), F.lit(1 << 20)) < max(1, int((1 << 20) * min(1.0, sample / n)))).select("v").limit(2 * sample).toPandas()
+    picked = rows.where(F.pmod(F.xxhash64("id", F.lit(3)), F.lit(1 << 20)) < max(1, int((1 << 20) * min(1.0, sample / n)))).groupBy("id").agg(F.min_by("v", F.xxhash64("v")).alias("v")).toPandas()  # one row an id
     held = [np.asarray(x) for x in picked.v] or [np.asarray(rows.select("v").first().v)]
     sizes, seen = np.unique([len(x) for x in held], return_counts=True)
     dimension = int(sizes[seen.argmax()])
@@ -138,18 +138,20 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 5, key: str = "vec_id
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("v"), batch.column("q"), pa.array(lists, pa.int32()), pa.array([b.tobytes() for b in bits], pa.binary()), pa.array([s.tobytes() for s in scalars], pa.binary())], names=["id", "v", "q", "list", "bits", "scalars"])
 
     stored = written(rows.where(F.size("v") == dimension).mapInArrow(coded, "id long, v array<double>, q boolean, list int, bits binary, scalars binary"), "codes")
-    filled = {r.list: r["count"] for r in stored.groupBy("list").count().collect()}  # one count a list
+    held = stored.groupBy("list").agg(F.count("*").alias("n"), F.countDistinct("id").alias("ids")).collect()  # one row a list
+    filled, distinct = {r.list: r.n for r in held}, {r.list: r.ids for r in held}
 
     def probed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = sent.value
-        rows_in = np.array([filled.get(c, 0) for c in range(len(index.centres))])
+        ids_in = np.array([distinct.get(c, 0) for c in range(len(index.centres))])
         for batch in batches:
             q = _unit(_matrix(batch.column("v"), dimension))
             near = q @ index.centres.T - (index.centres**2).sum(1) / 2
             order = np.argsort(-near, axis=1, kind="stable")
-            enough = np.cumsum(rows_in[order], axis=1) - rows_in[order] < k + 1
-            wanted = (np.cumsum(rows_in[order] > 0, axis=1) <= probes[order[:, :1]]) | enough
-            wanted &= rows_in[order] > 0
+            most = np.maximum.accumulate(ids_in[order], axis=1)  # lists may share ids, so that a sum would count some twice
+            few = np.column_stack([np.zeros(len(q), most.dtype), most[:, :-1]]) < k + 1
+            wanted = (np.cumsum(ids_in[order] > 0, axis=1) <= probes[order[:, :1]]) | few
+            wanted &= ids_in[order] > 0
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("v"), pa.array([o[w] for o, w in zip(order, wanted, strict=True)], pa.list_(pa.int32()))], names=["id", "v", "lists"])
 
     asked = stored.where("q").select("id", "v").mapInArrow(probed, "id long, v array<double>, lists array<int>").select("id", "v", F.explode("lists").alias("list"))
@@ -173,17 +175,19 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 5, key: str = "vec_id
             bits = np.frombuffer(b"".join(group.column("bits").to_pylist()), np.uint8).reshape(len(ids), -1)[order]
             scalars = np.frombuffer(b"".join(group.column("scalars").to_pylist()), np.float32).reshape(-1, 3)[order]
             size = np.sqrt((x * x).sum(1))
+            first = np.flatnonzero(np.append(True, ids[1:] != ids[:-1]))
             asking, q = queries.column("id").to_numpy(), _matrix(queries.column("v").combine_chunks(), dimension)
             for i in range(0, len(asking), 256):
                 said, off = index.bounds(_unit(q[i : i + 256]), group.column("list")[0].as_py(), bits, scalars)
                 for j, own in enumerate(asking[i : i + 256].tolist()):
                     others = ids != own
-                    low = np.where(others, said[j] - off[j], -np.inf)
+                    low = np.maximum.reduceat(np.where(others, said[j] - off[j], -np.inf), first)
                     least = np.partition(low, -k)[-k] if len(low) > k else -np.inf
                     at = np.flatnonzero(others & (said[j] + off[j] >= least - 1e-5))
                     z = q[i + j]
                     exact = (x[at] * z).sum(1) / (size[at] * np.sqrt((z * z).sum()))
-                    top = np.lexsort((ids[at], -exact))[:k]
+                    by_score = np.lexsort((ids[at], -exact))
+                    top = by_score[np.sort(np.unique(ids[at[by_score]], return_index=True)[1])[:k]]  # the best row of each id
                     out["query_id"] += [own] * len(top)
                     out["vec_id"] += ids[at[top]].tolist()
                     out["score"] += exact[top].tolist()

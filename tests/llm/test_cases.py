@@ -338,6 +338,34 @@ def test_neighbours_behind_a_block_of_copies(spark, share):
     assert np.mean([len(got[q] & set(near[q].tolist())) / 5 for q in range(-(-copies // 20) * 20, len(x), 20)]) >= 0.95
 
 
+@pytest.mark.parametrize("shift", [0, 0.05])
+def test_neighbours_of_repeated_ids(spark, shift):
+    r = np.random.default_rng(4)
+    x = r.standard_normal((600, 12))
+    both = [(i, v + shift * r.standard_normal(12)) for i, v in enumerate(x) for _ in range(6)]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in both], "vec_id long, embedding array<double>").repartition(3)
+    got = defaultdict(list)
+    for g in neighbours.nearest(df, F.col("vec_id") % 20 == 0, block=200, recall=1.0).orderBy("query_id", "rank").collect():
+        got[g.query_id].append(g.vec_id)
+    u = np.stack([v / np.linalg.norm(v) for _, v in both])
+    ids = np.array([i for i, _ in both])
+    want = {}
+    for q in range(0, 600, 20):
+        best = (u[ids == q] @ u.T).max(0).reshape(600, 6).max(1)
+        best[q] = -2
+        want[q] = np.argsort(-best)[:5].tolist()
+    assert {len(v) for v in got.values()} == {5} and got.keys() == want.keys()
+    assert np.mean([len(set(got[q]) & set(w)) / 5 for q, w in want.items()]) >= 0.97
+
+
+def test_lists_of_few_ids(spark):
+    r = np.random.default_rng(5)
+    x = r.standard_normal((7, 8))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x) for _ in range(40)], "vec_id long, embedding array<double>")
+    got = neighbours.nearest(df, F.lit(True)).collect()
+    assert len(got) == 35 and all(len({g.vec_id for g in got if g.query_id == q} - {q}) == 5 for q in range(7))
+
+
 def test_few_vectors(spark):
     df = spark.createDataFrame([(0, [1.0, 0.0]), (1, [1.0, 1.0]), (2, [-1.0, 0.0])], "vec_id long, embedding array<float>")
     got = neighbours.nearest(df, F.col("vec_id") == 0).orderBy("rank").collect()
