@@ -12,8 +12,8 @@ Two rings use this:
   without one of its bits.
 * ``near_duplicates``: texts whose sets of five-word shingles have a similarity of 0.8. Their 64-bit fingerprints
   differ by up to 15 bits, for which no segment is selective (see the README), so this ring has 12 segments, each the
-  smallest shingle hash under a permutation of its own, and a budget of five unequal ones. Shares: the first two are
-  equal, the first four have one unequal at most, and so on. The full check deals each text's shingle hashes into 1024
+  smallest shingle hash under a permutation of its own. Pairs meet where two neighbouring segments are equal; no budget
+  for the others throws away a pair that has met. The full check deals each text's shingle hashes into 1024
   bins and compares four bits of the smallest of every bin; texts of a few hundred words lose next to nothing by that.
 
 Equal sketches are one vertex. Within a bucket of equal keys only the edges of a spanning forest come out, found by
@@ -182,7 +182,7 @@ def linked(docs: DataFrame, text: str = "text", key: str = "doc_id", words: int
 
 
 NEAR_WORDS, SIMILARITY, MARGIN = 5, 0.8, 0.02
-SEGMENTS, BUDGET, BINS = 12, 5, 1024
+SEGMENTS, BINS = 12, 1024
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -222,7 +222,7 @@ def similarities(one: np.ndarray, others: np.ndarray) -> np.ndarray:
 
 
 def sketch_of(words: int = NEAR_WORDS):
-    """A column function: a 128-bit hash of the text, its sketch (a byte of each segment, then the bins), and the ring's keys."""
+    """A column function: a 128-bit hash of the text, its sketch (the bins), and the ring's keys."""
 
     @arrow_udf("struct<h:binary,sketch:binary,keys:array<long>>")
     def found(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
@@ -233,7 +233,7 @@ def sketch_of(words: int = NEAR_WORDS):
                     own = shingle_hashes(t, words)
                     m = ring_of(own)
                     h.append(xxhash.xxh3_128_digest((t or "").encode()))
-                    sketch.append((m & np.uint32(255)).astype(np.uint8).tobytes() + bins_of(own).tobytes())
+                    sketch.append(bins_of(own).tobytes())
                     ring = m.tolist()
                     keys.append([xxhash.xxh64_intdigest(b"%d %d %d" % (i, ring[i], ring[(i + 1) % SEGMENTS])) - (1 << 63) for i in range(SEGMENTS)])
                 yield pa.StructArray.from_arrays([pa.array(h, pa.binary()), pa.array(sketch, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], ["h", "sketch", "keys"])
@@ -243,13 +243,11 @@ def sketch_of(words: int = NEAR_WORDS):
 
 def _near_sets(similarity: float):
     def near_in(_: int, sketch: pa.Array):
-        x = np.frombuffer(b"".join(sketch.to_pylist()), np.uint8).reshape(-1, SEGMENTS + BINS // 2)
-        unpacked = lambda rows: np.concatenate([rows[..., SEGMENTS:] & 15, rows[..., SEGMENTS:] >> 4], axis=-1)
+        x = np.frombuffer(b"".join(sketch.to_pylist()), np.uint8).reshape(-1, BINS // 2)
+        unpacked = lambda rows: np.concatenate([rows & 15, rows >> 4], axis=-1)
 
         def near(k: int, others: np.ndarray) -> np.ndarray:
-            ok = (x[others, :SEGMENTS] != x[k, :SEGMENTS]).sum(1) <= BUDGET
-            ok[ok] = similarities(unpacked(x[k]), unpacked(x[others[ok]])) >= similarity
-            return ok
+            return similarities(unpacked(x[k]), unpacked(x[others])) >= similarity
 
         return near
 

@@ -290,6 +290,28 @@ def test_near_duplicates(spark, odd, none):
     assert simhash.near_duplicates(none).count() == 0
 
 
+def similar_texts(rng, n, replaced):
+    """Two texts of n words, the second with so many single words replaced, and the exact similarity of their five-word shingles."""
+    a = [f"{rng.getrandbits(40):x}" for _ in range(n)]
+    b = a[:]
+    for i in range(replaced):
+        b[4 + i * ((n - 9) // replaced)] = f"{rng.getrandbits(40):x}"
+    x, y = (set(simhash.shingle_hashes(" ".join(t), 5).tolist()) for t in (a, b))
+    return " ".join(a), " ".join(b), len(x & y) / len(x | y)
+
+
+def test_near_duplicates_with_few_equal_segments(spark):
+    rng, docs = random.Random(11), []
+    while len(docs) < 20:
+        a, b, same = similar_texts(rng, 150, 3)
+        assert same >= 0.81
+        equal = simhash.ring_of(simhash.shingle_hashes(a, 5)) == simhash.ring_of(simhash.shingle_hashes(b, 5))
+        if equal.sum() <= 6 and (equal & np.roll(equal, 1)).any():
+            docs += [(len(docs), a), (len(docs) + 1, b)]
+    kept = simhash.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert sorted(r.doc_id for r in kept) == list(range(0, 20, 2))
+
+
 def brute_nearest(rows, queries, k):
     out = {}
     for q, x in queries:
