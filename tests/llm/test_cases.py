@@ -312,6 +312,20 @@ def test_near_duplicates_with_few_equal_segments(spark):
     assert sorted(r.doc_id for r in kept) == list(range(0, 20, 2))
 
 
+def test_near_duplicates_at_the_limit(spark):
+    rng, docs, want, near = random.Random(12), [], set(), 0
+    for n, pairs in ((300, 30), (1000, 30), (4000, 20), (12_000, 12)):
+        for p in range(pairs):
+            a, b, same = similar_texts(rng, n, int(n * (0.0205 if p % 2 else 0.0235)))
+            assert 0.78 <= same <= 0.84
+            want |= {len(docs)} if same >= 0.8 else {len(docs), len(docs) + 1}
+            near += same >= 0.8
+            docs += [(len(docs), a), (len(docs) + 1, b)]
+    assert near == 46
+    kept = simhash.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert {r.doc_id for r in kept} == want
+
+
 def brute_nearest(rows, queries, k):
     out = {}
     for q, x in queries:
