@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from typing import Any
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -52,3 +54,27 @@ def held(key: object, make: Callable[[], Any]) -> Any:
         _held.clear()
         _held[key] = make()
     return _held[key]
+
+
+SCAN_BYTES = 2 << 20  # of texts looked at together
+
+
+def text_blocks(texts: pa.Array, limit: int = SCAN_BYTES) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The texts' UTF-8 bytes, without copies, and their borders, some megabytes at a time; null is empty."""
+    large = pa.types.is_large_string(texts.type)
+    offsets = np.frombuffer(texts.buffers()[1], np.int64 if large else np.int32, len(texts) + 1, texts.offset * (8 if large else 4)).astype(np.int64) if len(texts) else np.zeros(1, np.int64)
+    buffer = texts.buffers()[2] if len(texts) else None
+    data = np.frombuffer(buffer, np.uint8) if buffer is not None else np.zeros(0, np.uint8)
+    at = 0
+    while at < len(texts):
+        upto = max(at + 1, int(np.searchsorted(offsets, offsets[at] + limit, "right")) - 1)
+        yield data[offsets[at] : offsets[upto]], offsets[at : upto + 1] - offsets[at]
+        at = upto
+
+
+def by_bytes(texts: pa.Array, limit: int = SCAN_BYTES) -> Iterator[list[str | None]]:
+    """The array's texts as lists of about as many bytes each; a longer text is a list of its own."""
+    at = 0
+    for _, offsets in text_blocks(texts, limit):
+        yield texts.slice(at, len(offsets) - 1).to_pylist()
+        at += len(offsets) - 1

@@ -27,8 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from .common import held, utf8_bytes
-from .licenses import text_blocks
+from .common import held, text_blocks, utf8_bytes
 
 BUDGET = 0.1
 LEAST = 24

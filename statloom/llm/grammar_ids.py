@@ -1,16 +1,23 @@
 """Token-id output: shards of ids in key order, each compressed by a Re-Pair grammar of its own.
 
 A shard's grammar is built in rounds. A round counts every adjacent pair of the whole shard, takes the most frequent
-ones and replaces them, left to right, by new nonterminals; rounds end when one saves too little. Pairs that hold the
-end id are never replaced. Rules come with their expansion lengths, so any range of ids is decoded from the symbols
-that cover it, without the rest of the shard.
-
-Files: one Parquet row per part of the key order, with the keys and lengths of its documents and its shards (rules,
-expansion lengths, symbols; little-endian unsigned 32-bit, or 16-bit where all symbols fit). Parts hold about
-PART_BYTES of text; shards at most SHARD_IDS ids, so a very long document spans several.
-
-Defined results: a null text is an empty document, one end id; null keys come first; rows with equal keys are ordered
-by a hash of their text; an empty table gives an empty result; input columns beside key and text are not read.
+ones and replaces them, left to right, by new nonterminals: PAIRS_PER_ROUND at first, then as many as there are rules
+already. A rule costs three symbols (its two sides and its expansion length), so only pairs that stand LEAST_USES times
+pay. Numbers are stored in as many bits as the largest of them needs. Rounds end where rules, lengths and symbols no
+longer shrink; where that is due to one bit more for every number, the next rounds may win it back, so rounds go on, and
+the smallest grammar of all is kept. That is one law for every vocabulary. Pairs that hold the end id are never replaced. Rules come with their expansion lengths, so any range of ids
+is decoded from the symbols that cover it and the rules below those, without the rest of the shard.
+
+Files: one Parquet row per shard, with the place of its first id within its part of the key order, the keys and lengths
+of its documents and its grammars (rules, expansion lengths, symbols). A shard ends between documents, before it has
+more than SHARD_IDS ids; a longer document is a shard of its own, of one grammar for every SHARD_IDS ids. Parts are
+written as a stream, a shard at a time, so how large a part is doesn't matter to memory: there is one for each
+PART_BYTES of text, MAX_PARTS at most, and beyond that they grow. The starts of the parts are the driver's share: one
+number each.
+
+Defined results: a null text is an empty document, one end id; null keys come first; rows with equal keys are in
+the order of their positions (pass a table scan or a checkpoint, which is read the same way twice); an empty table gives
+an empty result; input columns beside key and text are not read.
 """
 
 from __future__ import annotations
@@ -19,145 +26,192 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import new_path
 from .common import utf8_bytes
-from .encoding import by_bytes, encoder
+from .encoding import encoder, with_end
 
 PART_BYTES = 8 << 20
-MAX_PARTS = 100_000  # one total of each goes through the driver
+MAX_PARTS = 20_000
 SHARD_IDS = 4 << 20
 END_ID = 1
-PAIRS_PER_ROUND = 4096  # pairs replaced by one round, at most
-LEAST_USES = 24  # a rule costs eight bytes and its length
-LEAST_SAVED = 0.05  # of the shard's symbols: a round that saves less is the last
+PAIRS_PER_ROUND = 16_384
+LEAST_USES = 4
+SLOT_BITS = 21  # of the table in which a round's pairs are looked up
 
 
 def _frequent(seq: np.ndarray, end_id: int, room: int) -> np.ndarray:
     """The round's pairs, as left << 32 | right, sorted."""
-    ok = (seq[:-1] != end_id) & (seq[1:] != end_id)
-    narrow = int(seq.max(initial=0)) < 1 << 16
-    kind = np.uint32 if narrow else np.uint64
-    pairs = ((seq[:-1].astype(kind) << kind(16 if narrow else 32)) | seq[1:])[ok]
+    shift, kind = (16, np.uint32) if int(seq.max(initial=0)) < 1 << 16 else (32, np.uint64)
+    pairs = seq[:-1].astype(kind) << kind(shift)
+    pairs |= seq[1:]
+    inner = seq != end_id
+    pairs = pairs[inner[:-1] & inner[1:]]
     pairs.sort()
-    starts = np.flatnonzero(np.concatenate([[True], pairs[1:] != pairs[:-1]])) if len(pairs) else np.zeros(0, np.int64)
-    counts = np.diff(np.append(starts, len(pairs)))
-    many = np.flatnonzero(counts >= LEAST_USES)
-    if len(many) > room:
-        many = many[np.argsort(-counts[many], kind="stable")[:room]]
-    best = pairs[starts[many]].astype(np.uint64)
-    if narrow:
-        best = (best >> np.uint64(16)) << np.uint64(32) | best & np.uint64(0xFFFF)
-    return np.sort(best)
+    many = pairs[LEAST_USES - 1 :] == pairs[: len(pairs) - LEAST_USES + 1] if len(pairs) >= LEAST_USES else np.zeros(0, bool)
+    many[1:] &= pairs[1 : len(many)] != pairs[: len(many) - 1] if len(many) else True
+    at = np.flatnonzero(many)  # where a pair that stands so often begins
+    best = pairs[at]
+    if len(at) > room:
+        uses = np.searchsorted(pairs, best, "right") - at
+        best = best[np.sort(np.argsort(-uses, kind="stable")[:room])]
+    best = best.astype(np.uint64)
+    return best if shift == 32 else (best >> np.uint64(16)) << np.uint64(32) | best & np.uint64(0xFFFF)
+
+
+def _slot(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    return (left * np.uint32(2654435761) ^ right * np.uint32(2246822519)) >> np.uint32(32 - SLOT_BITS)
 
 
 def _places(seq: np.ndarray, pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Where pairs stand, without overlaps (left to right), and which."""
-    left = np.zeros(int(seq.max()) + 1, bool)
-    right = left.copy()
-    left[(pairs >> np.uint64(32)).astype(np.int64)] = True
-    right[(pairs & np.uint64(0xFFFFFFFF)).astype(np.int64)] = True
-    mixed = lambda a, b: (a * np.uint32(2654435761) ^ b * np.uint32(2246822519)) >> np.uint32(12)
-    sieve = np.zeros(1 << 20, bool)
-    sieve[mixed((pairs >> np.uint64(32)).astype(np.uint32), pairs.astype(np.uint32))] = True
-    at = np.flatnonzero(left[seq[:-1]] & right[seq[1:]])
-    at = at[sieve[mixed(seq[at], seq[at + 1])]]
-    keys = seq[at].astype(np.uint64) << np.uint64(32) | seq[at + 1]
-    which = np.searchsorted(pairs, keys)
-    which[which == len(pairs)] = 0
-    ok = pairs[which] == keys
+    """Where pairs stand, without overlaps (left to right), and which. Of pairs that share a slot only the first: the others wait."""
+    left, right = (pairs >> np.uint64(32)).astype(np.uint32), pairs.astype(np.uint32)
+    table = np.full(1 << SLOT_BITS, -1, np.int32)
+    table[_slot(left, right)[::-1]] = np.arange(len(pairs) - 1, -1, -1)
+    which = table[_slot(seq[:-1], seq[1:])]
+    at = np.flatnonzero(which >= 0)
+    which = which[at]
+    ok = (left[which] == seq[at]) & (right[which] == seq[at + 1])
     at, which = at[ok], which[ok]
     if not len(at):
         return at, which
+    place = np.arange(len(at))
     run = np.concatenate([[True], np.diff(at) != 1])
-    first = np.maximum.accumulate(np.where(run, np.arange(len(at)), 0))
-    even = (np.arange(len(at)) - first) % 2 == 0
+    even = (place - np.maximum.accumulate(np.where(run, place, 0))) % 2 == 0
     return at[even], which[even]
 
 
 def compress(ids: np.ndarray, base: int, end_id: int = END_ID) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Rules (left, right), their expansion lengths, and the symbols; rule k is the symbol base + k."""
-    seq, rules, top = ids.astype(np.uint32), [], base
-    limit = (1 << 16) - base if base < 1 << 16 else 1 << 30
+    seq, rules, lengths = ids.astype(np.uint32), np.zeros((0, 2), np.uint32), np.zeros(0, np.uint32)
+    best, size = (rules, lengths, seq), _bits(base, rules, lengths, seq)
     while len(seq) > 1:
-        pairs = _frequent(seq, end_id, min(PAIRS_PER_ROUND, limit - (top - base)))
-        if not len(pairs):
-            break
-        at, which = _places(seq, pairs)
-        used = np.bincount(which, minlength=len(pairs)) >= LEAST_USES // 2
-        number = np.cumsum(used) - 1 + top
-        keep = used[which]
-        at, which = at[keep], which[keep]
+        pairs = _frequent(seq, end_id, max(PAIRS_PER_ROUND, len(rules)))
+        at, which = _places(seq, pairs) if len(pairs) else (np.zeros(0, np.int64),) * 2
+        used = np.bincount(which, minlength=len(pairs)) >= LEAST_USES
+        at, which = at[used[which]], which[used[which]]
         if not len(at):
             break
-        before = len(seq)
-        seq[at] = number[which]
-        stay = np.ones(before, bool)
+        number = (np.cumsum(used) - 1 + base + len(rules)).astype(np.uint32)
+        stay = np.ones(len(seq), bool)
         stay[at + 1] = False
+        seq = seq.copy()
+        seq[at] = number[which]
         seq = seq[stay]
-        rules.append(np.stack([(pairs[used] >> np.uint64(32)), pairs[used] & np.uint64(0xFFFFFFFF)], 1).astype(np.uint32))
-        top += int(used.sum())
-        if before - len(seq) < LEAST_SAVED * before:
+        new = np.stack([pairs[used] >> np.uint64(32), pairs[used] & np.uint64(0xFFFFFFFF)], 1).astype(np.uint32)
+        lengths = np.concatenate([lengths, _sizes(new, lengths, base).sum(1).astype(np.uint32)])  # a round's rules use earlier symbols only
+        longer = _width(base, rules) < _width(base, np.concatenate([rules, new]))
+        rules = np.concatenate([rules, new])
+        now = _bits(base, rules, lengths, seq)
+        if now < size:
+            best, size = (rules, lengths, seq), now
+        elif not longer:
             break
-    all_rules = np.concatenate(rules) if rules else np.zeros((0, 2), np.uint32)
-    lengths, at = np.zeros(len(all_rules), np.uint32), 0
-    for r in rules:  # a round's rules use earlier symbols only
-        part = np.where(r < base, 1, lengths[np.maximum(r.astype(np.int64) - base, 0)])
-        lengths[at : at + len(r)] = part.sum(1)
-        at += len(r)
-    return all_rules, lengths, seq
-
-
-def _flat(rules: np.ndarray, lengths: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray]:
-    """All expansions, one after the other, and where each begins."""
-    starts = np.concatenate([[0], np.cumsum(lengths, dtype=np.int64)])
-    flat = np.empty(starts[-1], np.uint32)
-    place, size = starts.tolist(), lengths.tolist()
-    for k, (a, b) in enumerate(rules.tolist()):
-        at = place[k]
-        for x in (a, b):
-            if x < base:
-                flat[at] = x
-                at += 1
-            else:
-                n = size[x - base]
-                flat[at : at + n] = flat[place[x - base] : place[x - base] + n]
-                at += n
-    return flat, starts
+    return best
 
 
-def expand(rules: np.ndarray, lengths: np.ndarray, symbols: np.ndarray, base: int, start: int = 0, stop: int | None = None) -> np.ndarray:
-    """The ids from start to stop: only symbols that cover them are expanded."""
-    symbols = symbols.astype(np.int64)
-    sizes = np.ones(len(symbols), np.int64)
-    if len(rules):
-        rule = symbols >= base
-        sizes[rule] = lengths[symbols[rule] - base]
-    ends = np.cumsum(sizes)
-    stop = (int(ends[-1]) if len(ends) else 0) if stop is None else stop
-    if start >= stop:
-        return np.zeros(0, np.uint32)
-    a, b = int(np.searchsorted(ends, start, "right")), int(np.searchsorted(ends, stop, "left")) + 1
-    before = int(ends[a] - sizes[a])
-    symbols, sizes = symbols[a:b], sizes[a:b]
-    flat, starts = _flat(rules, lengths, base)
-    flat = np.concatenate([flat, np.zeros(1, np.uint32)])
-    out_at = np.cumsum(sizes) - sizes
-    source = np.where(symbols >= base, starts[np.clip(symbols - base, 0, len(rules))], 0)
-    got = flat[np.repeat(source - out_at, sizes) + np.arange(int(sizes.sum()))]
-    plain = symbols < base
-    got[out_at[plain]] = symbols[plain]
-    return got[start - before : stop - before]
+def _width(base: int, rules: np.ndarray) -> int:
+    """Bits of the largest symbol."""
+    return (base + len(rules) - 1).bit_length()
+
+
+def _sizes(symbols: np.ndarray, lengths: np.ndarray, base: int) -> np.ndarray:
+    """How many ids each symbol stands for."""
+    return np.where(symbols < base, 1, np.append(lengths, 1)[np.clip(symbols.astype(np.int64) - base, 0, len(lengths))])
 
 
-def _bytes(x: np.ndarray, wide: bool) -> bytes:
-    return x.astype("<u4" if wide else "<u2").tobytes()
+def _bits(base: int, rules: np.ndarray, lengths: np.ndarray, symbols: np.ndarray) -> int:
+    """The size of a grammar as it is stored."""
+    return _width(base, rules) * (2 * len(rules) + len(symbols)) + len(rules) * int(lengths.max(initial=0)).bit_length()
 
 
-SHARD = "struct<n_ids:bigint,base:int,wide:boolean,rules:binary,lengths:binary,symbols:binary>"
+def expand(rules: np.ndarray, lengths: np.ndarray, symbols: np.ndarray, base: int, start: int = 0, stop: int | None = None) -> np.ndarray:
+    """The ids from start to stop: only symbols that cover them are expanded, level by level."""
+    ends = np.cumsum(_sizes(symbols, lengths, base))
+    whole = int(ends[-1]) if len(ends) else 0
+    stop = whole if stop is None else min(stop, whole)
+    if start >= stop:
+        return np.zeros(0, np.uint32)
+    a, b = int(np.searchsorted(ends, start, "right")), int(np.searchsorted(ends, stop, "left")) + 1
+    left = symbols[a:b].astype(np.uint32)
+    before = int(ends[a - 1]) if a else 0
+    at = np.concatenate([[0], ends[a : b - 1] - before])
+    out = np.empty(int(ends[b - 1]) - before, np.uint32)
+    while len(left):
+        plain = left < base
+        out[at[plain]] = left[plain]
+        left, at = rules[left[~plain] - base], at[~plain]
+        at = np.concatenate([at, at + _sizes(left[:, 0], lengths, base)])
+        left = left.T.ravel()
+    return out[start - before : stop - before]
+
+
+def packed(x: np.ndarray, width: int) -> bytes:
+    """Numbers below 2 ** width: their low bytes, the next ones and so on, then the remaining bits, each as a plane of its own."""
+    planes = [(x >> np.uint32(8 * k) & np.uint32(255)).astype(np.uint8).tobytes() for k in range(width // 8)]
+    return b"".join(planes + [np.packbits(x >> np.uint32(k) & np.uint32(1) > 0).tobytes() for k in range(width // 8 * 8, width)])
+
+
+def unpacked(data: bytes, width: int, n: int) -> np.ndarray:
+    out, raw, at = np.zeros(n, np.uint32), np.frombuffer(data, np.uint8), 0
+    for k in range(width // 8):
+        out |= raw[at : at + n].astype(np.uint32) << np.uint32(8 * k)
+        at += n
+    for k in range(width // 8 * 8, width):
+        out |= np.unpackbits(raw[at : at + -(-n // 8)], count=n).astype(np.uint32) << np.uint32(k)
+        at += -(-n // 8)
+    return out
+
+
+GRAMMAR = "struct<n_ids:bigint,base:int,n_rules:bigint,n_symbols:bigint,length_bits:int,rules:binary,lengths:binary,symbols:binary>"
+_GRAMMAR = pa.struct([("n_ids", pa.int64()), ("base", pa.int32()), ("n_rules", pa.int64()), ("n_symbols", pa.int64()), ("length_bits", pa.int32()), ("rules", pa.binary()), ("lengths", pa.binary()), ("symbols", pa.binary())])
+
+
+def stored(ids: np.ndarray, base: int, end_id: int = END_ID) -> dict:
+    """A grammar as it is written."""
+    rules, lengths, symbols = compress(ids, base, end_id)
+    width, length_bits = _width(base, rules), int(lengths.max(initial=0)).bit_length()
+    return {"n_ids": len(ids), "base": base, "n_rules": len(rules), "n_symbols": len(symbols), "length_bits": length_bits, "rules": packed(rules.ravel(), width), "lengths": packed(lengths, length_bits), "symbols": packed(symbols, width)}
+
+
+def ids_of(grammar: dict, start: int = 0, stop: int | None = None) -> np.ndarray:
+    """Ids of one stored grammar, whole or a range of it."""
+    n, base = grammar["n_rules"], grammar["base"]
+    width = (base + n - 1).bit_length()
+    return expand(unpacked(grammar["rules"], width, 2 * n).reshape(-1, 2), unpacked(grammar["lengths"], grammar["length_bits"], n), unpacked(grammar["symbols"], width, grammar["n_symbols"]), base, start, stop)
+
+
+class _Shards:
+    """Shards of one part, as its documents come."""
+
+    def __init__(self, part: int, base: int, end_id: int, shard_ids: int):
+        self.part, self.base, self.end_id, self.shard_ids = part, base, end_id, shard_ids
+        self.first = self.n = 0
+        self.keys, self.sizes, self.ids = [], [], []
+
+    def take(self, keys: pa.Array, sizes: np.ndarray, ids: np.ndarray) -> Iterator[pa.RecordBatch]:
+        at, ends = 0, np.cumsum(sizes)
+        while at < len(sizes):
+            before = int(ends[at - 1]) if at else 0
+            upto = int(np.searchsorted(ends, before + self.shard_ids - self.n, "right"))
+            if upto == at and self.n:  # the next document doesn't fit
+                yield self.row()
+                continue
+            upto = max(upto, at + 1)
+            self.keys.append(keys.slice(at, upto - at))
+            self.sizes.append(sizes[at:upto])
+            self.ids.append(ids[before : int(ends[upto - 1])])
+            self.n, at = self.n + int(ends[upto - 1]) - before, upto
+
+    def row(self) -> pa.RecordBatch:
+        ids, keys = np.concatenate(self.ids), pa.concat_arrays(self.keys)
+        grammars = [stored(ids[i : i + self.shard_ids], self.base, self.end_id) for i in range(0, len(ids), self.shard_ids)]
+        columns = {"part": pa.array([self.part], pa.int32()), "first": pa.array([self.first], pa.int64()), "keys": pa.ListArray.from_arrays(pa.array([0, len(keys)], pa.int32()), keys), "sizes": pa.array([np.concatenate(self.sizes)], pa.list_(pa.int64())), "grammars": pa.array([grammars], pa.list_(_GRAMMAR))}
+        self.first, self.n = self.first + len(ids), 0
+        self.keys, self.sizes, self.ids = [], [], []
+        return pa.RecordBatch.from_pydict(columns)
 
 
 def write_ids(docs: DataFrame, path: str, out: str, key: str = "doc_id", text: str = "text", end_id: int = END_ID, part_bytes: int = PART_BYTES, shard_ids: int = SHARD_IDS) -> None:
@@ -168,75 +222,49 @@ def write_ids(docs: DataFrame, path: str, out: str, key: str = "doc_id", text: s
     read = docs.select(F.col(key).alias("k"), F.col(text).alias("text"))
     total = read.agg(F.sum(utf8_bytes("text") + 16)).first()[0] or 0
     parts = int(min(MAX_PARTS, max(1, -(-total // part_bytes))))
-    ordered = read.withColumn("h", F.xxhash64("text")).repartitionByRange(parts, F.col("k").asc_nulls_first(), "h").sortWithinPartitions(F.col("k").asc_nulls_first(), "h")
+    order = [F.col("k").asc_nulls_first(), F.col("place")]  # the place splits rows of one key
+    ordered = read.withColumn("place", F.monotonically_increasing_id()).repartitionByRange(parts, *order).sortWithinPartitions(*order).select("k", "text")
     kind = dict(docs.dtypes)[key]
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        own, end = encoder(path, False), np.asarray([end_id], "<u4").tobytes()
-        keys, sizes, shards, waiting, n = [], [], [], [], 0
-
-        def close(final: bool) -> None:
-            nonlocal waiting, n
-            ids = np.frombuffer(b"".join(waiting), "<u4")
-            upto = len(ids) if final else len(ids) // shard_ids * shard_ids
-            for i in range(0, upto, shard_ids):
-                part = ids[i : min(i + shard_ids, upto)]
-                rules, lengths, symbols = compress(part, base, end_id)
-                wide = base + len(rules) > 1 << 16
-                shards.append({"n_ids": len(part), "base": base, "wide": wide, "rules": _bytes(rules, wide), "lengths": _bytes(lengths, True), "symbols": _bytes(symbols, wide)})
-            waiting, n = ([ids[upto:].tobytes()], len(ids) - upto) if upto < len(ids) else ([], 0)
-
+        own, shards = encoder(path, False), _Shards(TaskContext.get().partitionId(), base, end_id, shard_ids)
         for batch in batches:
             at = 0
-            for some in by_bytes(batch.column("text")):
-                for x in own.texts(some):
-                    waiting.append(x + end)
-                    sizes.append(len(x) // 4 + 1)
-                    n += sizes[-1]
-                keys.append(batch.column("k").slice(at, len(some)))
-                at += len(some)
-                if n >= shard_ids:
-                    close(False)
-        if not keys:
-            return
-        close(True)
-        whole = pa.chunked_array(keys).combine_chunks()
-        schema = pa.schema([("part", pa.int32()), ("keys", pa.list_(whole.type)), ("sizes", pa.list_(pa.int64())), ("shards", pa.list_(pa.struct([("n_ids", pa.int64()), ("base", pa.int32()), ("wide", pa.bool_()), ("rules", pa.binary()), ("lengths", pa.binary()), ("symbols", pa.binary())])))])
-        yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.ListArray.from_arrays(pa.array([0, len(whole)], pa.int32()), whole), pa.array([sizes], pa.list_(pa.int64())), pa.array([shards], schema.field("shards").type)], schema=schema)
-
-    ordered.mapInArrow(rows, f"part int, keys array<{kind}>, sizes array<bigint>, shards array<{SHARD}>").write.option("compression", "zstd").parquet(out)
-
-
-def shard_ids_of(shard: dict, start: int = 0, stop: int | None = None) -> np.ndarray:
-    """Ids of one stored shard, whole or a range of it."""
-    kind = "<u4" if shard["wide"] else "<u2"
-    return expand(np.frombuffer(shard["rules"], kind).reshape(-1, 2), np.frombuffer(shard["lengths"], "<u4"), np.frombuffer(shard["symbols"], kind), shard["base"], start, stop)
+            for counts, ids in own.texts(batch.column("text")):
+                counts, ids = with_end(counts, ids, end_id)
+                yield from shards.take(batch.column("k").slice(at, len(counts)), counts, ids)
+                at += len(counts)
+        if shards.n:
+            yield shards.row()
+
+    ordered.mapInArrow(rows, f"part int, first long, keys array<{kind}>, sizes array<bigint>, grammars array<{GRAMMAR}>").write.option("compression", "zstd").parquet(out)
 
 
 def read_ids(spark, out: str, key: str = "doc_id") -> DataFrame:
     """Per document, from the files: key, start (ids of all documents before it), n_tokens, ids (binary, little-endian unsigned 32-bit)."""
-    stored = spark.read.parquet(out)
-    kind = dict(stored.dtypes)["keys"].removeprefix("array<")[:-1]
-    totals = sorted(stored.select("part", F.aggregate("sizes", F.lit(0).cast("long"), lambda a, x: a + x).alias("n")).collect())
-    first = np.concatenate([[0], np.cumsum([r.n for r in totals])]).tolist() if totals else [0]
-    starts = dict(zip((r.part for r in totals), first, strict=False))
+    shards = spark.read.parquet(out)
+    kind = dict(shards.dtypes)["keys"].removeprefix("array<")[:-1]
+    ends = shards.select("part", (F.col("first") + F.aggregate("sizes", F.lit(0).cast("long"), lambda a, x: a + x)).alias("end"))
+    totals = sorted((r.part, r.n) for r in ends.groupBy("part").agg(F.max("end").alias("n")).collect())  # MAX_PARTS at most
+    starts = dict(zip((part for part, _ in totals), np.cumsum([0, *(n for _, n in totals)]).tolist(), strict=False))
 
     def documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
                 sizes = batch.column("sizes")[i].values.to_numpy()
-                keys = batch.column("keys")[i].values
-                own = np.concatenate([shard_ids_of(x.as_py()) for x in batch.column("shards")[i].values]).astype("<u4")
-                ends = np.cumsum(sizes)
-                offsets = pa.array(np.concatenate([[0], 4 * ends]), pa.int64())
-                ids = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(sizes), [None, offsets.buffers()[1], pa.py_buffer(own.tobytes())])
-                whole = pa.RecordBatch.from_arrays([keys, pa.array(ends - sizes + starts[batch.column("part")[i].as_py()], pa.int64()), pa.array(sizes, pa.int64()), pc.cast(ids, pa.binary()) if ids.nbytes < 1 << 31 else ids], names=["k", "start", "n_tokens", "ids"])
-                for at in range(0, whole.num_rows, 512):
-                    yield whole.slice(at, 512)
-
-    return stored.mapInArrow(documents, f"k {kind}, start long, n_tokens long, ids binary").withColumnRenamed("k", key)
+                ids = np.concatenate([ids_of(g.as_py()) for g in batch.column("grammars")[i].values])
+                first = starts[batch.column("part")[i].as_py()] + batch.column("first")[i].as_py()
+                keys, ends = batch.column("keys")[i].values, np.cumsum(sizes)
+                for a in range(0, len(sizes), 512):
+                    own = slice(a, min(a + 512, len(sizes)))
+                    before = int(ends[a] - sizes[a])
+                    borders = (4 * np.concatenate([[0], ends[own] - before])).astype(np.int32)
+                    binary = pa.Array.from_buffers(pa.binary(), len(borders) - 1, [None, pa.py_buffer(borders), pa.py_buffer(ids[before : ends[own][-1]])])
+                    yield pa.RecordBatch.from_arrays([keys[own], pa.array(first + ends[own] - sizes[own]), pa.array(sizes[own]), binary], names=["k", "start", "n_tokens", "ids"])
+
+    return shards.mapInArrow(documents, f"k {kind}, start long, n_tokens long, ids binary").withColumnRenamed("k", key)
 
 
 def grammar_ids(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", end_id: int = END_ID, out: str | None = None) -> DataFrame:

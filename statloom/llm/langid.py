@@ -28,8 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from .common import held, without
-from .licenses import text_blocks
+from .common import held, text_blocks, without
 
 TRAIN_DOCS = 2000
 LEAST_SEEN = 12

@@ -21,12 +21,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from .common import held, without
+from .common import held, text_blocks, without
 
 MIN_MATCH = 3  # words of an anchor
 MAX_GAP = 6  # words between anchors of a chain, in the document and in the template
 COVERED = 0.75  # of a template's words, for a span
-SCAN_BYTES = 2 << 20  # of texts looked at together
 
 # Base phrases and their labels.
 BASE = (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl"))
@@ -270,19 +269,6 @@ _SPAN = pa.struct([("label", pa.string()), ("template", pa.int32()), ("first_wor
 _RESULT = pa.struct([("n_words", pa.int64()), ("n_base", pa.int64()), ("first_word", pa.int64()), ("last_word", pa.int64()), ("base_labels", pa.string()), ("labels", pa.string()), ("score", pa.float64()), ("spans", pa.list_(_SPAN))])
 
 
-def text_blocks(texts: pa.Array, limit: int = SCAN_BYTES) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """The texts' UTF-8 bytes, without copies, and their borders, some megabytes at a time; null is empty."""
-    large = pa.types.is_large_string(texts.type)
-    offsets = np.frombuffer(texts.buffers()[1], np.int64 if large else np.int32, len(texts) + 1, texts.offset * (8 if large else 4)).astype(np.int64) if len(texts) else np.zeros(1, np.int64)
-    buffer = texts.buffers()[2] if len(texts) else None
-    data = np.frombuffer(buffer, np.uint8) if buffer is not None else np.zeros(0, np.uint8)
-    at = 0
-    while at < len(texts):
-        upto = max(at + 1, int(np.searchsorted(offsets, offsets[at] + limit, "right")) - 1)
-        yield data[offsets[at] : offsets[upto]], offsets[at : upto + 1] - offsets[at]
-        at = upto
-
-
 def scan_licenses(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with n_words, n_base, first_word, last_word, base_labels, labels, score and spans."""
 

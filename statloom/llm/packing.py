@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
 from .common import utf8_bytes
-from .encoding import by_bytes, encoder
+from .encoding import encoder, with_end
 
 LENGTH = 2048
 END_ID = 1
@@ -30,14 +30,19 @@ GROUP_PIECES = 3072
 
 def token_ids(path: str, end_id: int | None, length: int):
     """A column function: each text's ids and end_id (if any) as pieces of at most length ids, each little-endian unsigned 32-bit."""
-    end = b"" if end_id is None else np.asarray([end_id], "<u4").tobytes()
 
     @arrow_udf("array<binary>")
     def ids(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        own, step = encoder(path, False), 4 * length
+        own = encoder(path, False)
         for texts in batches:
-            for part in by_bytes(texts):  # small batches go out as they are ready
-                yield pa.array([[x[i : i + step] for i in range(0, len(x), step)] for x in (y + end for y in own.texts(part))], pa.list_(pa.binary()))
+            for counts, all_ids in own.texts(texts):  # small batches go out as they are ready
+                counts, all_ids = with_end(counts, all_ids, end_id)
+                pieces = -(-counts // length)
+                before = np.cumsum(pieces) - pieces
+                starts = np.repeat(np.cumsum(counts) - counts - length * before, pieces) + length * np.arange(int(pieces.sum()))
+                borders = (4 * np.append(starts, len(all_ids))).astype(np.int32)
+                values = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(borders), pa.py_buffer(all_ids)])
+                yield pa.ListArray.from_arrays(pa.array(np.append(before, len(starts)), pa.int32()), values)
 
     return ids
 

@@ -23,8 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from .common import without
-from .licenses import text_blocks
+from .common import text_blocks, without
 
 TRAIN_DOCS = 3000
 TRAIN_LINES = 120

@@ -38,9 +38,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
 from ..session import written
-from .common import without
+from .common import by_bytes, without
 from .components import components
-from .encoding import by_bytes
+
 
 WORDS, SEED, DISTANCE = 3, 42, 3
 BUCKET = 4096

@@ -6,12 +6,14 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 
 from statloom.llm import components, decontaminate, encoding, grammar_ids, langid, licenses, neighbours, packing, quality, sharding, simhash, token_counts
 from statloom.llm.queries import vocabulary
+from statloom.session import new_path
 
 BYTE, WORD = vocabulary("byte_bpe_50k.json"), vocabulary("word_bpe_49k.json")
 EXTRA = "doc_id long, text string, lang string, source string, shard string, slot string, score string, fingerprint string, n_tokens string, labels string"
@@ -63,24 +65,38 @@ def test_sharding_order_is_shuffled(spark):
     assert abs(np.corrcoef(order, np.arange(2000))[0, 1]) < 0.1
 
 
+def own_ids(path, texts):
+    """What the encoder gives, a list a text."""
+    out = []
+    for counts, ids in encoding.Encoder(path, False).texts(pa.array(texts, pa.string())):
+        out += [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])]
+    return out
+
+
 @pytest.mark.parametrize("path", [BYTE, WORD])
-def test_encoding_equals_the_library(path):
+@pytest.mark.parametrize("piece", [None, 40])
+def test_encoding_equals_the_library(path, piece, monkeypatch):
     from tokenizers import Tokenizer
 
+    if piece:  # long texts are cut safely
+        monkeypatch.setattr(encoding, "PIECE_BYTES", piece)
+        monkeypatch.setattr(encoding, "WINDOW", 16)
+        monkeypatch.setattr(encoding, "BATCH_BYTES", 1)
     rng = random.Random(4)
-    letters = [*" \n\t\r  abcAB01'.,;!éßç日本Σσ\x1c\xa0İŉ", "<|endoftext|>", "'s", "'ll", " the", " don't", "\r\n", "é"]
-    texts = ["".join(rng.choice(letters) for _ in range(rng.randint(0, 120))) for _ in range(600)] + ["plain words, and 12 more. " * 50]
-    want = [e.ids for e in Tokenizer.from_file(path).encode_batch(texts, add_special_tokens=False)]
-    own = encoding.Encoder(path, False)
-    assert [np.frombuffer(x, "<u4").tolist() for x in own.texts(texts)] == want
-    assert encoding.Encoder(path, True).texts(texts) == list(map(len, want))
+    letters = [*" \n\t\r  abcAB01'.,;!éÉ×÷ßç日本Σσ\x1c\xa0\x85\u3000\u0300İŉ😀", "<|endoftext|>", "<|ENDOFTEXT|>", "'s", "'ll", " the", " don't", "\r\n", "é"]
+    texts = ["".join(rng.choice(letters) for _ in range(rng.randint(0, 120))) for _ in range(1500)]
+    texts += ["Plain words, and 12 more. " * 50, " a", "b ", " ", "", None, LONG[:3000] + "  \n\n double  spaces " + "é" * 200 + " end"]
+    want = [e.ids for e in Tokenizer.from_file(path).encode_batch([t or "" for t in texts], add_special_tokens=False)]
+    assert own_ids(path, texts) == want
+    counts = np.concatenate([c for c, _ in encoding.Encoder(path, True).texts(pa.array(texts, pa.string()))])
+    assert counts.tolist() == list(map(len, want))
 
 
-def test_long_texts_are_cut_safely(monkeypatch):
-    monkeypatch.setattr(encoding, "PIECE_CHARS", 50)
-    for path in (BYTE, WORD):
-        text = LONG[:3000] + "  \n\n double  spaces " + "é" * 200 + " end"
-        assert np.frombuffer(encoding.Encoder(path, False).texts([text])[0], "<u4").tolist() == ids_of(path, text)
+def test_a_full_memo_begins_anew(monkeypatch):
+    monkeypatch.setattr(encoding, "MEMO_ENTRIES", 5)
+    monkeypatch.setattr(encoding, "BATCH_BYTES", 30)
+    texts = [f"word{i % 7} and number {i}" for i in range(60)]
+    assert own_ids(WORD, texts) == [ids_of(WORD, t) for t in texts]
 
 
 def test_sentencepiece_counts():
@@ -88,7 +104,8 @@ def test_sentencepiece_counts():
 
     path = vocabulary("piece_bpe_32k.model")
     texts = ["Hello  world", "", "x" * 30]
-    assert encoding.Encoder(path, True).texts(texts) == [len(x) for x in sentencepiece.SentencePieceProcessor(model_file=path).encode(texts)]
+    want = [len(x) for x in sentencepiece.SentencePieceProcessor(model_file=path).encode(texts)]
+    assert [c.tolist() for c, _ in encoding.Encoder(path, True).texts(pa.array(texts))] == [want]
 
 
 def test_token_counts(odd, none):
@@ -140,20 +157,41 @@ def test_packing(odd, none):
     assert packing.pack(none, WORD).count() == 0
 
 
-@pytest.mark.parametrize("seed", range(4))
-def test_grammar_round_trip(seed):
+@pytest.mark.parametrize("base", [49408, 70_000])
+@pytest.mark.parametrize("seed", range(3))
+def test_grammar_round_trip(seed, base):
     r = np.random.default_rng(seed)
-    ids = np.concatenate([r.integers(0, 6, 3000), np.tile([5, 6, 7], 800), [1], r.integers(0, 49000, 500), np.full(777, 9)]).astype(np.uint32)
-    rules, lengths, symbols = grammar_ids.compress(ids, 49408)
-    assert len(symbols) < len(ids) and (grammar_ids.expand(rules, lengths, symbols, 49408) == ids).all()
+    ids = np.concatenate([r.integers(0, 6, 3000), np.tile([5, 6, 7], 800), [1], r.integers(0, base, 500), np.full(777, 9)]).astype(np.uint32)
+    rules, lengths, symbols = grammar_ids.compress(ids, base)
+    assert len(symbols) < len(ids) and (grammar_ids.expand(rules, lengths, symbols, base) == ids).all()
+    kept = grammar_ids.stored(ids, base)
+    assert (grammar_ids.ids_of(kept) == ids).all() and kept["n_symbols"] == len(symbols)
+    assert 8 * sum(len(kept[x]) for x in ("rules", "lengths", "symbols")) - grammar_ids._bits(base, rules, lengths, symbols) < 8 * 100
     for a in r.integers(0, len(ids), 20):
-        assert (grammar_ids.expand(rules, lengths, symbols, 49408, int(a), int(a) + 90) == ids[a : a + 90]).all()
+        assert (grammar_ids.ids_of(kept, int(a), int(a) + 90) == ids[a : a + 90]).all()
     for short in (ids[:0], ids[:1], ids[:2]):
-        assert (grammar_ids.expand(*grammar_ids.compress(short, 49408), 49408) == short).all()
+        assert (grammar_ids.ids_of(grammar_ids.stored(short, base)) == short).all()
+
+
+def test_grammar_ends_where_no_pair_pays():
+    ids = np.tile(np.arange(2, 300), 3).astype(np.uint32)  # every pair stands three times
+    assert len(grammar_ids.compress(ids, 49408)[0]) == 0
+    ids = np.tile(np.arange(2, 300), 4).astype(np.uint32)
+    rules, _, symbols = grammar_ids.compress(ids, 49408)
+    assert len(rules) and 3 * len(rules) + len(symbols) < len(ids)
+
 
+@pytest.mark.parametrize("width", [0, 1, 8, 9, 16, 17, 31])
+def test_packed_numbers(width):
+    x = np.random.default_rng(width).integers(0, 1 << width, 1001).astype(np.uint32)
+    assert (grammar_ids.unpacked(grammar_ids.packed(x, width), width, len(x)) == x).all()
 
-def test_grammar_ids(odd, none):
-    rows = sorted(grammar_ids.grammar_ids(odd, WORD).collect(), key=lambda r: r.start)
+
+@pytest.mark.parametrize("limits", [{}, {"part_bytes": 3000, "shard_ids": 64}, {"part_bytes": 1 << 30, "shard_ids": 1000}])
+def test_grammar_ids(spark, odd, none, limits):
+    out = new_path(spark, "ids")
+    grammar_ids.write_ids(odd.repartition(3), WORD, out, **limits)
+    rows = sorted(grammar_ids.read_ids(spark, out).collect(), key=lambda r: r.start)
     assert [r.doc_id for r in rows] == [None, 0, 0, 1, 2, 4, 5, 6, 7, 8]
     at = 0
     texts = {r.doc_id: r.text for r in odd.collect()}
@@ -161,9 +199,20 @@ def test_grammar_ids(odd, none):
         want = np.array([*ids_of(WORD, texts[r.doc_id]), 1], "<u4").tobytes()
         assert (r.start, r.n_tokens, r.ids) == (at, len(want) // 4, want)
         at += r.n_tokens
+    if limits:
+        assert max(g.n_ids for r in spark.read.parquet(out).collect() for g in r.grammars) <= limits["shard_ids"]
     assert grammar_ids.grammar_ids(none, WORD).count() == 0
 
 
+def test_a_repeated_row_spreads_over_parts(spark):
+    out = new_path(spark, "ids")
+    docs = spark.range(4000).select(F.lit(7).cast("long").alias("doc_id"), F.lit("one and the same text").alias("text")).repartition(8)
+    grammar_ids.write_ids(docs, WORD, out, part_bytes=20_000)
+    assert spark.read.parquet(out).select("part").distinct().count() > 3
+    rows = sorted(grammar_ids.read_ids(spark, out).collect(), key=lambda r: r.start)
+    assert [r.start for r in rows] == [r.n_tokens * i for i, r in enumerate(rows)] and len(rows) == 4000
+
+
 def test_myers_equals_the_table():
     def table(p, t):
         col, best = list(range(len(p) + 1)), (len(p), 0)
@@ -411,8 +460,6 @@ def test_few_vectors(spark):
 
 def test_ppm_code_lengths(monkeypatch):
     """The table against a plain PPM coder with exclusion."""
-    import pyarrow as pa
-
     monkeypatch.setattr(langid, "LEAST_SEEN", 1)
     train = {"x": "abracadabra abra\n", "y": "the cat sat on the mat"}
     trees = langid.Trees(sorted(train), [langid.grams(pa.array([train[n]])) for n in sorted(train)])
@@ -475,8 +522,6 @@ def test_marginals_equal_all_paths():
 
 
 def test_line_features_split_like_python():
-    import pyarrow as pa
-
     texts = ["a b\n\nc c c!", "", "\n", "x" * 50, "é é\nok."]
     for data, offsets in licenses.text_blocks(pa.array(texts)):
         x, weight, first = quality.lines(data, offsets)
