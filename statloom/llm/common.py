@@ -78,3 +78,19 @@ def by_bytes(texts: pa.Array, limit: int = SCAN_BYTES) -> Iterator[list[str | No
     for _, offsets in text_blocks(texts, limit):
         yield texts.slice(at, len(offsets) - 1).to_pylist()
         at += len(offsets) - 1
+
+
+def runs(batches: Iterator[pa.RecordBatch], by: str) -> Iterator[pa.Table]:
+    """Sorted batches as one table for each value of an integer column."""
+    waiting: list[pa.RecordBatch] = []
+    for batch in batches:
+        value = batch.column(by).to_numpy()
+        cuts = [0, *(np.flatnonzero(value[1:] != value[:-1]) + 1).tolist(), len(value)]
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            if b > a and waiting and waiting[0].column(by)[0].as_py() != value[a]:
+                yield pa.Table.from_batches(waiting)
+                waiting = []
+            if b > a:
+                waiting.append(batch.slice(a, b - a))
+    if waiting:
+        yield pa.Table.from_batches(waiting)

@@ -10,8 +10,9 @@ the best stretch around.
 Documents are scanned where they lie, without a shuffle; items are sent in blocks of ITEM_BYTES at most, one scan a
 block, so a benchmark of any size fits the workers.
 
-Defined results: null and empty texts hold nothing; null ids are kept as null; items shorter than LEAST characters must
-stand word for word, and items without letters or digits match nothing; repeated documents and items each get their
+Defined results: null and empty texts hold nothing; null ids are kept as null; items so short that the
+budget allows no edit must stand word for word, and items without letters or digits match nothing; however long a text
+is and however often it repeats itself, each stretch of it is measured once an item; repeated documents and items each get their
 rows; of an item's places in a document the nearest counts, the first of equals; empty tables give an empty result;
 input columns beside id and text are not read.
 """
@@ -30,7 +31,6 @@ from pyspark.sql.functions import arrow_udf
 from .common import held, text_blocks, utf8_bytes
 
 BUDGET = 0.1
-LEAST = 24
 ITEM_BYTES = 4 << 20
 
 _KEEP = np.full(256, 32, np.uint8)
@@ -80,6 +80,17 @@ def begins_nearly(text: str, at: int, piece: str) -> bool:
     return text.startswith(piece[i + 1 :], at + i + 1) or text.startswith(piece[i + 1 :], at + i) or text.startswith(piece[i:], at + i + 1)
 
 
+def merged(windows: list[list[int]]) -> list[list[int]]:
+    """The same places as stretches that don't overlap, so that each is looked at once however often it was hit."""
+    out: list[list[int]] = []
+    for a, b in sorted(windows):
+        if out and a <= out[-1][1]:
+            out[-1][1] = max(b, out[-1][1])
+        else:
+            out.append([a, b])
+    return out
+
+
 class Finder:
     """The automaton of one block of items."""
 
@@ -92,7 +103,7 @@ class Finder:
             own = plain(raw, np.array([0, len(raw)]))[0]
             if not own:
                 continue
-            k = int(budget * len(own)) if len(own) >= LEAST else 0
+            k = int(budget * len(own))
             masks: dict[str, int] = {}
             for i, c in enumerate(own):
                 masks[c] = masks.get(c, 0) | 1 << i
@@ -111,22 +122,26 @@ class Finder:
         if not text or not self.items:
             return []
         found: dict[int, tuple[int, int]] = {}
-        looked: dict[int, list[tuple[int, int]]] = {}
+        windows: dict[int, list[list[int]]] = {}
         for last, (size, where) in self.automaton.iter(text):
             for i, at, following in where:
                 if following and not begins_nearly(text, last + 1, following):
                     continue
-                _, own, k, masks = self.items[i]
+                _, own, k, _ = self.items[i]
                 begin = last - size + 1 - at
                 a, b = max(0, begin - k), min(len(text), begin + len(own) + k)
                 if not k:  # word for word, by itself
                     if (a == 0 or text[a - 1] == " ") and (b == len(text) or text[b : b + 1] == " "):
                         found.setdefault(i, (0, b))
                     continue
-                done = looked.setdefault(i, [])
-                if any(x <= a and b <= y for x, y in done[-4:]):
-                    continue
-                done.append((a, b))
+                mine = windows.setdefault(i, [])
+                if mine and a <= mine[-1][1] and b >= mine[-1][0]:  # hits come nearly in order, so most overlap the last one
+                    mine[-1] = [min(a, mine[-1][0]), max(b, mine[-1][1])]
+                else:
+                    mine.append([a, b])
+        for i, mine in windows.items():
+            _, own, k, masks = self.items[i]
+            for a, b in merged(mine):
                 distance, end = best_match(masks, len(own), text[a:b])
                 if distance <= k and (i not in found or (distance, a + end) < found[i]):
                     found[i] = distance, a + end
@@ -163,7 +178,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", key:
     """key, item_id, distance, budget and end_at (place in the reduced text) of every item in every document."""
     out = None
     for block in _blocks(benchmark, item, item_text):
-        found = docs.select(key, found_in(block, docs.sparkSession, budget)(F.coalesce(F.col(text), F.lit(""))).alias("f")).select(key, F.inline("f"))
+        found = docs.select(key, found_in(block, docs.sparkSession, budget)(F.coalesce(F.col(text), F.lit(""))).alias("f")).select(key, F.inline_outer("f")).where("distance is not null")  # a plain inline adds a filter that searches again
         out = found if out is None else out.unionByName(found)
     return out
 

@@ -45,6 +45,15 @@ _LOWER[65:91] += 32
 _ONE = re.compile(rb" ?(?:(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf]|\xc4[\x80-\xaf\xb1-\xbf]|\xc5[\x80-\xbf])+|[0-9]+|[!-&(-/:;=-@\[-`{-~]+)")
 
 
+def resolved(path: str) -> str:
+    """path itself, or where this machine keeps the public vocabulary of that name."""
+    if os.path.sep in path:
+        return path
+    import public_tokenizers
+
+    return str(public_tokenizers.path(path))
+
+
 def kind_of(path: str) -> str:
     """'byte', 'word' or 'whole' (no safe place known: texts are encoded whole)."""
     if not path.endswith(".json"):
@@ -134,6 +143,7 @@ class Encoder:
     """Ids (little-endian unsigned 32-bit) or counts of whole texts by one vocabulary file."""
 
     def __init__(self, path: str, count_only: bool):
+        path = resolved(path)
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has a task on every core already
         self.count_only, self.kind = count_only, kind_of(path)
         self.memo: dict[bytes, int | bytes] = {}

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from ..session import new_path
 from .common import utf8_bytes
-from .encoding import encoder, with_end
+from .encoding import encoder, resolved, with_end
 
 PART_BYTES = 8 << 20
 MAX_PARTS = 20_000
@@ -218,7 +218,7 @@ def write_ids(docs: DataFrame, path: str, out: str, key: str = "doc_id", text: s
     """Writes the ids of all texts, in ascending key order, by the vocabulary file at path, as grammar files under out."""
     from tokenizers import Tokenizer
 
-    base = Tokenizer.from_file(path).get_vocab_size()
+    base = Tokenizer.from_file(resolved(path)).get_vocab_size()
     read = docs.select(F.col(key).alias("k"), F.col(text).alias("text"))
     total = read.agg(F.sum(utf8_bytes("text") + 16)).first()[0] or 0
     parts = int(min(MAX_PARTS, max(1, -(-total // part_bytes))))

@@ -3,17 +3,18 @@
 Each language has a byte context tree of orders 0 to 3 with frozen counts. A byte costs its exact code length: the
 longest known context codes it or escapes (method C: the escape counts as often as symbols have been seen) to the next
 shorter one, which leaves out the symbols already ruled out; bytes seen nowhere cost an even share of the rest. A text
-gets the language of the smallest code length. As the statistics are frozen, a cost depends on four bytes alone, so
-each worker unfolds the trees into one table and scores whole texts by table look-up.
+gets the language of the smallest code length. As the statistics are frozen, a cost depends on four bytes alone: each
+worker works out the cost of a run of four bytes when it first meets it, and looks it up from then on.
 
-The trees are learnt from a bounded sample: about TRAIN_DOCS documents of each language (all, if there are fewer), by a
-hash of the id. Order-3 contexts are kept if seen LEAST_SEEN times, the MAX_CONTEXTS most frequent of each language;
-shorter ones always.
+Trees are kept as sorted arrays of the contexts seen, all of them, so they grow with what was learnt and with the
+number of languages, not with the alphabet. They are learnt from a bounded sample of labelled rows: of the
+``languages`` most frequent languages about ``train_docs`` documents each (all, if there are fewer), less where that
+would come to more than ``train_total`` together, by a hash of the id. All three are parameters of learn.
 
 Defined results: ``und`` with score 0 for null texts, texts without a letter and where nothing could be learnt; ties
 go to the smaller language name; repeated rows each get the same answer; an empty table gives an empty result;
-columns of the input that clash with an added name are replaced. score is the winner's share among all languages when
-the code length counts as for a text of at most SCORE_BYTES bytes.
+columns of the input that clash with an added name are replaced; texts of any length, in any number of lines, are scored
+whole, a slice at a time. score is the winner's chance by Bayes' rule, all languages being equally likely beforehand.
 """
 
 from __future__ import annotations
@@ -28,12 +29,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from .common import held, text_blocks, without
+from .common import free_name, held, text_blocks, without
 
-TRAIN_DOCS = 2000
-LEAST_SEEN = 12
-MAX_CONTEXTS = 4000
-SCORE_BYTES = 64
+TRAIN_DOCS, TRAIN_TOTAL, LANGUAGES = 2000, 20_000, 64
+CACHED = 1 << 22  # costs that a worker keeps
 UNKNOWN = "und"
 _START = 10  # a text is preceded by line ends
 _SLICE = 1 << 18
@@ -41,112 +40,111 @@ _SLICE = 1 << 18
 
 def grams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Runs of four bytes (the first three may precede the text) and how often each is seen."""
-    parts = []
-    for data, offsets in text_blocks(texts):
-        if len(data):
-            p = _before(data, offsets)
-            parts.append((p[2].astype(np.uint32) << 24) | (p[1].astype(np.uint32) << 16) | (p[0].astype(np.uint32) << 8) | data)
+    parts = [_grams(data, offsets) for data, offsets in text_blocks(texts) if len(data)]
     return np.unique(np.concatenate(parts), return_counts=True) if parts else (np.zeros(0, np.uint32), np.zeros(0, np.int64))
 
 
-def _before(data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
-    """The last byte, the one before and the one before that, for each byte."""
-    out = []
-    starts = offsets[:-1]
-    ends = offsets[1:]
+def _grams(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Each byte after the three before it; a first border of -3 says that the first text began earlier."""
+    out = data.astype(np.uint32)
+    starts, ends = offsets[:-1], offsets[1:]
     for k in (1, 2, 3):
-        p = np.empty_like(data)
+        p = np.full(len(data), _START, np.uint32)
         p[k:] = data[:-k] if len(data) > k else data[:0]
-        p[:k] = _START
         for j in range(k):
             at = starts + j
-            p[at[at < ends]] = _START
-        out.append(p)
+            p[at[(at < ends) & (at >= 0)]] = _START
+        out |= p << np.uint32(8 * k)
     return out
 
 
+def _at(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where wanted keys stand among sorted ones, and whether they do."""
+    at = np.minimum(np.searchsorted(keys, wanted), max(len(keys) - 1, 0))
+    return at, (keys[at] == wanted) if len(keys) else np.zeros(len(wanted), bool)
+
+
+class Tree:
+    """One language's contexts and what follows them, order by order."""
+
+    def __init__(self, grams: np.ndarray, counts: np.ndarray):
+        self.seen, self.n, contexts = [], [], []
+        for order in range(4):
+            keys, at = np.unique(grams & np.uint32((1 << 8 * (order + 1)) - 1), return_inverse=True)
+            n = np.bincount(at, counts, len(keys))
+            self.seen.append(keys)
+            self.n.append(n)
+            names, first = np.unique(keys >> np.uint32(8), return_index=True)
+            contexts.append((names, np.add.reduceat(n, first) if len(n) else n, np.diff(np.append(first, len(keys)))))
+        # of each context: its name, how often and how many symbols were seen, and how often those stand in the next shorter one
+        self.contexts = []
+        for order, (names, total, kinds) in enumerate(contexts):
+            shorter = np.zeros(len(names))
+            if order:
+                below = self.n[order - 1][_at(self.seen[order - 1], self.seen[order] & np.uint32((1 << 8 * order) - 1))[0]]
+                shorter = np.bincount(np.searchsorted(names, self.seen[order] >> np.uint32(8)), below, len(names))
+            self.contexts.append((names, total, kinds, shorter))
+
+    def bits(self, grams: np.ndarray) -> np.ndarray:
+        """The code length of each gram's last byte after the three before it."""
+        bits, escaped = np.zeros(len(grams)), np.zeros(len(grams))
+        left = np.ones(len(grams), bool)  # not coded yet
+        out_n, out_q = np.zeros(len(grams)), np.zeros(len(grams))  # of the symbols ruled out already
+        for order in (3, 2, 1, 0):
+            gram = grams & np.uint32((1 << 8 * (order + 1)) - 1)
+            names, total, kinds, shorter = self.contexts[order]
+            at, known = _at(names, gram >> np.uint32(8))
+            n, q = (np.where(known, x[at] if len(x) else 0, 0) for x in (total, kinds))
+            free_n, free_q = n - out_n, q - out_q
+            if len(names):
+                out_n, out_q = np.where(known, shorter[at], 0), q
+            place, here = _at(self.seen[order], gram)
+            here &= left
+            bits[here] = (escaped + np.log2(np.maximum(free_n + free_q, 1)))[here] - np.log2(self.n[order][place[here]])
+            left &= ~here
+            escaped += np.where(free_q > 0, np.log2(np.maximum(free_n + free_q, 1)) - np.log2(np.maximum(free_q, 1)), 0)
+        bits[left] = escaped[left] + np.log2(max(1, 256 - len(self.seen[0])))
+        return bits
+
+
 class Trees:
-    """The context trees of all languages as one table of code lengths."""
+    """The context trees of all languages, and the costs met so far."""
 
     def __init__(self, languages: list[str], counts: list[tuple[np.ndarray, np.ndarray]]):
         self.languages = languages
-        seen = np.zeros(256, bool)
-        for g, _ in counts:
-            for shift in (0, 8, 16, 24):
-                seen[np.unique((g >> shift) & 255)] = True
-        seen[_START] = True
-        self.kind = np.zeros(256, np.uint8)  # 0: bytes that no language has
-        symbols = np.flatnonzero(seen)
-        symbols = symbols if len(symbols) < 256 else symbols[1:]
-        self.kind[symbols] = np.arange(1, len(symbols) + 1)
-        a = self.a = len(symbols) + 1
-        dense = []
-        for g, n in counts:
-            k = [self.kind[(g >> s) & 255].astype(np.int64) for s in (24, 16, 8, 0)]
-            c2 = np.bincount((k[1] * a + k[2]) * a + k[3], n, a**3).reshape(a * a, a)
-            context = (k[0] * a + k[1]) * a + k[2]
-            total = np.bincount(context, n, a**3)
-            keep = np.flatnonzero(total >= LEAST_SEEN)
-            keep = np.sort(keep[np.argsort(-total[keep], kind="stable")[:MAX_CONTEXTS]])
-            row = np.searchsorted(keep, context)
-            ok = (row < len(keep)) & (keep[np.minimum(row, len(keep) - 1)] == context) if len(keep) else np.zeros(len(context), bool)
-            c3 = np.zeros((len(keep) + 1, a))
-            np.add.at(c3, (row[ok], k[3][ok]), n[ok])
-            dense.append((keep, c3, c2))
-        contexts = np.unique(np.concatenate([d[0] for d in dense]))
-        pairs = np.flatnonzero(sum(d[2].sum(1) for d in dense))
-        # rows: order-3 contexts, then pairs, then single bytes, then none
-        n3, n2 = len(contexts), len(pairs)
-        pair_row = np.full(a * a, -1, np.int64)
-        pair_row[pairs] = n3 + np.arange(n2)
-        pair_row = np.where(pair_row < 0, n3 + n2 + np.arange(a * a) % a, pair_row)
-        self.row = np.tile(pair_row, a).astype(np.int32)
-        self.row[contexts] = np.arange(n3)
-        n = n3 + n2 + a
-        self.table = np.empty((n * a, len(languages)), np.float32)
-        of_pair = np.concatenate([contexts % (a * a), pairs, np.zeros(a, np.int64)])
-        of_one = np.concatenate([contexts % a, pairs % a, np.arange(a)])
-        for i, (keep, c3, c2) in enumerate(dense):
-            c1 = c2.reshape(a, a, a).sum(0)
-            c0 = c1.sum(0)
-            own = np.full(n, len(keep))  # the last row of c3 is empty: no such context
-            at = np.searchsorted(keep, contexts)
-            ok = (at < len(keep)) & (keep[np.minimum(at, max(0, len(keep) - 1))] == contexts) if len(keep) else np.zeros(n3, bool)
-            own[:n3][ok] = at[ok]
-            for lo in range(0, n, 2048):
-                r = slice(lo, min(lo + 2048, n))
-                orders = [c3[own[r]], c2[of_pair[r]] * (np.arange(n)[r, None] < n3 + n2), c1[of_one[r]], np.broadcast_to(c0, (r.stop - r.start, a))]
-                self.table[r.start * a : r.stop * a, i] = self._bits(orders, int((c0 > 0).sum())).ravel()
-
-    @staticmethod
-    def _bits(orders: list[np.ndarray], symbols: int) -> np.ndarray:
-        """Code length of every symbol, from the longest order to the shortest."""
-        left = np.ones_like(orders[0], bool)  # symbols not coded or ruled out yet
-        escaped = np.zeros((len(left), 1))
-        bits = np.zeros(left.shape)
-        for c in orders:
-            c = np.where(left, c, 0)
-            n, q = c.sum(1, keepdims=True), (c > 0).sum(1, keepdims=True)
-            with np.errstate(divide="ignore"):
-                bits = np.where(c > 0, escaped + np.log2(n + q) - np.log2(np.where(c > 0, c, 1)), bits)
-            left = left & (c == 0)
-            escaped = escaped + np.where(q > 0, np.log2(np.maximum(n + q, 1)) - np.log2(np.maximum(q, 1)), 0)
-        return np.where(left, escaped + np.log2(max(1, 256 - symbols)), bits)
+        self.trees = [Tree(g, n) for g, n in counts]
+        self.shift = np.uint32(32 - (CACHED // max(1, len(languages))).bit_length() + 1)
+        self.keys = np.zeros(1 << int(32 - self.shift), np.uint32)
+        self.keys[0] = 1  # no slot holds its own key yet
+        self.costs = np.zeros((len(self.keys), len(languages)), np.float32)
+
+    def _slot(self, grams: np.ndarray) -> np.ndarray:
+        return (grams * np.uint32(2654435761)) >> self.shift
+
+    def _bits(self, grams: np.ndarray) -> np.ndarray:
+        slot = self._slot(grams)
+        out = self.costs[slot]
+        new = np.flatnonzero(self.keys[slot] != grams)
+        if len(new):
+            met, which = np.unique(grams[new], return_inverse=True)
+            got = np.stack([t.bits(met) for t in self.trees], 1).astype(np.float32)
+            out[new] = got[which]
+            slot, first = np.unique(self._slot(met), return_index=True)
+            free = self.keys[slot] == (slot == 0)  # others are worked out again each time
+            self.keys[slot[free]], self.costs[slot[free]] = met[first[free]], got[first[free]]
+        return out
 
     def lengths(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Bits of each text under each language."""
         out = np.zeros((len(offsets) - 1, len(self.languages)))
-        if not len(data):
-            return out
-        own = self.kind[data]
-        before = [self.kind[p] for p in _before(data, offsets)]
-        a = self.a
         for lo in range(0, len(data), _SLICE):
             hi = min(lo + _SLICE, len(data))
-            context = (before[2][lo:hi].astype(np.int32) * a + before[1][lo:hi]) * a + before[0][lo:hi]
-            bits = self.table[self.row[context].astype(np.int64) * a + own[lo:hi]]
             first = int(np.searchsorted(offsets, lo, "right")) - 1
             last = int(np.searchsorted(offsets, hi, "left"))
+            back = max(0, lo - 3)
+            starts = offsets[int(np.searchsorted(offsets, back)) : last] - back
+            earlier = [] if len(starts) and starts[0] == 0 else [-3]
+            bits = self._bits(_grams(data[back:hi], np.concatenate([earlier, starts, [hi - back]]).astype(np.int64))[lo - back :])
             docs = np.arange(first, last)
             cuts = np.maximum(offsets[first:last], lo) - lo
             full = np.minimum(offsets[first + 1 : last + 1], hi) - lo > cuts
@@ -154,14 +152,15 @@ class Trees:
         return out
 
 
-def learn(docs: DataFrame, learn_from: Column, text: str = "text", language: str = "lang", key: str = "doc_id", train_docs: int = TRAIN_DOCS):
+def learn(docs: DataFrame, learn_from: Column, text: str = "text", language: str = "lang", key: str = "doc_id", train_docs: int = TRAIN_DOCS, train_total: int = TRAIN_TOTAL, languages: int = LANGUAGES):
     """A broadcast model of the languages of the rows where learn_from holds and language and text aren't null."""
     spark = docs.sparkSession
     rows = docs.where(learn_from & F.col(language).isNotNull() & F.col(text).isNotNull()).select(F.col(language).cast("string").alias("lang"), F.col(text).alias("text"), F.pmod(F.xxhash64(F.col(key), F.lit(8)), F.lit(1 << 20)).alias("h"))
-    known = {r.lang: r["count"] for r in rows.groupBy("lang").count().collect()}
+    known = {r.lang: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).collect()}
     model = None
     if known:
-        share = F.create_map(*(F.lit(x) for name, n in known.items() for x in (name, max(1, (train_docs << 20) // n))))
+        each = min(train_docs, max(1, train_total // len(known)))
+        share = F.create_map(*(F.lit(x) for name, n in known.items() for x in (name, max(1, (each << 20) // n))))
         picked = rows.where(F.col("h") < F.element_at(share, F.col("lang"))).select("lang", "text")
 
         def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -192,19 +191,17 @@ def identify(docs: DataFrame, model, text: str = "text") -> DataFrame:
             won, score = [], []
             for data, offsets in text_blocks(texts):
                 bits = trees.lengths(data, offsets)
-                least = bits.min(1, keepdims=True)
-                size = np.maximum(1, np.diff(offsets) / SCORE_BYTES)[:, None]
-                share = np.exp2((least - bits) / size)
                 won.append(bits.argmin(1))
-                score.append(1 / share.sum(1))
+                score.append(1 / np.exp2(bits.min(1, keepdims=True) - bits).sum(1))
             names = pa.array(trees.languages, pa.string())
             at = np.concatenate(won) if won else np.zeros(0, np.int64)
             yield pa.StructArray.from_arrays([names.take(pa.array(at)), pa.array(np.concatenate(score) if score else np.zeros(0))], ["lang_pred", "score"])
 
     letters = F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False))
-    found = kept.withColumn("_best", best(F.coalesce(F.col(text), F.lit(""))))
+    own = free_name(kept, "best")
+    found = kept.withColumn(own, best(F.coalesce(F.col(text), F.lit(""))))
     return found.select(
         *(F.col(f"`{c}`") for c in kept.columns),
-        F.when(letters, F.col("_best.lang_pred")).otherwise(UNKNOWN).alias("lang_pred"),
-        F.when(letters, F.col("_best.score")).otherwise(0.0).alias("score"),
+        F.when(letters, F.col(f"{own}.lang_pred")).otherwise(UNKNOWN).alias("lang_pred"),
+        F.when(letters, F.col(f"{own}.score")).otherwise(0.0).alias("score"),
     )

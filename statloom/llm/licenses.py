@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from .common import held, text_blocks, without
+from .common import free_name, held, text_blocks, without
 
 MIN_MATCH = 3  # words of an anchor
 MAX_GAP = 6  # words between anchors of a chain, in the document and in the template
@@ -283,4 +283,5 @@ def scan_licenses(docs: DataFrame, text: str = "text") -> DataFrame:
 
     names = [f.name for f in _RESULT]
     kept = without(docs, *names)
-    return kept.withColumn("_scan", scan(F.coalesce(F.col(text), F.lit("")))).select(*(F.col(f"`{c}`") for c in kept.columns), "_scan.*")
+    own = free_name(kept, "scan")
+    return kept.withColumn(own, scan(F.coalesce(F.col(text), F.lit("")))).select(*(F.col(f"`{c}`") for c in kept.columns), f"{own}.*")

@@ -14,7 +14,7 @@ in blocks of at most BLOCK rows, so a hot list is many tasks; each block gives a
 
 Defined results: vectors that are null, zero or of another dimension than most of the sample, or hold null or
 non-finite components, take no part, nor do null ids; rows that share the query's id are its own; an id with several
-vectors counts with the best; ties go to the smaller id; with nothing to search the result is empty.
+vectors counts with the best; very large and very small components count like others; ties go to the smaller id; with nothing to search the result is empty.
 """
 
 from __future__ import annotations
@@ -106,8 +106,14 @@ def _matrix(column: pa.Array, dimension: int) -> np.ndarray:
     return values.to_numpy(zero_copy_only=False).reshape(-1, dimension)
 
 
-def _unit(x: np.ndarray) -> np.ndarray:
+def _scaled(x: np.ndarray) -> np.ndarray:
+    """Each vector by a power of two, so that its largest component is near one: exact, and squares neither overflow nor vanish."""
     x = x.astype(np.float64)
+    return np.ldexp(x, -np.frexp(np.abs(x).max(1))[1][:, None])
+
+
+def _unit(x: np.ndarray) -> np.ndarray:
+    x = _scaled(x)
     return (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
 
 
@@ -171,12 +177,12 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 5, key: str = "vec_id
             ids = group.column("id").to_numpy()
             order = np.argsort(ids, kind="stable")
             ids = ids[order]
-            x = _matrix(group.column("v").combine_chunks(), dimension)[order]
+            x = _scaled(_matrix(group.column("v").combine_chunks(), dimension))[order]
             bits = np.frombuffer(b"".join(group.column("bits").to_pylist()), np.uint8).reshape(len(ids), -1)[order]
             scalars = np.frombuffer(b"".join(group.column("scalars").to_pylist()), np.float32).reshape(-1, 3)[order]
             size = np.sqrt((x * x).sum(1))
             first = np.flatnonzero(np.append(True, ids[1:] != ids[:-1]))
-            asking, q = queries.column("id").to_numpy(), _matrix(queries.column("v").combine_chunks(), dimension)
+            asking, q = queries.column("id").to_numpy(), _scaled(_matrix(queries.column("v").combine_chunks(), dimension))
             for i in range(0, len(asking), 256):
                 said, off = index.bounds(_unit(q[i : i + 256]), group.column("list")[0].as_py(), bits, scalars)
                 for j, own in enumerate(asking[i : i + 256].tolist()):

@@ -20,12 +20,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from .common import utf8_bytes
+from .common import runs, utf8_bytes
 from .encoding import encoder, with_end
 
 LENGTH = 2048
 END_ID = 1
 GROUP_PIECES = 3072
+MAX_TASKS = 20_000  # beyond it tasks pack several groups, one after the other
 
 
 def token_ids(path: str, end_id: int | None, length: int):
@@ -98,19 +99,10 @@ def pack(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", le
         return group.select(["k", "start", "ids", "doc_tokens"]).append_column("length", pa.array(sizes)).append_column("sequence_id", pa.array(bins + first)).append_column("offset", pa.array(offsets)).select(["k", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"])
 
     def groups_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        waiting: list[pa.RecordBatch] = []
-        for batch in batches:
-            g = batch.column("g").to_numpy()
-            cuts = [0, *(np.flatnonzero(g[1:] != g[:-1]) + 1).tolist(), len(g)]
-            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-                if b > a and waiting and waiting[0].column("g")[0].as_py() != g[a]:
-                    yield from packed(pa.Table.from_batches(waiting)).to_batches()
-                    waiting = []
-                if b > a:
-                    waiting.append(batch.slice(a, b - a))
-        if waiting:
-            yield from packed(pa.Table.from_batches(waiting)).to_batches()
-
-    grouped = pieces.repartition("g").sortWithinPartitions("g")
+        for group in runs(batches, "g"):
+            yield from packed(group).to_batches()
+
+    tasks = min(groups, MAX_TASKS)
+    grouped = pieces.repartition(tasks, "g").sortWithinPartitions("g")
     out = grouped.mapInArrow(groups_of, f"k {kind}, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")
     return out.withColumnRenamed("k", key)

@@ -5,8 +5,9 @@ lines are transition weights. Forward-backward gives each line's marginal, and a
 weighted by line length, put through a one-dimensional logistic calibration.
 
 Labels are known for documents only, so in learning each line has its document's label. Learning is bounded: about
-TRAIN_DOCS labelled documents by a hash of the id, of each a stretch of at most TRAIN_LINES lines that begins at a
-hashed place; their features are gathered on the driver. Scoring is a scan: no shuffle, whole texts.
+``train_docs`` labelled documents by a hash of the id, of each a stretch of at most ``train_lines`` lines that begins at
+a hashed place (both are parameters of learn); their features are gathered on the driver. Statistics of lines cover
+whole texts. Scoring is a scan: no shuffle, whole texts.
 
 Defined results: null and empty texts are one empty line and get its score; texts without labels to learn from score
 0.5; ties (score 0.5) count as good; repeated rows each get the same score; an empty table gives an empty result;
@@ -39,13 +40,19 @@ _KINDS = len(CLASSES) + 2
 OWN = len(CLASSES) + 6  # features of a line by itself
 
 
-def _eight(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """The first eight bytes (fewer: zeros after them) from each start."""
-    padded = np.concatenate([data, np.zeros(8, np.uint8)])
-    keys = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(padded, 8)[starts]).view("<u8").ravel()
-    short = np.minimum(sizes, 8).astype(np.uint64)
-    mask = np.where(short == 8, np.uint64(0xFFFFFFFFFFFFFFFF), (np.uint64(1) << (short * np.uint64(8) % np.uint64(64))) - np.uint64(1))
-    return keys & mask
+_VALUE = np.random.default_rng(9).integers(0, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
+_FACTOR, _INVERSE = np.uint64(0x9E3779B97F4A7C15), np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+
+
+def _powers(factor: np.uint64, n: int) -> np.ndarray:
+    return np.multiply.accumulate(np.append(np.uint64(1), np.full(n, factor, np.uint64)))
+
+
+def _hashes(data: np.ndarray, spans: list[tuple[np.ndarray, np.ndarray]]) -> list[np.ndarray]:
+    """A hash of all bytes of each stretch (start, size): a polynomial, from sums over everything before."""
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_VALUE[data] * _powers(_FACTOR, len(data))[:-1], dtype=np.uint64)])
+    back = _powers(_INVERSE, len(data))
+    return [(sums[starts + sizes] - sums[starts]) * back[starts] for starts, sizes in spans]
 
 
 def lines(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -74,14 +81,13 @@ def lines(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     word_at = np.flatnonzero(word & (np.concatenate([[True], gap[:-1]]) | edge[:-1])) if len(data) else np.zeros(0, np.int64)
     word_end = np.flatnonzero(word & (np.concatenate([gap[1:], [True]]) | edge[1:])) + 1 if len(data) else np.zeros(0, np.int64)
     word_size = word_end - word_at
-    key = _eight(data, word_at, word_size)
+    key, line_key = _hashes(data, [(word_at, word_size), (starts, size)])
     word_line = line_of[word_at] if len(word_at) else np.zeros(0, np.int64)
     same = np.zeros(len(word_at), bool)
     if len(word_at) > 1:
         same[1:] = (key[1:] == key[:-1]) & (word_size[1:] == word_size[:-1]) & (word_line[1:] == word_line[:-1])
     words = np.bincount(word_line, minlength=n)
     repeats = np.bincount(word_line, same, n) / np.maximum(words, 1)
-    line_key = _eight(data, starts, size)
     twin = np.zeros(n, bool)
     if n > 1:
         twin[1:] = (line_key[1:] == line_key[:-1]) & (size[1:] == size[:-1]) & ~is_first[1:]
@@ -164,7 +170,7 @@ def fit(x: np.ndarray, weight: np.ndarray, first: np.ndarray, label: np.ndarray)
     return w, t, float(c[0]), float(c[1])
 
 
-def learn(docs: DataFrame, labels: DataFrame, learn_from: Column, text: str = "text", key: str = "doc_id", label: str = "quality", train_docs: int = TRAIN_DOCS):
+def learn(docs: DataFrame, labels: DataFrame, learn_from: Column, text: str = "text", key: str = "doc_id", label: str = "quality", train_docs: int = TRAIN_DOCS, train_lines: int = TRAIN_LINES):
     """A model from labelled rows where learn_from holds; None if both labels don't occur."""
     known = labels.where(learn_from & F.col(label).isin(0, 1) & F.col(key).isNotNull()).groupBy(key).agg(F.max(label).alias("label"))
     n = known.count()
@@ -182,8 +188,8 @@ def learn(docs: DataFrame, labels: DataFrame, learn_from: Column, text: str = "t
                 at += len(offsets) - 1
                 got = []
                 for d, (a, b) in enumerate(zip(first[:-1].tolist(), first[1:].tolist(), strict=True)):
-                    skip = a + (int(offsets[d + 1] - offsets[d]) * 2654435761 % (b - a - TRAIN_LINES) if b - a > TRAIN_LINES else 0)
-                    part = slice(skip, min(b, skip + TRAIN_LINES))
+                    skip = a + (int(offsets[d + 1] - offsets[d]) * 2654435761 % (b - a - train_lines) if b - a > train_lines else 0)
+                    part = slice(skip, min(b, skip + train_lines))
                     got.append((np.column_stack([x[part], weight[part]]).astype("<f4").tobytes(), mine[d]))
                 yield pa.RecordBatch.from_pydict({"x": pa.array([g[0] for g in got], pa.binary()), "label": pa.array([g[1] for g in got], pa.int32())})
 

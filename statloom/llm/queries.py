@@ -11,10 +11,7 @@ from . import decontaminate, grammar_ids, langid, licenses, neighbours, packing,
 from .common import fold, table, text_crc32, utf8_bytes
 
 
-def vocabulary(name: str) -> str:
-    import public_tokenizers
-
-    return str(public_tokenizers.path(name))
+BYTES, WORDS = "byte_bpe_50k.json", "word_bpe_49k.json"  # public vocabularies: each task finds its own copy
 
 
 def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,12 +29,12 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return token_counts.count_tokens(docs, vocabulary("byte_bpe_50k.json")).drop("text")
+    return token_counts.count_tokens(docs, BYTES).drop("text")
 
 
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return packing.pack(docs, vocabulary("word_bpe_49k.json")).select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+    return packing.pack(docs, WORDS).select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,7 +52,7 @@ def op6_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_grammar_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return grammar_ids.grammar_ids(docs, vocabulary("word_bpe_49k.json")).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+    return grammar_ids.grammar_ids(docs, WORDS).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
 def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -19,7 +19,7 @@ Two rings use this:
 
 Equal sketches are one vertex. Within a bucket of equal keys only the edges of a spanning forest come out, found by
 visiting: each sketch is compared with those not reached yet. Buckets of more than BUCKET sketches are dealt out as
-pairs of chunks, so none is too large for a task and no pair is left out.
+pairs of chunks, so none is too large for a task and no pair is left out. Their sizes stay a table.
 
 Defined results: null text is an empty one; empty texts have fingerprint zero and link to each other; null ids link
 like others, and a component of null ids alone has a null id; repeated rows get the same answer; an empty table gives
@@ -38,12 +38,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
 from ..session import written
-from .common import by_bytes, without
+from .common import by_bytes, free_name, without
 from .components import components
 
 
 WORDS, SEED, DISTANCE = 3, 42, 3
 BUCKET = 4096
+ROWS_PER_TASK = 1 << 18  # of keys with fingerprints
+SKETCHES_PER_TASK = 1 << 15  # of keys with sketches, half a kilobyte each
 
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
@@ -106,17 +108,16 @@ def _between(edges: list[tuple[int, int]], n: int, opened: list[tuple[int, np.nd
             yield i, others[apart], said[apart]
 
 
-def _bucket_edges(keyed: DataFrame, near_in: Callable[[np.ndarray, pa.Array], tuple[Callable, list]], bucket: int) -> DataFrame:
+def _bucket_edges(keyed: DataFrame, near_in: Callable[[np.ndarray, pa.Array], tuple[Callable, list]], bucket: int, tasks: int) -> DataFrame:
     """(a, b, said) of near vertices, where said is null, and of those that may be near. keyed: key long, v long, sketch."""
-    spark = keyed.sparkSession
-    hot = {r.key: r["count"] for r in keyed.groupBy("key").count().where(F.col("count") > bucket).collect()}
-    dealt = keyed.withColumn("part", F.lit(0).cast("long"))
-    if hot:  # at most the rows over the bucket size; each row of a hot key goes to every pair of chunks that holds its own
-        sizes = spark.createDataFrame([(k, 2 * -(-n // bucket)) for k, n in hot.items()], "key long, chunks int")
+    hot = written(keyed.groupBy("key").count().where(F.col("count") > bucket).select("key", F.ceil(2 * F.col("count") / bucket).cast("long").alias("chunks")), "hot")
+    if hot.isEmpty():
+        dealt = keyed.withColumn("part", F.lit(0).cast("long"))
+    else:  # each row of a hot key goes to every pair of chunks that holds its own
         own = F.pmod(F.xxhash64(F.lit(5), "v"), F.col("chunks")).cast("long")
-        pairs = F.transform(F.sequence(F.lit(0).cast("long"), F.col("chunks").cast("long") - 1), lambda j: F.least(F.col("own"), j) * F.col("chunks") + F.greatest(F.col("own"), j) + 1)
-        split = keyed.join(F.broadcast(sizes), "key").withColumn("own", own).select("key", "v", "sketch", F.explode(pairs).alias("part"))
-        dealt = dealt.join(F.broadcast(sizes), "key", "left_anti").select("key", "v", "sketch", "part").unionByName(split)
+        pairs = F.transform(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1), lambda j: F.least(F.col("own"), j) * F.col("chunks") + F.greatest(F.col("own"), j) + 1)
+        joined = keyed.join(hot, "key", "left").withColumn("own", own)
+        dealt = joined.select("key", "v", "sketch", F.explode(F.when(F.col("chunks").isNull(), F.array(F.lit(0).cast("long"))).otherwise(pairs)).alias("part"))
 
     def edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
@@ -153,7 +154,7 @@ def _bucket_edges(keyed: DataFrame, near_in: Callable[[np.ndarray, pa.Array], tu
         if held is not None and len(held):
             yield found(held)
 
-    return dealt.repartition("key", "part").sortWithinPartitions("key", "part").mapInArrow(edges, "a long, b long, said double").distinct()
+    return dealt.repartition(tasks, "key", "part").sortWithinPartitions("key", "part").mapInArrow(edges, "a long, b long, said double").distinct()
 
 
 _SEGMENT = np.array([0xFFFF << (16 * k) for k in range(4)], np.uint64)
@@ -185,20 +186,23 @@ def link(fps: DataFrame, distance: int = DISTANCE, bucket: int = BUCKET) -> Data
         segment = lambda k: F.shiftrightunsigned("fp", 16 * (k % 4)).bitwiseAND(0xFFFF)
         for bit in range(16):
             keys.append(F.shiftleft(segment(i), 22) + F.shiftleft(segment(i + 1).bitwiseAND(0xFFFF ^ (1 << bit)), 6) + (bit * 4 + i))
-    keyed = fps.select(F.col("fp").alias("v"), F.col("fp").alias("sketch"), F.explode(F.array(*keys)).alias("key"))
-    return _bucket_edges(keyed, _near_bits(distance), bucket).select("a", "b")
+    tasks = -(-fps.count() * len(keys) // ROWS_PER_TASK) or 1
+    spread = fps.repartition(tasks, "fp")  # few rows before the explode, very many after it
+    keyed = spread.select(F.col("fp").alias("v"), F.col("fp").alias("sketch"), F.explode(F.array(*keys)).alias("key"))
+    return _bucket_edges(keyed, _near_bits(distance), bucket, tasks).select("a", "b")
 
 
 def linked(docs: DataFrame, text: str = "text", key: str = "doc_id", words: int = WORDS, distance: int = DISTANCE, bucket: int = BUCKET) -> DataFrame:
     """docs without text, with fingerprint (hex) and component_id: the smallest key that can be reached by links, its own included."""
     kept = without(docs, "fingerprint", "component_id")
-    prints = written(kept.withColumn("_fp", fingerprint_of(words)(F.coalesce(F.col(text), F.lit("")))).drop(text), "prints")
-    distinct = prints.groupBy(F.col("_fp").alias("fp")).agg(F.min(key).alias("least"))
+    own = free_name(kept, "fp")
+    prints = written(kept.withColumn(own, fingerprint_of(words)(F.coalesce(F.col(text), F.lit("")))).drop(text), "prints")
+    distinct = written(prints.groupBy(F.col(own).alias("fp")).agg(F.min(key).alias("least")), "distinct")
     roots = components(link(distinct.select("fp"), distance, bucket))
     grouped = distinct.join(roots.withColumnRenamed("v", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = grouped.groupBy("root").agg(F.min("least").alias("component_id"))
-    answer = grouped.join(least, "root").select(F.col("fp").alias("_fp"), "component_id")
-    return prints.join(answer, "_fp").withColumn("fingerprint", F.lower(F.lpad(F.hex("_fp"), 16, "0"))).drop("_fp")
+    answer = grouped.join(least, "root").select(F.col("fp").alias(own), "component_id")
+    return prints.join(answer, own).withColumn("fingerprint", F.lower(F.lpad(F.hex(own), 16, "0"))).drop(own)
 
 
 NEAR_WORDS, SIMILARITY = 5, 0.8
@@ -326,12 +330,13 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", wo
 
     docs must be read the same way twice (a table scan or checkpoint): its rows are numbered by position.
     """
-    numbered = docs.withColumn("_row", F.monotonically_increasing_id())
-    own = F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("id"), F.col("_row").alias("row"))
+    row = free_name(docs, "row")
+    numbered = docs.withColumn(row, F.monotonically_increasing_id())
+    own = F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("id"), F.col(row).alias("row"))
     sketched = written(numbered.select(own.alias("own"), sketch_of(words)(F.coalesce(F.col(text), F.lit(""))).alias("s")).select("own", "s.*"), "sketches")
     texts = written(sketched.groupBy("h").agg(F.min("own").alias("own"), F.min("sketch").alias("sketch"), F.min("keys").alias("keys")).withColumn("v", F.col("own.row")), "texts")
-    found = written(_bucket_edges(texts.select("v", "sketch", F.explode("keys").alias("key")), _near_sets(similarity), bucket), "pairs")
-    edges = _settled(found, numbered.select(F.col("_row").alias("v"), F.coalesce(F.col(text), F.lit("")).alias("text")), words, similarity)
+    found = written(_bucket_edges(texts.select("v", "sketch", F.explode("keys").alias("key")), _near_sets(similarity), bucket, -(-texts.count() * SEGMENTS // SKETCHES_PER_TASK) or 1), "pairs")
+    edges = _settled(found, numbered.select(F.col(row).alias("v"), F.coalesce(F.col(text), F.lit("")).alias("text")), words, similarity)
     grouped = texts.select("v", "own").join(components(edges), "v", "left")
-    stays = grouped.groupBy(F.coalesce("root", "v").alias("g")).agg(F.min("own").alias("own")).select(F.col("own.row").alias("_row"))
-    return numbered.join(stays, "_row", "left_semi").drop("_row")
+    stays = grouped.groupBy(F.coalesce("root", "v").alias("g")).agg(F.min("own").alias("own")).select(F.col("own.row").alias(row))
+    return numbered.join(stays, row, "left_semi").drop(row)

@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from statloom.llm import components, decontaminate, encoding, grammar_ids, langid, licenses, neighbours, packing, quality, sharding, simhash, token_counts
-from statloom.llm.queries import vocabulary
+from statloom.llm.encoding import resolved as vocabulary
 from statloom.session import new_path
 
 BYTE, WORD = vocabulary("byte_bpe_50k.json"), vocabulary("word_bpe_49k.json")
@@ -51,12 +51,15 @@ def test_sharding(spark, odd, none):
     assert sharding.shuffle_into_shards(none, 4).count() == 0
 
 
-def test_sharding_splits_a_repeated_id(spark):
+@pytest.mark.parametrize("max_tasks", [20_000, 3])
+def test_sharding_splits_a_repeated_id(spark, max_tasks):
+    """Many small buckets, one or several a task; three quarters of the rows have one id."""
     docs = spark.range(400).select(F.when(F.col("id") < 300, 7).otherwise(F.col("id")).alias("doc_id"), F.repeat(F.lit("x"), 100).alias("text"))
-    bucket, rows = sharding._scatter(docs.withColumn("place", F.monotonically_increasing_id()), "doc_id", "text", 1, 2000, "place")
-    assert sum(rows) == 400 and max(rows) < 150
-    got = sharding.shuffle_into_shards(docs, 7, bucket_bytes=2000).groupBy("shard").agg(F.count("*").alias("n"), F.max("slot").alias("m"), F.countDistinct("slot").alias("d")).collect()
-    assert {r.n for r in got} == {57, 58} and all(r.n == r.d == r.m + 1 for r in got)
+    got = sharding.shuffle_into_shards(docs, 7, bucket_bytes=2000, max_tasks=max_tasks)
+    by_shard = got.groupBy("shard").agg(F.count("*").alias("n"), F.max("slot").alias("m"), F.countDistinct("slot").alias("d")).collect()
+    assert {r.n for r in by_shard} == {57, 58} and all(r.n == r.d == r.m + 1 for r in by_shard)
+    assert got.where("doc_id = 7").count() == 300 and got.select("doc_id").distinct().count() == 101
+    assert sorted(got.collect()) == sorted(sharding.shuffle_into_shards(docs, 7, bucket_bytes=2000, max_tasks=max_tasks).collect())
 
 
 def test_sharding_order_is_shuffled(spark):
@@ -458,9 +461,12 @@ def test_few_vectors(spark):
     assert neighbours.nearest(df.limit(0), F.lit(True)).count() == 0
 
 
-def test_ppm_code_lengths(monkeypatch):
-    """The table against a plain PPM coder with exclusion."""
-    monkeypatch.setattr(langid, "LEAST_SEEN", 1)
+@pytest.mark.parametrize("piece", [1 << 18, 1, 2, 5])
+@pytest.mark.parametrize("cached", [1 << 22, 4])
+def test_ppm_code_lengths(monkeypatch, piece, cached):
+    """The trees against a plain PPM coder with exclusion, whatever the slices and the cache."""
+    monkeypatch.setattr(langid, "_SLICE", piece)
+    monkeypatch.setattr(langid, "CACHED", cached)
     train = {"x": "abracadabra abra\n", "y": "the cat sat on the mat"}
     trees = langid.Trees(sorted(train), [langid.grams(pa.array([train[n]])) for n in sorted(train)])
 
@@ -485,10 +491,9 @@ def test_ppm_code_lengths(monkeypatch):
                 bits += np.log2(256 - len(out))
         return bits
 
-    texts = ["abra", "the mat abra", "", "zebra é", "cadab"]
-    array = pa.array(texts)
-    for data, offsets in licenses.text_blocks(array):
-        got = trees.lengths(data, offsets)
+    texts = ["abra", "the mat abra", "", "zebra é", "cadab", "a", "", "abracadabra the cat sat, abra"]
+    for data, offsets in licenses.text_blocks(pa.array(texts)):
+        got = [trees.lengths(data, offsets) for _ in range(2)][1]
     for row, t in zip(got, texts, strict=True):
         assert row == pytest.approx([plain(t, train[n]) for n in sorted(train)], abs=1e-3)
 
@@ -586,3 +591,60 @@ def test_licenses(spark, odd, none):
 
 def test_crc_of_binary_is_unsigned(spark):
     assert spark.range(1).select(F.crc32(F.lit(b"\xff\x00")).alias("c")).first().c == zlib.crc32(b"\xff\x00")
+
+
+def test_names_of_helper_columns_stay(spark):
+    """Whatever an input column is called, it comes out as it was."""
+    names = ["scan", "_scan", "best", "_best", "fp", "_fp", "row", "_row", "bucket", "place", "g", "k"]
+    docs = spark.createDataFrame([(i, f"text of document {i} under the MIT License", *map(str, range(len(names)))) for i in range(4)], "doc_id long, text string, " + ", ".join(f"{n} string" for n in names))
+    model = langid.learn(docs.withColumn("lang", F.lit("en")), F.lit(True))
+    for got in (licenses.scan_licenses(docs), langid.identify(docs, model), simhash.linked(docs), simhash.near_duplicates(docs), sharding.shuffle_into_shards(docs, 2), quality.score(docs, None), token_counts.count_tokens(docs, BYTE)):
+        assert [[r[n] for n in names] for r in got.collect()] == [list(map(str, range(len(names))))] * got.count()
+
+
+def test_lines_that_begin_alike_are_no_twins():
+    data = np.frombuffer(b"the same beginning, one end\nthe same beginning, two end\nthe same beginning, two end\nbeginning! beginning? beginning?", np.uint8)
+    x, _, _ = quality.lines(data, np.array([0, len(data)]))
+    twin, repeats = len(quality.CLASSES) + 3, len(quality.CLASSES) + 2
+    assert x[:, twin].tolist() == [0, 0, 1, 0] and x[:, repeats].tolist() == pytest.approx([0, 0, 0, 1 / 3])
+
+
+def test_neighbours_of_extreme_vectors(spark):
+    rows = [(0, [1e200, 1e200]), (1, [1e200, 0.0]), (2, [1e-200, 1e-200]), (3, [5e-324, 0.0]), (4, [-1.0, 1.0]), (5, [1e308, -1e308])]
+    got = neighbours.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") == 0).orderBy("rank").collect()
+    assert [r.vec_id for r in got] == [2, 1, 3, 4, 5] and [round(r.score, 6) for r in got] == [1.0, 0.707107, 0.707107, 0.0, 0.0]
+
+
+def test_items_in_very_long_and_repetitive_texts(spark):
+    item = " ".join(f"w{i}x{i * 7}" for i in range(40))
+    again = "abc " * 40
+    bench = spark.createDataFrame([(1, item), (2, again)], "item_id long, text string")
+    docs = spark.createDataFrame([(1, LONG + " " + item.replace("w3", "v3") + " " + LONG), (2, "abc " * 20_000), (3, "abd " * 20_000), (4, LONG)], "doc_id long, text string")
+    got = {(r.doc_id, r.item_id): r.distance for r in decontaminate.contaminated(docs, bench).collect()}
+    assert got.keys() == {(1, 1), (2, 2)} and 0 < got[(1, 1)] <= 12 and got[(2, 2)] == 0
+
+
+def test_each_text_is_searched_once(spark, odd):
+    bench = spark.createDataFrame([(1, "some item of a benchmark")], "item_id long, text string")
+    plan = decontaminate.contaminated(odd, bench)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
+
+
+def brute_chains(anchors, gap):
+    """The most words that any chain of anchors covers, by trying all."""
+
+    def best(i):
+        d, t, n = anchors[i]
+        return n + max((best(j) - max(0, d + n - anchors[j][0], t + n - anchors[j][1]) for j in range(len(anchors)) if anchors[j][0] > d and anchors[j][1] > t and max(0, d + n - anchors[j][0], t + n - anchors[j][1]) < anchors[j][2] and anchors[j][0] - d - n <= gap and anchors[j][1] - t - n <= gap), default=0)
+
+    return max(map(best, range(len(anchors))), default=0)
+
+
+def test_chains_equal_brute_force():
+    rng = random.Random(13)
+    for _ in range(300):
+        anchors = [(rng.randrange(20), rng.randrange(12), rng.randint(3, 5)) for _ in range(rng.randint(0, 7))]
+        got = licenses.chains(anchors, 30, 4)
+        assert max((c for _, _, c in got), default=0) == brute_chains(sorted(set(anchors)), 4)
+        spans = [(a, b) for a, b, _ in got]
+        assert all(a <= b for a, b in spans) and len(spans) <= len(anchors)

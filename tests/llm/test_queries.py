@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from statloom.llm import decontaminate, queries
-from statloom.llm.queries import vocabulary
+from statloom.llm.encoding import resolved as vocabulary
 
 SMALL, LARGER = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
 
@@ -248,7 +248,7 @@ def test_pipeline(spark, docs, ids, leaks):
     for k, a in enumerate(order):
         for b in order[k + 1 :]:
             j = len(sets[a] & sets[b]) / max(1, len(sets[a] | sets[b]))
-            assert not (j >= 0.86 and a in stays and b in stays)
+            assert not (j >= 0.8 and a in stays and b in stays)
             if j >= 0.7:
                 alike[a].add(b)
                 alike[b].add(a)
