@@ -14,8 +14,9 @@ Two rings use this:
   differ by up to 15 bits, for which no segment is selective (see the README), so this ring has 12 segments, each the
   smallest shingle hash under a permutation of its own. Pairs meet where two neighbouring segments are equal; no budget
   for the others throws away a pair that has met. The full check deals each text's shingle hashes into 1024
-  bins and compares four bits of the smallest of every bin. Estimates from 0.72 to 0.85 stay open: such pairs are
-  counted exactly, by their sets of shingle hashes, unless other edges connect them.
+  bins and compares four bits of the smallest of every bin. Estimates from 0.72 to 0.85 stay open: what the sure
+  edges don't connect meets again, with its whole set of shingle hashes, in the buckets where it stayed open, and is
+  counted exactly there. So rows grow with texts, not with pairs.
 
 Equal sketches are one vertex. Within a bucket of equal keys only the edges of a spanning forest come out, found by
 visiting: each sketch is compared with those not reached yet. Buckets of more than BUCKET sketches are dealt out as
@@ -33,7 +34,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
@@ -46,6 +47,7 @@ WORDS, SEED, DISTANCE = 3, 42, 3
 BUCKET = 4096
 ROWS_PER_TASK = 1 << 18  # of keys with fingerprints
 SKETCHES_PER_TASK = 1 << 15  # of keys with sketches, half a kilobyte each
+SETS_PER_TASK = 1 << 12  # of keys with whole sets
 
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
@@ -97,51 +99,28 @@ def visit(n: int, near: Callable[[int, np.ndarray], np.ndarray]) -> list[tuple[i
     return edges
 
 
-def _between(edges: list[tuple[int, int]], n: int, opened: list[tuple[int, np.ndarray, np.ndarray]]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """Of the opened pairs (i, others, what is said of each), those that the edges leave unconnected."""
-    group = np.arange(n)
-    for i, j in edges:  # in the order of visiting: i has its group
-        group[j] = group[i]
-    for i, others, said in opened:
-        apart = group[others] != group[i]
-        if apart.any():
-            yield i, others[apart], said[apart]
-
-
-def _bucket_edges(keyed: DataFrame, near_in: Callable[[np.ndarray, pa.Array], tuple[Callable, list]], bucket: int, tasks: int) -> DataFrame:
-    """(a, b, said) of near vertices, where said is null, and of those that may be near. keyed: key long, v long, sketch."""
+def _scanned(keyed: DataFrame, look: Callable[[int, pa.Table], tuple[np.ndarray, np.ndarray, np.ndarray]], bucket: int, tasks: int) -> DataFrame:
+    """What look(key, rows) finds in each bucket of rows with one key: (a long, b long, open boolean). keyed: key long, v long and what look needs."""
     hot = written(keyed.groupBy("key").count().where(F.col("count") > bucket).select("key", F.ceil(2 * F.col("count") / bucket).cast("long").alias("chunks")), "hot")
+    own = keyed.columns
     if hot.isEmpty():
         dealt = keyed.withColumn("part", F.lit(0).cast("long"))
     else:  # each row of a hot key goes to every pair of chunks that holds its own
-        own = F.pmod(F.xxhash64(F.lit(5), "v"), F.col("chunks")).cast("long")
-        pairs = F.transform(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1), lambda j: F.least(F.col("own"), j) * F.col("chunks") + F.greatest(F.col("own"), j) + 1)
-        joined = keyed.join(hot, "key", "left").withColumn("own", own)
-        dealt = joined.select("key", "v", "sketch", F.explode(F.when(F.col("chunks").isNull(), F.array(F.lit(0).cast("long"))).otherwise(pairs)).alias("part"))
+        chunk = F.pmod(F.xxhash64(F.lit(5), "v"), F.col("chunks")).cast("long")
+        pairs = F.transform(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1), lambda j: F.least(F.col("chunk"), j) * F.col("chunks") + F.greatest(F.col("chunk"), j) + 1)
+        joined = keyed.join(hot, "key", "left").withColumn("chunk", chunk)
+        dealt = joined.select(*own, F.explode(F.when(F.col("chunks").isNull(), F.array(F.lit(0).cast("long"))).otherwise(pairs)).alias("part"))
 
-    def edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
 
         def found(rows: pa.Table) -> pa.RecordBatch:
             key, part = rows.column("key").to_numpy(), rows.column("part").to_numpy()
-            v, sketch = rows.column("v").to_numpy(), rows.column("sketch").combine_chunks()
-            sketch = pa.concat_arrays(sketch.chunks) if isinstance(sketch, pa.ChunkedArray) else sketch
             change = np.flatnonzero((key[1:] != key[:-1]) | (part[1:] != part[:-1])) + 1
             starts, ends = np.concatenate([[0], change]), np.concatenate([change, [len(key)]])
-            a, b, said = [], [], []
-            for s, e in zip(starts[ends - starts > 1].tolist(), ends[ends - starts > 1].tolist(), strict=True):
-                near, opened = near_in(key[s], sketch.slice(s, e - s))
-                forest = visit(e - s, near)
-                for i, j in forest:
-                    a.append(v[s + i : s + i + 1])
-                    b.append(v[s + j : s + j + 1])
-                    said.append(np.full(1, np.nan))
-                for i, others, so in _between(forest, e - s, opened):
-                    a.append(np.minimum(v[s + i], v[s + others]))
-                    b.append(np.maximum(v[s + i], v[s + others]))
-                    said.append(so)
-            a, b, said = (np.concatenate([np.zeros(0, t), *x]) for t, x in ((np.int64, a), (np.int64, b), (np.float64, said)))
-            return pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "said": pa.array(said, pa.float64(), from_pandas=True)})
+            got = [look(int(key[s]), rows.slice(s, e - s)) for s, e in zip(starts.tolist(), ends.tolist(), strict=True) if e - s > 1]
+            a, b, opened = (np.concatenate([np.zeros(0, t), *x]) for t, x in zip((np.int64, np.int64, bool), zip(*got, strict=True) if got else ((), (), ()), strict=True))
+            return pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "open": pa.array(opened, pa.bool_())})
 
         for batch in batches:
             rows = pa.Table.from_batches([batch])
@@ -154,16 +133,17 @@ def _bucket_edges(keyed: DataFrame, near_in: Callable[[np.ndarray, pa.Array], tu
         if held is not None and len(held):
             yield found(held)
 
-    return dealt.repartition(tasks, "key", "part").sortWithinPartitions("key", "part").mapInArrow(edges, "a long, b long, said double").distinct()
+    return dealt.repartition(tasks, "key", "part").sortWithinPartitions("key", "part").mapInArrow(scan, "a long, b long, open boolean").distinct()
 
 
 _SEGMENT = np.array([0xFFFF << (16 * k) for k in range(4)], np.uint64)
 
 
 def _near_bits(distance: int):
-    def near_in(key: int, sketch: pa.Array):
-        x = sketch.to_numpy().view(np.uint64)
-        i = int(key) & 3
+    def look(key: int, rows: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        v = rows.column("v").to_numpy()
+        x = v.view(np.uint64)
+        i = key & 3
         chain = _SEGMENT[i] | _SEGMENT[(i + 1) % 4] | _SEGMENT[(i + 2) % 4]
 
         def near(k: int, others: np.ndarray) -> np.ndarray:
@@ -172,9 +152,10 @@ def _near_bits(distance: int):
             ok[ok] = np.bitwise_count(z[ok]) <= distance
             return ok
 
-        return near, []
+        edges = np.array(visit(len(v), near), np.int64).reshape(-1, 2)
+        return v[edges[:, 0]], v[edges[:, 1]], np.zeros(len(edges), bool)
 
-    return near_in
+    return look
 
 
 def link(fps: DataFrame, distance: int = DISTANCE, bucket: int = BUCKET) -> DataFrame:
@@ -188,8 +169,8 @@ def link(fps: DataFrame, distance: int = DISTANCE, bucket: int = BUCKET) -> Data
             keys.append(F.shiftleft(segment(i), 22) + F.shiftleft(segment(i + 1).bitwiseAND(0xFFFF ^ (1 << bit)), 6) + (bit * 4 + i))
     tasks = -(-fps.count() * len(keys) // ROWS_PER_TASK) or 1
     spread = fps.repartition(tasks, "fp")  # few rows before the explode, very many after it
-    keyed = spread.select(F.col("fp").alias("v"), F.col("fp").alias("sketch"), F.explode(F.array(*keys)).alias("key"))
-    return _bucket_edges(keyed, _near_bits(distance), bucket, tasks).select("a", "b")
+    keyed = spread.select(F.col("fp").alias("v"), F.explode(F.array(*keys)).alias("key"))
+    return _scanned(keyed, _near_bits(distance), bucket, tasks).select("a", "b")
 
 
 def linked(docs: DataFrame, text: str = "text", key: str = "doc_id", words: int = WORDS, distance: int = DISTANCE, bucket: int = BUCKET) -> DataFrame:
@@ -207,7 +188,6 @@ def linked(docs: DataFrame, text: str = "text", key: str = "doc_id", words: int
 
 NEAR_WORDS, SIMILARITY = 5, 0.8
 BELOW, ABOVE = 0.08, 0.05  # estimates so far from the similarity are taken as they are; what lies between is counted
-TRIES = 8  # exact counts between two groups in the first round
 SEGMENTS, BINS = 12, 1024
 
 
@@ -248,7 +228,7 @@ def similarities(one: np.ndarray, others: np.ndarray) -> np.ndarray:
 
 
 def sketch_of(words: int = NEAR_WORDS):
-    """A column function: a 128-bit hash of the text, its sketch (the bins), and the ring's keys."""
+    """A column function: a 128-bit hash of the text, its sketch (the bins, then the ring), and the ring's keys, each of which ends in its place."""
 
     @arrow_udf("struct<h:binary,sketch:binary,keys:array<long>>")
     def found(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
@@ -259,70 +239,93 @@ def sketch_of(words: int = NEAR_WORDS):
                     own = shingle_hashes(t, words)
                     m = ring_of(own)
                     h.append(xxhash.xxh3_128_digest((t or "").encode()))
-                    sketch.append(bins_of(own).tobytes())
+                    sketch.append(bins_of(own).tobytes() + m.tobytes())
                     ring = m.tolist()
-                    keys.append([xxhash.xxh64_intdigest(b"%d %d %d" % (i, ring[i], ring[(i + 1) % SEGMENTS])) - (1 << 63) for i in range(SEGMENTS)])
+                    keys.append([(xxhash.xxh64_intdigest(b"%d %d" % (ring[i], ring[(i + 1) % SEGMENTS])) - (1 << 63)) & -16 | i for i in range(SEGMENTS)])
                 yield pa.StructArray.from_arrays([pa.array(h, pa.binary()), pa.array(sketch, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], ["h", "sketch", "keys"])
 
     return found
 
 
-def _near_sets(similarity: float):
-    def near_in(_: int, sketch: pa.Array):
-        x = np.frombuffer(b"".join(sketch.to_pylist()), np.uint8).reshape(-1, BINS // 2)
-        unpacked = lambda rows: np.concatenate([rows & 15, rows >> 4], axis=-1)
-        opened = []
-
-        def near(k: int, others: np.ndarray) -> np.ndarray:
-            said = similarities(unpacked(x[k]), unpacked(x[others]))
-            ok = said >= similarity + ABOVE
-            maybe = ~ok & (said >= similarity - BELOW)
-            if maybe.any():
-                opened.append((k, others[maybe], said[maybe]))
-            return ok
-
-        return near, opened
-
-    return near_in
-
-
 def sets_of(words: int = NEAR_WORDS):
-    """A column function: the distinct shingle hashes of each text."""
+    """A column function: the distinct shingle hashes of each text, sorted."""
 
-    @arrow_udf("array<long>")
+    @arrow_udf("binary")
     def found(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
             for part in by_bytes(texts):
-                yield pa.array([np.unique(shingle_hashes(t, words)).view(np.int64) for t in part], pa.list_(pa.int64()))
+                yield pa.array([np.unique(shingle_hashes(t, words)).tobytes() for t in part], pa.binary())
 
     return found
 
 
-def _settled(found: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
-    """(a, b): the sure edges of found, and enough of the open ones of such an exact similarity to connect what all of them do.
+class _Bucket:
+    """The sketches of a bucket. A pair is looked at in the first bucket that both are in, and nowhere else."""
 
-    texts: v, text. Each round counts the open pairs with the highest estimates between any two groups that aren't
-    connected yet, then looks at more of them, until none is left.
-    """
-    edges, left = found.where("said is null").select("a", "b"), found.where("said is not null")
-    if left.isEmpty():
-        return edges
-    ends = left.select(F.explode(F.array("a", "b")).alias("v")).distinct()
-    sets = written(texts.join(ends, "v", "left_semi").select("v", sets_of(words)("text").alias("own")), "sets")
-    tries = TRIES
-    while True:
-        roots = components(edges)
-        for end in ("a", "b"):
-            left = left.join(roots.select(F.col("v").alias(end), F.col("root").alias(f"root_{end}")), end, "left").withColumn(f"root_{end}", F.coalesce(f"root_{end}", end))
-        groups = Window.partitionBy(F.least("root_a", "root_b"), F.greatest("root_a", "root_b")).orderBy(F.desc("said"), "a", "b")
-        left = written(left.where("root_a <> root_b").select("a", "b", "said", F.row_number().over(groups).alias("rank")), "open")
-        now = left.where(F.col("rank") <= tries).select("a", "b").join(sets.select(F.col("v").alias("a"), F.col("own").alias("one")), "a").join(sets.select(F.col("v").alias("b"), F.col("own").alias("other")), "b")
-        now = now.select("a", "b", F.size("one").alias("m"), F.size("other").alias("n"), F.size(F.array_intersect("one", "other")).alias("both"))
-        edges = written(edges.unionByName(now.where(F.col("both") / (F.col("m") + F.col("n") - F.col("both")) >= similarity).select("a", "b")), "edges")
-        left = left.where(F.col("rank") > tries).select("a", "b", "said")
-        if left.isEmpty():
-            return edges
-        tries *= 16
+    def __init__(self, key: int, rows: pa.Table):
+        x = np.frombuffer(b"".join(rows.column("sketch").to_pylist()), np.uint8).reshape(len(rows), -1)
+        self.bins, self.ring, self.place = x[:, : BINS // 2], np.ascontiguousarray(x[:, BINS // 2 :]).view(np.uint32), key & 15
+
+    def estimates(self, k: int, others: np.ndarray) -> np.ndarray:
+        """Estimated similarities, -1 for pairs of other buckets."""
+        same = self.ring[others] == self.ring[k]
+        met = same & np.roll(same, -1, axis=1)
+        own = met[:, self.place] & ~met[:, : self.place].any(1)
+        out = np.full(len(others), -1.0)
+        unpacked = lambda rows: np.concatenate([rows & 15, rows >> 4], axis=-1)
+        if own.any():
+            out[own] = similarities(unpacked(self.bins[k]), unpacked(self.bins[others[own]]))
+        return out
+
+
+def _sure_sets(similarity: float):
+    """Edges of pairs that are near beyond doubt; and, as (vertex, key), what may be near something that those leave apart."""
+
+    def look(key: int, rows: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        own, v, opened = _Bucket(key, rows), rows.column("v").to_numpy(), []
+
+        def near(k: int, others: np.ndarray) -> np.ndarray:
+            said = own.estimates(k, others)
+            ok = said >= similarity + ABOVE
+            maybe = ~ok & (said >= similarity - BELOW)
+            if maybe.any():
+                opened.append((k, others[maybe]))
+            return ok
+
+        edges = np.array(visit(len(v), near), np.int64).reshape(-1, 2)
+        group, unsure = np.arange(len(v)), np.zeros(len(v), bool)
+        for i, j in edges.tolist():  # in the order of visiting: i has its group
+            group[j] = group[i]
+        for i, others in opened:
+            apart = others[group[others] != group[i]]
+            unsure[apart] = True
+            unsure[i] |= len(apart) > 0
+        a = np.concatenate([v[edges[:, 0]], v[unsure]])
+        return a, np.concatenate([v[edges[:, 1]], np.full(int(unsure.sum()), key)]), np.arange(len(a)) >= len(edges)
+
+    return look
+
+
+def _exact_sets(similarity: float):
+    """Edges that connect what is near by the sets themselves; rows of one root are connected already."""
+
+    def look(key: int, rows: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        own, v, root, edges = _Bucket(key, rows), rows.column("v").to_numpy(), rows.column("root").to_numpy().copy(), []
+        sets = [np.frombuffer(x, np.uint64) for x in rows.column("own").to_pylist()]
+        size = np.array([len(x) for x in sets])
+        for k in range(len(v)):
+            others = k + 1 + np.flatnonzero((root[k + 1 :] != root[k]) & (np.minimum(size[k + 1 :], size[k]) >= similarity * np.maximum(size[k + 1 :], size[k])))
+            said = own.estimates(k, others)
+            for j in others[np.argsort(-said, kind="stable")[: int((said >= similarity - BELOW).sum())]].tolist():
+                if root[j] != root[k]:
+                    both = len(np.intersect1d(sets[k], sets[j], assume_unique=True))
+                    if both >= similarity * (size[k] + size[j] - both):
+                        edges.append((v[k], v[j]))
+                        root[root == root[j]] = root[k]
+        found = np.array(edges, np.int64).reshape(-1, 2)
+        return found[:, 0], found[:, 1], np.zeros(len(found), bool)
+
+    return look
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", words: int = NEAR_WORDS, similarity: float = SIMILARITY, bucket: int = BUCKET) -> DataFrame:
@@ -335,8 +338,21 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", wo
     own = F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("id"), F.col(row).alias("row"))
     sketched = written(numbered.select(own.alias("own"), sketch_of(words)(F.coalesce(F.col(text), F.lit(""))).alias("s")).select("own", "s.*"), "sketches")
     texts = written(sketched.groupBy("h").agg(F.min("own").alias("own"), F.min("sketch").alias("sketch"), F.min("keys").alias("keys")).withColumn("v", F.col("own.row")), "texts")
-    found = written(_bucket_edges(texts.select("v", "sketch", F.explode("keys").alias("key")), _near_sets(similarity), bucket, -(-texts.count() * SEGMENTS // SKETCHES_PER_TASK) or 1), "pairs")
-    edges = _settled(found, numbered.select(F.col(row).alias("v"), F.coalesce(F.col(text), F.lit("")).alias("text")), words, similarity)
+    keyed = texts.select("v", F.explode("keys").alias("key"))
+    shared = keyed.groupBy("key").count().where("count > 1").select("key")  # sketches travel only where something meets
+    meeting = written(keyed.join(shared, "key", "left_semi"), "meeting")
+    tasks = -(-meeting.count() // SKETCHES_PER_TASK) or 1
+    found = written(_scanned(meeting.join(texts.select("v", "sketch"), "v"), _sure_sets(similarity), bucket, tasks), "pairs")
+    sure = found.where("not open").select("a", "b")
+    edges = sure
+    unsure = found.where("open").select(F.col("a").alias("v"), F.col("b").alias("key"))
+    if not unsure.isEmpty():
+        rooted = unsure.join(components(sure), "v", "left").withColumn("root", F.coalesce("root", "v"))
+        apart = rooted.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least < most").select("key")
+        left = written(rooted.join(apart, "key", "left_semi"), "open")
+        whole = numbered.select(F.col(row).alias("v"), F.coalesce(F.col(text), F.lit("")).alias("text")).join(left.select("v").distinct(), "v", "left_semi").select("v", sets_of(words)("text").alias("own"))
+        counted = left.join(written(whole, "sets"), "v").join(texts.select("v", "sketch"), "v")
+        edges = sure.unionByName(_scanned(counted, _exact_sets(similarity), bucket // 4 or 1, -(-left.count() // SETS_PER_TASK) or 1).select("a", "b"))
     grouped = texts.select("v", "own").join(components(edges), "v", "left")
     stays = grouped.groupBy(F.coalesce("root", "v").alias("g")).agg(F.min("own").alias("own")).select(F.col("own.row").alias(row))
     return numbered.join(stays, row, "left_semi").drop(row)
