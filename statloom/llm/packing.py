@@ -103,6 +103,6 @@ def pack(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", le
             yield from packed(group).to_batches()
 
     tasks = min(groups, MAX_TASKS)
-    grouped = pieces.repartition(tasks, "g").sortWithinPartitions("g")
+    grouped = pieces.repartitionById(tasks, F.col("g") % tasks).sortWithinPartitions("g")  # by hash, some tasks would get several groups and others none
     out = grouped.mapInArrow(groups_of, f"k {kind}, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")
     return out.withColumnRenamed("k", key)
