@@ -12,7 +12,15 @@ MODULES = [season, movement, texts, boards, streams, upkeep, pages]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: q for m in MODULES for name, q in m.QUERIES.items()}
+    return {name: _alone(q) for m in MODULES for name, q in m.QUERIES.items()}
+
+
+def _alone(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        season.forget()
+        return query(spark, sf_dir)
+
+    return run
 
 
 def oracle_sql() -> dict[str, str]:

@@ -36,7 +36,7 @@ def direction(delta: Column) -> Column:
 
 def band(percentile: Column) -> Column:
     """Named bands from 90, 75, 60, 50 and 35 on."""
-    return F.when(percentile >= 90, "elite").when(percentile >= 75, "strong").when(percentile >= 60, "good").when(percentile >= 50, "average").when(percentile >= 35, "below").otherwise("weak")
+    return F.when(percentile >= 90, "elite").when(percentile >= 75, "strong").when(percentile >= 60, "above average").when(percentile >= 50, "average").when(percentile >= 35, "below average").otherwise("poor")
 
 
 def conviction(delta: Column) -> Column:

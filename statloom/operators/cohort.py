@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import key_of
+from ..session import written
 
 
 def percentiles(long: DataFrame, cohort: list[str], value: str = "value", inverse: Column | None = None, name: str = "pct") -> DataFrame:
@@ -15,6 +16,26 @@ def percentiles(long: DataFrame, cohort: list[str], value: str = "value", invers
     return long.withColumn(name, F.round(100 * flipped, 1)).withColumn("sample_size", F.count("*").over(Window.partitionBy(*cohort)))
 
 
+def percent_ranks(df: DataFrame, cohort: list[str], value: Column, name: str) -> DataFrame:
+    """df with each row's percent_rank within its cohort, for cohorts of any size.
+
+    A window would sort a whole cohort in one task. Here equal values are counted first (most of it before the shuffle),
+    the counts are dealt out by ranges of (cohort, value), and each range's running sum begins with what the ranges before
+    it hold; rows get the place of their value by a join. Nulls are a value of their own, the smallest.
+    """
+    keyed = df.withColumn("_v", value)
+    counts = keyed.groupBy(*cohort, "_v").agg(F.count("*").alias("_c"))
+    dealt = written(counts.repartitionByRange(*cohort, "_v").withColumn("_p", F.spark_partition_id()), "ranks")
+    before = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    parts = dealt.groupBy("_p", *cohort).agg(F.sum("_c").alias("_s"))
+    starts = parts.select("_p", *cohort, F.coalesce(F.sum("_s").over(before(Window.partitionBy(*cohort).orderBy("_p"))), F.lit(0)).alias("_o"), F.sum("_s").over(Window.partitionBy(*cohort)).alias("_n"))
+    same = lambda a, b, columns: [F.col(f"{a}.{c}").eqNullSafe(F.col(f"{b}.{c}")) for c in columns]
+    local = dealt.withColumn("_b", F.coalesce(F.sum("_c").over(before(Window.partitionBy("_p", *cohort).orderBy("_v"))), F.lit(0)))
+    placed = local.alias("l").join(starts.alias("s"), same("l", "s", ["_p", *cohort])).select(*(f"l.{c}" for c in [*cohort, "_v"]), (F.col("_b") + F.col("_o")).alias("_below"), "_n")
+    ranked = keyed.alias("k").join(placed.alias("p"), same("k", "p", [*cohort, "_v"]))
+    return ranked.select(*(f"k.{c}" for c in df.columns), F.when(F.col("_n") > 1, F.col("_below") / (F.col("_n") - 1)).otherwise(0.0).alias(name))
+
+
 def scoped(long: DataFrame, scopes: dict[str, Column]) -> DataFrame:
     """One row for each scope that has a cohort: columns scope and cohort. One window then ranks all scopes."""
     rows = F.array(*(F.struct(F.lit(n).alias("scope"), c.cast("string").alias("cohort")) for n, c in scopes.items()))

@@ -37,9 +37,10 @@ def decay_upsert(before: DataFrame, now: DataFrame) -> DataFrame:
     return j.select("a", "b", after.alias("strength"), trajectory(after - F.coalesce("s0", F.lit(0.0))).alias("trajectory"), F.col("s1").isNotNull().alias("present"))
 
 
-def typed_strength(weight_sum: Column, sources: Column, fresh: Column) -> Column:
-    """0.5 evidence + 0.3 volume + 0.2 freshness, of 100."""
-    return 100 * (0.5 * F.least(F.lit(1.0), weight_sum / 4) + 0.3 * F.least(F.lit(1.0), sources / F.lit(3.0)) + 0.2 * fresh)
+def typed_strength(weight_sum: Column, sources: Column, recent: Column, total: Column, age: Column) -> Column:
+    """100 e^(-age/21) (0.5 evidence + 0.3 volume + 0.2 recent share), a whole number from 0 to 100."""
+    mix = 0.5 * F.least(F.lit(1.0), weight_sum / 4) + 0.3 * F.least(F.lit(1.0), F.greatest(sources, F.lit(1)) / F.lit(3.0)) + 0.2 * recent / F.greatest(total, F.lit(1))
+    return F.greatest(F.lit(0), F.least(F.lit(100), F.round(100 * F.exp(-age / 21.0) * mix).cast("int")))
 
 
 def reliability(confirmed: Column, prior: float = 5.0) -> Column:

@@ -19,13 +19,13 @@ def blend(a: DataFrame, b: DataFrame, keys: list[str], x: str, y: str) -> DataFr
 
 
 def trajectory(df: DataFrame, key: str, at: str, tie: str, value: str, share: float = 0.1, least: int = 3, most: int = 16, edge: float = 0.25) -> DataFrame:
-    """Least-squares slope over the last tenth of a key's rows (3 to 16), and its name."""
+    """Least-squares slope over the last tenth of a key's rows (3 to 16), and its name; 0 where there is one."""
     w = Window.partitionBy(key)
     n = F.least(F.greatest(F.round(share * F.count("*").over(w)), F.lit(least)), F.lit(most))
     place = F.row_number().over(w.orderBy(F.desc(at), F.desc(tie)))
     last = df.withColumns({"_n": n, "_p": place}).where("_p <= _n").withColumn("_x", -F.col("_p").cast("double"))
-    got = last.groupBy(key).agg(F.count("*").alias("n"), F.round(F.regr_slope(value, F.col("_x")), 6).alias("slope"))
-    return got.withColumn("trend", F.when(F.col("slope") > edge, "up").when(F.col("slope") < -edge, "down").otherwise("flat"))
+    got = last.groupBy(key).agg(F.count("*").alias("n"), F.round(F.coalesce(F.regr_slope(value, F.col("_x")), F.lit(0.0)), 6).alias("slope"))
+    return got.withColumn("trend", F.when(F.col("slope") > edge, "rising").when(F.col("slope") < -edge, "falling").otherwise("steady"))
 
 
 def shrunk(adjusted: Column, n: Column, recent: Column, same_side: Column) -> tuple[Column, Column]:

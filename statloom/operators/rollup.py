@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+MOST_DIGITS = 9
+
 
 def season_rollup(events: DataFrame, keys: list[str], measures: dict[str, Column], eligible: Column | None = None) -> DataFrame:
     return (events if eligible is None else events.where(eligible)).groupBy(*keys).agg(*(c.alias(n) for n, c in measures.items()))
@@ -22,7 +24,7 @@ def weighted_points(weights: dict[str, float]) -> Column:
 
 
 def rate_siblings(long: DataFrame, keys: list[str], registry: DataFrame) -> DataFrame:
-    """Rate-adjusted twins of flagged stats. registry: stat, suffix, denominator, formula, factor, digits.
+    """Rate-adjusted twins of flagged stats. registry: stat, suffix, denominator, formula, factor, and digits (0 to MOST_DIGITS; four where the column is absent).
 
     Formulas: div_mul (value / denominator * factor), mul_div (value * factor / denominator), div, mul. Twins read the
     input only, so they never cascade; without a denominator above zero there is none.
@@ -32,4 +34,5 @@ def rate_siblings(long: DataFrame, keys: list[str], registry: DataFrame) -> Data
     joined = long.join(F.broadcast(registry), "stat").alias("l").join(below.alias("b"), [*on, F.col("l.denominator") == F.col("b.denominator")]).where("d > 0")
     v, d, f = F.col("value"), F.col("d"), F.col("factor")
     made = F.when(F.col("formula") == "div_mul", v / d * f).when(F.col("formula") == "mul_div", v * f / d).when(F.col("formula") == "div", v / d).when(F.col("formula") == "mul", v * f)
-    return joined.select(*keys, F.concat("stat", "suffix").alias("stat"), F.round(made, 4).alias("value"))
+    rounded = F.coalesce(*(F.when(F.col("digits") == k, F.round(made, k)) for k in range(MOST_DIGITS + 1)), made) if "digits" in registry.columns else F.round(made, 4)
+    return joined.select(*keys, F.concat("stat", "suffix").alias("stat"), rounded.alias("value"))

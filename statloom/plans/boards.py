@@ -170,7 +170,7 @@ def notability(spark, d):
     r = s.select("l_suppkey", F.array(p("qty"), p("revenue"), p("lines")).alias("p"))
     high = F.size(F.filter("p", lambda x: x >= 85)).cast("double")
     mean = F.aggregate("p", F.lit(0.0), lambda a, x: a + x) / 3
-    return r.select("l_suppkey", F.round(X.notability(F.array_max("p"), high, mean), 4).alias("notability"))
+    return r.select("l_suppkey", X.notability(F.array_max("p"), high, mean).alias("notability"))
 
 
 def omen_ladder(spark, d):
@@ -233,9 +233,9 @@ ORACLES = {
     "part_progress": """WITH e AS (SELECT *, CAST(floor(date_diff('day', DATE '2024-01-01', CAST(ts AS DATE)) / 7.0) AS INTEGER) AS week FROM events), g AS (SELECT user_id, week, count(*) AS entries, round(max(value), 4) AS peak, round(arg_max(value, (ts, event_id)), 4) AS last FROM e GROUP BY ALL), b AS (SELECT *, last - coalesce(lag(last) OVER (PARTITION BY user_id ORDER BY week), 0) AS d FROM g)
       SELECT * EXCLUDE (d), CASE WHEN d >= 10 THEN 'heating' WHEN d <= -10 THEN 'cooling' ELSE 'developing' END AS trajectory FROM b""",
     "conviction_ladder": """SELECT event_id, CAST((CAST(abs(x) >= 5 AS INTEGER) + CAST(abs(x) >= 20 AS INTEGER) + CAST(abs(x) >= 35 AS INTEGER) + CAST(abs(x) >= 55 AS INTEGER) + CAST(abs(x) >= 80 AS INTEGER)) * sign(x) AS INTEGER) AS conviction, CASE WHEN x >= 10 THEN 'rising' WHEN x <= -10 THEN 'falling' ELSE 'steady' END AS direction,
-      CASE WHEN value >= 90 THEN 'elite' WHEN value >= 75 THEN 'strong' WHEN value >= 60 THEN 'good' WHEN value >= 50 THEN 'average' WHEN value >= 35 THEN 'below' ELSE 'weak' END AS band FROM (SELECT event_id, value, value - 50 AS x FROM events)""",
+      CASE WHEN value >= 90 THEN 'elite' WHEN value >= 75 THEN 'strong' WHEN value >= 60 THEN 'above average' WHEN value >= 50 THEN 'average' WHEN value >= 35 THEN 'below average' ELSE 'poor' END AS band FROM (SELECT event_id, value, value - 50 AS x FROM events)""",
     "notability": f"""WITH {SEASONS}, p AS (SELECT l_suppkey, round(100 * percent_rank() OVER (ORDER BY CAST(qty AS DECIMAL(18,6))), 1) AS a, round(100 * percent_rank() OVER (ORDER BY CAST(revenue AS DECIMAL(18,6))), 1) AS b, round(100 * percent_rank() OVER (ORDER BY CAST(lines AS DECIMAL(18,6))), 1) AS c FROM st WHERE season = 2000)
-      SELECT l_suppkey, round(least(greatest(0.6::DOUBLE * greatest(a, b, c) + least(30.0::DOUBLE, 10.0::DOUBLE * (CAST(a >= 85 AS INTEGER) + CAST(b >= 85 AS INTEGER) + CAST(c >= 85 AS INTEGER))) + least(greatest(0.4::DOUBLE * ((a + b + c) / 3 - 50), -10.0::DOUBLE), 10.0::DOUBLE), 0.0::DOUBLE), 100.0::DOUBLE), 4) AS notability FROM p""",
+      SELECT l_suppkey, CAST(round(least(greatest(0.6::DOUBLE * greatest(a, b, c) + least(30.0::DOUBLE, 10.0::DOUBLE * (CAST(a >= 85 AS INTEGER) + CAST(b >= 85 AS INTEGER) + CAST(c >= 85 AS INTEGER))) + least(greatest(0.4::DOUBLE * ((a + b + c) / 3 - 50), -10.0::DOUBLE), 10.0::DOUBLE), 0.0::DOUBLE), 100.0::DOUBLE)) AS INTEGER) AS notability FROM p""",
     "omen_ladder": f"""WITH {SEASONS}, p AS (SELECT l_suppkey, season, sign(qty - lag(qty) OVER w) AS a, sign(revenue - lag(revenue) OVER w) AS b, sign(returns - lag(returns) OVER w) AS c FROM st WINDOW w AS (PARTITION BY l_suppkey ORDER BY season)), s AS (SELECT *, CAST(greatest(round(100.0::DOUBLE * (CAST(a = b AND a <> 0 AS INTEGER) + CAST(a = c AND a <> 0 AS INTEGER) + CAST(b = c AND b <> 0 AS INTEGER)) / 3), 1) AS INTEGER) AS convergence FROM p WHERE a IS NOT NULL)
       SELECT l_suppkey, season, convergence, CASE WHEN convergence <= 50 THEN 'crossroads' WHEN a + b + c > 0 THEN 'ascendant' ELSE 'descendant' END AS omen FROM s""",
     "queue_view": "WITH q AS (SELECT event_type, count(*) OVER (PARTITION BY user_id, event_type) AS attempts, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) AS p FROM events) SELECT event_type, CASE WHEN event_type = 'purchase' THEN 'done' WHEN attempts >= 5 THEN 'parked' ELSE 'pending' END AS status, count(*) AS n FROM q WHERE p = 1 GROUP BY ALL",

@@ -36,8 +36,8 @@ def matchup_shrinkage(spark, d):
     against = g.groupBy("c_nationkey").agg(F.avg("l_quantity").alias("opp"))
     league = g.agg(F.avg("l_quantity").alias("league"))
     j = g.join(base, "l_suppkey").join(F.broadcast(against), "c_nationkey").crossJoin(F.broadcast(league)).withColumn("over", F.col("l_quantity") - F.col("base") * F.col("opp") / F.col("league"))
-    a = j.groupBy("l_suppkey", "c_nationkey").agg(F.count("*").alias("n"), F.sum("recent").alias("r"), F.avg("over").alias("m"), F.count_if(F.col("over") > 0).alias("up"))
-    side = F.when(F.col("m") > 0, F.col("up") / F.col("n")).otherwise(1 - F.col("up") / F.col("n"))
+    a = j.groupBy("l_suppkey", "c_nationkey").agg(F.count("*").alias("n"), F.sum("recent").alias("r"), F.avg("over").alias("m"), F.count_if(F.col("over") > 0).alias("up"), F.count_if(F.col("over") < 0).alias("down"))
+    side = F.when(F.col("m") > 0, F.col("up") / F.col("n")).when(F.col("m") < 0, F.col("down") / F.col("n")).otherwise(0.5)
     effect, sure = momentum.shrunk(F.col("m"), F.col("n"), F.col("r"), side)
     return a.select("l_suppkey", "c_nationkey", "n", F.round(effect, 6).alias("effect"), F.round(sure, 6).alias("reliability"))
 
@@ -68,11 +68,16 @@ def pair_heat(spark, d):
 
 
 def typed_links_weighted(spark, d):
-    """User and kind of event: evidence weights by kind, sources by day, sentiment weighted."""
+    """User and kind of event (errors aside) of the last 90 days: evidence weights by kind, days for sources, sentiment weighted where there is one."""
+    now = F.lit("2024-01-31").cast("timestamp")
+    age = graph.age_days(F.col("ts"), now)
     e = table(spark, d, "events").withColumn("w", F.when(F.col("event_type") == "purchase", 1.0).when(F.col("event_type") == "click", 0.7).otherwise(0.4))
-    g = e.where("event_type <> 'error'").groupBy("user_id", "event_type").agg(F.sum("w").alias("ws"), F.countDistinct(F.to_date("ts")).alias("days"), F.try_divide(F.sum(F.col("w") * F.col("value")), F.sum("w")).alias("sentiment"), F.max("ts").alias("last_at"))
-    fresh = F.exp(-graph.age_days(F.col("last_at"), F.lit("2024-01-31").cast("timestamp")) / 21.0)
-    return g.select("user_id", "event_type", F.round(graph.typed_strength(F.col("ws"), F.col("days"), fresh), 4).alias("strength"), F.round("sentiment", 6).alias("sentiment"))
+    felt = F.when(F.col("value") != 0, F.col("value"))
+    g = e.where("event_type <> 'error'").where(age <= 90).groupBy("user_id", "event_type").agg(
+        F.sum("w").alias("ws"), F.countDistinct(F.to_date("ts")).alias("days"), F.count_if(age <= 14).alias("recent"), F.count("*").alias("total"), F.max("ts").alias("last_at"),
+        F.try_divide(F.sum(F.col("w") * felt), F.sum(F.when(felt.isNotNull(), F.col("w")))).alias("sentiment"),
+    )
+    return g.select("user_id", "event_type", graph.typed_strength(F.col("ws"), F.col("days"), F.col("recent"), F.col("total"), graph.age_days(F.col("last_at"), now)).alias("strength"), F.round("sentiment", 6).alias("sentiment"))
 
 
 def source_performance(spark, d):
@@ -112,11 +117,13 @@ def team_change_history(spark, d):
 
 
 def modal_vote_gate(spark, d):
-    """Parts' modal supplier nation: kept with two suppliers, three mentions, and sixty per cent of votes."""
-    v = events(spark, d).groupBy("l_partkey", "n_nationkey").agg(F.count("*").alias("votes"), F.countDistinct("l_suppkey").alias("s"))
-    every = v.groupBy("l_partkey").agg(F.sum("votes").alias("mentions"), F.sum("s").alias("sources"))
-    top = keys.ranked_first(v, ["l_partkey"], [F.desc("votes"), F.asc("n_nationkey")])
-    return top.join(every, "l_partkey").where("sources >= 2 and mentions >= 3 and votes >= 0.6 * mentions").select("l_partkey", F.col("n_nationkey").alias("team"), "votes", "mentions")
+    """Parts of a season and the region that most of their lines name: kept with two suppliers, three lines over two days or more, and sixty per cent of the votes."""
+    own = ["l_partkey", "season"]
+    e = events(spark, d)
+    v = e.groupBy(*own, "n_regionkey").agg(F.count("*").alias("votes"))
+    every = e.groupBy(*own).agg(F.count("*").alias("mentions"), F.countDistinct("l_suppkey").alias("sources"), F.date_diff(F.max("o_orderdate"), F.min("o_orderdate")).alias("days"))
+    top = keys.ranked_first(v, own, [F.desc("votes"), F.asc("n_regionkey")])
+    return top.join(every, own).where("sources >= 2 and mentions >= 3 and days >= 2 and votes >= 0.6 * mentions").select(*own, F.col("n_regionkey").alias("team"), "votes", "mentions")
 
 
 def established_parts(spark, d):
@@ -170,19 +177,19 @@ ORACLES = {
       f AS (SELECT user_id, arg_max(v, (o_orderdate, o_orderkey)) - arg_min(v, (o_orderdate, o_orderkey)) AS form FROM o GROUP BY user_id HAVING count(*) >= 2)
       SELECT user_id, round((coalesce(vibe, 0) + coalesce(form, 0)) / (CASE WHEN vibe IS NULL THEN 0 ELSE 1 END + CASE WHEN form IS NULL THEN 0 ELSE 1 END), 3) AS score FROM v FULL JOIN f USING (user_id)""",
     "ols_trajectory": """WITH r AS (SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS p, least(greatest(round(0.1::DOUBLE * count(*) OVER (PARTITION BY user_id)), 3), 16) AS n FROM events),
-      s AS (SELECT user_id, count(*) AS n, round(regr_slope(value, -p::DOUBLE), 6) AS slope FROM r WHERE p <= n GROUP BY user_id) SELECT *, CASE WHEN slope > 0.25 THEN 'up' WHEN slope < -0.25 THEN 'down' ELSE 'flat' END AS trend FROM s""",
+      s AS (SELECT user_id, count(*) AS n, round(coalesce(regr_slope(value, -p::DOUBLE), 0), 6) AS slope FROM r WHERE p <= n GROUP BY user_id) SELECT *, CASE WHEN slope > 0.25 THEN 'rising' WHEN slope < -0.25 THEN 'falling' ELSE 'steady' END AS trend FROM s""",
     "matchup_shrinkage": """WITH g AS (SELECT l_suppkey, c_nationkey, l_quantity, o_orderdate >= TIMESTAMP '2000-01-01' AS recent FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey),
       b AS (SELECT l_suppkey, avg(l_quantity) AS base FROM g GROUP BY ALL HAVING count(*) >= 10), a AS (SELECT c_nationkey, avg(l_quantity) AS opp FROM g GROUP BY ALL), j AS (SELECT *, l_quantity - base * opp / (SELECT avg(l_quantity) FROM g) AS over_ FROM g JOIN b USING (l_suppkey) JOIN a USING (c_nationkey)),
-      s AS (SELECT l_suppkey, c_nationkey, count(*) AS n, count(*) FILTER (WHERE recent) AS r, avg(over_) AS m, count(*) FILTER (WHERE over_ > 0) AS up FROM j GROUP BY ALL)
-      SELECT l_suppkey, c_nationkey, n, round(m * n / (n + 5.0::DOUBLE), 6) AS effect, round(100 * (n / (n + 5.0::DOUBLE)) * (0.5::DOUBLE + 0.5::DOUBLE * r / n) * (0.5::DOUBLE + 0.5::DOUBLE * CASE WHEN m > 0 THEN up / n::DOUBLE ELSE 1 - up / n::DOUBLE END), 6) AS reliability FROM s""",
+      s AS (SELECT l_suppkey, c_nationkey, count(*) AS n, count(*) FILTER (WHERE recent) AS r, avg(over_) AS m, count(*) FILTER (WHERE over_ > 0) AS up, count(*) FILTER (WHERE over_ < 0) AS down FROM j GROUP BY ALL)
+      SELECT l_suppkey, c_nationkey, n, round(m * n / (n + 5.0::DOUBLE), 6) AS effect, round(100 * (n / (n + 5.0::DOUBLE)) * (0.5::DOUBLE + 0.5::DOUBLE * r / n) * (0.5::DOUBLE + 0.5::DOUBLE * CASE WHEN m > 0 THEN up / n::DOUBLE WHEN m < 0 THEN down / n::DOUBLE ELSE 0.5::DOUBLE END), 6) AS reliability FROM s""",
     "co_mention_links": f"WITH {_links('now_', _TODAY)} SELECT a, b, total AS mentions, sources, last_at, recent, strength FROM now_",
     "link_decay_upsert": f"""WITH {_links('then_', _THEN)}, {_links('now_', _TODAY)}, j AS (SELECT a, b, then_.strength AS s0, now_.strength AS s1 FROM then_ FULL JOIN now_ USING (a, b))
       SELECT a, b, coalesce(s1, 0) AS strength, CASE WHEN coalesce(s1, 0) - coalesce(s0, 0) >= 10 THEN 'heating' WHEN coalesce(s1, 0) - coalesce(s0, 0) <= -10 THEN 'cooling' ELSE 'developing' END AS trajectory, s1 IS NOT NULL AS present FROM j""",
     "pair_heat": f"""WITH g AS (SELECT l_suppkey, l_partkey, count(*) AS total, count(DISTINCT o_orderpriority) AS sources, max(o_orderdate) AS last_at, count(*) FILTER (WHERE {_age('o_orderdate', _TODAY)} <= 3) AS recent FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE {_age('o_orderdate', _TODAY)} <= 14 GROUP BY ALL)
       SELECT l_suppkey, l_partkey, round({_recency('last_at', _TODAY, 3.0)}, 6) AS heat FROM g""",
-    "typed_links_weighted": f"""WITH e AS (SELECT *, CASE event_type WHEN 'purchase' THEN 1.0::DOUBLE WHEN 'click' THEN 0.7::DOUBLE ELSE 0.4::DOUBLE END AS w FROM events WHERE event_type <> 'error'),
-      g AS (SELECT user_id, event_type, sum(w) AS ws, count(DISTINCT CAST(ts AS DATE)) AS days, sum(w * value) / nullif(sum(w), 0) AS sentiment, max(ts) AS last_at FROM e GROUP BY ALL)
-      SELECT user_id, event_type, round(100 * (0.5::DOUBLE * least(1.0::DOUBLE, ws / 4) + 0.3::DOUBLE * least(1.0::DOUBLE, days / 3.0::DOUBLE) + 0.2::DOUBLE * exp(-{_age('last_at', "TIMESTAMP '2024-01-31'")} / 21.0::DOUBLE)), 4) AS strength, round(sentiment, 6) AS sentiment FROM g""",
+    "typed_links_weighted": f"""WITH e AS (SELECT *, CASE event_type WHEN 'purchase' THEN 1.0::DOUBLE WHEN 'click' THEN 0.7::DOUBLE ELSE 0.4::DOUBLE END AS w, {_age('ts', "TIMESTAMP '2024-01-31'")} AS age FROM events WHERE event_type <> 'error'),
+      g AS (SELECT user_id, event_type, sum(w) AS ws, count(DISTINCT CAST(ts AS DATE)) AS days, count(*) FILTER (WHERE age <= 14) AS recent, count(*) AS total, min(age) AS age, sum(w * value) FILTER (WHERE value <> 0) / nullif(sum(w) FILTER (WHERE value <> 0), 0) AS sentiment FROM e WHERE age <= 90 GROUP BY ALL)
+      SELECT user_id, event_type, CAST(greatest(0, least(100, round(100 * exp(-age / 21.0::DOUBLE) * (0.5::DOUBLE * least(1.0::DOUBLE, ws / 4) + 0.3::DOUBLE * least(1.0::DOUBLE, greatest(days, 1) / 3.0::DOUBLE) + 0.2::DOUBLE * recent / greatest(total, 1))))) AS INTEGER) AS strength, round(sentiment, 6) AS sentiment FROM g""",
     "source_performance": f"""WITH m AS (SELECT l_suppkey, l_partkey, o_orderpriority AS source, o_orderdate AS at_, o_orderstatus FROM lineitem JOIN orders ON l_orderkey = o_orderkey), t AS (SELECT l_suppkey, l_partkey, min(at_) AS moved FROM m WHERE o_orderstatus = 'F' GROUP BY ALL), f AS (SELECT source, l_suppkey, l_partkey, min(at_) AS said FROM m GROUP BY ALL),
       j AS (SELECT f.source, moved, CASE WHEN said < moved THEN {_age('said', 'moved')} END AS lead FROM f LEFT JOIN t USING (l_suppkey, l_partkey)) SELECT source, count(*) AS pairs, count(moved) AS confirmed, count(lead) AS early, round(avg(lead), 6) AS avg_lead, round(max(lead), 6) AS max_lead, round(100 * count(moved)::DOUBLE / (count(moved) + 5.0::DOUBLE), 6) AS reliability FROM j GROUP BY source""",
     "transfer_ground_truth": """WITH u AS (SELECT o_custkey AS player, o_orderkey % 25 AS team, o_orderdate AS at_, 'ledger' AS origin, o_orderkey AS id FROM orders WHERE o_orderstatus = 'F' UNION ALL SELECT o_custkey, o_orderkey % 25, o_orderdate, 'override', o_orderkey FROM orders WHERE o_orderstatus = 'O' AND o_totalprice > 100000)
@@ -190,8 +197,8 @@ ORACLES = {
     "current_identity": """WITH u AS (SELECT o_custkey, o_orderkey AS k1 FROM orders WHERE o_orderpriority = '1-URGENT' QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) = 1), n AS (SELECT o_custkey, o_orderkey AS k2, o_orderstatus AS s2 FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) = 1)
       SELECT c_custkey, coalesce(k1, k2, c_custkey) AS team, coalesce(s2, 'none') AS status, CASE WHEN k1 IS NOT NULL THEN 'override' WHEN k2 IS NOT NULL THEN 'roster' ELSE 'legacy' END AS origin FROM customer LEFT JOIN u ON u.o_custkey = c_custkey LEFT JOIN n ON n.o_custkey = c_custkey""",
     "team_change_history": "WITH w AS (SELECT *, lag(o_orderstatus) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS before FROM orders) SELECT o_custkey, o_orderkey, before AS from_team, o_orderstatus AS to_team FROM w WHERE before IS NOT NULL AND before <> o_orderstatus",
-    "modal_vote_gate": f"""WITH {EVENTS}, v AS (SELECT l_partkey, n_nationkey, count(*) AS votes, count(DISTINCT l_suppkey) AS s FROM ev GROUP BY ALL), e AS (SELECT l_partkey, CAST(sum(votes) AS BIGINT) AS mentions, sum(s) AS sources FROM v GROUP BY ALL), t AS (SELECT * FROM v QUALIFY row_number() OVER (PARTITION BY l_partkey ORDER BY votes DESC, n_nationkey) = 1)
-      SELECT l_partkey, n_nationkey AS team, votes, mentions FROM t JOIN e USING (l_partkey) WHERE sources >= 2 AND mentions >= 3 AND votes >= 0.6 * mentions""",
+    "modal_vote_gate": f"""WITH {EVENTS}, v AS (SELECT l_partkey, season, n_regionkey, count(*) AS votes FROM ev GROUP BY ALL), e AS (SELECT l_partkey, season, count(*) AS mentions, count(DISTINCT l_suppkey) AS sources, date_diff('day', CAST(min(o_orderdate) AS DATE), CAST(max(o_orderdate) AS DATE)) AS days FROM ev GROUP BY ALL), t AS (SELECT * FROM v QUALIFY row_number() OVER (PARTITION BY l_partkey, season ORDER BY votes DESC, n_regionkey) = 1)
+      SELECT l_partkey, season, n_regionkey AS team, votes, mentions FROM t JOIN e USING (l_partkey, season) WHERE sources >= 2 AND mentions >= 3 AND days >= 2 AND votes >= 0.6 * mentions""",
     "established_parts": "SELECT user_id, bool_or(event_type = 'purchase') OR (count(DISTINCT CAST(ts AS DATE)) >= 5 AND count(*) >= 3 AND date_diff('day', CAST(min(ts) AS DATE), CAST(max(ts) AS DATE)) >= 14) AS established FROM events GROUP BY user_id",
     "identity_ladder": "SELECT o_orderkey, CASE WHEN o_orderstatus = 'P' THEN 'pending' WHEN o_orderstatus <> 'F' THEN 'not_final' WHEN o_totalprice < 50000 THEN 'thin_evidence' WHEN c_acctbal < 0 THEN 'blocked' ELSE 'applied' END AS outcome FROM orders JOIN customer ON o_custkey = c_custkey",
     "nearest_fixture_range_join": f"""WITH j AS (SELECT u.o_orderkey AS k, f.o_orderkey AS fixture, round(abs({_age('u.o_orderdate', 'f.o_orderdate')}), 6) AS gap FROM orders u JOIN orders f ON u.o_custkey = f.o_custkey AND u.o_orderkey <> f.o_orderkey WHERE u.o_orderpriority = '1-URGENT' AND abs({_age('u.o_orderdate', 'f.o_orderdate')}) <= 2)

@@ -219,7 +219,7 @@ ORACLES = {
     "grounded_narratives": """WITH f AS (SELECT l_orderkey, p_brand, min(l_linenumber) AS at_, count(*) AS n FROM lineitem JOIN part ON l_partkey = p_partkey WHERE p_size > 25 GROUP BY ALL)
       SELECT l_orderkey, CAST(sum(n) AS BIGINT) AS cites, string_agg(p_brand, ',' ORDER BY at_, p_brand) AS sources FROM f GROUP BY l_orderkey""",
     "scouting": f"""{_LONG}, r AS (SELECT l_suppkey, season, stat, round(100 * percent_rank() OVER (PARTITION BY season, stat ORDER BY CAST(value AS DECIMAL(18,6))), 1) AS pct, round(coalesce((value - avg(value) OVER w) / nullif(stddev_pop(value) OVER w, 0), 0), 6) AS z FROM lg WHERE value <> 0 AND stat <> 'games' WINDOW w AS (PARTITION BY season, stat))
-      SELECT l_suppkey, season, stat, CASE WHEN pct >= 90 THEN 'elite' WHEN pct >= 75 THEN 'strong' WHEN pct >= 60 THEN 'good' WHEN pct >= 50 THEN 'average' WHEN pct >= 35 THEN 'below' ELSE 'weak' END AS band, pct < 50 AND z <= -0.5 AS weakness FROM r""",
+      SELECT l_suppkey, season, stat, CASE WHEN pct >= 90 THEN 'elite' WHEN pct >= 75 THEN 'strong' WHEN pct >= 60 THEN 'above average' WHEN pct >= 50 THEN 'average' WHEN pct >= 35 THEN 'below average' ELSE 'poor' END AS band, pct < 50 AND z <= -0.5 AS weakness FROM r""",
     "rule_scores": """WITH j AS (SELECT lang, CASE WHEN n_chars > 800 THEN 1.0::DOUBLE ELSE 0.25::DOUBLE END AS said, quality FROM documents JOIN labels USING (doc_id))
       SELECT lang, count(*) AS n, round(avg(abs(said - quality)), 6) AS mae, round(100.0::DOUBLE * count(*) FILTER (WHERE CAST(said >= 0.5 AS INTEGER) = quality) / count(*), 4) AS right_pct FROM j GROUP BY lang""",
     "keyword_evidence": f"SELECT source, count(*) AS docs, {_FOUND} FROM documents GROUP BY source",

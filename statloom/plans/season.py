@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalar as S
 from ..operators import bags, cohort, keys, rating, rollup
+from ..session import new_path, written
 from ..sources.tables import table
 
 STATS = ("lines", "qty", "revenue", "returns")
@@ -25,7 +26,25 @@ EVENTS = """ev AS (SELECT l.*, o.o_orderdate, CAST(year(o.o_orderdate) AS INTEGE
   FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey JOIN supplier s ON l.l_suppkey = s.s_suppkey JOIN nation n ON s.s_nationkey = n.n_nationkey)"""
 
 
+_built: dict[tuple[str, str], str] = {}
+
+
+def forget() -> None:
+    """Before each query: what the one before built is not read again, as its tables may have changed."""
+    _built.clear()
+
+
 def seasons(spark: SparkSession, d: str) -> DataFrame:
+    """The season table, built once a query, however often the query reads it."""
+    key = spark.sparkContext.applicationId, d
+    made = _seasons(spark, d)
+    if key not in _built:
+        _built[key] = new_path(spark, "seasons")
+        made.write.parquet(_built[key])
+    return spark.read.schema(made.schema).parquet(_built[key])
+
+
+def _seasons(spark: SparkSession, d: str) -> DataFrame:
     measures = {
         "games": F.countDistinct("l_orderkey"),
         "lines": F.count("*"),
@@ -108,12 +127,11 @@ def finalize_touched(spark, d):
 
 
 def coverage_report(spark, d):
-    """Of each season: entity rows, and how many lack each required stat."""
-    required = spark.createDataFrame([(s,) for s in STATS], "stat string")
-    every = seasons(spark, d).select("l_suppkey", "season").crossJoin(F.broadcast(required))
-    missing = every.join(long(spark, d).select("l_suppkey", "season", "stat"), ["l_suppkey", "season", "stat"], "left_anti")
-    rows = seasons(spark, d).groupBy("season").agg(F.count("*").alias("rows"))
-    return rows.join(missing.groupBy("season", "stat").agg(F.count("*").alias("missing")), "season")
+    """Of each season: rows of parts, and how many lack each required stat (a part has a stat of returns only where some line was returned)."""
+    required = ("lines", "qty", "returns")
+    e = events(spark, d).groupBy("season", "l_partkey").agg(F.count("*").alias("lines"), F.sum("l_quantity").alias("qty"), F.sum(F.when(F.col("l_returnflag") == "R", F.col("l_quantity"))).alias("returns"))
+    counted = e.groupBy("season").agg(F.count("*").alias("rows"), *(F.count_if(F.col(c).isNull()).alias(c) for c in required))
+    return counted.unpivot(["season", "rows"], list(required), "stat", "missing").where("missing > 0")
 
 
 def stat_leaders(spark, d):
@@ -152,9 +170,10 @@ def season_composite(spark, d):
 def event_composite(spark, d):
     """Each fixture row: the mean of its stats' percentiles within the season, then its rank in the region."""
     e = events(spark, d).select("l_orderkey", "l_linenumber", "season", "n_regionkey", F.array(F.struct(F.lit("qty").alias("stat"), F.col("l_quantity").alias("value")), F.struct(F.lit("price").alias("stat"), F.col("l_extendedprice").alias("value"))).alias("s")).select("l_orderkey", "l_linenumber", "season", "n_regionkey", F.inline("s"))
-    ranked = cohort.percentiles(e, ["season", "stat"])
-    raw = ranked.groupBy("l_orderkey", "l_linenumber", "season", "n_regionkey").agg(F.round(F.avg("pct"), 4).alias("raw"))
-    return raw.withColumn("composite_score", F.round(100 * F.percent_rank().over(Window.partitionBy("season", "n_regionkey").orderBy(S.key_of(F.col("raw")))), 1))
+    ranked = cohort.percent_ranks(e, ["season", "stat"], S.key_of(F.col("value")), "rank")
+    raw = written(ranked.groupBy("l_orderkey", "l_linenumber", "season", "n_regionkey").agg(F.round(F.avg(F.round(100 * F.col("rank"), 1)), 4).alias("raw")), "raw")
+    placed = cohort.percent_ranks(raw, ["season", "n_regionkey"], S.key_of(F.col("raw")), "rank")
+    return placed.select("l_orderkey", "l_linenumber", "season", "n_regionkey", "raw", F.round(100 * F.col("rank"), 1).alias("composite_score"))
 
 
 def cold_start_blend(spark, d):
@@ -220,10 +239,11 @@ def zscore_modes(spark, d):
 def event_rating(spark, d):
     """Each fixture row's composite z within its season, and its percentile there."""
     e = events(spark, d).where("l_quantity > 0")
-    w = Window.partitionBy("season")
-    z = lambda c: F.coalesce((F.col(c) - F.avg(c).over(w)) / F.nullif(F.stddev_pop(c).over(w), F.lit(0.0)), F.lit(0.0))
-    rated = e.select("l_orderkey", "l_linenumber", "season", F.round(z("l_quantity") + z("l_extendedprice") - z("l_discount"), 4).alias("rating"))
-    return rated.withColumn("rating_pct", F.round(100 * F.percent_rank().over(Window.partitionBy("season").orderBy(S.key_of(F.col("rating")))), 1))
+    of = ("l_quantity", "l_extendedprice", "l_discount")
+    season = e.groupBy("season").agg(*(f(c).alias(f"{c}_{n}") for c in of for n, f in (("mean", F.avg), ("spread", F.stddev_pop))))
+    z = lambda c: F.coalesce((F.col(c) - F.col(f"{c}_mean")) / F.nullif(F.col(f"{c}_spread"), F.lit(0.0)), F.lit(0.0))
+    rated = written(e.join(season, "season").select("l_orderkey", "l_linenumber", "season", F.round(z(of[0]) + z(of[1]) - z(of[2]), 4).alias("rating")), "rated")
+    return cohort.percent_ranks(rated, ["season"], S.key_of(F.col("rating")), "rank").select("l_orderkey", "l_linenumber", "season", "rating", F.round(100 * F.col("rank"), 1).alias("rating_pct"))
 
 
 def t_score(spark, d):
@@ -277,7 +297,7 @@ ORACLES = {
     "bag_merge": f"""WITH {SEASONS} SELECT * FROM (SELECT l_suppkey, season, unnest(['lines','qty','revenue','returns','bonus']) AS stat, unnest([CAST(lines AS DOUBLE), qty, revenue, CAST(returns AS DOUBLE), CASE WHEN qty > 2000 THEN CAST(games AS DOUBLE) END]) AS value FROM st) WHERE value IS NOT NULL""",
     "json_bag": "SELECT event_type, 'k' AS stat, count(*) AS n, round(sum(CAST(json_extract(props, '$.k') AS DOUBLE)), 4) AS total FROM events WHERE json_extract(props, '$.k') IS NOT NULL GROUP BY event_type",
     "finalize_touched": f"WITH {EVENTS} SELECT l_suppkey, season, count(*) AS lines, round(sum(l_quantity), 4) AS qty FROM ev GROUP BY ALL",
-    "coverage_report": f"WITH {LONG}, req AS (SELECT unnest(['lines','qty','revenue','returns']) AS stat), n AS (SELECT season, count(*) AS rows FROM st GROUP BY season) SELECT season, rows, stat, count(*) AS missing FROM (SELECT st.l_suppkey, st.season, req.stat FROM st CROSS JOIN req ANTI JOIN lg ON lg.l_suppkey = st.l_suppkey AND lg.season = st.season AND lg.stat = req.stat) JOIN n USING (season) GROUP BY season, rows, stat",
+    "coverage_report": f"WITH {EVENTS}, p AS (SELECT season, l_partkey, count(*) AS lines, sum(l_quantity) AS qty, sum(l_quantity) FILTER (WHERE l_returnflag = 'R') AS returns FROM ev GROUP BY ALL), c AS (SELECT season, count(*) AS rows, unnest(['lines','qty','returns']) AS stat, unnest([count(*) FILTER (WHERE lines IS NULL), count(*) FILTER (WHERE qty IS NULL), count(*) FILTER (WHERE returns IS NULL)]) AS missing FROM p GROUP BY season) SELECT * FROM c WHERE missing > 0",
     "stat_leaders": f"WITH {LONG} SELECT season, stat, l_suppkey, value FROM lg QUALIFY row_number() OVER (PARTITION BY season, stat ORDER BY CAST(value AS DECIMAL(18,6)) DESC, l_suppkey) <= 5",
     "template_block": f"WITH {LONG} SELECT l_suppkey, season, string_agg(stat, '>' ORDER BY CASE stat WHEN 'qty' THEN 1 WHEN 'revenue' THEN 2 ELSE 3 END) AS block FROM lg WHERE stat <> 'lines' GROUP BY ALL",
     "percentile_base": f"WITH {LONG} SELECT l_suppkey, season, stat, {_PCT.format(by='season, stat')} AS pct, count(*) OVER (PARTITION BY season, stat) AS sample_size FROM lg",

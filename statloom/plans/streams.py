@@ -10,14 +10,15 @@ from ..streaming import streams as st
 
 
 def _stream(spark, d):
-    """The events table as a stream of four arrivals, in the order of ids."""
+    """The events table as a stream of four arrivals, in the order of ids (rows without one come first). An arrival is a batch of as many files as it has partitions."""
     e = table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
     path = new_path(spark, "events")
     low, high = e.agg(F.min("event_id"), F.max("event_id")).first()
-    step = ((high or 0) - (low or 0)) // 4 + 1
+    low, step = low or 0, ((high or 0) - (low or 0)) // 4 + 1
     for i in range(4):  # one after the other: the source takes files by age
-        e.where(F.col("event_id").between((low or 0) + i * step, (low or 0) + (i + 1) * step - 1)).coalesce(1).write.mode("append").parquet(path)
-    return st.file_stream(spark, path, e.schema)
+        part = F.coalesce(F.col("event_id"), F.lit(low)).between(low + i * step, low + (i + 1) * step - 1)
+        e.where(part).write.mode("append").parquet(path)
+    return st.file_stream(spark, path, e.schema, max(1, e.rdd.getNumPartitions()))
 
 
 def stream_daily_series(spark, d):

@@ -75,7 +75,7 @@ class Work:
         """What an event leads to, and after how many seconds the work is due."""
         wait = 0
         if event == "enqueue":
-            if self.status in ("none", "done", "parked") and version != self.version or self.status == "failed":
+            if self.status == "none" or version != self.version:  # a new version reopens work in any state, also running work
                 self.status, self.version, self.attempts = "pending", version, 0
         elif event == "claim" and self.status == "pending":
             self.status, self.attempts = "running", self.attempts + 1
@@ -87,7 +87,7 @@ class Work:
             else:
                 self.status, wait = "pending", RETRY_SECONDS[min(self.attempts, len(RETRY_SECONDS)) - 1]
         elif event in ("defer", "release") and self.status == "running":
-            self.status, self.attempts = "pending", max(0, self.attempts - (event == "release"))
+            self.status, self.attempts = "pending", max(0, self.attempts - 1)  # neither costs an attempt
         return self.status, wait
 
 

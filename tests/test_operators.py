@@ -89,17 +89,66 @@ def test_momentum_needs_samples_and_takes_one_side(spark):
     assert values(momentum.blend(slope, other, ["k"], "x", "y"), "k", "score") == [(1, 3.0), (3, 6.0)]
 
 
+def column(spark, values, make, kind="string"):
+    """What a column function gives for each value."""
+    got = spark.createDataFrame(list(enumerate(values)), f"i int, x {kind}").select("i", make(F.col("x")).alias("y")).collect()
+    return [r.y for r in sorted(got)]
+
+
 def test_result_lines(spark):
-    lines = ["A 3-1 B", "A 3-1 B 2-2", "season 2024-25", "A 3–1 B", "x" * 160 + " 1-0"]
-    got = [r.s for r in spark.createDataFrame([(x,) for x in lines], "t string").select(X.result_line(F.col("t")).alias("s")).collect()]
-    assert got == ["3-1", None, None, None, None]
+    lines = ["Real Madrid 2-1 Arsenal", "A 3-1 B 2-2", "A 2024-25 B", "A 3\u20131 B", "x" * 160 + " 1-0 y", "2-1 Arsenal", "Arsenal 2-1", "A 10:9 B C", "A2-1 B", "A -1 B", "A 151-3 B", "", None, "A season 2024-25 98\u201495 B"]
+    got = column(spark, lines, X.result_line)
+    want = [("Real Madrid", 2, 1, "Arsenal"), None, None, ("A", 3, 1, "B"), ("x" * 160, 1, 0, "y"), None, None, ("A", 10, 9, "B C"), None, None, None, None, None, ("A season 2024-25", 98, 95, "B")]
+    assert [tuple(r) if r else None for r in got] == want
 
 
 def test_page_text(spark):
-    long = " ".join(f"word{i}" for i in range(90))
-    pages = [f"<nav>menu</nav><article>{long}</article><p>rest</p>", "<article>short</article><p>all &amp; more</p>", "<p>kept</p><script>lost <p>lost</p>", f"<article>tiny</article><article>{long}</article>"]
-    got = [r.t for r in spark.createDataFrame([(x,) for x in pages], "h string").select(X.article_text(F.col("h")).alias("t")).collect()]
-    assert got == [long, "short all & more", "kept", long]
+    long, longer = " ".join(f"word{i}" for i in range(90)), " ".join(f"word{i}" for i in range(120))
+    pages = {
+        f"<nav>menu</nav><article>{long}</article><p>rest</p>": long,
+        "<article>short</article><p>all &amp; more</p>": "short all & more",
+        "<p>kept</p><script>lost <p>lost</p>": "kept",
+        f"<article>tiny</article><article>{long}</article>": long,
+        f"<article>tiny</article><MAIN class='x'>{long}</MAIN><p>rest</p>": long,  # an article too short gives way to the main part
+        f"<article>{longer}": longer,  # no end, no candidate: the whole page
+        f"<article>{long}<article>{longer}</article></article>": f"{long} {longer}",
+        f"<main>{'a ' * 200}</main><p>b</p>": ("a " * 200 + "b"),  # words of one letter don't count
+        "a<textarea>lost</textarea>b<menu>kept</menu>": "ab kept",
+        "&amp;lt;b&amp;gt; &lt;i&gt; a > b <p never closed": "<b> <i> a b",
+        "<style>p{}</style>one&nbsp;&nbsp;two<script>x</script>": "one  two",
+    }
+    assert column(spark, list(pages), X.article_text) == list(pages.values())
+    assert column(spark, ["a<script>if (1) {}</script><style>b{}</style>c"], X.clean_html) == ["ac"]
+
+
+def test_walls_scripts_and_words(spark):
+    assert column(spark, ["Please SIGN UP", "register to continue", "a subscriber", "your subscription", "signs in"], X.looks_paywalled) == [True, True, True, True, False]
+    assert column(spark, ["Milit\u00e3o", "\u0632\u0645", "\u0e01", "\u0915", "\ud55c", "\u03b1", "\u0416"], X.foreign_script) == [False, True, True, True, True, False, True]
+    assert column(spark, ["a bc \u00e9 d", ""], X.count_words) == [2, 0]
+
+
+def test_contested_claims(spark):
+    claims = ["Arsenal have reached an agreement in principle", "The Athletic: deal not agreed", "He won\u2019t sign", "They are yet to reach terms", "a 22 million deal", "the and of"]
+    assert column(spark, claims, X.denies) == [False, True, True, True, False, False]
+    stems = [sorted(x) for x in column(spark, claims, X.stem_set)]
+    assert stems == [["agree", "arsen", "princ", "reach"], ["agree", "athle", "deal"], ["sign"], ["reach", "terms", "yet"], ["22", "deal", "milli"], []]
+
+
+def test_bands_and_trends(spark):
+    assert column(spark, [90.0, 89.9, 75.0, 60.0, 50.0, 49.9, 35.0, 34.9], S.band, "double") == ["elite", "strong", "strong", "above average", "average", "below average", "below average", "poor"]
+    rows = [("one", 1, 5.0), *(("up", i, 0.3 * i) for i in range(5)), *(("flat", i, 0.25 * i) for i in range(5)), *(("down", i, -i) for i in range(5))]
+    got = momentum.trajectory(spark.createDataFrame([(k, i, float(v)) for k, i, v in rows], "k string, at int, v double"), "k", "at", "at", "v").collect()
+    assert {r.k: (r.slope, r.trend) for r in got} == {"one": (0.0, "steady"), "up": (0.3, "rising"), "flat": (0.25, "steady"), "down": (-1.0, "falling")}
+
+
+def test_scores_are_whole_numbers(spark):
+    d = spark.createDataFrame([(95.0, 1, 67.0), (0.0, 0, None), (100.0, 9, 99.0)], "top double, high int, comp double")
+    assert [r.n for r in d.select(X.notability(F.col("top"), F.col("high"), F.col("comp")).alias("n")).collect()] == [74, 0, 100]
+    d = spark.createDataFrame([(5.0, 3, 6.0), (1.0, 9, None)], "n double, s int, age double")
+    assert [r.n for r in d.select(X.news_impact(F.col("n"), F.col("s"), F.col("age")).alias("n")).collect()] == [71, 36]
+    d = spark.createDataFrame([(4.0, 3, 2, 2, 0.0), (4.0, 3, 0, 4, 365.0), (2.0, 0, 1, 2, 21.0)], "w double, s int, recent int, total int, age double")
+    got = d.select(graph.typed_strength(F.col("w"), F.col("s"), F.col("recent"), F.col("total"), F.col("age")).alias("x")).collect()
+    assert [r.x for r in got] == [100, 0, 17]  # decay is a factor: an edge of a year has nothing left
 
 
 def test_names(spark):
@@ -125,6 +174,12 @@ def test_queue_states():
     w.take("claim", "1")
     assert w.take("fail", "1") == ("parked", 0)
     assert w.take("enqueue", "1")[0] == "parked" and w.take("enqueue", "2")[0] == "pending"
+    w.take("claim", "2")
+    assert w.take("enqueue", "2")[0] == "running" and w.take("enqueue", "3") == ("pending", 0) and w.attempts == 0  # a new version reopens running work
+    w.take("claim", "3")
+    assert w.take("defer", "3") == ("pending", 0) and w.attempts == 0  # and putting off costs no attempt
+    w.take("claim", "3")
+    assert w.take("complete", "3") == ("done", 0) and w.take("enqueue", "3")[0] == "done"
 
 
 def test_sinks(spark):
