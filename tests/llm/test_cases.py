@@ -584,6 +584,10 @@ def test_licenses(spark, odd, none):
     edited = licenses.TEMPLATES[2][1].replace("any person", "any other person").replace("this software", "such software")
     (one,) = licenses.scan_licenses(spark.createDataFrame([(1, "x " * 50 + edited + " y" * 50)], "doc_id long, text string")).collect()
     assert one.labels == "mit" and one.spans[0].first_word == 50 and 0.75 <= one.score < 1
+    whole = [t for _, t in licenses.TEMPLATES if len(t) > 600]
+    mixed = " noise ".join(whole).upper()  # whole licences, one after the other
+    (one,) = licenses.scan_licenses(spark.createDataFrame([(1, mixed)], "doc_id long, text string")).collect()
+    assert len(whole) >= 4 and {s.template for s in one.spans if s.coverage == 1} >= {k for k, (_, t) in enumerate(licenses.TEMPLATES) if t in whole} and one.score == 1
     got = licenses.scan_licenses(odd).collect()
     assert [r.labels for r in got] == [""] * 8 + ["mit", ""] and got[1].n_words == 0 and got[0].n_words == 9
     assert licenses.scan_licenses(none).count() == 0
@@ -648,3 +652,29 @@ def test_chains_equal_brute_force():
         assert max((c for _, _, c in got), default=0) == brute_chains(sorted(set(anchors)), 4)
         spans = [(a, b) for a, b, _ in got]
         assert all(a <= b for a, b in spans) and len(spans) <= len(anchors)
+
+
+def test_spans_equal_a_plain_scan(spark):
+    """Labels, spans and scores against anchors found by trying every run of words in every template."""
+    rng, own = random.Random(17), licenses.Scanner()
+    texts = []
+    for _ in range(60):
+        words = []
+        while len(words) < 60:
+            t = rng.choice(own.templates)
+            i = rng.randrange(len(t))
+            words += t[i : i + rng.randint(1, 40)] if rng.random() < 0.8 else ["noise"]
+        texts.append(" ".join(words))
+    for r in licenses.scan_licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect():
+        words, labels, score = r.text.split(" "), set(filter(None, r.base_labels.split(","))), 0.0
+        runs = []  # the longest run of any template that ends at each word
+        for at in range(len(words)):
+            n = next(k for k in range(min(at + 1, 200), -1, -1) if not k or any(words[at - k + 1 : at + 1] == t[j : j + k] for t in own.templates for j in range(len(t) - k + 1)))
+            runs.append(n)
+        ends = [(at, n) for at, n in enumerate(runs) if n >= licenses.MIN_MATCH and (at + 1 == len(words) or runs[at + 1] <= n)]
+        for k, t in enumerate(own.templates):
+            anchors = [(at - n + 1, j, n) for at, n in ends for j in range(len(t) - n + 1) if t[j : j + n] == words[at - n + 1 : at + 1]]
+            for _, _, covered in licenses.chains(anchors, len(t), licenses.MAX_GAP):
+                score = max(score, min(1.0, covered / len(t)))
+                labels |= {licenses.TEMPLATES[k][0]} if min(1.0, covered / len(t)) >= licenses.COVERED else set()
+        assert (r.labels, r.score) == (",".join(sorted(labels)), score)
