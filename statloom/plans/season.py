@@ -170,6 +170,7 @@ def season_composite(spark, d):
 def event_composite(spark, d):
     """Each fixture row: the mean of its stats' percentiles within the season, then its rank in the region."""
     e = events(spark, d).select("l_orderkey", "l_linenumber", "season", "n_regionkey", F.array(F.struct(F.lit("qty").alias("stat"), F.col("l_quantity").alias("value")), F.struct(F.lit("price").alias("stat"), F.col("l_extendedprice").alias("value"))).alias("s")).select("l_orderkey", "l_linenumber", "season", "n_regionkey", F.inline("s"))
+    e = written(e, "rows")  # read twice: to count values and to place rows
     ranked = cohort.percent_ranks(e, ["season", "stat"], S.key_of(F.col("value")), "rank")
     raw = written(ranked.groupBy("l_orderkey", "l_linenumber", "season", "n_regionkey").agg(F.round(F.avg(F.round(100 * F.col("rank"), 1)), 4).alias("raw")), "raw")
     placed = cohort.percent_ranks(raw, ["season", "n_regionkey"], S.key_of(F.col("raw")), "rank")
