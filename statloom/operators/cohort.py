@@ -16,13 +16,19 @@ def percentiles(long: DataFrame, cohort: list[str], value: str = "value", invers
     return long.withColumn(name, F.round(100 * flipped, 1)).withColumn("sample_size", F.count("*").over(Window.partitionBy(*cohort)))
 
 
-def percent_ranks(df: DataFrame, cohort: list[str], value: Column, name: str) -> DataFrame:
+IN_ONE_TASK = 1 << 20  # rows of a cohort that a task may sort
+
+
+def percent_ranks(df: DataFrame, cohort: list[str], value: Column, name: str, in_one_task: int = IN_ONE_TASK) -> DataFrame:
     """df with each row's percent_rank within its cohort, for cohorts of any size.
 
-    A window would sort a whole cohort in one task. Here equal values are counted first (most of it before the shuffle),
+    A window sorts a whole cohort in one task, which is well while the largest one, counted first, has in_one_task rows at
+    most. Beyond that, with the same result, equal values are counted (most of it before the shuffle),
     the counts are dealt out by ranges of (cohort, value), and each range's running sum begins with what the ranges before
     it hold; rows get the place of their value by a join. Nulls are a value of their own, the smallest.
     """
+    if (df.groupBy(*cohort).count().agg(F.max("count")).first()[0] or 0) <= in_one_task:
+        return df.withColumn(name, F.percent_rank().over(Window.partitionBy(*cohort).orderBy(value)))
     keyed = df.withColumn("_v", value)
     counts = keyed.groupBy(*cohort, "_v").agg(F.count("*").alias("_c"))
     dealt = written(counts.repartitionByRange(*cohort, "_v").withColumn("_p", F.spark_partition_id()), "ranks")

@@ -202,3 +202,10 @@ def test_watermarked_streams(spark):
     got = streams.run_once(streams.daily_counts(streams.file_stream(spark, path, df.schema), "ts", "kind"), "days")
     days = {r.day.day: r.n for r in got.collect()}  # the last day stays open, rows behind the watermark drop out
     assert set(days) <= {1, 2} and all(n >= 1 for n in days.values()) and days
+
+
+def test_ranks_of_cohorts_of_any_size(spark):
+    rows = [(c, (i * 7) % 11 if i % 5 else None, i) for c in ("a", None, "b") for i in range(40)] + [("one", 1, 0)]
+    df = spark.createDataFrame(rows, "c string, v int, i int").repartition(5)
+    one, many = ({(r.c, r.i): r.rank for r in cohort.percent_ranks(df, ["c"], F.col("v"), "rank", n).collect()} for n in (1000, 0))
+    assert one == many and len(one) == len(rows) and one[("one", 0)] == 0
