@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import boards, movement, pages, season, streams, texts, upkeep
+from .plans import boards, movement, pages, season, sports, streams, texts, upkeep
 
-MODULES = [season, movement, texts, boards, streams, upkeep, pages]
+MODULES = [season, sports, movement, texts, boards, streams, upkeep, pages]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
