@@ -27,6 +27,7 @@ def collect_bag(df: DataFrame, keys: list[str], key: str = "stat", value: str =
 
 
 def numeric_bag(json: Column) -> Column:
-    """The numeric members of a JSON object; others are left out."""
-    entries = F.from_json(json, "map<string,string>")
-    return F.map_filter(F.transform_values(entries, lambda _, v: v.try_cast("double")), lambda _, v: v.isNotNull())
+    """The numeric members of a JSON object; others are left out, digits in quotes too."""
+    members = F.try_parse_json(json).try_cast("map<string,variant>")
+    numbers = F.map_filter(members, lambda _, v: F.schema_of_variant(v).rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL)"))
+    return F.transform_values(numbers, lambda _, v: F.try_variant_get(v, "$", "double"))

@@ -47,3 +47,11 @@ def test_season_rules(spark):
     assert (nfl["games_played"], nfl["long_pass"], nfl["passing_yards_per_game"]) == (2.0, 3.0, 2.5) and "long_rushing" not in nfl and nfl["total_tackles"] == 0.0
     football = sports.season_bags(box((90.0, {"own_goals": 0.0, "penalties_won": 2.0})), "FOOTBALL").first().bag
     assert football["goals"] == 0.0 and football["penalties_won"] == 2.0 and "own_goals" not in football
+
+
+def test_only_numbers_of_json(spark):
+    from statloom.operators import bags
+
+    given = [('{"a": 5, "b": "5", "c": 1.5, "d": null, "e": [1]}',), ("[1]",), ("no json",), (None,)]
+    got = spark.createDataFrame(given, "j string").select(bags.numeric_bag(F.col("j")).alias("b")).collect()
+    assert [r.b for r in got] == [{"a": 5.0, "c": 1.5}, None, None, None]
