@@ -9,69 +9,81 @@ from ..sources.tables import table
 from ..streaming import streams as st
 
 
-def _stream(spark, d):
-    """The events table as a stream of four arrivals, in the order of ids (rows without one come first). An arrival is a batch of as many files as it has partitions."""
+ARRIVALS = 4
+
+
+def _through(spark, d, build, name, mode="append"):
+    """What build makes of the events table as a stream, which comes in arrivals in the order of ids (rows without one come with the first).
+
+    The query stops after each arrival and starts again from its marks, as after a failure: state and output go on.
+    Each arrival is written with the partitions that the table is read in, and is a batch of its own.
+    """
     e = table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
-    path = new_path(spark, "events")
+    source, home = new_path(spark, "events"), new_path(spark, name)
     low, high = e.agg(F.min("event_id"), F.max("event_id")).first()
-    low, step = low or 0, ((high or 0) - (low or 0)) // 4 + 1
-    for i in range(4):  # one after the other: the source takes files by age
-        part = F.coalesce(F.col("event_id"), F.lit(low)).between(low + i * step, low + (i + 1) * step - 1)
-        e.where(part).write.mode("append").parquet(path)
-    return st.file_stream(spark, path, e.schema, max(1, e.rdd.getNumPartitions()))
+    low, step = low or 0, ((high or 0) - (low or 0)) // ARRIVALS + 1
+    for i in range(ARRIVALS):
+        part = F.col("event_id").between(low + i * step, low + (i + 1) * step - 1)
+        e.where(part if i else part | F.col("event_id").isNull()).write.mode("append").parquet(source)
+        got = st.run_once(build(st.file_stream(spark, source, e.schema, None)), name, mode, home)
+    return got
 
 
 def stream_daily_series(spark, d):
     """Whole result of the tumbling days, in complete mode: the last batch's table."""
-    s = _stream(spark, d).groupBy(F.window("ts", "1 day").start.alias("day"), "event_type").agg(F.count("*").alias("n"))
-    got = st.run_once(s, "daily", "complete")
+    got = _through(spark, d, lambda s: s.groupBy(F.window("ts", "1 day").start.alias("day"), "event_type").agg(F.count("*").alias("n")), "daily", "complete")
     return got.where(F.col("batch") == got.agg(F.max("batch")).first()[0]).select(F.to_date("day").alias("day"), "event_type", "n")
 
 
 def debounce_stream(spark, d):
     """Of each user's events in order, those whose kind differs from the last let through."""
-    return st.run_once(st.debounced(_stream(spark, d), "user_id", "event_type", "event_id"), "debounced").select(F.col("key").cast("long").alias("user_id"), F.col("ord").alias("event_id"))
+    return _through(spark, d, lambda s: st.debounced(s, "user_id", "event_type", "event_id"), "debounced").select(F.col("key").cast("long").alias("user_id"), F.col("ord").alias("event_id"))
 
 
 def queue_state(spark, d):
     """Events as queue commands: signup and view enqueue, click claims, purchase completes, error fails."""
-    e = _stream(spark, d)
     command = F.when(F.col("event_type").isin("signup", "view"), "enqueue").when(F.col("event_type") == "click", "claim").when(F.col("event_type") == "purchase", "complete").otherwise("fail")
-    s = e.select(F.col("user_id").cast("string").alias("key"), F.col("event_id").alias("ord"), command.alias("event"), (F.col("event_id") % 3).cast("string").alias("version"))
-    return st.run_once(st.queue(s), "queue")
+    named = lambda s: s.select(F.col("user_id").cast("string").alias("key"), F.col("event_id").alias("ord"), command.alias("event"), (F.col("event_id") % 3).cast("string").alias("version"))
+    return _through(spark, d, lambda s: st.queue(named(s)), "queue")
 
 
 def stream_sessions(spark, d):
     """Quiet-period sessions; the last batch's table."""
-    got = st.run_once(st.sessions(_stream(spark, d), "ts", "user_id"), "sessions", "complete")
+    got = _through(spark, d, lambda s: st.sessions(s, "ts", "user_id"), "sessions", "complete")
     return got.where(F.col("batch") == got.agg(F.max("batch")).first()[0]).select("user_id", F.col("started").cast("timestamp_ntz").alias("started"), "n")
 
 
 def barrier_stream(spark, d):
     """The event with which a user's fifth kind of event is first seen."""
-    got = st.run_once(st.barrier(_stream(spark, d), "user_id", "event_type", "event_id", 5), "barrier")
+    got = _through(spark, d, lambda s: st.barrier(s, "user_id", "event_type", "event_id", 5), "barrier")
     return got.select(F.col("key").cast("long").alias("user_id"), F.col("ord").alias("event_id"))
 
 
 def crossing_stream(spark, d):
     """Events that cross more of 90, 95 and 99 than the user's event before."""
-    got = st.run_once(st.crossings(_stream(spark, d), "user_id", "value", "event_id"), "crossings")
+    got = _through(spark, d, lambda s: st.crossings(s, "user_id", "value", "event_id"), "crossings")
     return got.select(F.col("key").cast("long").alias("user_id"), F.col("ord").alias("event_id"), "level")
 
 
 def stream_first_of_day(spark, d):
     """A user's kinds of event of each day, once each: duplicates go as long as the watermark knows them."""
-    s = _stream(spark, d).withWatermark("ts", "60 days").withColumn("day", F.date_trunc("day", "ts")).dropDuplicates(["user_id", "event_type", "day"])
-    return st.run_once(s.select("user_id", "event_type", "day"), "firsts").select("user_id", "event_type", F.to_date("day").alias("day"))
+    firsts = lambda s: s.withWatermark("ts", "60 days").withColumn("day", F.date_trunc("day", "ts")).dropDuplicates(["user_id", "event_type", "day"])
+    return _through(spark, d, lambda s: firsts(s).select("user_id", "event_type", "day"), "firsts").select("user_id", "event_type", F.to_date("day").alias("day"))
 
 
 def stream_enriched(spark, d):
     """A stream joined with a table: events of users who are customers, by market segment."""
     c = table(spark, d, "customer").select(F.col("c_custkey").alias("user_id"), "c_mktsegment")
-    return st.run_once(_stream(spark, d).join(c, "user_id").select("event_id", "c_mktsegment"), "enriched")
+    return _through(spark, d, lambda s: s.join(c, "user_id").select("event_id", "c_mktsegment"), "enriched")
+
+
+def throttle_stream(spark, d):
+    """A user's events that set off a refresh: the first, then each that comes 500 ids or more after the last that did."""
+    got = _through(spark, d, lambda s: st.throttled(s, "user_id", "event_id", 500), "throttled")
+    return got.select(F.col("key").cast("long").alias("user_id"), F.col("ord").alias("event_id"))
 
 
-QUERIES = {f.__name__: f for f in (stream_daily_series, debounce_stream, queue_state, stream_sessions, barrier_stream, crossing_stream, stream_first_of_day, stream_enriched)}
+QUERIES = {f.__name__: f for f in (stream_daily_series, debounce_stream, queue_state, stream_sessions, barrier_stream, crossing_stream, stream_first_of_day, stream_enriched, throttle_stream)}
 
 ORACLES = {
     "stream_daily_series": "SELECT CAST(ts AS DATE) AS day, event_type, count(*) AS n FROM events GROUP BY ALL",
@@ -82,5 +94,6 @@ ORACLES = {
     "crossing_stream": """WITH l AS (SELECT user_id, event_id, CAST(value >= 90 AS INTEGER) + CAST(value >= 95 AS INTEGER) + CAST(value >= 99 AS INTEGER) AS level FROM events), b AS (SELECT *, coalesce(lag(level) OVER (PARTITION BY user_id ORDER BY event_id), 0) AS before_ FROM l)
       SELECT user_id, event_id, level FROM b WHERE level > before_""",
     "stream_first_of_day": "SELECT DISTINCT user_id, event_type, CAST(ts AS DATE) AS day FROM events",
+    "throttle_stream": "WITH RECURSIVE t AS (SELECT user_id, min(event_id) AS event_id FROM events GROUP BY user_id UNION ALL SELECT t.user_id, min(e.event_id) FROM t JOIN events e ON e.user_id = t.user_id AND e.event_id >= t.event_id + 500 GROUP BY t.user_id, t.event_id) SELECT user_id, event_id FROM t",
     "stream_enriched": "SELECT event_id, c_mktsegment FROM events JOIN customer ON c_custkey = user_id",
 }

@@ -15,14 +15,20 @@ RETRY_SECONDS = (30, 120, 600, 1800)
 MOST_ATTEMPTS = 5
 
 
-def file_stream(spark: SparkSession, path: str, schema, files_per_batch: int = 1) -> DataFrame:
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
+def file_stream(spark: SparkSession, path: str, schema, files_per_batch: int | None = 1) -> DataFrame:
+    """The files of a folder as a stream; that many a batch, all new ones if None."""
+    reader = spark.readStream.schema(schema)
+    return (reader if files_per_batch is None else reader.option("maxFilesPerTrigger", files_per_batch)).parquet(path)
 
 
-def run_once(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    """Everything available through the stream into a Parquet table in the shared folder (append), exactly once."""
+def run_once(stream: DataFrame, name: str, mode: str = "append", home: str | None = None) -> DataFrame:
+    """Everything available through the stream into a Parquet table in the shared folder (append), exactly once.
+
+    home: where results and marks lie, so that a later run goes on from there; a new folder by default.
+    """
     spark = stream.sparkSession
-    out, mark = new_path(spark, name), new_path(spark, f"{name}-marks")
+    home = home or new_path(spark, name)
+    out, mark = f"{home}/rows", f"{home}/marks"
     if mode == "append":
         query = stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", mark).trigger(availableNow=True).start()
         query.awaitTermination()
@@ -125,6 +131,22 @@ def barrier(stream: DataFrame, key: str, stage: str, order: str, stages: int) ->
     return named.groupBy("key").applyInPandasWithState(step, "key string, ord long", "seen array<string>, done boolean", "append", GroupStateTimeout.NoTimeout)
 
 
+def throttled(stream: DataFrame, key: str, order: str, least: int) -> DataFrame:
+    """(key, ord): rows at least that far after the last one let through of their key; the first always is. State is one number a key."""
+
+    def step(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        last, out = state.get[0] if state.exists else None, []
+        for o in pd.concat(list(batches))["ord"].sort_values():
+            if last is None or o >= last + least:
+                last = int(o)
+                out.append((k[0], last))
+        state.update((last,))
+        yield pd.DataFrame(out, columns=["key", "ord"])
+
+    named = stream.where(F.col(order).isNotNull()).select(F.col(key).cast("string").alias("key"), F.col(order).cast("long").alias("ord"))
+    return named.groupBy("key").applyInPandasWithState(step, "key string, ord long", "last long", "append", GroupStateTimeout.NoTimeout)
+
+
 def crossings(stream: DataFrame, key: str, value: str, order: str, edges: tuple[float, ...] = (90.0, 95.0, 99.0)) -> DataFrame:
     """(key, ord, level): rows that stand above more edges than the row before them of their key."""
 
