@@ -2,12 +2,25 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Accented Latin letters and their plain forms.
-ACCENTED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ"
-PLAIN = "aaaaaaceeeeiiiinooooouuuuyy"
+# Latin letters that no accent explains, and their plain forms.
+STROKED = {"ø": "o", "Ø": "O", "ł": "l", "Ł": "L", "đ": "d", "Đ": "D", "ð": "d", "Ð": "D", "ħ": "h", "Ħ": "H", "ı": "i"}
+LIGATURES = {"æ": "ae", "Æ": "AE", "œ": "oe", "Œ": "OE", "ß": "ss", "þ": "th", "Þ": "TH"}
+
+
+def _accents() -> dict[str, str]:
+    """Latin letters of which Unicode says that they are a plain letter with accents."""
+    found = {chr(c): unicodedata.normalize("NFD", chr(c))[0] for r in (range(0xC0, 0x250), range(0x1E00, 0x1F00)) for c in r}
+    return {c: base for c, base in found.items() if base.isascii() and base.isalpha()}
+
+
+_SINGLE = _accents() | STROKED
+ACCENTED = "".join(_SINGLE) + "".join(map(chr, range(0x300, 0x370)))  # accents that stand by themselves go
+PLAIN = "".join(_SINGLE.values())
 
 
 def ratio(part: Column, whole: Column, scale: float = 1.0) -> Column:
@@ -17,7 +30,9 @@ def ratio(part: Column, whole: Column, scale: float = 1.0) -> Column:
 
 def normal_name(c: Column) -> Column:
     """Lower case without accents; other characters than letters and digits become single spaces."""
-    return F.trim(F.regexp_replace(F.translate(F.lower(c), ACCENTED, PLAIN), "[^a-z0-9]+", " "))
+    for double, plain in LIGATURES.items():
+        c = F.replace(c, F.lit(double), F.lit(plain))
+    return F.trim(F.regexp_replace(F.lower(F.translate(c, ACCENTED, PLAIN)), "[^a-z0-9]+", " "))
 
 
 def t_score(value: Column, mean: Column, deviation: Column) -> Column:

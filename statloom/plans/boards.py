@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalar as S
 from ..functions import text as X
-from ..operators import keys, story
+from ..operators import cohort, keys, story
 from ..sources.tables import table
 from .season import SEASONS, seasons
 
@@ -130,7 +130,8 @@ def pipeline_stats(spark, d):
 def catch_up_notices(spark, d):
     """Users at the ninetieth percentile of value in their kind of event without a purchase since."""
     e = _events(spark, d)
-    r = e.withColumn("pct", 100 * F.percent_rank().over(Window.partitionBy("event_type").orderBy(S.key_of(F.col("value"))))).where("pct >= 90").alias("r")
+    ranked = cohort.percent_ranks(e, ["event_type"], S.key_of(F.col("value")), "rank")
+    r = ranked.withColumn("pct", 100 * F.col("rank")).where("pct >= 90").alias("r")
     sent = e.where("event_type = 'purchase'").select(F.col("user_id").alias("u"), F.col("ts").alias("t")).alias("s")
     return r.join(sent, (F.col("user_id") == F.col("u")) & (F.col("t") >= F.col("ts")), "left_anti").select("event_id", "user_id")
 

@@ -173,7 +173,9 @@ QUERIES = {f.__name__: f for f in (
 
 
 def _norm(x: str) -> str:
-    return f"trim(regexp_replace(translate(lower({x}), '{S.ACCENTED}', '{S.PLAIN}'), '[^a-z0-9]+', ' ', 'g'))"
+    for double, plain in S.LIGATURES.items():
+        x = f"replace({x}, '{double}', '{plain}')"
+    return f"trim(regexp_replace(lower(translate({x}, '{S.ACCENTED}', '{S.PLAIN}')), '[^a-z0-9]+', ' ', 'g'))"
 
 
 _TITLE = "regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)"

@@ -153,6 +153,8 @@ def test_scores_are_whole_numbers(spark):
 
 def test_names(spark):
     assert spark.range(1).select(S.normal_name(F.lit("  Élan  d'Örtz-9 ")).alias("n")).first().n == "elan d ortz 9"
+    names = spark.createDataFrame([("Šešelj Łódź Čović",), ("Ødegård þór Æsir Straße",), ("İlkay Gu\u0308ndog\u0306an",)], "n string")
+    assert [r.n for r in names.select(S.normal_name(F.col("n")).alias("n")).collect()] == ["seselj lodz covic", "odegard thor aesir strasse", "ilkay gundogan"]
 
 
 def test_story_rules():
