@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..functions import relevance
 from ..operators import keys
 from ..sources.tables import table
 from . import season, sports
@@ -168,6 +169,17 @@ def reverted_applications(spark, d):
     return both.where("what = 'revert'").select("user_id", F.col("id").alias("revert"), status.alias("status"), F.when(F.col("before") == "apply", F.col("other")).alias("application"))
 
 
+def page_relevance(spark, d):
+    """Documents as pages with one role and one name each, made of their ids; ours are Paris and Lyon."""
+    pick = lambda given, of: F.element_at(F.array(*(F.lit(x) for x in given)), (of % len(given) + 1).cast("int"))
+    i = F.col("doc_id")
+    roles = F.array(F.struct(pick(("paris", "Lyon ", "Oslo"), i).alias("entity"), pick(("subject", "passing_mention", "Absent", "opponent"), i).alias("role")))
+    names = F.array(F.struct(pick(("Paris", "Lyon", "Oslo"), F.floor(i / 3)).alias("name"), pick(("the capital city", "club of the city", "a singer"), F.floor(i / 9)).alias("descriptor")))
+    ours = F.array(F.lit("Paris (FC)"), F.lit("lyon"))
+    kind = F.when(i % 7 == 0, "Roundup").otherwise("article")
+    return table(spark, d, "documents").select("doc_id", relevance.relevant(kind, roles, ours, names).alias("relevant"))
+
+
 STEPS = (("percentiles", season.percentile_scoped), ("event_percentiles", season.event_composite), ("rating", season.zscore_modes), ("team_rating", sports.team_rating), ("event_rating", season.event_rating))
 
 
@@ -178,7 +190,7 @@ def recompute_season(spark, d):
 
 QUERIES = {f.__name__: f for f in (
     either_key_join, case_insensitive_join, member_join, shared_stories, modal_nation, json_members, after_cursor, board_default, board_filtered, board_roster, sigil_board, narratives_board, heat_per_team,
-    candidate_gate, boxscore_enqueue, reverted_applications, recompute_season,
+    candidate_gate, boxscore_enqueue, reverted_applications, page_relevance, recompute_season,
 )}
 
 _AGE = "((epoch_us(TIMESTAMP '2024-01-31') - epoch_us(ts)) / 3600000000.0::DOUBLE)"
@@ -206,5 +218,7 @@ ORACLES = {
       SELECT id, 'pending' AS status, 0 AS attempts, version, CASE WHEN id % 2 = 0 AND id % 3 = 0 THEN o_orderdate ELSE TIMESTAMP '2024-01-31' END AS available_at FROM n WHERE id % 2 <> 0 OR version <> id % 60""",
     "reverted_applications": """WITH b AS (SELECT o_custkey AS user_id, o_orderkey AS id, 'apply' AS what, o_orderkey % 1000 AS at_ FROM orders WHERE o_orderstatus = 'F' UNION ALL SELECT user_id, event_id, 'revert', event_id % 1000 FROM events WHERE event_type = 'purchase'), l AS (SELECT *, lag(what) OVER w AS before_, lag(id) OVER w AS other FROM b WINDOW w AS (PARTITION BY user_id ORDER BY at_, what, id))
       SELECT user_id, id AS "revert", CASE WHEN before_ = 'apply' THEN 'reverted' ELSE 'not_active' END AS status, CASE WHEN before_ = 'apply' THEN other END AS application FROM l WHERE what = 'revert'""",
+    "page_relevance": """WITH p AS (SELECT doc_id, doc_id % 7 = 0 AS idle, ['paris', 'lyon', 'oslo'][doc_id % 3 + 1] AS entity, ['subject', 'passing_mention', 'absent', 'opponent'][doc_id % 4 + 1] AS role, ['paris', 'lyon', 'oslo'][(doc_id // 3) % 3 + 1] AS name, (doc_id // 9) % 3 = 0 AS place FROM documents)
+      SELECT doc_id, CASE WHEN idle THEN false WHEN entity <> 'oslo' THEN role <> 'absent' AND NOT (name = entity AND place) AND (role <> 'passing_mention' OR name = entity) ELSE name <> 'oslo' AND NOT place END AS relevant FROM p""",
     "recompute_season": "SELECT CAST(row_number() OVER () AS INTEGER) AS step, name, updated FROM (VALUES " + ", ".join(f"('{name}', (SELECT count(*) FROM ({(season if step.__module__ == season.__name__ else sports).ORACLES[step.__name__]})))" for name, step in STEPS) + ") AS t(name, updated)",
 }

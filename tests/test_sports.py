@@ -55,3 +55,23 @@ def test_only_numbers_of_json(spark):
     given = [('{"a": 5, "b": "5", "c": 1.5, "d": null, "e": [1]}',), ("[1]",), ("no json",), (None,)]
     got = spark.createDataFrame(given, "j string").select(bags.numeric_bag(F.col("j")).alias("b")).collect()
     assert [r.b for r in got] == [{"a": 5.0, "c": 1.5}, None, None, None]
+
+
+def test_relevance_of_pages(spark):
+    from statloom.functions import relevance
+
+    ours, role, named = ["Paris (FC)"], lambda e, r: [(e, r)], lambda n, d: [(n, d)]
+    given = [
+        ("article", role("paris", "subject"), ours, [], True),
+        ("SCORE_TABLE", role("paris", "subject"), ours, [], False),
+        ("article", [], ours, [], True),
+        ("article", role("paris", "subject"), ours, named("Paris", "capital city"), False),
+        ("article", role("paris", "subject"), ours, named("Paris", "club from the capital city"), True),
+        ("article", role("Paris", "passing_mention"), ours, named("Paris Mining Corp", "a mine"), False),
+        ("article", role("Oslo", "subject"), ours, named("Paris", "visitors"), True),
+        ("article", role("Oslo", "subject"), ours, named("Paris", "a town"), False),
+        ("article", role("Paris", "absent"), ours, named("Paris", None), False),
+    ]
+    df = spark.createDataFrame(given, "kind string, roles array<struct<entity:string,role:string>>, ours array<string>, names array<struct<name:string,descriptor:string>>, want boolean")
+    got = df.select("want", relevance.relevant(F.col("kind"), F.col("roles"), F.col("ours"), F.col("names")).alias("got")).collect()
+    assert [r.got for r in got] == [r.want for r in got]
