@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, grammar_ids, langid, licenses, neighbours, packing, quality, sharding, simhash, token_counts
+from . import bestfit, decontaminate, grammar_ids, langid, licenses, manifest, neighbours, packing, periodic, quality, sharding, simhash, token_counts
 from .common import fold, table, text_crc32, utf8_bytes
 
 
@@ -72,9 +72,30 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(docs).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
 
 
+LEAF_FIELDS = ["doc_id", "source", "lang", "n_chars", "text"]
+
+
+def op11_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0
+    altered = [*LEAF_FIELDS[:-1], F.replace("text", F.lit("\n"), F.lit(""))]
+    return manifest.verified(docs, LEAF_FIELDS, altered, tampered).drop("source")
+
+
+def op12_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bestfit.pack(table(spark, sf_dir, "documents"), BYTES).drop("ids")
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.when(h % 10 == 0, F.floor(h / 10)).alias("tail"))
+    return periodic.digested(periodic.find_runs(docs, tail=F.col("tail")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_sharding": op1_sharding, "op2_token_counts": op2_token_counts, "op3_packing": op3_packing, "op4_decontaminate": op4_decontaminate, "op5_simhash": op5_simhash, "op6_neighbours": op6_neighbours, "op7_grammar_ids": op7_grammar_ids, "op8_language": op8_language, "op9_quality": op9_quality, "op10_licenses": op10_licenses}
+    named = [op1_sharding, op2_token_counts, op3_packing, op4_decontaminate, op5_simhash, op6_neighbours, op7_grammar_ids, op8_language, op9_quality, op10_licenses, op11_manifest, op12_best_fit, op13_periodic_runs]
+    return {q.__name__: q for q in named}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op11_manifest": manifest.ORACLE}
