@@ -10,7 +10,7 @@ successor queries, all at once. Candidates are extended to both ends and kept if
 windows of one word, which are compared.
 
 Texts are worked on some megabytes at a time; nothing is shuffled, so a hot source or group of copies costs nothing
-extra. Memory grows with the block, or with a longer text: about 30 times its bytes for words of two letters.
+extra. Memory grows with the block, or with a longer text: about 40 times its bytes where words have two letters.
 
 Defined results: null and empty texts have no runs and become the empty text; repeated rows each keep their row; a very
 long text is searched whole; ties don't occur, as all runs are returned, by start and then period; an empty table gives
@@ -84,16 +84,16 @@ class RangeSuccessor:
 def _occurring_blocks(seq: np.ndarray, longest: int) -> tuple[np.ndarray, list[tuple[int, np.ndarray, np.ndarray, np.ndarray]]]:
     """The suffix array, and by dyadic length the aligned blocks that occur more than once: (length, starts, first and last place in the array)."""
     n = len(seq)
-    array = np.argsort(seq, kind="stable")
+    array = np.argsort(seq, kind="stable").astype(np.int32)
     begins = np.flatnonzero(np.append(True, np.diff(seq[array]) != 0))
     sizes = np.diff(np.append(begins, n))
-    rank, many = np.empty(n, np.int64), np.zeros(n, np.int64)  # a class is named by its first place
+    rank, many = np.empty(n, np.int32), np.zeros(n, np.int32)  # a class is named by its first place
     rank[array] = np.repeat(begins, sizes)
     many[begins] = sizes
     levels, b = [], 1
     while True:
         if b > 1:
-            starts = np.arange(0, n - b + 1, b)
+            starts = np.arange(0, n - b + 1, b, dtype=np.int32)
             lo = rank[starts]
             again = many[lo] > 1
             levels.append((b, starts[again], lo[again], (lo + many[lo])[again]))
@@ -103,7 +103,7 @@ def _occurring_blocks(seq: np.ndarray, longest: int) -> tuple[np.ndarray, list[t
         if not len(places):
             break
         some = array[places]
-        key = rank[some] * n + rank[some + b]  # a stretch that occurs twice holds no border, so another word follows
+        key = rank[some].astype(np.int64) * n + rank[some + b]  # a stretch that occurs twice holds no border, so another word follows
         order = np.argsort(key, kind="stable")
         some, key = some[order], key[order]
         array[places] = some
@@ -117,14 +117,14 @@ def _occurring_blocks(seq: np.ndarray, longest: int) -> tuple[np.ndarray, list[t
 
 def _certain(seq: np.ndarray, longest: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Stretches that have a period for certain, from blocks and their neighbouring occurrences: (begin, end, period)."""
-    same = np.flatnonzero(seq[1:] == seq[:-1])
-    begins, ends, periods = [same], [same + 2], [np.ones(len(same), np.int64)]
+    same = np.flatnonzero(seq[1:] == seq[:-1]).astype(np.int32)
+    begins, ends, periods = [same], [same + 2], [np.ones(len(same), np.int32)]
     array, levels = _occurring_blocks(seq, longest)
     if sum(len(s) for _, s, _, _ in levels):
         tree = RangeSuccessor(array)
         for b, all_starts, all_lo, all_hi in levels:
             for i in range(0, len(all_starts), _QUERIES):
-                start, lo, hi = (x[i : i + _QUERIES] for x in (all_starts, all_lo, all_hi))
+                start, lo, hi = (x[i : i + _QUERIES].astype(np.int64) for x in (all_starts, all_lo, all_hi))
                 before = tree.below(lo, hi, start)
                 for k, exists in ((before + 1, before + 1 < hi - lo), (before - 1, before > 0)):
                     which = np.flatnonzero(exists)
@@ -132,9 +132,9 @@ def _certain(seq: np.ndarray, longest: int) -> tuple[np.ndarray, np.ndarray, np.
                     period = np.abs(other - start[which])
                     near = (2 * period > b) & (period <= b)
                     first = np.minimum(other, start[which])[near]
-                    begins.append(first)
-                    ends.append(first + period[near] + b)
-                    periods.append(period[near])
+                    begins.append(first.astype(np.int32))
+                    ends.append((first + period[near] + b).astype(np.int32))
+                    periods.append(period[near].astype(np.int32))
     return tuple(np.concatenate(x) for x in (begins, ends, periods))
 
 
@@ -193,7 +193,7 @@ def _names(data: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     np.cumsum(sizes, out=border[1:])
     solid = data[~_SPACE[data]]
     coded = pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(border), pa.py_buffer(solid)]).dictionary_encode()
-    return coded.indices.to_numpy().astype(np.int64)
+    return coded.indices.to_numpy()
 
 
 def _repeated_tail(n: int, g: int) -> np.ndarray:
@@ -235,7 +235,7 @@ def searched(data: np.ndarray, offsets: np.ndarray, tails: list[int | None], lea
     names = _names(data, sizes)[which]
     text = np.repeat(np.arange(len(counts)), counts)
     place = np.arange(len(names)) + text  # a border after each text
-    seq = np.full(len(names) + len(counts), -1, np.int64)
+    seq = np.full(len(names) + len(counts), -1, np.int32)
     seq[place] = names
     seq[upto[1:] + np.arange(len(counts))] = len(names) + np.arange(len(counts))
     found = runs_of(seq, int(counts.max(initial=0)) // times, least, times)

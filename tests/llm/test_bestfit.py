@@ -49,7 +49,7 @@ def test_plan_places_all(seed):
 
 def test_plan_pairs_what_fits_exactly():
     counts = np.zeros(1025, np.int64)
-    counts[[600, 424, 512, 1024, 342, 341]] = [500, 500, 101, 7, 200, 100]
+    counts[[600, 424, 512, 1024, 342, 341]] = [500, 500, 101, 7, 100, 200]
     assert fits(counts) == 500 + 51 + 7 + 100
 
 
