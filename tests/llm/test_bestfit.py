@@ -1,5 +1,6 @@
 """Linear grouping against what packing must hold, and against lower bounds."""
 
+import bisect
 import zlib
 from collections import defaultdict
 
@@ -53,10 +54,22 @@ def test_plan_pairs_what_fits_exactly():
     assert fits(counts) == 500 + 51 + 7 + 100
 
 
-def test_few_sizes_of_many_pieces():
-    counts = np.zeros(101, np.int64)
-    counts[[40, 60, 35, 26]] = [3000, 2000, 3001, 500]
-    assert fits(counts) <= -(-(3000 * 40 + 2000 * 60 + 3001 * 35 + 500 * 26) // 100) * 1.06
+def best_fit_decreasing(counts):
+    rooms, used = [], 0
+    for size in range(len(counts) - 1, 0, -1):
+        for _ in range(counts[size]):
+            at = bisect.bisect_left(rooms, size)
+            if at == len(rooms):
+                used += 1
+            bisect.insort(rooms, (rooms.pop(at) if at < len(rooms) else len(counts) - 1) - size)
+    return used
+
+
+@pytest.mark.parametrize("low,high", [(250, 500), (200, 400)])
+def test_fewer_sequences_than_best_fit_decreasing(low, high):
+    counts = np.zeros(1025, np.int64)
+    np.add.at(counts, np.random.default_rng(1).integers(low, high, 3000), 1)
+    assert fits(counts) < 0.97 * best_fit_decreasing(counts)
 
 
 def test_groups_are_equal_and_round_up():
