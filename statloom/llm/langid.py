@@ -7,9 +7,13 @@ gets the language of the smallest code length. As the statistics are frozen, a c
 worker works out the cost of a run of four bytes when it first meets it, and looks it up from then on.
 
 Trees are kept as sorted arrays of the contexts seen, all of them, so they grow with what was learnt and with the
-number of languages, not with the alphabet. They are learnt from a bounded sample of labelled rows: of the
-``languages`` most frequent languages about ``train_docs`` documents each (all, if there are fewer), less where that
-would come to more than ``train_total`` together, by a hash of the id. All three are parameters of learn.
+number of languages, not with the alphabet. They are learnt from a bounded sample of labelled rows, by a hash of the
+id: of every language about ``train_docs`` documents (all, if there are fewer), less where that would come to more than
+``train_total`` documents or ``train_bytes`` bytes of text for all languages together, but one at least.
+All three are parameters of learn. The contexts that the driver gathers are fewer than the bytes learnt.
+
+What a byte of a language usually costs is measured on documents of the sample that its tree hasn't learnt. A text that
+costs STRANGE times as much, FREE_BITS aside, is in none of the learnt languages: it is marked as strange.
 
 Defined results: ``und`` with score 0 for null texts, texts without a letter and where nothing could be learnt; ties
 go to the smaller language name; repeated rows each get the same answer; an empty table gives an empty result;
@@ -21,21 +25,25 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
 from .common import free_name, held, text_blocks, without
 
-TRAIN_DOCS, TRAIN_TOTAL, LANGUAGES = 2000, 20_000, 64
+TRAIN_DOCS, TRAIN_TOTAL, TRAIN_BYTES = 2000, 20_000, 256 << 20
+TRIED, TRIED_FROM = 5, 20  # one in five documents is kept to try the trees on, where a language has so many
+STRANGE, FREE_BITS = 2.5, 256  # a text is strange from so many times the usual bits a byte on, and so many more
 CACHED = 1 << 22  # costs that a worker keeps
 UNKNOWN = "und"
 _START = 10  # a text is preceded by line ends
-_SLICE = 1 << 18
+_COSTS = 1 << 22  # bytes times languages looked at together
 
 
 def grams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -137,8 +145,9 @@ class Trees:
     def lengths(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Bits of each text under each language."""
         out = np.zeros((len(offsets) - 1, len(self.languages)))
-        for lo in range(0, len(data), _SLICE):
-            hi = min(lo + _SLICE, len(data))
+        width = max(1 << 10, min(1 << 18, _COSTS // len(self.languages)))
+        for lo in range(0, len(data), width):
+            hi = min(lo + width, len(data))
             first = int(np.searchsorted(offsets, lo, "right")) - 1
             last = int(np.searchsorted(offsets, hi, "left"))
             back = max(0, lo - 3)
@@ -152,16 +161,32 @@ class Trees:
         return out
 
 
-def learn(docs: DataFrame, learn_from: Column, text: str = "text", language: str = "lang", key: str = "doc_id", train_docs: int = TRAIN_DOCS, train_total: int = TRAIN_TOTAL, languages: int = LANGUAGES):
+class Model(NamedTuple):
+    """A learnt model: its name, the broadcast contexts of all languages, and the usual bits a byte of each."""
+
+    name: str
+    sent: Broadcast
+    usual: dict[str, float]
+
+
+def learn(docs: DataFrame, learn_from: Column, text: str = "text", language: str = "lang", key: str = "doc_id", train_docs: int = TRAIN_DOCS, train_total: int = TRAIN_TOTAL, train_bytes: int = TRAIN_BYTES) -> Model:
     """A broadcast model of the languages of the rows where learn_from holds and language and text aren't null."""
     spark = docs.sparkSession
     rows = docs.where(learn_from & F.col(language).isNotNull() & F.col(text).isNotNull()).select(F.col(language).cast("string").alias("lang"), F.col(text).alias("text"), F.pmod(F.xxhash64(F.col(key), F.lit(8)), F.lit(1 << 20)).alias("h"))
-    known = {r.lang: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).collect()}
+    known = rows.groupBy("lang").agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("bytes"), F.min("h").alias("least")).collect()
     model = None
     if known:
-        each = min(train_docs, max(1, train_total // len(known)))
-        share = F.create_map(*(F.lit(x) for name, n in known.items() for x in (name, max(1, (each << 20) // n))))
-        picked = rows.where(F.col("h") < F.element_at(share, F.col("lang"))).select("lang", "text")
+        each, each_bytes = min(train_docs, max(1, train_total // len(known))), train_bytes // len(known)
+
+        def upto(n: int, size: int, least: int) -> int:
+            """A language's rows with smaller hashes are learnt: of 2 ** 20 parts so many, but its first row at least."""
+            return max(int(min(each / n, each_bytes / max(size, 1)) * (1 << 20)), least + 1)
+
+        of_language = lambda column: F.element_at(F.create_map(*(F.lit(x) for r in known for x in (r.lang, column(r)))), F.col("lang"))
+        many = [r.lang for r in known if r.n >= TRIED_FROM]
+        picked = rows.where(F.col("h") < of_language(lambda r: upto(r.n, r.bytes, r.least)))
+        picked = picked.withColumn("tried", (F.col("h") % TRIED == 0) & F.col("lang").isin(many) & (F.col("h") != of_language(lambda r: r.least)))
+        sample = picked.where("not tried").select("lang", "text")
 
         def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -169,39 +194,48 @@ def learn(docs: DataFrame, learn_from: Column, text: str = "text", language: str
                     g, n = grams(batch.column("text").filter(pc.equal(batch.column("lang"), name)))
                     yield pa.RecordBatch.from_pydict({"lang": pa.array([name.as_py()] * len(g), pa.string()), "gram": g.astype(np.int64), "n": n.astype(np.int64)})
 
-        found = picked.mapInArrow(counted, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas()
+        found = sample.mapInArrow(counted, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas()
         if len(found):
             groups = {name: part for name, part in found.groupby("lang")}
             names = sorted(groups)
             model = names, [(np.asarray(groups[x].gram, np.uint32), np.asarray(groups[x].n, np.int64)) for x in names]
-    return uuid.uuid4().hex, spark.sparkContext.broadcast(model)
+    learnt = Model(uuid.uuid4().hex, spark.sparkContext.broadcast(model), {})
+    if model and many:
+        cost = identify(picked.where("tried").select("lang", "text"), learnt).where("lang_pred = lang").groupBy("lang").agg((F.sum("bits") / F.sum(F.octet_length("text"))).alias("each"))
+        learnt.usual.update((r.lang, r.each) for r in cost.collect() if r.each)
+    return learnt
 
 
-def identify(docs: DataFrame, model, text: str = "text") -> DataFrame:
-    """docs with lang_pred and score."""
-    name, sent = model
-    kept = without(docs, "lang_pred", "score")
-    if sent.value is None:
-        return kept.withColumns({"lang_pred": F.lit(UNKNOWN), "score": F.lit(0.0)})
+def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
+    """docs with lang_pred, score, bits (the text's code length in that language) and strange (whether that is much for its bytes)."""
+    kept = without(docs, "lang_pred", "score", "bits", "strange")
+    if model.sent.value is None:
+        return kept.withColumns({"lang_pred": F.lit(UNKNOWN), "score": F.lit(0.0), "bits": F.lit(0.0), "strange": F.lit(False)})
+    name, sent = model.name, model.sent
 
-    @arrow_udf("struct<lang_pred:string,score:double>")
+    @arrow_udf("struct<lang_pred:string,score:double,bits:double>")
     def best(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         trees = held(name, lambda: Trees(*sent.value))
         for texts in batches:
-            won, score = [], []
+            won, score, least = [], [], []
             for data, offsets in text_blocks(texts):
                 bits = trees.lengths(data, offsets)
                 won.append(bits.argmin(1))
+                least.append(bits.min(1))
                 score.append(1 / np.exp2(bits.min(1, keepdims=True) - bits).sum(1))
             names = pa.array(trees.languages, pa.string())
-            at = np.concatenate(won) if won else np.zeros(0, np.int64)
-            yield pa.StructArray.from_arrays([names.take(pa.array(at)), pa.array(np.concatenate(score) if score else np.zeros(0))], ["lang_pred", "score"])
+            at, score, least = (np.concatenate([np.zeros(0, kind), *x]) for kind, x in ((np.int64, won), (float, score), (float, least)))
+            yield pa.StructArray.from_arrays([names.take(pa.array(at)), pa.array(score), pa.array(least)], ["lang_pred", "score", "bits"])
 
     letters = F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False))
     own = free_name(kept, "best")
     found = kept.withColumn(own, best(F.coalesce(F.col(text), F.lit(""))))
+    usual = F.element_at(F.create_map(*(F.lit(x) for pair in model.usual.items() for x in pair)), F.col(f"{own}.lang_pred")) if model.usual else F.lit(None)
+    much = F.col(f"{own}.bits") > STRANGE * usual * F.octet_length(text) + FREE_BITS
     return found.select(
         *(F.col(f"`{c}`") for c in kept.columns),
         F.when(letters, F.col(f"{own}.lang_pred")).otherwise(UNKNOWN).alias("lang_pred"),
         F.when(letters, F.col(f"{own}.score")).otherwise(0.0).alias("score"),
+        F.when(letters, F.col(f"{own}.bits")).otherwise(0.0).alias("bits"),
+        (letters & F.coalesce(much, F.lit(False))).alias("strange"),
     )

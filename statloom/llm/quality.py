@@ -9,7 +9,11 @@ Labels are known for documents only, so in learning each line has its document's
 a hashed place (both are parameters of learn); their features are gathered on the driver. Statistics of lines cover
 whole texts. Scoring is a scan: no shuffle, whole texts.
 
-Defined results: null and empty texts are one empty line and get its score; texts without labels to learn from score
+Texts longer than BLOCK_BYTES are judged a slice of lines at a time: forward with the chances that the slice before
+leaves, then backward, two numbers a line being kept. So memory grows by a third of a text's bytes per number even where
+lines are short.
+
+Defined results: null and empty texts are one empty line and get its score; very long texts are judged whole; texts without labels to learn from score
 0.5; ties (score 0.5) count as good; repeated rows each get the same score; an empty table gives an empty result;
 columns of the input that clash with an added name are replaced.
 """
@@ -29,6 +33,8 @@ from .common import text_blocks, without
 TRAIN_DOCS = 3000
 TRAIN_LINES = 120
 ROUNDS = 200  # of gradient descent
+BLOCK_BYTES = 1 << 20  # of texts judged together; longer ones are judged by slices
+SLICE_LINES = 1 << 16
 
 # Classes of bytes whose shares of a line are features.
 CLASSES = (b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789", b"|", b"!?", b"#$%&*+<=>@[]\\^_`{}~/", b".,;:'\"()-", b" \t\r")
@@ -111,17 +117,22 @@ def _products(m: np.ndarray, longest: int, forward: bool) -> np.ndarray:
     return p
 
 
-def marginals(x: np.ndarray, first: np.ndarray, w: np.ndarray, t: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Each line's chance to be good, and of each pair (line before, line) the four joint chances."""
-    n = len(x)
-    u = x @ w
+def _steps(u: np.ndarray, t: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """What each line, good by u, does to the chances of the line before it: matrices as four columns. At starts their equal rows forget what came before."""
     top = np.maximum(u, 0)
     bad, good = np.exp(-top), np.exp(u - top)
     e = np.exp(t - t.max())
     m = np.column_stack([e[0, 0] * bad, e[0, 1] * good, e[1, 0] * bad, e[1, 1] * good])
-    starts = first[:-1]
-    m[starts] = np.column_stack([bad, good, bad, good])[starts]  # equal rows forget what came before
+    m[starts] = np.column_stack([bad, good, bad, good])[starts]
     m /= m.max(1, keepdims=True)
+    return m
+
+
+def marginals(x: np.ndarray, first: np.ndarray, w: np.ndarray, t: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each line's chance to be good, and of each pair (line before, line) the four joint chances."""
+    n = len(x)
+    starts = first[:-1]
+    m = _steps(x @ w, t, starts)
     longest = int(np.diff(first).max(initial=1))
     alpha = _products(m, longest, True)[:, :2]
     suffix = _products(m, longest, False)
@@ -138,6 +149,47 @@ def marginals(x: np.ndarray, first: np.ndarray, w: np.ndarray, t: np.ndarray) ->
     return p[:, 1], joint
 
 
+def _borders(data: np.ndarray) -> np.ndarray:
+    """Where each line of one text begins, and one past where the next would."""
+    return np.concatenate([[0], np.flatnonzero(data == 10) + 1, [len(data) + 1]])
+
+
+def _stretch(data: np.ndarray, borders: np.ndarray, a: int, b: int) -> tuple[np.ndarray, np.ndarray]:
+    """Features and weights of lines a to b - 1 of one text, from those lines, two before and one after alone."""
+    lo, hi = max(a - 2, 0), min(b + 1, len(borders) - 1)
+    part = data[borders[lo] : borders[hi] - 1]
+    x, weight, _ = lines(part, np.array([0, len(part)]))
+    return x[a - lo : b - lo], weight[a - lo : b - lo]
+
+
+def long_mean(data: np.ndarray, w: np.ndarray, t: np.ndarray, slice_lines: int = SLICE_LINES) -> float:
+    """document_means of one text of any length: its lines a slice at a time, forward with what the slice before leaves, then backward; a line keeps two numbers."""
+    borders = _borders(data)
+    n = len(borders) - 1
+    cuts = [*range(0, n, slice_lines), n]
+    spans = list(zip(cuts[:-1], cuts[1:], strict=True))
+    u, alpha = np.empty(n), np.empty(n)  # alpha: the chance to be good by the lines so far
+    carry = np.ones(2)
+    for a, b in spans:
+        step = max(1, slice_lines // 8)
+        for i in range(a, b, step):
+            u[i : min(b, i + step)] = _stretch(data, borders, i, min(b, i + step))[0] @ w
+        m = _products(_steps(u[a:b], t, np.arange(a == 0)), b - a, True)
+        so_far = np.column_stack([carry[0] * m[:, 0] + carry[1] * m[:, 2], carry[0] * m[:, 1] + carry[1] * m[:, 3]])
+        so_far /= so_far.sum(1, keepdims=True)
+        alpha[a:b], carry = so_far[:, 1], so_far[-1]
+    total, carry = 0.0, np.ones(2)
+    for a, b in reversed(spans):
+        m = _products(_steps(u[a:b], t, np.arange(a == 0)), b - a, False)
+        after = np.column_stack([m[:, 0] * carry[0] + m[:, 1] * carry[1], m[:, 2] * carry[0] + m[:, 3] * carry[1]])
+        beta = np.concatenate([after[1:], carry[None]])
+        good = alpha[a:b] * beta[:, 1]
+        p = good / (good + (1 - alpha[a:b]) * beta[:, 0])
+        total += float(p @ np.diff(borders[a : b + 1]))
+        carry = after[0] / after[0].sum()
+    return total / float(borders[-1])
+
+
 def document_means(p: np.ndarray, weight: np.ndarray, first: np.ndarray) -> np.ndarray:
     sums = np.add.reduceat(p * weight, first[:-1]) if len(first) > 1 else np.zeros(0)
     return sums / (np.add.reduceat(weight, first[:-1]) if len(first) > 1 else np.ones(0))
@@ -183,14 +235,15 @@ def learn(docs: DataFrame, labels: DataFrame, learn_from: Column, text: str = "t
         for batch in batches:
             at = 0
             for data, offsets in text_blocks(batch.column("text")):
-                x, weight, first = lines(data, offsets)
                 mine = batch.column("label").slice(at, len(offsets) - 1).to_pylist()
                 at += len(offsets) - 1
                 got = []
-                for d, (a, b) in enumerate(zip(first[:-1].tolist(), first[1:].tolist(), strict=True)):
-                    skip = a + (int(offsets[d + 1] - offsets[d]) * 2654435761 % (b - a - train_lines) if b - a > train_lines else 0)
-                    part = slice(skip, min(b, skip + train_lines))
-                    got.append((np.column_stack([x[part], weight[part]]).astype("<f4").tobytes(), mine[d]))
+                for d, (a, b) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)):
+                    borders = _borders(data[a:b])
+                    more = len(borders) - 1 - train_lines
+                    skip = (b - a) * 2654435761 % more if more > 0 else 0
+                    x, weight = _stretch(data[a:b], borders, skip, min(len(borders) - 1, skip + train_lines))
+                    got.append((np.column_stack([x, weight]).astype("<f4").tobytes(), mine[d]))
                 yield pa.RecordBatch.from_pydict({"x": pa.array([g[0] for g in got], pa.binary()), "label": pa.array([g[1] for g in got], pa.int32())})
 
     found = rows.mapInArrow(features, "x binary, label int").toPandas().sort_values(["label", "x"])
@@ -213,9 +266,12 @@ def score(docs: DataFrame, model, text: str = "text") -> DataFrame:
     def judge(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         w, t, slope, base = model
         for texts in batches:
-            for data, offsets in text_blocks(texts, 1 << 20):
-                x, weight, first = lines(data, offsets)
-                mean = document_means(marginals(x, first, w, t)[0], weight, first)
+            for data, offsets in text_blocks(texts, BLOCK_BYTES):
+                if len(data) > BLOCK_BYTES:  # one text
+                    mean = np.array([long_mean(data, w, t)])
+                else:
+                    x, weight, first = lines(data, offsets)
+                    mean = document_means(marginals(x, first, w, t)[0], weight, first)
                 yield pa.array(1 / (1 + np.exp(-np.clip(slope * (mean - 0.5) + base, -30, 30))))
 
     return kept.withColumn("score", judge(F.coalesce(F.col(text), F.lit("")))).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))

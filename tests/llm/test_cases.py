@@ -509,6 +509,56 @@ def test_language(spark, odd, none):
     assert {(r.lang_pred, r.score) for r in langid.identify(odd, nothing).collect()} == {("und", 0.0)}
 
 
+def test_every_language_is_learnt(spark):
+    """Eighty languages of their own letters each, one of them in one document alone."""
+    rng = random.Random(8)
+    rows = []
+    for k in range(80):
+        letters = [chr(0x400 + 5 * k + j) for j in range(5)]
+        rows += [(len(rows) + i, " ".join("".join(rng.choices(letters, k=5)) for _ in range(20)), f"l{k:02}") for i in range(1 if k == 7 else 6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.learn(docs, F.lit(True), train_total=160, train_bytes=1 << 20)
+    assert model.sent.value[0] == [f"l{k:02}" for k in range(80)]
+    assert sum(int(n.sum()) for _, n in model.sent.value[1]) < 160 * 3 * 250
+    assert all(r.lang_pred == r.lang for r in langid.identify(docs, langid.learn(docs, F.lit(True))).collect())
+
+
+def test_texts_of_no_learnt_language_are_strange(spark):
+    words = {"en": "the cat and dog are here with us in a house of stone", "fr": "le chat et le chien sont ici avec nous dans une maison"}
+    rng = random.Random(9)
+    rows = [(i, " ".join(rng.choice(words[lang].split()) for _ in range(60)), lang) for i in range(200) for lang in [("en", "fr")[i % 2]]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.learn(docs, F.lit(True))
+    assert set(model.usual) == {"en", "fr"}
+    other = ["\u0434\u043e\u043c \u0438 \u043a\u043e\u0442 " * 30, "zqx jjwv kqxz wwyzq " * 30, "cat", "xyz 9"]
+    tried = spark.createDataFrame([(i, t, "x", "y") for i, t in enumerate(other)], "doc_id long, text string, Strange string, bits string")
+    assert [r.strange for r in langid.identify(tried, model).orderBy("doc_id").collect()] == [True, True, False, False]
+    assert not any(r.strange for r in langid.identify(docs, model).collect())
+
+
+def test_long_texts_are_judged_by_slices():
+    rng = np.random.default_rng(2)
+    w, t = rng.normal(size=3 * quality.OWN + 3), rng.normal(size=(2, 2))
+    for text in (b"", b"\n", b"a\n\nb", b"one line", b"\n".join(rng.choice([b"ab cd", b"ab cd", b"A!!!", b"", b"some longer line, 12 words"], 400).tolist())):
+        data = np.frombuffer(text, np.uint8)
+        x, weight, first = quality.lines(data, np.array([0, len(data)]))
+        want = quality.document_means(quality.marginals(x, first, w, t)[0], weight, first)[0]
+        for size in (1, 7, 64, 1000):
+            assert abs(quality.long_mean(data, w, t, size) - want) < 1e-9
+
+
+def test_quality_of_a_long_text_of_short_lines(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, ("Good words stand here.\n" if i % 2 else "!!!! 55 ||\n") * (40 if i < 30 else 4000)) for i in range(32)], "doc_id long, text string")
+    labels = spark.range(30).select(F.col("id").alias("doc_id"), (F.col("id") % 2).cast("int").alias("quality"))
+    model = quality.learn(docs, labels, F.lit(True))
+    monkeypatch.setattr(quality, "BLOCK_BYTES", 1 << 30)
+    whole = {r.doc_id: r.score for r in quality.score(docs, model).collect()}
+    assert all((whole[i] >= 0.5) == (i % 2 == 1) for i in range(32))
+    long = np.frombuffer(("Good words stand here.\n" * 4000).encode(), np.uint8)
+    mean = quality.long_mean(long, *model[:2], slice_lines=100)
+    assert abs(1 / (1 + np.exp(-(model[2] * (mean - 0.5) + model[3]))) - whole[31]) < 1e-9
+
+
 def test_marginals_equal_all_paths():
     from itertools import product
 
