@@ -514,7 +514,7 @@ def test_every_language_is_learnt(spark):
     rng = random.Random(8)
     rows = []
     for k in range(80):
-        letters = [chr(0x400 + 5 * k + j) for j in range(5)]
+        letters = [chr(0x4E00 + 5 * k + j) for j in range(5)]
         rows += [(len(rows) + i, " ".join("".join(rng.choices(letters, k=5)) for _ in range(20)), f"l{k:02}") for i in range(1 if k == 7 else 6)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     model = langid.learn(docs, F.lit(True), train_total=160, train_bytes=1 << 20)
