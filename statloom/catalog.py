@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import boards, forms, movement, pages, season, sports, streams, texts, upkeep
+from .plans import boards, forms, movement, pages, replays, season, sports, streams, texts, upkeep
 
-MODULES = [season, sports, movement, texts, boards, streams, upkeep, pages, forms]
+MODULES = [season, sports, movement, texts, boards, streams, upkeep, pages, forms, replays]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -1,7 +1,13 @@
 """Story assembly: articles in time order either join the best open story or open one.
 
-Order matters within a part (a language, a sport), so each is folded by one pass over its sorted rows. Rows stream
-through the task; its state is the open stories of the last fortnight, not the history.
+Order matters only among articles that could meet in one story. An article joins a story if it names half of the cast
+of the story's first article; so it shares two names with that one, or one name if that one has two at most.
+Articles that share such a key are linked, and each connected component is folded by itself, in time order: as many
+folds as there are components, however large a part (a sport, a language) is. A component that holds much of the table
+is one order by definition. Rows stream through a task, whose state is the open stories of the last fortnight.
+
+Defined results: articles without id or time are left out; equal times go by article; names that repeat count once; an
+article without names opens a story of its own; a backfill leaves it without one.
 """
 
 from __future__ import annotations
@@ -10,10 +16,15 @@ from collections import defaultdict, deque
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from ..session import written
+from .components import components
 
 PERSON, TEAM, SAME_TYPE, FRESH = 2, 1, 1, 1  # what a shared person, team, kind and recent touch count
 ATTACH_OVER, FRESH_HOURS, WINDOW_DAYS = 3, 48, 14
+EDGES = "part string, article long, story long, opened boolean"
 
 
 def covers(seed: frozenset, cast: frozenset) -> bool:
@@ -35,7 +46,7 @@ def choose(stories: list[dict], persons: frozenset, teams: frozenset, kind: str,
 
 
 class Fold:
-    """The open stories of one part. Only stories that share a person or a team can score high enough, so those are looked up."""
+    """The open stories of one component. Only stories that share a person or a team can score high enough, so those are looked up."""
 
     def __init__(self) -> None:
         self.stories: dict[int, dict] = {}
@@ -53,15 +64,19 @@ class Fold:
                     if not self.naming[e]:
                         del self.naming[e]
 
-    def add(self, article: int, at, kind: str, persons, teams) -> int:
-        """The article's story; a story's id is its first article's."""
+    def add(self, article: int, at, kind: str, persons, teams, settled: int | None = None) -> int:
+        """The article's story: the settled one, else the one chosen. A story's id is its first article's."""
         self._close_before(at)
         persons, teams = frozenset(persons), frozenset(teams)
         named = [*(("p", x) for x in persons), *(("t", x) for x in teams)]
-        near = set().union(*(self.naming[e] for e in named if e in self.naming))
-        s = choose([self.stories[n] for n in near], persons, teams, kind, at)
+        if settled is None:
+            near = set().union(*(self.naming[e] for e in named if e in self.naming))
+            s = choose([self.stories[n] for n in near], persons, teams, kind, at)
+        else:
+            s = self.stories.get(settled)
         if s is None:
-            s = self.stories[article] = {"id": article, "seed": persons | teams, "persons": persons, "teams": teams, "kind": kind}
+            number = article if settled is None else settled
+            s = self.stories[number] = {"id": number, "seed": persons | teams, "persons": persons, "teams": teams, "kind": kind}
         s["persons"], s["teams"], s["seen"] = s["persons"] | persons, s["teams"] | teams, at
         for e in named:
             self.naming[e].add(s["id"])
@@ -69,19 +84,73 @@ class Fold:
         return s["id"]
 
 
-def assemble(articles: DataFrame) -> DataFrame:
-    """articles: part, article, at, kind, persons, teams -> part, article, story, opened. Equal times go by article."""
+def _names() -> Column:
+    tagged = lambda column, tag: F.transform(F.coalesce(column, F.array().cast("array<string>")), lambda x: F.concat(F.lit(tag), x))
+    return F.array_sort(F.array_distinct(F.concat(tagged("persons", "p"), tagged("teams", "t"))))
+
+
+def connected(articles: DataFrame, settled: str | None = None) -> DataFrame:
+    """articles with component: the smallest article of those that could, one through the other, meet in one story.
+
+    settled: a column of the story that an article is in already; such articles are linked to it.
+    """
+    named = articles.withColumn("names", _names())
+    pairs = F.flatten(F.transform("names", lambda x, i: F.transform(F.slice("names", i + 2, F.size("names")), lambda y: F.concat(x, F.lit("\x01"), y))))
+    keyed = named.select("part", "article", F.explode(pairs).alias("key"))
+    small = named.where(F.size("names") <= 2).select("part", F.explode("names").alias("key")).distinct()
+    single = named.select("part", "article", F.explode("names").alias("key")).join(small, ["part", "key"], "left_semi")
+    links = keyed.unionByName(single.select("part", "article", "key"))
+    first = links.groupBy("part", "key").agg(F.min("article").alias("first"))  # combined before the shuffle
+    edges = links.join(first, ["part", "key"]).select(F.col("article").alias("a"), F.col("first").alias("b")).where("a <> b").distinct()
+    if settled:
+        edges = edges.unionByName(articles.where(F.col(settled).isNotNull()).select(F.col("article").alias("a"), F.col(settled).alias("b")).where("a <> b"))
+    roots = components(edges).select(F.col("v").alias("article"), "root")
+    return articles.join(roots, "article", "left").withColumn("component", F.coalesce("root", "article")).drop("root")
+
+
+def _folded(articles: DataFrame, settled: str | None) -> DataFrame:
+    """part, article, story, opened of the articles that aren't settled, each component folded in the order of its clock."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        part, fold = None, Fold()
+        at, fold = None, Fold()
         for rows in batches:
             out = []
             for r in rows.itertuples():
-                if r.part != part:
-                    part, fold = r.part, Fold()
-                got = fold.add(r.article, r.at, r.kind, r.persons, r.teams)
-                out.append((r.part, r.article, got, got == r.article))
+                if (r.part, r.component) != at:
+                    at, fold = (r.part, r.component), Fold()
+                known = None if r.settled is None or pd.isna(r.settled) else int(r.settled)
+                got = fold.add(r.article, r.at, r.kind, r.persons if r.persons is not None else (), r.teams if r.teams is not None else (), known)
+                if known is None:
+                    out.append((r.part, r.article, got, got == r.article))
             yield pd.DataFrame(out, columns=["part", "article", "story", "opened"])
 
-    own = articles.select("part", "article", "at", "kind", "persons", "teams")
-    return own.repartition("part").sortWithinPartitions("part", "at", "article").mapInPandas(run, "part string, article long, story long, opened boolean")
+    known = F.lit(None).cast("long") if settled is None else F.col(settled).cast("long")
+    own = articles.where("article is not null and at is not null").select("part", "article", "at", "kind", "persons", "teams", known.alias("settled"))
+    grouped = connected(written(own, "articles"), "settled" if settled else None)
+    return grouped.repartition("part", "component").sortWithinPartitions("part", "component", "at", "article").mapInPandas(run, EDGES)
+
+
+def assemble(articles: DataFrame) -> DataFrame:
+    """articles: part, article (unique), at, kind, persons, teams -> part, article, story, opened."""
+    return _folded(articles, None)
+
+
+def replay(articles: DataFrame, settled: str = "story", method: str = "backfill") -> DataFrame:
+    """Stories for the articles without one, as they would have been chosen at the articles' own time: part, article, story, opened, method.
+
+    Articles that are in a story stay there, and take part with their names; those without names stay without a story.
+    """
+    joining = articles.where(F.col(settled).isNotNull() | (F.size(_names()) > 0))
+    return _folded(joining, settled).withColumn("method", F.lit(method))
+
+
+def replay_faults(articles: DataFrame, edges: DataFrame, settled: str = "story", method: str = "backfill") -> DataFrame:
+    """One row of what must be zero in a replay's edges: articles left without a story, in two, or settled already; stories without names; edges of another method."""
+    waiting = articles.where(F.col(settled).isNull() & (F.size(_names()) > 0) & F.col("article").isNotNull() & F.col("at").isNotNull())
+    cast = articles.select("article", _names().alias("names"))
+    left = waiting.join(edges, "article", "left_anti").agg(F.count("*").alias("unstamped"))
+    twice = edges.groupBy("article").count().where("count > 1").agg(F.count("*").alias("twice"))
+    again = edges.join(articles.where(F.col(settled).isNotNull()), "article", "left_semi").agg(F.count("*").alias("settled_again"))
+    empty = edges.join(cast, "article").groupBy("story").agg(F.max(F.size("names")).alias("n")).where("n = 0").agg(F.count("*").alias("nameless"))
+    other = edges.where(~F.col("method").eqNullSafe(F.lit(method))).agg(F.count("*").alias("wrong_method"))
+    return left.crossJoin(twice).crossJoin(again).crossJoin(empty).crossJoin(other)

@@ -194,17 +194,9 @@ def queue_view(spark, d):
     return q.groupBy("event_type", status.alias("status")).agg(F.count("*").alias("n"))
 
 
-def story_assembly(spark, d):
-    """Events as articles, one fold for each kind."""
-    c = table(spark, d, "events").where("event_type <> 'error'")
-    kind = F.col("event_type")
-    a = c.select(kind.alias("part"), F.col("event_id").alias("article"), F.col("ts").cast("timestamp").alias("at"), kind.alias("kind"), F.array(F.col("user_id").cast("string")).alias("persons"), F.array((F.col("user_id") % 97).cast("string"), F.concat(F.lit("e"), (F.col("event_id") % 1009).cast("string"))).alias("teams"))
-    return story.assemble(a)
-
-
 QUERIES = {f.__name__: f for f in (
     board_latest_then_filter, board_filter_then_latest, board_null_bucket_rank, board_risers_fallers, leaderboard, trends_last3, team_results_wdl, daily_series, hourly_windows, session_gaps,
-    named_scopes, retention_thinning, stale_product_reconcile, pipeline_stats, catch_up_notices, story_list, packet_compile, part_progress, conviction_ladder, notability, omen_ladder, queue_view, story_assembly,
+    named_scopes, retention_thinning, stale_product_reconcile, pipeline_stats, catch_up_notices, story_list, packet_compile, part_progress, conviction_ladder, notability, omen_ladder, queue_view,
 )}
 
 _AGE = "((epoch_us(TIMESTAMP '2024-01-31') - epoch_us(ts)) / 3600000000.0::DOUBLE)"
