@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..session import new_path
 from ..sources.tables import table
+from ..streaming import markers, timers
 from ..streaming import streams as st
 
 
@@ -66,9 +68,50 @@ def crossing_stream(spark, d):
 
 
 def stream_first_of_day(spark, d):
-    """A user's kinds of event of each day, once each: duplicates go as long as the watermark knows them."""
-    firsts = lambda s: s.withWatermark("ts", "60 days").withColumn("day", F.date_trunc("day", "ts")).dropDuplicates(["user_id", "event_type", "day"])
-    return _through(spark, d, lambda s: firsts(s).select("user_id", "event_type", "day"), "firsts").select("user_id", "event_type", F.to_date("day").alias("day"))
+    """A user's kinds of event of each day, once each. A day leaves the state once the watermark, 60 days behind the newest event, has passed it; rows of such days are dropped."""
+    firsts = lambda s: st.firsts_of_day(s, "ts", ["user_id", "event_type"], "60 days")
+    return _through(spark, d, firsts, "firsts").select("user_id", "event_type", F.to_date("day").alias("day"))
+
+
+def timed_queue(spark, d):
+    """Events as queue commands, ten seconds apart: signup and view enqueue, click claims, purchase completes, error fails or releases; what falls due comes out by itself."""
+    timers.prepare(spark)
+    i, kind = F.col("event_id"), F.col("event_type")
+    event = F.when(kind.isin("signup", "view"), "enqueue").when(kind == "click", "claim").when(kind == "purchase", "complete").when(i % 2 == 0, "fail").otherwise("release")
+    named = lambda s: s.where(i.isNotNull()).select(F.col("user_id").cast("string").alias("key"), F.timestamp_seconds(1_700_000_000 + 10 * i).alias("at"), i.alias("ord"), event.alias("event"), (i % 3).cast("string").alias("version"), (i % 4 * 300).alias("delay"))
+    return _through(spark, d, lambda s: timers.timed_queue(named(s)), "timed").select("key", F.col("at").cast("timestamp_ntz").alias("at"), "ord", "what", "attempts")
+
+
+CORRECTED = 50  # events of such ids come again with twice their value
+
+
+def _followed(spark, d):
+    """Users' value changes, kept current through four arrivals, one of corrections, and one that repeats the first; every batch is run twice."""
+    e = table(spark, d, "events").select("event_id", "user_id", F.col("value").cast("double").alias("value"))
+    low, high = e.agg(F.min("event_id"), F.max("event_id")).first()
+    low, step = low or 0, ((high or 0) - (low or 0)) // ARRIVALS + 1
+    part = F.floor((F.col("event_id") - low) / step)
+    arrivals = [e.where(part == i) for i in range(ARRIVALS)]
+    fixed = F.col("event_id") % CORRECTED == 0
+    arrivals += [e.where(fixed).withColumn("value", 2 * F.col("value")), e.where((part == 0) & ~fixed)]
+    change = lambda rows: rows.where("value is not null").groupBy("user_id").agg(F.count("*").alias("n"), F.round(F.max_by("value", "event_id") - F.min_by("value", "event_id"), 6).alias("change")).where("n >= 3")
+    schema = T.StructType([T.StructField(c, t) for c, t in (("event_id", T.LongType()), ("user_id", T.LongType()), ("value", T.DoubleType()))])
+    derived = T.StructType([T.StructField(c, t) for c, t in (("user_id", T.LongType()), ("n", T.LongType()), ("change", T.DoubleType()))])
+    kept = markers.Kept(new_path(spark, "kept"), schema, "event_id", "user_id", "value", "event_id", change, derived, buckets=8)
+    source = new_path(spark, "arrivals")
+    for rows in arrivals:
+        rows.select(*(F.col(f.name).cast(f.dataType) for f in schema)).write.mode("append").parquet(source)
+        kept.follow(st.file_stream(spark, source, schema, None), again=True)
+    return kept
+
+
+def incremental_changes(spark, d):
+    return _followed(spark, d).rows(spark)
+
+
+def refresh_markers(spark, d):
+    """Which arrival first and last had a user's change derived again, and how many did."""
+    return _followed(spark, d).markers(spark)
 
 
 def stream_enriched(spark, d):
@@ -83,7 +126,7 @@ def throttle_stream(spark, d):
     return got.select(F.col("key").cast("long").alias("user_id"), F.col("ord").alias("event_id"))
 
 
-QUERIES = {f.__name__: f for f in (stream_daily_series, debounce_stream, queue_state, stream_sessions, barrier_stream, crossing_stream, stream_first_of_day, stream_enriched, throttle_stream)}
+QUERIES = {f.__name__: f for f in (stream_daily_series, debounce_stream, queue_state, stream_sessions, barrier_stream, crossing_stream, stream_first_of_day, stream_enriched, throttle_stream, timed_queue, incremental_changes, refresh_markers)}
 
 ORACLES = {
     "stream_daily_series": "SELECT CAST(ts AS DATE) AS day, event_type, count(*) AS n FROM events GROUP BY ALL",
@@ -96,4 +139,16 @@ ORACLES = {
     "stream_first_of_day": "SELECT DISTINCT user_id, event_type, CAST(ts AS DATE) AS day FROM events",
     "throttle_stream": "WITH RECURSIVE t AS (SELECT user_id, min(event_id) AS event_id FROM events GROUP BY user_id UNION ALL SELECT t.user_id, min(e.event_id) FROM t JOIN events e ON e.user_id = t.user_id AND e.event_id >= t.event_id + 500 GROUP BY t.user_id, t.event_id) SELECT user_id, event_id FROM t",
     "stream_enriched": "SELECT event_id, c_mktsegment FROM events JOIN customer ON c_custkey = user_id",
+    "incremental_changes": """
+WITH e AS (SELECT event_id, user_id, CASE WHEN event_id % 50 = 0 THEN 2 * value ELSE value END AS value FROM events WHERE value IS NOT NULL)
+SELECT user_id, count(*) AS n, round(arg_max(value, event_id) - arg_min(value, event_id), 6) AS change FROM e GROUP BY user_id HAVING count(*) >= 3
+""",
+    "refresh_markers": """
+WITH b AS (SELECT min(event_id) AS low, (max(event_id) - min(event_id)) // 4 + 1 AS step FROM events),
+m AS (
+    SELECT user_id, (event_id - low) // step AS arrival FROM events, b WHERE value IS NOT NULL
+    UNION ALL SELECT user_id, 4 FROM events WHERE event_id % 50 = 0 AND value <> 0
+)
+SELECT user_id, min(arrival) AS first_marked, max(arrival) AS last_marked, count(DISTINCT arrival) AS times FROM m GROUP BY user_id
+""",
 }

@@ -52,6 +52,12 @@ def sessions(stream: DataFrame, at: str, key: str, gap: str = "6 hours", late: s
     return stream.withWatermark(at, late).groupBy(F.session_window(at, gap), key).agg(F.count("*").alias("n")).select(key, F.col("session_window.start").alias("started"), F.col("session_window.end").alias("ended"), "n")
 
 
+def firsts_of_day(stream: DataFrame, at: str, keys: list[str], late: str) -> DataFrame:
+    """keys and day, once each. The day is a window of the watermarked time, so its rows leave the state when the watermark passes it; later ones are dropped."""
+    days = stream.withWatermark(at, late).withColumn("_day", F.window(at, "1 day"))
+    return days.dropDuplicates([*keys, "_day"]).select(*keys, F.col("_day.start").alias("day"))
+
+
 def debounced(stream: DataFrame, key: str, version: str, order: str) -> DataFrame:
     """Rows whose version differs from the last one let through for their key."""
 
