@@ -10,10 +10,12 @@ from ..session import written
 
 
 def percentiles(long: DataFrame, cohort: list[str], value: str = "value", inverse: Column | None = None, name: str = "pct") -> DataFrame:
-    """100 * percent_rank within (cohort), one decimal; lower is better where inverse holds. cohort includes the stat."""
-    rank = F.percent_rank().over(Window.partitionBy(*cohort).orderBy(key_of(F.col(value))))
-    flipped = rank if inverse is None else F.when(inverse, 1 - rank).otherwise(rank)
-    return long.withColumn(name, F.round(100 * flipped, 1)).withColumn("sample_size", F.count("*").over(Window.partitionBy(*cohort)))
+    """100 * percent_rank within (cohort), one decimal; lower is better where inverse holds. cohort includes the stat. Cohorts may have any size."""
+    long = written(long, "cohorts")  # read to count and to rank
+    sizes = long.groupBy(*cohort).agg(F.count("*").alias("sample_size"))
+    ranked = percent_ranks(long, cohort, key_of(F.col(value)), "_rank").alias("r").join(sizes.alias("s"), [F.col(f"r.{c}").eqNullSafe(F.col(f"s.{c}")) for c in cohort])
+    flipped = F.col("_rank") if inverse is None else F.when(inverse, 1 - F.col("_rank")).otherwise(F.col("_rank"))
+    return ranked.select(*(f"r.{c}" for c in long.columns), "_rank", "sample_size").withColumn(name, F.round(100 * flipped, 1)).drop("_rank")
 
 
 IN_ONE_TASK = 1 << 20  # rows of a cohort that a task may sort

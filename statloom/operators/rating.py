@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalar import key_of
-from .cohort import scoped
+from ..session import written
+from .cohort import percent_ranks, scoped
 
 
 def eligible(stats: DataFrame, thresholds: DataFrame, keys: list[str], group: str) -> DataFrame:
@@ -20,11 +21,11 @@ def eligible(stats: DataFrame, thresholds: DataFrame, keys: list[str], group: st
 
 def zscores(points: DataFrame, population: list[str]) -> DataFrame:
     """points (value, sign, eligible) with z against the eligible of the same population; 0 without deviation."""
-    w = Window.partitionBy(*population)
-    mean = F.avg(F.when(F.col("eligible"), F.col("value"))).over(w)
-    deviation = F.stddev_pop(F.when(F.col("eligible"), F.col("value"))).over(w)
-    z = F.coalesce((F.col("value") - mean) / F.nullif(deviation, F.lit(0.0)), F.lit(0.0))
-    return points.withColumn("z", F.col("sign") * z)
+    of = F.when(F.col("eligible"), F.col("value"))
+    measured = points.groupBy(*population).agg(F.avg(of).alias("_mean"), F.stddev_pop(of).alias("_deviation"))  # combined before the shuffle
+    joined = points.alias("p").join(measured.alias("m"), [F.col(f"p.{c}").eqNullSafe(F.col(f"m.{c}")) for c in population])
+    z = F.coalesce((F.col("value") - F.col("_mean")) / F.nullif(F.col("_deviation"), F.lit(0.0)), F.lit(0.0))
+    return joined.select(*(f"p.{c}" for c in points.columns), (F.col("sign") * z).alias("z"))
 
 
 def composite(points: DataFrame, keys: list[str]) -> DataFrame:
@@ -34,7 +35,8 @@ def composite(points: DataFrame, keys: list[str]) -> DataFrame:
 
 def bundle(points: DataFrame, keys: list[str], population: list[str], scopes: dict) -> DataFrame:
     """Each datapoint's z, and its percentile in every scope; ineligible rows get 50 + 10 z (1 to 99) and no scope ranks."""
-    z = zscores(points, population)
-    ranked = scoped(z.where("eligible"), scopes).withColumn("pct", F.round(100 * F.percent_rank().over(Window.partitionBy(*population, "scope", "cohort").orderBy(key_of(F.col("z")))), 1))
+    z = written(zscores(points, population), "zscores")
+    rows = scoped(z.where("eligible"), scopes)
+    ranked = percent_ranks(rows, [*population, "scope", "cohort"], key_of(F.col("z")), "_rank").withColumn("pct", F.round(100 * F.col("_rank"), 1)).drop("_rank")
     rest = z.where("not eligible").select(*z.columns, F.lit("none").alias("scope"), F.lit(None).cast("string").alias("cohort"), F.round(F.least(F.greatest(50 + 10 * F.col("z"), F.lit(1.0)), F.lit(99.0)), 1).alias("pct"))
     return ranked.unionByName(rest)

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from ..functions import relevance
 from ..operators import keys
 from ..sources.tables import table
-from . import season, sports
 from .boards import as_of, hours_old
 from .season import SEASONS, seasons
 
@@ -180,17 +179,9 @@ def page_relevance(spark, d):
     return table(spark, d, "documents").select("doc_id", relevance.relevant(kind, roles, ours, names).alias("relevant"))
 
 
-STEPS = (("percentiles", season.percentile_scoped), ("event_percentiles", season.event_composite), ("rating", season.zscore_modes), ("team_rating", sports.team_rating), ("event_rating", season.event_rating))
-
-
-def recompute_season(spark, d):
-    """The derivations of a season in their fixed order, each finished before the next: how many rows each has."""
-    return spark.createDataFrame([(i, name, step(spark, d).count()) for i, (name, step) in enumerate(STEPS, 1)], "step int, name string, updated long")
-
-
 QUERIES = {f.__name__: f for f in (
     either_key_join, case_insensitive_join, member_join, shared_stories, modal_nation, json_members, after_cursor, board_default, board_filtered, board_roster, sigil_board, narratives_board, heat_per_team,
-    candidate_gate, boxscore_enqueue, reverted_applications, page_relevance, recompute_season,
+    candidate_gate, boxscore_enqueue, reverted_applications, page_relevance,
 )}
 
 _AGE = "((epoch_us(TIMESTAMP '2024-01-31') - epoch_us(ts)) / 3600000000.0::DOUBLE)"
@@ -220,5 +211,4 @@ ORACLES = {
       SELECT user_id, id AS "revert", CASE WHEN before_ = 'apply' THEN 'reverted' ELSE 'not_active' END AS status, CASE WHEN before_ = 'apply' THEN other END AS application FROM l WHERE what = 'revert'""",
     "page_relevance": """WITH p AS (SELECT doc_id, doc_id % 7 = 0 AS idle, ['paris', 'lyon', 'oslo'][doc_id % 3 + 1] AS entity, ['subject', 'passing_mention', 'absent', 'opponent'][doc_id % 4 + 1] AS role, ['paris', 'lyon', 'oslo'][(doc_id // 3) % 3 + 1] AS name, (doc_id // 9) % 3 = 0 AS place FROM documents)
       SELECT doc_id, CASE WHEN idle THEN false WHEN entity <> 'oslo' THEN role <> 'absent' AND NOT (name = entity AND place) AND (role <> 'passing_mention' OR name = entity) ELSE name <> 'oslo' AND NOT place END AS relevant FROM p""",
-    "recompute_season": "SELECT CAST(row_number() OVER () AS INTEGER) AS step, name, updated FROM (VALUES " + ", ".join(f"('{name}', (SELECT count(*) FROM ({(season if step.__module__ == season.__name__ else sports).ORACLES[step.__name__]})))" for name, step in STEPS) + ") AS t(name, updated)",
 }

@@ -17,7 +17,7 @@ def html_title(spark, d):
 
 
 def html_extract(spark, d):
-    return table(spark, d, "pages").withColumn("text", X.article_text(F.col("html"))).select("page_id", F.length("text").alias("n_chars"), S.content_hash(F.col("text")).alias("hash"))
+    return X.article_text(table(spark, d, "pages"), "html", "text").select("page_id", F.length("text").alias("n_chars"), S.content_hash(F.col("text")).alias("hash"))
 
 
 def html_clean(spark, d):
