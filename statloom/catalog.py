@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import boards, forms, lookups, movement, pages, recompute, replays, season, sports, streams, texts, upkeep
+from .plans import boards, forms, lookups, movement, pages, recompute, replays, season, sports, streams, teams, texts, upkeep
 
-MODULES = [season, sports, movement, texts, boards, streams, upkeep, pages, forms, replays, recompute, lookups]
+MODULES = [season, sports, movement, texts, boards, streams, upkeep, pages, forms, replays, recompute, lookups, teams]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
