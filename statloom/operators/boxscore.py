@@ -1,4 +1,4 @@
-"""Box scores from JSON payloads of two layouts: normal rows, stat bags, and the check that admits a game."""
+"""Box scores from JSON payloads of three layouts: normal rows, stat bags, nested groups with team totals beside them; and the check that admits a game."""
 
 from __future__ import annotations
 
@@ -11,6 +11,17 @@ ROW = f"struct<id:bigint,min:string,pts:double,player:struct<id:bigint>,team:str
 FLAT = f"struct<stats:struct<data:array<{ROW}>>>"
 TYPED = "struct<data:struct<id:bigint,lineups:array<struct<player_id:bigint,team_id:bigint,details:array<struct<type:string,value:double>>>>>>"
 
+_CODED = "type:struct<code:string>,data:struct<value:string>"
+NESTED = (
+    f"struct<data:struct<id:bigint,lineups:array<struct<player_id:bigint,team_id:bigint,player:struct<id:bigint>,team:struct<id:bigint>,details:array<struct<{_CODED}>>>>,"
+    "events:array<struct<player_id:bigint,type_id:int,related_player_id:bigint>>,"
+    f"statistics:array<struct<participant_id:bigint,{_CODED}>>,"
+    "scores:array<struct<participant_id:bigint,score:struct<goals:string>>>>>"
+)
+# The kinds of event that count as a stat of their player; a goal also counts for whoever is named beside.
+COUNTED = {14: "goals", 16: "penalty_goals", 17: "penalties_missed", 19: "yellow_cards", 20: "red_cards", 21: "red_cards"}
+GOAL = 14
+
 
 def minutes(c: Column) -> Column:
     """'34:30' and '34' as minutes; null for anything else."""
@@ -32,6 +43,38 @@ def typed_bags(payloads: DataFrame, payload: str = "payload") -> DataFrame:
     return p.select("fixture", F.col("player_id").alias("player"), F.col("team_id").alias("team"), last.alias("bag"))
 
 
+def _last_by_code(coded: Column) -> Column:
+    """Numbers by code from coded pairs; a code's last number wins, what isn't a number is left out."""
+    pairs = F.transform(coded, lambda x: F.struct(x["type"]["code"].alias("k"), x["data"]["value"].try_cast("double").alias("v")))
+    pairs = F.filter(pairs, lambda x: x["k"].isNotNull() & x["v"].isNotNull())
+    return F.aggregate(F.coalesce(pairs, F.array().cast("array<struct<k:string,v:double>>")), F.expr("cast(map() as map<string,double>)"), lambda bag, x: F.map_concat(F.map_filter(bag, lambda k, _: k != x["k"]), F.create_map(x["k"], x["v"])))
+
+
+def nested_rows(payloads: DataFrame, payload: str = "payload") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Of payloads that nest their groups: each player's stats (fixture, player, team, stat, value), each team's (fixture, team, stat, value), and scores (fixture, team, score).
+
+    Events count for their players beside what the line-up says. A team's stats are those given for it, and its players' added to them.
+    A player that is listed twice is as the last line says; lines without player or team are left out; a team's score is its largest.
+    """
+    p = payloads.select(F.from_json(payload, NESTED)["data"].alias("p")).select("p.*")
+    lines = p.select(F.col("id").alias("fixture"), F.posexplode("lineups").alias("pos", "l")).select(
+        "fixture", "pos", F.coalesce("l.player_id", "l.player.id").alias("player"), F.coalesce("l.team_id", "l.team.id").alias("team"), _last_by_code(F.col("l.details")).alias("bag")
+    )
+    last = lines.where("player is not null and team is not null").groupBy("fixture", "player").agg(F.max_by(F.struct("team", "bag"), "pos").alias("l")).select("fixture", "player", "l.*")
+    own = last.select("fixture", "player", "team", F.explode("bag").alias("stat", "value"))
+    e = p.select(F.col("id").alias("fixture"), F.explode("events").alias("e")).select("fixture", "e.*")
+    kind = F.element_at(F.create_map(*(F.lit(x) for pair in COUNTED.items() for x in pair)), F.col("type_id"))
+    named = e.select("fixture", F.col("player_id").alias("player"), kind.alias("stat")).unionByName(e.where((F.col("type_id") == GOAL) & F.col("player_id").isNotNull()).select("fixture", F.col("related_player_id").alias("player"), F.lit("assists").alias("stat")))
+    counts = named.where("player is not null and stat is not null").groupBy("fixture", "player", "stat").agg(F.count("*").cast("double").alias("value"))
+    counted = counts.join(last.select("fixture", "player", "team"), ["fixture", "player"]).select("fixture", "player", "team", "stat", "value")
+    players = own.unionByName(counted).groupBy("fixture", "player", "team", "stat").agg(F.sum("value").alias("value"))
+    given = p.select(F.col("id").alias("fixture"), F.posexplode("statistics").alias("pos", "s")).select("fixture", "pos", F.col("s.participant_id").alias("team"), F.col("s.type.code").alias("stat"), F.col("s.data.value").try_cast("double").alias("value"))
+    given = given.where("team is not null and stat is not null and value is not null").groupBy("fixture", "team", "stat").agg(F.max_by("value", "pos").alias("value"))
+    teams = given.unionByName(players.select("fixture", "team", "stat", "value")).groupBy("fixture", "team", "stat").agg(F.sum("value").alias("value"))
+    scores = p.select(F.col("id").alias("fixture"), F.explode("scores").alias("s")).groupBy("fixture", F.col("s.participant_id").alias("team")).agg(F.max(F.col("s.score.goals").try_cast("double")).cast("int").alias("score"))
+    return players, teams, scores.where("team is not null and score is not null")
+
+
 def verdicts(rows: DataFrame) -> DataFrame:
     """Each fixture's verdict: the first rule that fails, or 'ok'."""
     g = rows.groupBy("fixture").agg(F.count("player").alias("players"), F.bool_or(F.col("team") == F.col("home")).alias("has_home"), F.bool_or(F.col("team") == F.col("away")).alias("has_away"), F.max("home_score").alias("h"), F.max("away_score").alias("a"))

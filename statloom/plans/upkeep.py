@@ -55,6 +55,29 @@ def boxscore_parse(spark, d):
     return rows.select("fixture", "line", "player", "team", F.round("minutes", 6).alias("minutes"), "points", "home", "away")
 
 
+def _nested(spark, d):
+    """Each order's lines as a payload of the nested layout: parts are players; every line has an event, and its supplier a total of its own."""
+    line = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.col("l_quantity").cast("int").alias("q"))
+    coded = lambda code, value: F.struct(F.struct(F.lit(code).alias("code")).alias("type"), F.struct(value.cast("string").alias("value")).alias("data"))
+    details = F.array(coded("minutes-played", F.col("q")), coded("goals", F.col("q") % 3), coded("rating", F.when(F.col("q") % 5 == 0, F.lit("n/a")).otherwise(F.col("q").cast("string"))))
+    own = F.struct("l_linenumber", "l_suppkey", "q", F.col("l_partkey").alias("player_id"), F.when(F.col("q") % 2 == 0, F.col("l_suppkey")).alias("team_id"), F.struct(F.col("l_suppkey").alias("id")).alias("team"), details.alias("details"))
+    event = F.struct(F.col("l_partkey").alias("player_id"), (14 + F.col("q") % 9).alias("type_id"), F.col("l_partkey").alias("related_player_id"))
+    total = F.struct(F.col("l_suppkey").alias("participant_id"), F.struct(F.lit("corners").alias("code")).alias("type"), F.struct(F.lit(7).alias("value")).alias("data"))
+    score = F.struct(F.col("l_suppkey").alias("participant_id"), F.struct((F.col("q") % 4).alias("goals")).alias("score"))
+    data = F.struct(F.col("l_orderkey").alias("id"), F.array_sort(F.collect_list(own)).alias("lineups"), F.collect_list(event).alias("events"), F.collect_list(total).alias("statistics"), F.collect_list(score).alias("scores"))
+    return line.groupBy("l_orderkey").agg(F.to_json(F.struct(data.alias("data"))).alias("payload"))
+
+
+def boxscore_nested_players(spark, d):
+    return boxscore.nested_rows(_nested(spark, d))[0]
+
+
+def boxscore_nested_teams(spark, d):
+    """Teams' stats, and their scores as one more."""
+    _, teams, scores = boxscore.nested_rows(_nested(spark, d))
+    return teams.unionByName(scores.select("fixture", "team", F.lit("score").alias("stat"), F.col("score").cast("double").alias("value")))
+
+
 def boxscore_verdicts(spark, d):
     return boxscore.verdicts(boxscore.flat_rows(_payload(spark, d)))
 
@@ -193,13 +216,31 @@ def wins_over_opponents(spark, d):
 
 
 QUERIES = {f.__name__: f for f in (
-    pending_fixtures, fixture_upsert, boxscore_parse, boxscore_verdicts, boxscore_typed, boxscore_version, packet_fanout, claim_batch, backoff_ladder, barrier_ready, adaptive_cadence,
+    pending_fixtures, fixture_upsert, boxscore_parse, boxscore_nested_players, boxscore_nested_teams, boxscore_verdicts, boxscore_typed, boxscore_version, packet_fanout, claim_batch, backoff_ladder, barrier_ready, adaptive_cadence,
     quiet_period, latest_runs, health_counts, seal_stories, dormant_stories, nominate_candidates, person_accumulation, possession_adjusted, missing_products, wins_over_opponents,
 )}
 
 _SIDES = "sd AS (SELECT l_orderkey, max(CASE WHEN l_linenumber = 1 THEN l_suppkey END) AS home, max(CASE WHEN l_linenumber = 2 THEN l_suppkey END) AS away FROM lineitem GROUP BY l_orderkey)"
 
+_NESTED = """WITH l AS (SELECT l_orderkey AS fixture, l_linenumber AS n, l_partkey AS player, l_suppkey AS team, CAST(l_quantity AS INTEGER) AS q FROM lineitem),
+last AS (SELECT * FROM l QUALIFY row_number() OVER (PARTITION BY fixture, player ORDER BY n DESC, team DESC, q DESC) = 1),
+own AS (
+    SELECT fixture, player, team, 'minutes-played' AS stat, q AS value FROM last
+    UNION ALL SELECT fixture, player, team, 'goals', q % 3 FROM last
+    UNION ALL SELECT fixture, player, team, 'rating', q FROM last WHERE q % 5 <> 0
+),
+e AS (
+    SELECT fixture, player, CASE q % 9 WHEN 0 THEN 'goals' WHEN 2 THEN 'penalty_goals' WHEN 3 THEN 'penalties_missed' WHEN 5 THEN 'yellow_cards' WHEN 6 THEN 'red_cards' WHEN 7 THEN 'red_cards' END AS stat FROM l
+    UNION ALL SELECT fixture, player, 'assists' FROM l WHERE q % 9 = 0
+),
+counted AS (SELECT e.fixture, e.player, team, stat, 1 AS value FROM e JOIN last ON e.fixture = last.fixture AND e.player = last.player WHERE stat IS NOT NULL),
+players AS (SELECT fixture, player, team, stat, CAST(sum(value) AS DOUBLE) AS value FROM (SELECT * FROM own UNION ALL SELECT * FROM counted) GROUP BY ALL)"""
+
 ORACLES = {
+    "boxscore_nested_players": f"{_NESTED} SELECT * FROM players",
+    "boxscore_nested_teams": f"""{_NESTED}
+SELECT fixture, team, stat, sum(value) AS value FROM (SELECT fixture, team, stat, value FROM players UNION ALL SELECT DISTINCT fixture, team, 'corners', 7 FROM l) GROUP BY ALL
+UNION ALL SELECT fixture, team, 'score', CAST(max(q % 4) AS DOUBLE) FROM l GROUP BY ALL""",
     "pending_fixtures": "SELECT o_orderkey, o_orderdate, CAST(o_orderkey % 5 AS INTEGER) AS attempts FROM orders WHERE o_orderstatus = 'O' AND o_orderdate <= TIMESTAMP '2001-08-01' - INTERVAL 2 DAY AND o_orderkey % 5 < 3 ORDER BY o_orderdate, o_orderkey LIMIT 50",
     "fixture_upsert": """WITH s AS (SELECT o_orderkey AS fixture, round(o_totalprice, 2) AS score FROM orders WHERE o_orderkey % 3 <> 0), n AS (SELECT o_orderkey AS fixture, o_orderstatus AS status, CASE WHEN o_orderkey % 4 <> 0 THEN round(o_totalprice, 2) + 1 END AS score FROM orders WHERE o_orderkey % 2 = 0)
       SELECT fixture, coalesce(n.status, 'scheduled') AS status, coalesce(n.score, s.score) AS score FROM s FULL JOIN n USING (fixture)""",
