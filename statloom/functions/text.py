@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Elements that are page furniture, dropped with all they hold, in this order.
@@ -60,16 +62,16 @@ def largest_block(c: Column, tag: str) -> Column:
     return F.try_element_at(F.array_sort(blocks, lambda a, b: F.octet_length(b) - F.octet_length(a)), F.lit(1))
 
 
-def article_text(pages: DataFrame, html: str, name: str, least_words: int = LEAST_ARTICLE_WORDS) -> DataFrame:
-    """pages with the article's text if it is long enough, else the main part's, else that of the whole page, each without furniture.
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), value being worked out once however often use has it."""
+    return F.transform(F.array(value), use)[0]
 
-    The parts are columns of their own, one after the other: within one expression each would be worked out anew wherever it stands.
-    """
-    bare = pages.withColumn("_bare", without_blocks(F.col(html), *CHROME))
-    for tag in ("article", "main"):
-        bare = bare.withColumn(f"_{tag}", clean_html(largest_block(F.col("_bare"), tag)))
-    chosen = F.coalesce(*(F.when(count_words(F.col(f"_{tag}")) >= least_words, F.col(f"_{tag}")) for tag in ("article", "main")), clean_html(F.col("_bare")))
-    return bare.withColumn(name, chosen).drop("_bare", "_article", "_main")
+
+def article_text(c: Column, least_words: int = LEAST_ARTICLE_WORDS) -> Column:
+    """The article's text if it is long enough, else the main part's, else that of the whole page, each without furniture."""
+    long_enough = lambda x: F.when(count_words(x) >= least_words, x)
+    part = lambda bare, tag: _once(clean_html(largest_block(bare, tag)), long_enough)
+    return _once(without_blocks(c, *CHROME), lambda bare: F.coalesce(part(bare, "article"), part(bare, "main"), clean_html(bare)))
 
 
 def html_title(c: Column) -> Column:
