@@ -10,7 +10,7 @@ successor queries, all at once. Candidates are extended to both ends and kept if
 windows of one word, which are compared.
 
 Texts are worked on some megabytes at a time; nothing is shuffled, so a hot source or group of copies costs nothing
-extra. Memory grows with the block, or with a longer text: about 40 times its bytes where words have two letters.
+extra. Memory grows with the block, or with a longer text: about 50 times its bytes where words have two letters.
 
 Defined results: null and empty texts have no runs and become the empty text; repeated rows each keep their row; a very
 long text is searched whole; ties don't occur, as all runs are returned, by start and then period; an empty table gives
