@@ -111,7 +111,8 @@ def test_odd_inputs(spark):
     assert len(rows) == 2 * len(texts)
     for r in rows:
         words = WORD.findall(r.text or "")
-        want = [(0, 100_000, 2)] if len(words) == 100_000 else [] if len(words) > 10_000 else runs_of(words)
+        known = {100_000: [(0, 100_000, 2)], 14_996: [(1, 14_994, 2_999)]}  # the numbers' copies join as "29990": from the second word on, a run
+        want = known.get(len(words)) or runs_of(words)
         assert [tuple(x) for x in r.runs] == want and r.collapsed == collapsed(words, want)
     assert periodic.digested(periodic.find_runs(docs.limit(0))).collect() == []
 
