@@ -12,8 +12,8 @@ def _one(sport, gate, label, stat, in_comp, in_spec, sign, facet, rated=True, fo
     return sport, gate, label, formula, [stat], [1.0], in_comp, in_spec, sign, facet, rated
 
 
-def _total(label, weights, in_comp, in_spec, sign, facet, formula="sum"):
-    return "NFL", "all", label, formula, list(weights), [float(w) for w in weights.values()], in_comp, in_spec, sign, facet, True
+def _total(label, weights, in_comp, in_spec, sign, facet, formula="sum", sport="NFL"):
+    return sport, "all", label, formula, list(weights), [float(w) for w in weights.values()], in_comp, in_spec, sign, facet, True
 
 
 # A player's datapoints. Formulas: plain (missing stays missing), sum (missing counts zero), most, possession
@@ -57,7 +57,7 @@ PLAYER = [
     _one("NFL", "all", "Interceptions", "defensive_interceptions", True, True, 1, "defense"),
 ]
 
-# A basketball team's datapoints; totals only.
+# A team's datapoints; totals only. Formula shared: at 50 % of the ball, the opponents' share being 30 at least, in whole numbers.
 TEAM = [
     _one("NBA", "all", "Scoring", "pts", True, True, 1, "offense"),
     _one("NBA", "all", "Playmaking", "ast", True, True, 1, "offense"),
@@ -72,7 +72,47 @@ TEAM = [
     _one("NBA", "all", "Defensive Rebounds", "dreb", False, False, 1, "defense"),
     _one("NBA", "all", "Opp FG%", "def_fg_pct", False, False, -1, "defense"),
     _one("NBA", "all", "Opp 3PT%", "def_fg3_pct", False, False, -1, "defense"),
-]
+    _one("NFL", "all", "Points Scored", "points_for", True, True, 1, "offense"),
+    _one("NFL", "all", "Total Yards", "total_yards", True, True, 1, "offense"),
+    _one("NFL", "all", "Giveaways", "turnovers", True, False, -1, "offense"),
+    _total("Touchdowns", {"passing_touchdowns": 1, "rushing_touchdowns": 1}, False, False, 1, "offense"),
+    _one("NFL", "all", "First Downs", "first_downs", False, False, 1, "offense"),
+    _one("NFL", "all", "Field Goals", "field_goals_made", False, False, 1, "offense"),
+    _one("NFL", "all", "Red Zone %", "red_zone_pct", False, False, 1, "offense"),
+    _one("NFL", "all", "Third Down %", "third_down_pct", False, False, 1, "offense"),
+    _one("NFL", "all", "Penalty Yards For", "penalty_yards_drawn", True, False, 1, "offense"),
+    _one("NFL", "all", "Tackling", "total_tackles", True, True, 1, "defense"),
+    _one("NFL", "all", "Sacks", "defensive_sacks", True, True, 1, "defense"),
+    _one("NFL", "all", "Pass Defense", "passes_defended", True, True, 1, "defense"),
+    _one("NFL", "all", "Interceptions", "defensive_interceptions", True, True, 1, "defense"),
+    _one("NFL", "all", "Points Allowed", "points_against", True, False, -1, "defense"),
+    _one("NFL", "all", "Yards Allowed", "yards_allowed", True, False, -1, "defense"),
+    _one("NFL", "all", "Penalty Yards Against", "penalty_yards", True, False, -1, "defense"),
+    _one("NFL", "all", "Tackles For Loss", "tackles_for_loss", False, False, 1, "defense"),
+    _one("NFL", "all", "Takeaways", "takeaways", False, False, 1, "defense"),
+    _one("NFL", "all", "Red Zone Def %", "red_zone_def_pct", False, False, -1, "defense"),
+    _one("NFL", "all", "Third Down Def %", "third_down_def_pct", False, False, -1, "defense"),
+    _one("NFL", "all", "First Downs Allowed", "first_downs_allowed", False, False, -1, "defense"),
+    _one("FOOTBALL", "all", "Goals For", "goals_for", True, True, 1, "offense"),
+    _one("FOOTBALL", "all", "Shooting", "shots_on_target", True, True, 1, "offense"),
+    _one("FOOTBALL", "all", "Creation", "big_chances_created", True, True, 1, "offense"),
+    _one("FOOTBALL", "all", "Injuries", "injuries", True, False, -1, "offense"),
+    _one("FOOTBALL", "all", "Penalties Won", "penalties_won", False, False, 1, "offense"),
+    _one("FOOTBALL", "all", "Fouls Won", "fouls_drawn", False, False, 1, "offense"),
+    _one("FOOTBALL", "all", "Possession Lost", "possession_lost", True, False, -1, "offense"),
+    _one("FOOTBALL", "all", "Possession %", "possession_pct", False, False, 1, "offense"),
+    _one("FOOTBALL", "all", "Accurate Passes", "accurate_passes", False, False, 1, "offense"),
+    _total("Progression", {"passes_final_third": 1, "successful_dribbles": 1}, True, False, 1, "offense", sport="FOOTBALL"),
+    _one("FOOTBALL", "all", "Tackling", "tackles", True, True, 1, "defense", formula="shared"),
+    _one("FOOTBALL", "all", "Interceptions", "interceptions", True, True, 1, "defense", formula="shared"),
+    _one("FOOTBALL", "all", "Clearances", "clearances", False, False, 1, "defense"),
+    _one("FOOTBALL", "all", "SoT Allowed", "shots_on_target_allowed", True, False, -1, "defense"),
+    _one("FOOTBALL", "all", "Blocked Shots", "blocked_shots", False, False, 1, "defense"),
+    _one("FOOTBALL", "all", "Big Chances Allowed", "big_chances_allowed", True, False, -1, "defense"),
+    _one("FOOTBALL", "all", "Goals Against", "goals_against", True, False, -1, "defense"),
+    _one("FOOTBALL", "all", "Fouls Committed", "fouls_committed", False, False, -1, "defense"),
+    _total("Cards", {"yellow_cards_total": 1, "red_cards_total": 1}, True, False, -1, "defense", sport="FOOTBALL"),
+]
 
 # The names of a bag's stat in another mode than the total.
 RATED_AS = {"turnover": "tov"}
@@ -85,7 +125,7 @@ def registry(spark: SparkSession, rows: list[tuple]) -> DataFrame:
 
 
 def gate_of(sport: Column, position: Column) -> Column:
-    """Whose datapoints count: football has its goalkeepers apart."""
+    """Whose datapoints of a player count: football has its goalkeepers apart."""
     return F.when(sport != "FOOTBALL", "all").when(position == "Goalkeeper", "gk").otherwise("out")
 
 
@@ -101,14 +141,14 @@ def position_group(sport: Column, position: Column) -> Column:
     return F.when(F.upper(sport) == "NBA", "ALL").when(F.upper(sport) == "NFL", nfl).when(F.upper(sport) == "FOOTBALL", football)
 
 
-def datapoints(players: DataFrame, registered: DataFrame, rated: bool) -> DataFrame:
+def datapoints(players: DataFrame, registered: DataFrame, rated: bool, teams: bool = False) -> DataFrame:
     """players (sport, position, bag, more) -> their other columns and label, value, in_comp, in_spec, sign, facet.
 
-    rated: a datapoint takes the stat's rate sibling where the bag has one, else its total. One broadcast join with the
+    teams: the rows are teams, which have no positions. rated: a datapoint takes the stat's rate sibling where the bag has one, else its total. One broadcast join with the
     registry, no shuffle; values come from the row's own bag.
     """
     own = [c for c in players.columns if c != "bag"]
-    p = players.withColumn("_gate", gate_of(F.col("sport"), F.col("position")))
+    p = players.withColumn("_gate", F.lit("all") if teams else gate_of(F.col("sport"), F.col("position")))
     j = p.alias("p").join(F.broadcast(registered).alias("r"), (F.col("p.sport") == F.col("r.sport")) & (F.col("p._gate") == F.col("r.gate")))
     bag = F.col("p.bag")
     if rated:
@@ -125,6 +165,7 @@ def datapoints(players: DataFrame, registered: DataFrame, rated: bool) -> DataFr
         .when(F.col("r.formula") == "sum", F.aggregate(zeroed, F.lit(0.0), lambda a, x: a + x))
         .when(F.col("r.formula") == "most", F.array_max(zeroed))
         .when(F.col("r.formula") == "possession", F.round(first * 50.0 / F.greatest(bag["team_opp_possession"], F.lit(30.0)), 2))
+        .when(F.col("r.formula") == "shared", F.round(first * 50.0 / F.greatest(bag["opp_possession_pct"], F.lit(30.0))))
         .when(F.col("r.formula") == "prevented", first - (first + F.coalesce(bag["goals_conceded"], F.lit(0.0))) * bag["league_avg_save_pct"] / 100.0)
     )
     return j.select(*(F.col(f"p.{c}").alias(c) for c in own), F.col("r.label").alias("label"), value.alias("value"), *(F.col(f"r.{c}").alias(c) for c in ("in_comp", "in_spec", "sign", "facet")))

@@ -1,4 +1,4 @@
-"""Season roll-up of American-football teams: their own games, and what their opponents did in them.
+"""Season roll-ups of teams in three sports: their own games, and what their opponents did in them.
 
 A game has two rows, one a team. They meet by game, each beside its opponent, so takeaways and what is allowed come
 from the other row. Downs are given as text ("5-12": made and tried) and become rates of a season's sums.
@@ -55,12 +55,19 @@ def made_and_tried(text: Column) -> tuple[Column, Column]:
     return tuple(F.when(text.rlike(form), F.regexp_extract(text, form, i).cast("double")) for i in (1, 2))
 
 
+def beside_opponents(games: DataFrame, *more: str) -> DataFrame:
+    """Each game's row of a team with its opponent's score, stats and more as opp_*, null where the opponent has no row.
+
+    Two rows a game, so a game's rows are few whatever the number of games.
+    """
+    own = games.select("fixture", "season", "team", "score", "stats", *more)
+    opp = own.select(F.col("fixture").alias("_f"), *(F.col(c).alias(f"opp_{c}") for c in ("season", "team", "score", "stats", *more)))
+    return own.join(opp, (F.col("fixture") == F.col("_f")) & (F.col("season") == F.col("opp_season")) & (F.col("team") != F.col("opp_team")), "left")
+
+
 def american_season(games: DataFrame) -> DataFrame:
     """games: fixture, season, team, score, stats (map of numbers), texts (map of texts) -> team, season, bag."""
-    own = games.select("fixture", "season", "team", "score", "stats", "texts")
-    opp = own.select("fixture", F.col("season").alias("opp_season"), F.col("team").alias("opp_team"), F.col("score").alias("opp_score"), F.col("stats").alias("opp_stats"), F.col("texts").alias("opp_texts"))
-    # Two rows a game, so a game's rows are few whatever the number of games.
-    both = own.join(opp.withColumnRenamed("fixture", "_f"), (F.col("fixture") == F.col("_f")) & (F.col("season") == F.col("opp_season")) & (F.col("team") != F.col("opp_team")), "left")
+    both = beside_opponents(games, "texts")
     total = lambda c: F.sum(F.coalesce(c, F.lit(0.0)))
     stat = lambda s: F.col("stats")[s]
     theirs = lambda s: F.col("opp_stats")[s]
@@ -87,3 +94,83 @@ def american_season(games: DataFrame) -> DataFrame:
     made = made.withColumns(more)
     kept = [c for c in made.columns if c not in ("team", "season") and not c.startswith("opp_")]
     return made.select("team", "season", build_bag(**{c: F.col(c) for c in kept}).alias("bag"))
+
+
+# A football team's stats that are added up, under the same name or (second line) from a stat of another name.
+FOOTBALL_TOTALS = """
+fouls_drawn penalties_committed penalties_won tackles tackles_won interceptions clearances blocked_shots ball_recovery dispossessed possession_lost dribbled_past
+passes accurate_passes key_passes backward_passes long_balls long_balls_won through_balls total_crosses accurate_crosses
+shots_total shots_on_target shots_off_target chances_created big_chances_created big_chances_missed dribble_attempts successful_dribbles
+total_duels duels_won duels_lost touches offsides offsides_provoked saves saves_insidebox good_high_claim
+assists goal_attempts hit_woodwork shots_insidebox shots_outsidebox successful_headers corners attacks dangerous_attacks ball_safe goal_kicks free_kicks
+throw_ins penalties injuries substitutions
+""".split()
+FOOTBALL_RENAMED = {
+    "fouls_committed": "fouls",
+    "yellow_cards_total": "yellow_cards",
+    "red_cards_total": "red_cards",
+    "passes_final_third": "passes_in_final_third",
+    "shots_blocked_by_opp": "shots_blocked",
+    "aerials_total": "aerials",
+    "aerials_won": "aeriels_won",
+    "aerials_lost": "aeriels_lost",
+    "turnovers": "turn_over",
+}
+FOOTBALL_ALLOWED = {"shots_on_target_allowed": "shots_on_target", "shots_allowed": "shots_total", "big_chances_allowed": "big_chances_created"}
+# Percentages of a season's sums, two digits: (name, made, tried).
+FOOTBALL_PERCENTAGES = (
+    ("tackles_won_percentage", "tackles_won", "tackles"),
+    ("pass_accuracy", "accurate_passes", "passes"),
+    ("long_ball_accuracy", "long_balls_won", "long_balls"),
+    ("cross_accuracy", "accurate_crosses", "total_crosses"),
+    ("shot_accuracy", "shots_on_target", "shots_total"),
+    ("dribble_success_rate", "successful_dribbles", "dribble_attempts"),
+    ("duels_won_percentage", "duels_won", "total_duels"),
+    ("aerials_won_percentage", "aerials_won", "aerials_total"),
+)
+# A basketball team's means, under the same name, and percentages of sums: (name, whose, made, tried).
+BASKETBALL_MEANS = "pts reb oreb dreb ast stl blk turnover pf fgm fga fg3m fg3a ftm fta".split()
+BASKETBALL_PERCENTAGES = (
+    ("fg_pct", "stats", "fgm", "fga"),
+    ("fg3_pct", "stats", "fg3m", "fg3a"),
+    ("ft_pct", "stats", "ftm", "fta"),
+    ("def_fg_pct", "opp_stats", "fgm", "fga"),
+    ("def_fg3_pct", "opp_stats", "fg3m", "fg3a"),
+)
+
+
+def football_season(games: DataFrame) -> DataFrame:
+    """games: fixture, season, team, home (boolean), score, stats (map of numbers) -> team, season, bag.
+
+    The share of the ball is the mean of the games that have one above zero, so a missing share isn't none.
+    """
+    both = beside_opponents(games, "home")
+    total = lambda c: F.sum(F.coalesce(c, F.lit(0.0)))
+    won, drawn, lost = (F.coalesce(c, F.lit(False)) for c in (F.col("score") > F.col("opp_score"), F.col("score") == F.col("opp_score"), F.col("score") < F.col("opp_score")))
+    out = {"matches_played": F.count("*"), "wins": F.count_if(won), "draws": F.count_if(drawn), "losses": F.count_if(lost), "goals_for": total(F.col("score")), "goals_against": total(F.col("opp_score"))}
+    for name, there in (("home", F.col("home")), ("away", ~F.col("home"))):
+        out |= {f"{name}_played": F.count_if(there), f"{name}_won": F.count_if(there & won), f"{name}_draw": F.count_if(there & drawn), f"{name}_lost": F.count_if(there & lost)}
+        out |= {f"{name}_scored": total(F.when(there, F.col("score"))), f"{name}_conceded": total(F.when(there, F.col("opp_score")))}
+    out |= {s: total(F.col("stats")[s]) for s in FOOTBALL_TOTALS}
+    out |= {n: total(F.col("stats")[s]) for n, s in FOOTBALL_RENAMED.items()}
+    out |= {n: total(F.col("opp_stats")[s]) for n, s in FOOTBALL_ALLOWED.items()}
+    out |= {n: F.round(F.avg(F.nullif(F.col(of)["possession_pct"], F.lit(0.0))), 2) for n, of in (("possession_pct", "stats"), ("opp_possession_pct", "opp_stats"))}
+    made = both.groupBy("team", "season").agg(*(c.alias(n) for n, c in out.items()))
+    points = lambda won, drawn: 3 * F.col(won) + F.col(drawn)
+    more = {"goal_difference": F.col("goals_for") - F.col("goals_against"), "points": points("wins", "draws"), "overall_points": points("wins", "draws")}
+    more |= {f"{w}_points": points(f"{w}_won", f"{w}_draw") for w in ("home", "away")}
+    more |= {n: F.when(F.col(tried) > 0, F.round(F.col(of) / F.col(tried) * 100, 2)) for n, of, tried in FOOTBALL_PERCENTAGES}
+    made = made.withColumns(more)
+    return made.select("team", "season", build_bag(**{c: F.col(c) for c in made.columns if c not in ("team", "season")}).alias("bag"))
+
+
+def basketball_season(games: DataFrame) -> DataFrame:
+    """games: fixture, season, team, score, stats (map of numbers) -> team, season, bag: means a game, percentages of sums, what opponents made."""
+    both = beside_opponents(games)
+    mean = lambda of, s: F.round(F.avg(F.col(of)[s]), 1)
+    total = lambda of, s: F.sum(F.coalesce(F.col(of)[s], F.lit(0.0)))
+    out = {"games_played": F.count("*"), "wins": F.count_if(F.col("score") > F.col("opp_score")), "losses": F.count_if(F.col("score") < F.col("opp_score")), "pts_allowed": mean("opp_stats", "pts")}
+    out |= {s: mean("stats", s) for s in BASKETBALL_MEANS}
+    out |= {n: F.when(total(of, tried) > 0, F.round(total(of, made) / total(of, tried) * 100, 1)) for n, of, made, tried in BASKETBALL_PERCENTAGES}
+    got = both.groupBy("team", "season").agg(*(c.alias(n) for n, c in out.items()))
+    return got.select("team", "season", build_bag(**{n: F.col(n) for n in out}).alias("bag"))

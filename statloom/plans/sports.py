@@ -151,7 +151,7 @@ def rating_datapoints_football(spark, d):
 def team_rating(spark, d):
     """Nations of a season: composite of signed z over the datapoints that count, its rank and score, and the number of datapoints at or above the 50th percentile."""
     rows = counted(box(spark, d, "NBA"), "NBA")
-    given = [r[4][0] for r in dp.TEAM]
+    given = [r[4][0] for r in dp.TEAM if r[0] == "NBA"]
     totals = rollup.season_rollup(rows, ["team", "season"], {s: F.sum(F.col("bag")[s]) for s in given if s in STATS["NBA"]})
     bag = bags.build_bag(**{s: F.col(s) for s in given if s in STATS["NBA"]}, pts_allowed=F.col("fta") * 2)
     points = dp.datapoints(totals.select("team", "season", F.lit("NBA").alias("sport"), F.lit(None).cast("string").alias("position"), bag.alias("bag")), dp.registry(spark, dp.TEAM), False)
