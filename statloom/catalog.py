@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import boards, forms, lookups, movement, pages, ratings, recompute, replays, season, sports, stories, streams, teams, texts, upkeep
+from .plans import boards, forms, lookups, movement, packets, pages, ratings, recompute, replays, season, sports, stories, streams, teams, texts, upkeep
 
-MODULES = [season, sports, movement, texts, boards, streams, upkeep, pages, forms, replays, recompute, lookups, teams, ratings, stories]
+MODULES = [season, sports, movement, texts, boards, streams, upkeep, pages, forms, replays, recompute, lookups, teams, ratings, packets, stories]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

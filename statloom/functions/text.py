@@ -154,7 +154,8 @@ def notability(top: Column, high: Column, composite: Column) -> Column:
     return F.round(F.least(F.greatest(score, F.lit(0.0)), F.lit(100.0))).cast("int")
 
 
-def quote_slice(c: Column, needle: str, around: int = 160) -> Column:
-    """So many characters either side of the first place of needle; null without one."""
-    at = F.instr(F.lower(c), needle)
-    return F.when(at > 0, F.substring(c, F.greatest(at - around, F.lit(1)), F.least(at, F.lit(around + 1)) + around - 1 + len(needle)))
+def quote_slice(c: Column, needle: str | Column, around: int = 160) -> Column:
+    """So many characters either side of the first place of needle (lower case); null without one."""
+    needle = F.lit(needle) if isinstance(needle, str) else needle
+    at = F.position(needle, F.lower(c))
+    return F.when(at > 0, F.substring(c, F.greatest(at - around, F.lit(1)), F.least(at, F.lit(around + 1)) + around - 1 + F.length(needle)))

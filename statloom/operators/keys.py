@@ -8,10 +8,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def ranked_first(df: DataFrame, keys: list[str], order: list[Column], n: int = 1) -> DataFrame:
-    """The first n rows of each key in the given order (which must break its own ties)."""
-    place = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
-    return df.withColumn("_place", place).where(F.col("_place") <= n).drop("_place")
+def ranked_first(df: DataFrame, keys: list[str], order: list[Column], n: int | None = 1, place: str | None = None) -> DataFrame:
+    """The first n rows (None: all) of each key in the given order (which must break its own ties), with their number from 1 on as place if that is given."""
+    name = place or "_place"
+    ranked = df.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
+    kept = ranked if n is None else ranked.where(F.col(name) <= n)
+    return kept if place else kept.drop(name)
 
 
 def latest_per_key(df: DataFrame, keys: list[str], at: str, tie: str) -> DataFrame:
