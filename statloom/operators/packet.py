@@ -1,7 +1,7 @@
 """Packets: what a story's articles say, as one row. Headline, topics, register, claims, facts, quotes, tags, fingerprints, unresolved names.
 
-Only a story's newest MOST_MEMBERS articles count, chosen before anything is gathered (the rank is pruned on both sides of
-the shuffle), so a packet's row is bounded however large its story is. Claims are deduplicated and ranked by shuffles of their
+Only a story's newest MOST_MEMBERS articles count (an article is in a story once), chosen before anything is gathered (the
+rank is pruned on both sides of the shuffle), so a packet's row is bounded however large its story is. Claims are deduplicated and ranked by shuffles of their
 own; quotes are cut on the articles' rows, so texts are never gathered.
 
 Defined results: the newest is the latest published, then the largest article; unknown times are the oldest. Claims are the
@@ -38,8 +38,10 @@ def fingerprint(*parts: Column) -> Column:
 
 
 def members_of(articles: DataFrame) -> DataFrame:
-    """Each packet's newest articles with pos, 0 for the newest; topics and registers in lower case."""
-    w = ranked_first(articles, ["packet"], [F.desc_nulls_last("published"), F.desc("article")], MOST_MEMBERS, "_place")
+    """Each packet's newest articles with pos, 0 for the newest; topics and registers in lower case. Only keys are ranked; texts come from the rows that the chosen keys find."""
+    keys = articles.select("packet", "article", "published")
+    chosen = written(ranked_first(keys, ["packet"], [F.desc_nulls_last("published"), F.desc("article")], MOST_MEMBERS, "_place").drop("published"), "chosen")
+    w = articles.join(chosen, ["packet", "article"])
     own = {c: F.lower(stripped(F.col(c))) for c in ("story_type", "register")}
     return w.withColumns({**own, "pos": F.col("_place") - 1}).drop("_place")
 
