@@ -6,7 +6,7 @@ Articles that share such a key are linked, and each connected component is folde
 folds as there are components, however large a part (a sport, a language) is. A component that holds much of the table
 is one order by definition. Rows stream through a task, whose state is the open stories of the last fortnight.
 
-Defined results: articles without id or time are left out; equal times go by article; names that repeat count once; an
+Defined results: articles without id or time are left out; equal times go by article; names that repeat count once, null ones never; an
 article without names opens a story of its own; a backfill leaves it without one.
 """
 
@@ -14,6 +14,8 @@ from __future__ import annotations
 
 from collections import defaultdict, deque
 from collections.abc import Iterator
+from datetime import datetime, timedelta
+from itertools import chain, combinations
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -32,67 +34,97 @@ def covers(seed: frozenset, cast: frozenset) -> bool:
     return 2 * len(seed & cast) >= len(seed)
 
 
-def choose(stories: list[dict], persons: frozenset, teams: frozenset, kind: str, at) -> dict | None:
-    """The story with the best score over ATTACH_OVER; ties to the freshest, then the lowest id."""
+def choose(stories: list[dict], persons: frozenset, teams: frozenset, kind: str, at: int) -> dict | None:
+    """The story with the best score over ATTACH_OVER; ties to the freshest, then the lowest id. Times are microseconds."""
     best = None
     for s in stories:
-        hours = (at - s["seen"]).total_seconds() / 3600
-        score = PERSON * len(s["persons"] & persons) + TEAM * len(s["teams"] & teams) + SAME_TYPE * (kind == s["kind"]) + FRESH * (hours <= FRESH_HOURS)
+        score = PERSON * len(s["persons"] & persons) + TEAM * len(s["teams"] & teams) + SAME_TYPE * (kind == s["kind"]) + FRESH * (at - s["seen"] <= FRESH_HOURS * HOUR)
         if score > ATTACH_OVER and covers(s["seed"], persons | teams):
-            key = (-score, -s["seen"].timestamp(), s["id"])
+            key = (-score, -s["seen"], s["id"])
             if best is None or key < best[0]:
                 best = key, s
     return None if best is None else best[1]
 
 
+HOUR = 3_600_000_000
+_EPOCH = datetime(1970, 1, 1)
+
+
+def _seed_keys(seed: frozenset) -> list:
+    """Of a first cast: an article that names half of it shares one of these, as ``_cast_keys`` lists them."""
+    return sorted(seed) if len(seed) <= 2 else list(combinations(sorted(seed), 2))
+
+
+def _cast_keys(cast: frozenset) -> chain:
+    return chain(cast, combinations(sorted(cast), 2))
+
+
 class Fold:
-    """The open stories of one component. Only stories that share a person or a team can score high enough, so those are looked up."""
+    """The open stories of one component.
+
+    A story is looked up by two names of its first cast (one, where that has two at most), which an article that may join
+    it shares; so a name that all stories hold makes no article look at all of them. Stories that were opened without
+    names, of which no half is asked, are looked up by any name.
+    """
 
     def __init__(self) -> None:
         self.stories: dict[int, dict] = {}
-        self.naming: dict[tuple, set[int]] = defaultdict(set)
+        self.by_seed: dict[object, set[int]] = defaultdict(set)
+        self.naming: dict[tuple, set[int]] = defaultdict(set)  # of stories opened without names
         self.touched: deque = deque()  # (when, story), oldest first
 
-    def _close_before(self, at) -> None:
-        while self.touched and (at - self.touched[0][0]).days >= WINDOW_DAYS:
+    def _close_before(self, at: int) -> None:
+        while self.touched and at - self.touched[0][0] >= WINDOW_DAYS * 24 * HOUR:
             when, number = self.touched.popleft()
             s = self.stories.get(number)
             if s and s["seen"] == when:
                 del self.stories[number]
-                for e in [*(("p", x) for x in s["persons"]), *(("t", x) for x in s["teams"])]:
-                    self.naming[e].discard(number)
-                    if not self.naming[e]:
-                        del self.naming[e]
-
-    def add(self, article: int, at, kind: str, persons, teams, settled: int | None = None) -> int:
-        """The article's story: the settled one, else the one chosen. A story's id is its first article's."""
+                for index, keys in ((self.by_seed, _seed_keys(s["seed"])), (self.naming, () if s["seed"] else self._named(s["persons"], s["teams"]))):
+                    for e in keys:
+                        index[e].discard(number)
+                        if not index[e]:
+                            del index[e]
+
+    @staticmethod
+    def _named(persons: frozenset, teams: frozenset) -> list[tuple]:
+        return [*(("p", x) for x in persons), *(("t", x) for x in teams)]
+
+    def add(self, article: int, at: datetime | int, kind: str, persons, teams, settled: int | None = None) -> int:
+        """The article's story: the settled one, else the one chosen. A story's id is its first article's. at: microseconds, or a time."""
+        at = at if isinstance(at, int) else (at - _EPOCH) // timedelta(microseconds=1)
         self._close_before(at)
         persons, teams = frozenset(persons), frozenset(teams)
-        named = [*(("p", x) for x in persons), *(("t", x) for x in teams)]
         if settled is None:
-            near = set().union(*(self.naming[e] for e in named if e in self.naming))
+            near = set().union(*(self.by_seed[k] for k in _cast_keys(persons | teams) if k in self.by_seed), *(self.naming[e] for e in self._named(persons, teams) if e in self.naming))
             s = choose([self.stories[n] for n in near], persons, teams, kind, at)
         else:
             s = self.stories.get(settled)
         if s is None:
             number = article if settled is None else settled
             s = self.stories[number] = {"id": number, "seed": persons | teams, "persons": persons, "teams": teams, "kind": kind}
+            for k in _seed_keys(s["seed"]):
+                self.by_seed[k].add(number)
         s["persons"], s["teams"], s["seen"] = s["persons"] | persons, s["teams"] | teams, at
-        for e in named:
-            self.naming[e].add(s["id"])
+        if not s["seed"]:
+            for e in self._named(persons, teams):
+                self.naming[e].add(s["id"])
         self.touched.append((at, s["id"]))
         return s["id"]
 
 
+def _compact(column: str) -> Column:
+    return F.coalesce(F.array_compact(F.col(column).cast("array<string>")), F.array().cast("array<string>"))
+
+
 def _names() -> Column:
-    tagged = lambda column, tag: F.transform(F.coalesce(column, F.array().cast("array<string>")), lambda x: F.concat(F.lit(tag), x))
+    tagged = lambda column, tag: F.transform(_compact(column), lambda x: F.concat(F.lit(tag), x))
     return F.array_sort(F.array_distinct(F.concat(tagged("persons", "p"), tagged("teams", "t"))))
 
 
 def connected(articles: DataFrame, settled: str | None = None) -> DataFrame:
     """articles with component: the smallest article of those that could, one through the other, meet in one story.
 
-    settled: a column of the story that an article is in already; such articles are linked to it.
+    settled: an expression of the story that an article is in already; such articles are linked to it.
     """
     named = articles.withColumn("names", _names())
     pairs = F.flatten(F.transform("names", lambda x, i: F.transform(F.slice("names", i + 2, F.size("names")), lambda y: F.concat(x, F.lit("\x01"), y))))
@@ -103,7 +135,7 @@ def connected(articles: DataFrame, settled: str | None = None) -> DataFrame:
     first = links.groupBy("part", "key").agg(F.min("article").alias("first"))  # combined before the shuffle
     edges = links.join(first, ["part", "key"]).select(F.col("article").alias("a"), F.col("first").alias("b")).where("a <> b").distinct()
     if settled:
-        edges = edges.unionByName(articles.where(F.col(settled).isNotNull()).select(F.col("article").alias("a"), F.col(settled).alias("b")).where("a <> b"))
+        edges = edges.unionByName(articles.select(F.col("article").alias("a"), F.expr(settled).alias("b")).where("a <> b"))
     roots = components(edges).select(F.col("v").alias("article"), "root")
     return articles.join(roots, "article", "left").withColumn("component", F.coalesce("root", "article")).drop("root")
 
@@ -115,18 +147,21 @@ def _folded(articles: DataFrame, settled: str | None) -> DataFrame:
         at, fold = None, Fold()
         for rows in batches:
             out = []
-            for r in rows.itertuples():
-                if (r.part, r.component) != at:
-                    at, fold = (r.part, r.component), Fold()
-                known = None if r.settled is None or pd.isna(r.settled) else int(r.settled)
-                got = fold.add(r.article, r.at, r.kind, r.persons if r.persons is not None else (), r.teams if r.teams is not None else (), known)
-                if known is None:
-                    out.append((r.part, r.article, got, got == r.article))
+            columns = (rows[c].tolist() for c in ("part", "component", "article", "at", "kind", "persons", "teams", "known", "settled"))
+            for part, component, article, when, kind, persons, teams, known, number in zip(*columns, strict=True):
+                if (part, component) != at:
+                    at, fold = (part, component), Fold()
+                got = fold.add(article, when, kind, persons, teams, number if known else None)
+                if not known:
+                    out.append((part, article, got, got == article))
             yield pd.DataFrame(out, columns=["part", "article", "story", "opened"])
 
-    known = F.lit(None).cast("long") if settled is None else F.col(settled).cast("long")
-    own = articles.where("article is not null and at is not null").select("part", "article", "at", "kind", "persons", "teams", known.alias("settled"))
-    grouped = connected(written(own, "articles"), "settled" if settled else None)
+    number = F.lit(None).cast("long") if settled is None else F.col(settled).cast("long")
+    own = articles.where("article is not null and at is not null").select(
+        "part", "article", F.unix_micros(F.col("at").cast("timestamp")).alias("at"), "kind", _compact("persons").alias("persons"), _compact("teams").alias("teams"),
+        number.isNotNull().alias("known"), F.coalesce(number, F.lit(0)).alias("settled"),
+    )
+    grouped = connected(written(own, "articles"), None if settled is None else "if(known, settled, null)")
     return grouped.repartition("part", "component").sortWithinPartitions("part", "component", "at", "article").mapInPandas(run, EDGES)
 
 

@@ -168,6 +168,18 @@ def test_story_rules():
     assert fold.add(12, at + timedelta(days=40), "t", ["p1"], ["c1"]) == 12  # a closed story takes none
 
 
+def test_a_common_name_opens_no_stories_to_look_at(monkeypatch):
+    """A name in all stories alone covers no first cast of three: such stories aren't looked at one by one."""
+    seen, chosen = [], story.choose
+    monkeypatch.setattr(story, "choose", lambda stories, *rest: seen.append(len(stories)) or chosen(stories, *rest))
+    fold, at = story.Fold(), datetime(2024, 1, 1)
+    got = [fold.add(i, at + timedelta(minutes=i), "t", [f"p{i % 100}"], ["common", f"e{i}"]) for i in range(300)]
+    assert got == [i % 100 for i in range(300)] and max(seen) == 1
+    assert fold.add(301, at + timedelta(hours=7), "t", [], []) == 301
+    assert fold.add(302, at + timedelta(hours=8), "t", ["p"], ["x"], settled=301) == 301  # gets its names later
+    assert fold.add(303, at + timedelta(hours=9), "t", ["p"], ["y", "z"]) == 301
+
+
 def test_queue_states():
     w = streams.Work()
     assert w.take("enqueue", "1") == ("pending", 0)
