@@ -1,6 +1,7 @@
 """Small hand-made frames for the rules that the test tables don't show."""
 
 from datetime import datetime, timedelta
+from pathlib import Path
 
 from pyspark.sql import functions as F
 
@@ -8,7 +9,7 @@ from statloom.functions import scalar as S
 from statloom.functions import text as X
 from statloom.operators import bags, cohort, graph, keys, momentum, rating, rollup, story
 from statloom.sources import tables
-from statloom.session import new_path
+from statloom.session import new_path, written
 from statloom.streaming import streams
 
 
@@ -223,3 +224,10 @@ def test_ranks_of_cohorts_of_any_size(spark):
     df = spark.createDataFrame(rows, "c string, v int, i int").repartition(5)
     one, many = ({(r.c, r.i): r.rank for r in cohort.percent_ranks(df, ["c"], F.col("v"), "rank", n).collect()} for n in (1000, 0))
     assert one == many and len(one) == len(rows) and one[("one", 0)] == 0
+
+
+def test_compressed_rows_are_not_broadcast(spark):
+    """A file of a few kilobytes that holds many rows is no small side of a join."""
+    rows = written(spark.range(300_000, numPartitions=1).selectExpr("id % 7 AS v", "array('one stem', 'another stem') AS stems"), "rows")
+    held = sum(Path(f.removeprefix("file://")).stat().st_size for f in rows.inputFiles())
+    assert held < 1 << 20 and int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) >= 16 * held
