@@ -3,6 +3,7 @@
 from datetime import datetime, timedelta
 from pathlib import Path
 
+import duckdb
 from pyspark.sql import functions as F
 
 from statloom.functions import scalar as S
@@ -226,6 +227,14 @@ def test_ranks_of_cohorts_of_any_size(spark):
     assert one == many and len(one) == len(rows) and one[("one", 0)] == 0
 
 
+def test_rounding_is_that_of_sql(spark):
+    """Of values whose decimal form ends in a 5: as DuckDB rounds the binary value."""
+    made = "select cast(a * 90 / m as double) as x from (select explode(sequence(1, 300)) as a) cross join (select explode(array(1600, 2000, 2240, 2560, 3200)) as m)"
+    got = [(r.x, r.y) for r in spark.sql(made).select("x", S.rounded("x", 4).alias("y")).collect()]
+    want = duckdb.execute("select round(x, 4) from (select unnest(?::double[]) as x)", [[x for x, _ in got]]).fetchall()
+    assert [y for _, y in got] == [w[0] for w in want]
+
+
 def test_compressed_rows_are_not_broadcast(spark):
     """A file of a few kilobytes that holds many rows is no small side of a join."""
     rows = written(spark.range(300_000, numPartitions=1).selectExpr("id % 7 AS v", "array('one stem', 'another stem') AS stems"), "rows")
