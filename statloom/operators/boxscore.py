@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import written
+from .bags import build_bag
+
 # The fields that payloads hold.
 GAME = "struct<id:bigint,status:string,home_team_id:bigint,visitor_team_id:bigint,home_team_score:double,visitor_team_score:double>"
 ROW = f"struct<id:bigint,min:string,pts:double,player:struct<id:bigint>,team:struct<id:bigint>,game:{GAME}>"
@@ -56,18 +59,18 @@ def nested_rows(payloads: DataFrame, payload: str = "payload") -> tuple[DataFram
     Events count for their players beside what the line-up says. A team's stats are those given for it, and its players' added to them.
     A player that is listed twice is as the last line says; lines without player or team are left out; a team's score is its largest.
     """
-    p = payloads.select(F.from_json(payload, NESTED)["data"].alias("p")).select("p.*")
-    lines = p.select(F.col("id").alias("fixture"), F.posexplode("lineups").alias("pos", "l")).select(
-        "fixture", "pos", F.coalesce("l.player_id", "l.player.id").alias("player"), F.coalesce("l.team_id", "l.team.id").alias("team"), _last_by_code(F.col("l.details")).alias("bag")
-    )
-    last = lines.where("player is not null and team is not null").groupBy("fixture", "player").agg(F.max_by(F.struct("team", "bag"), "pos").alias("l")).select("fixture", "player", "l.*")
-    own = last.select("fixture", "player", "team", F.explode("bag").alias("stat", "value"))
-    e = p.select(F.col("id").alias("fixture"), F.explode("events").alias("e")).select("fixture", "e.*")
-    kind = F.element_at(F.create_map(*(F.lit(x) for pair in COUNTED.items() for x in pair)), F.col("type_id"))
-    named = e.select("fixture", F.col("player_id").alias("player"), kind.alias("stat")).unionByName(e.where((F.col("type_id") == GOAL) & F.col("player_id").isNotNull()).select("fixture", F.col("related_player_id").alias("player"), F.lit("assists").alias("stat")))
-    counts = named.where("player is not null and stat is not null").groupBy("fixture", "player", "stat").agg(F.count("*").cast("double").alias("value"))
-    counted = counts.join(last.select("fixture", "player", "team"), ["fixture", "player"]).select("fixture", "player", "team", "stat", "value")
-    players = own.unionByName(counted).groupBy("fixture", "player", "team", "stat").agg(F.sum("value").alias("value"))
+    p = written(payloads.select(F.from_json(payload, NESTED)["data"].alias("p")).select("p.*"), "parsed")  # read once a group
+    lines = p.select(F.col("id").alias("fixture"), F.posexplode("lineups").alias("pos", "l")).select("fixture", "pos", F.coalesce("l.player_id", "l.player.id").alias("player"), F.coalesce("l.team_id", "l.team.id").alias("team"), F.col("l.details").alias("details"))
+    last = lines.where("player is not null and team is not null").groupBy("fixture", "player").agg(F.max_by(F.struct("team", "details"), "pos").alias("l")).select("fixture", "player", "l.team", _last_by_code(F.col("l.details")).alias("bag"))
+    kind = F.element_at(F.create_map(*(F.lit(x) for pair in COUNTED.items() for x in pair)), F.col("e.type_id"))
+    beside = F.when((F.col("e.type_id") == GOAL) & F.col("e.player_id").isNotNull(), F.col("e.related_player_id"))
+    named = F.array(F.struct(F.col("e.player_id").alias("player"), kind.alias("stat")), F.struct(beside.alias("player"), F.lit("assists").alias("stat")))
+    e = p.select(F.col("id").alias("fixture"), F.explode("events").alias("e")).select("fixture", F.inline(named)).where("player is not null and stat is not null")
+    stats = sorted({*COUNTED.values(), "assists"})
+    counts = e.groupBy("fixture", "player").agg(build_bag(**{s: F.nullif(F.count_if(F.col("stat") == s), F.lit(0)) for s in stats}).alias("counts"))
+    none = F.create_map().cast("map<string,double>")
+    both = F.map_zip_with("bag", F.coalesce("counts", none), lambda _, a, b: F.coalesce(a + b, a, b))
+    players = last.join(counts, ["fixture", "player"], "left").select("fixture", "player", "team", F.explode(both).alias("stat", "value"))
     given = p.select(F.col("id").alias("fixture"), F.posexplode("statistics").alias("pos", "s")).select("fixture", "pos", F.col("s.participant_id").alias("team"), F.col("s.type.code").alias("stat"), F.col("s.data.value").try_cast("double").alias("value"))
     given = given.where("team is not null and stat is not null and value is not null").groupBy("fixture", "team", "stat").agg(F.max_by("value", "pos").alias("value"))
     teams = given.unionByName(players.select("fixture", "team", "stat", "value")).groupBy("fixture", "team", "stat").agg(F.sum("value").alias("value"))

@@ -102,3 +102,11 @@ def test_american_season(spark):
     assert [seven[k] for k in ("games_played", "wins", "losses", "ties", "takeaways", "turnovers", "turnover_differential", "yards_allowed", "third_down_pct", "third_down_def_pct", "qbr", "yards_per_play_allowed", "points_per_game")] == [4, 1, 0, 1, 3, 1, 2, 200, 40.0, 20.0, 55.5, 5.0, 7.8]
     assert "fourth_down_pct" not in seven and not any(k.startswith("opp_") for k in seven)
     assert (bags_[8]["losses"], bags_[8]["takeaways"], bags_[9]["ties"], bags_[9]["games_played"]) == (1, 1, 1, 2)
+
+
+def test_nested_payloads_are_parsed_once(spark):
+    """Every group of a payload is read from its parsed form."""
+    payload = '{"data": {"id": 1, "lineups": [{"player_id": 2, "team_id": 3, "details": [{"type": {"code": "goals"}, "data": {"value": "1"}}]}], "events": [{"player_id": 2, "type_id": 14, "related_player_id": 9}, {"player_id": 9, "type_id": 19}]}}'
+    players, teams, _ = boxscore.nested_rows(spark.createDataFrame([(payload,)], "payload string"))
+    assert [tuple(r) for r in players.collect()] == [(1, 2, 3, "goals", 2.0)]
+    assert all("from_json" not in df._jdf.queryExecution().optimizedPlan().toString() for df in (players, teams))
