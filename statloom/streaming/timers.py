@@ -31,56 +31,57 @@ class WorkQueue(StatefulProcessor):
         self.handle = handle
         self.work = handle.getValueState("work", "status string, version string, attempts int, due long")
 
-    def _hold(self, status: str, version: str | None, attempts: int, due: int = 0) -> None:
-        for old in list(self.handle.listTimers()):
+    def _settle(self, before: tuple | None, after: tuple | None) -> None:
+        """One write of the state and of its timer, however many rows changed it. A timer stands where due isn't zero."""
+        old, new = (x[3] if x else 0 for x in (before, after))
+        if old and old != new:
             self.handle.deleteTimer(old)
-        if due:
-            self.handle.registerTimer(due)
-        self.work.update((status, version, attempts, due))
-
-    def _end(self) -> None:
-        for old in list(self.handle.listTimers()):
-            self.handle.deleteTimer(old)
-        self.work.clear()
+        if new and old != new:
+            self.handle.registerTimer(new)
+        if after is None and before is not None:
+            self.work.clear()
+        elif after != before:
+            self.work.update(after)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         out = []
-        for r in pd.concat(list(rows)).sort_values(["at", "ord"]).itertuples():
-            now = int(r.at.timestamp() * 1000)
-            status, version, attempts, due = self.work.get() if self.work.exists() else ("none", None, 0, 0)
+        before = self.work.get()
+        before = None if before is None else tuple(before)
+        held = before
+        lists = ([frame[c].tolist() for c in ("at", "ord", "event", "version", "delay")] for frame in rows)
+        for at, number, event, given, delay in sorted((r for columns in lists for r in zip(*columns, strict=True)), key=lambda r: r[:2]):
+            now = at.value // 1_000_000
+            status, version, attempts, due = held or ("none", None, 0, 0)
             if status == "pending" and due <= now:  # it fell due before this row, though the watermark isn't there yet
                 status = "ready"
                 out.append(self._due(key, due, attempts))
-                self._hold(status, version, attempts)
-            if r.event == "enqueue" and (status == "none" or r.version != version):
-                self._hold("pending", r.version, 0, now + 1000 * int(r.delay))
-                out.append((key[0], r.at, r.ord, "pending", 0))
-            elif r.event == "claim" and status == "ready":
-                self._hold("running", version, attempts)
-                out.append((key[0], r.at, r.ord, "running", attempts))
-            elif r.event == "complete" and status == "running":
-                self._end()
-                out.append((key[0], r.at, r.ord, "done", attempts))
-            elif r.event == "fail" and status == "running":
+                held = (status, version, attempts, 0)
+            if event == "enqueue" and (status == "none" or given != version):
+                held = ("pending", given, 0, now + 1000 * int(delay))
+                out.append((key[0], at, number, "pending", 0))
+            elif event == "claim" and status == "ready":
+                held = ("running", version, attempts, 0)
+                out.append((key[0], at, number, "running", attempts))
+            elif event == "complete" and status == "running":
+                held = None
+                out.append((key[0], at, number, "done", attempts))
+            elif event == "fail" and status == "running":
                 attempts += 1
-                if attempts >= MOST_ATTEMPTS:
-                    self._end()
-                else:
-                    self._hold("pending", version, attempts, now + 1000 * RETRY_SECONDS[min(attempts, len(RETRY_SECONDS)) - 1])
-                out.append((key[0], r.at, r.ord, "parked" if attempts >= MOST_ATTEMPTS else "waiting", attempts))
-            elif r.event in ("defer", "release") and status == "running":
-                self._hold("pending", version, attempts, now + 1000 * int(r.delay))
-                out.append((key[0], r.at, r.ord, "pending", attempts))
-        yield self._rows(out)
+                held = None if attempts >= MOST_ATTEMPTS else ("pending", version, attempts, now + 1000 * RETRY_SECONDS[min(attempts, len(RETRY_SECONDS)) - 1])
+                out.append((key[0], at, number, "parked" if attempts >= MOST_ATTEMPTS else "waiting", attempts))
+            elif event in ("defer", "release") and status == "running":
+                held = ("pending", version, attempts, now + 1000 * int(delay))
+                out.append((key[0], at, number, "pending", attempts))
+        self._settle(before, held)
+        if out:
+            yield self._rows(out)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        out = []
-        if self.work.exists():
-            status, version, attempts, due = self.work.get()
-            if status == "pending":
-                self.work.update(("ready", version, attempts, 0))
-                out.append(self._due(key, due, attempts))
-        yield self._rows(out)
+        held = self.work.get()
+        if held is not None and held[0] == "pending":
+            status, version, attempts, due = held
+            self.work.update(("ready", version, attempts, 0))
+            yield self._rows([self._due(key, due, attempts)])
 
     @staticmethod
     def _due(key: tuple, due: int, attempts: int) -> tuple:
