@@ -1,9 +1,10 @@
 """Odd inputs for every operator, and brute-force versions of the results."""
 
+import math
 import random
 import re
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
@@ -364,6 +365,42 @@ def test_near_duplicates_with_few_equal_segments(spark):
     assert sorted(r.doc_id for r in kept) == list(range(0, 20, 2))
 
 
+def wide_pair(rng, both, each):
+    """Two sets of hashes with so many in both and so many in each alone."""
+    h = np.array([rng.getrandbits(64) for _ in range(both + 2 * each)], np.uint64)
+    return h[: both + each], np.concatenate([h[:both], h[both + each :]])
+
+
+def test_the_ring_is_a_simhash():
+    """Segments are majorities over samples, and differ in as many bits as the angle between the sets says."""
+    rng = random.Random(13)
+    for both, each in ((4, 0), (40, 5), (300, 150)):
+        pairs = [wide_pair(rng, both, each) for _ in range(150)]
+        bits = np.mean([np.bitwise_count(simhash.ring_of(a) ^ simhash.ring_of(b)).sum() / 1024 for a, b in pairs])
+        assert abs(bits - math.acos(both / (both + each)) / math.pi) < 0.03
+    a, _ = wide_pair(rng, 3, 0)
+    assert all(simhash.ring_of(np.array([x, x], np.uint64)).tolist() == simhash.ring_of(np.array([x], np.uint64)).tolist() for x in a)
+    of = [simhash.ring_of(a[k : k + 1]).tolist() for k in range(3)]  # of a set of three each sample is the whole set
+    assert simhash.ring_of(a).tolist() == [sum(1 << k for k in range(64) if (x >> k & 1) + (y >> k & 1) + (z >> k & 1) > 1) for x, y, z in zip(*of)]
+    assert simhash.ring_of(a[:2]).tolist() == [x & y for x, y in zip(*of[:2])] and simhash.ring_of(a[:0]).tolist() == [0] * 16
+
+
+def test_chains_decide_where_a_pair_is_looked_at():
+    """In the first place from which every chain keeps its share of 19 bits a segment, by a plain loop; in none, if there is no such place."""
+    rng, seen = random.Random(14), Counter()
+    for _ in range(300):
+        one = [rng.getrandbits(64) for _ in range(16)]
+        mask = [rng.choice((0, 1, 1)) * sum(1 << k for k in rng.sample(range(64), rng.randint(1, 64))) for _ in range(16)]
+        two = [x ^ m for x, m in zip(one, mask)]
+        apart = [m.bit_count() for m in mask]
+        want = [i for i in range(16) if apart[i] == 0 and all(sum(apart[(i + j) % 16] for j in range(n)) <= 19 * n for n in range(1, 17))][:1]
+        rows = pa.table({"sketch": [bytes([17]) * 512 + np.array(r, np.uint64).tobytes() for r in (one, two)]})
+        got = [i for i in range(16) if simhash._Bucket(i - 16 * rng.randint(0, 9), rows).estimates(0, np.array([1]))[0] >= 0]
+        assert got == want
+        seen[len(got)] += 1
+    assert seen[0] > 30 and seen[1] > 30
+
+
 def test_near_duplicates_at_the_limit(spark):
     rng, docs, want, near = random.Random(12), [], set(), 0
     for n, pairs in ((300, 30), (1000, 30), (4000, 20), (12_000, 12)):
