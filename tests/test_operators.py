@@ -255,3 +255,14 @@ def test_the_season_table_needs_no_session_partitions(spark):
         assert "hashpartitioning(l_orderkey#" in plan and ", 1), ENSURE_REQUIREMENTS" not in plan.split("SortMergeJoin")[-1]
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_tasks_of_the_season_table_hold_their_share_of_lines(spark, monkeypatch):
+    """With more lines there are more tasks, not larger ones; what is added up is the same."""
+    d, share = "/root/testdata/sf0.001", 500
+    whole = sorted(map(tuple, season._seasons(spark, d).collect()))
+    monkeypatch.setattr(season, "LINES_PER_TASK", share)
+    lines = tables.table(spark, d, "lineitem").count()
+    most = season._fixtures(spark, d).groupBy(F.spark_partition_id()).count().agg(F.max("count"), F.sum("count")).first()
+    assert most[0] <= 2 * share and most[1] == lines > 8 * share
+    assert sorted(map(tuple, season._seasons(spark, d).collect())) == whole
