@@ -7,6 +7,7 @@ counts equal those of the library on the whole text. Chunks of plain characters
 
 from __future__ import annotations
 
+import itertools
 import json
 import os
 import re
@@ -139,6 +140,13 @@ def _pre_tokens(data: np.ndarray, edge: np.ndarray, kind: str) -> tuple[np.ndarr
     return starts, np.flatnonzero(final) + 1 - starts, data
 
 
+def _listed(values: pa.Array) -> list[bytes]:
+    """A binary array without nulls as a list."""
+    borders = np.frombuffer(values.buffers()[1], np.int32, len(values) + 1, 4 * values.offset).tolist()
+    data = values.buffers()[2].to_pybytes()
+    return [data[a:b] for a, b in itertools.pairwise(borders)]
+
+
 class Encoder:
     """Ids (little-endian unsigned 32-bit) or counts of whole texts by one vocabulary file."""
 
@@ -181,7 +189,7 @@ class Encoder:
             c = chunks[i]
             if (had := self.old.get(c)) is not None:
                 self.memo[c] = had
-            elif _ONE.fullmatch(c):
+            elif c.isalpha() or _ONE.fullmatch(c):  # ASCII letters are most of them
                 self.memo[c] = self._kept(self._pre_token(c))
             else:
                 ask.append(c)
@@ -224,7 +232,7 @@ class Encoder:
         starts, sizes, solid = _pre_tokens(data, _edges(len(data), offsets), self.kind)
         borders = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
         coded = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(borders), pa.py_buffer(np.ascontiguousarray(solid))]).dictionary_encode()
-        which, got = coded.indices.to_numpy(), self._known(coded.dictionary.to_pylist())
+        which, got = coded.indices.to_numpy(), self._known(_listed(coded.dictionary))
         sizes = np.array(got, np.int64) if self.count_only else np.fromiter(map(len, got), np.int64, len(got)) // 4
         upto = np.concatenate([[0], np.cumsum(sizes[which])])
         of_text = np.searchsorted(starts, offsets)

@@ -40,6 +40,7 @@ END_ID = 1
 PAIRS_PER_ROUND = 16_384
 LEAST_USES = 4
 SLOT_BITS = 21  # of the table in which a round's pairs are looked up
+SLICE = 1 << 16  # symbols looked up together
 
 
 def _frequent(seq: np.ndarray, end_id: int, room: int) -> np.ndarray:
@@ -70,16 +71,19 @@ def _places(seq: np.ndarray, pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     left, right = (pairs >> np.uint64(32)).astype(np.uint32), pairs.astype(np.uint32)
     table = np.full(1 << SLOT_BITS, -1, np.int32)
     table[_slot(left, right)[::-1]] = np.arange(len(pairs) - 1, -1, -1)
-    which = table[_slot(seq[:-1], seq[1:])]
-    at = np.flatnonzero(which >= 0)
-    which = which[at]
-    ok = (left[which] == seq[at]) & (right[which] == seq[at + 1])
-    at, which = at[ok], which[ok]
+    found = [(np.zeros(0, np.int32), np.zeros(0, np.int32))]
+    for a in range(0, len(seq) - 1, SLICE):  # slices stay in the processor's caches
+        one, two = seq[a : a + SLICE], seq[a + 1 : a + SLICE + 1]
+        which = table.take(_slot(one[: len(two)], two))
+        at = np.flatnonzero(which >= 0)
+        which = which[at]
+        ok = (left.take(which) == one.take(at)) & (right.take(which) == two.take(at))
+        found.append(((at[ok] + a).astype(np.int32), which[ok]))
+    at, which = (np.concatenate(x) for x in zip(*found, strict=True))
     if not len(at):
         return at, which
-    place = np.arange(len(at))
-    run = np.concatenate([[True], np.diff(at) != 1])
-    even = (place - np.maximum.accumulate(np.where(run, place, 0))) % 2 == 0
+    runs = np.concatenate([[0], np.flatnonzero(at[1:] - at[:-1] != 1) + 1])
+    even = (at - np.repeat(at[runs], np.diff(runs, append=len(at)))) & 1 == 0
     return at[even], which[even]
 
 
@@ -101,7 +105,7 @@ def compress(ids: np.ndarray, base: int, end_id: int = END_ID) -> tuple[np.ndarr
         seq[at] = number[which]
         seq = seq[stay]
         new = np.stack([pairs[used] >> np.uint64(32), pairs[used] & np.uint64(0xFFFFFFFF)], 1).astype(np.uint32)
-        lengths = np.concatenate([lengths, _sizes(new, lengths, base).sum(1).astype(np.uint32)])  # a round's rules use earlier symbols only
+        lengths = np.concatenate([lengths, _sizes(lengths, base)[new].sum(1).astype(np.uint32)])  # a round's rules use earlier symbols only
         longer = _width(base, rules) < _width(base, np.concatenate([rules, new]))
         rules = np.concatenate([rules, new])
         now = _bits(base, rules, lengths, seq)
@@ -117,9 +121,9 @@ def _width(base: int, rules: np.ndarray) -> int:
     return (base + len(rules) - 1).bit_length()
 
 
-def _sizes(symbols: np.ndarray, lengths: np.ndarray, base: int) -> np.ndarray:
+def _sizes(lengths: np.ndarray, base: int) -> np.ndarray:
     """How many ids each symbol stands for."""
-    return np.where(symbols < base, 1, np.append(lengths, 1)[np.clip(symbols.astype(np.int64) - base, 0, len(lengths))])
+    return np.concatenate([np.ones(base, np.uint32), lengths])
 
 
 def _bits(base: int, rules: np.ndarray, lengths: np.ndarray, symbols: np.ndarray) -> int:
@@ -129,7 +133,8 @@ def _bits(base: int, rules: np.ndarray, lengths: np.ndarray, symbols: np.ndarray
 
 def expand(rules: np.ndarray, lengths: np.ndarray, symbols: np.ndarray, base: int, start: int = 0, stop: int | None = None) -> np.ndarray:
     """The ids from start to stop: only symbols that cover them are expanded, level by level."""
-    ends = np.cumsum(_sizes(symbols, lengths, base))
+    sizes = _sizes(lengths, base)
+    ends = np.cumsum(sizes.take(symbols), dtype=np.int64)
     whole = int(ends[-1]) if len(ends) else 0
     stop = whole if stop is None else min(stop, whole)
     if start >= stop:
@@ -139,12 +144,14 @@ def expand(rules: np.ndarray, lengths: np.ndarray, symbols: np.ndarray, base: in
     before = int(ends[a - 1]) if a else 0
     at = np.concatenate([[0], ends[a : b - 1] - before])
     out = np.empty(int(ends[b - 1]) - before, np.uint32)
+    first, second = np.ascontiguousarray(rules.T)
     while len(left):
-        plain = left < base
-        out[at[plain]] = left[plain]
-        left, at = rules[left[~plain] - base], at[~plain]
-        at = np.concatenate([at, at + _sizes(left[:, 0], lengths, base)])
-        left = left.T.ravel()
+        out[at] = left  # a rule's place is written again by its left side
+        more = np.flatnonzero(left >= base)
+        at, more = at.take(more), left.take(more) - np.uint32(base)
+        left = first.take(more)
+        at = np.concatenate([at, at + sizes.take(left)])
+        left = np.concatenate([left, second.take(more)])
     return out[start - before : stop - before]
 
 

@@ -177,6 +177,27 @@ def test_grammar_round_trip(seed, base):
         assert (grammar_ids.ids_of(grammar_ids.stored(short, base)) == short).all()
 
 
+@pytest.mark.parametrize("piece", [1, 2, 3, 64, 1 << 16])
+def test_grammar_places_whatever_the_slices(monkeypatch, piece):
+    """Pairs looked up slice by slice against a plain walk; runs of one symbol cross the slices."""
+    monkeypatch.setattr(grammar_ids, "SLICE", piece)
+    r = np.random.default_rng(piece)
+    for _ in range(20):
+        seq = np.repeat(r.integers(0, 4, 60), r.integers(1, 6, 60)).astype(np.uint32)
+        pairs = np.unique(seq[:-1].astype(np.uint64) << np.uint64(32) | seq[1:])
+        want, i = [], 0
+        wanted = set(pairs[::2].tolist())
+        hits = [(int(a) << 32 | int(b)) in wanted for a, b in zip(seq[:-1], seq[1:], strict=True)]
+        while i < len(hits):
+            if hits[i]:
+                want.append((i, int(np.searchsorted(pairs[::2], int(seq[i]) << 32 | int(seq[i + 1])))))
+            i += 2 if hits[i] else 1
+        at, which = grammar_ids._places(seq, pairs[::2])
+        assert list(zip(at.tolist(), which.tolist(), strict=True)) == want
+        ids = np.concatenate([seq, [1], seq[::-1]]).astype(np.uint32)
+        assert (grammar_ids.ids_of(grammar_ids.stored(ids, 49408)) == ids).all()
+
+
 def test_grammar_ends_where_no_pair_pays():
     ids = np.tile(np.arange(2, 300), 3).astype(np.uint32)  # every pair stands three times
     assert len(grammar_ids.compress(ids, 49408)[0]) == 0
