@@ -44,6 +44,7 @@ CACHED = 1 << 22  # costs that a worker keeps
 UNKNOWN = "und"
 _START = 10  # a text is preceded by line ends
 _COSTS = 1 << 22  # bytes times languages looked at together
+_SLICE = 1 << 18  # and bytes at most, however few the languages
 
 
 def grams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -145,7 +146,7 @@ class Trees:
     def lengths(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Bits of each text under each language."""
         out = np.zeros((len(offsets) - 1, len(self.languages)))
-        width = max(1 << 10, min(1 << 18, _COSTS // len(self.languages)))
+        width = min(_SLICE, max(1 << 10, _COSTS // len(self.languages)))
         for lo in range(0, len(data), width):
             hi = min(lo + width, len(data))
             first = int(np.searchsorted(offsets, lo, "right")) - 1
