@@ -177,6 +177,13 @@ def test_grammar_round_trip(seed, base):
         assert (grammar_ids.ids_of(grammar_ids.stored(short, base)) == short).all()
 
 
+@pytest.mark.parametrize("path", [BYTE, WORD])
+@pytest.mark.parametrize("texts", [[" "], ["   \n\t "], [None, "  "], ["\n", ""], [], ["", "x", " "]])
+def test_blocks_without_chunks(path, texts):
+    got = [c for counts, _ in encoding.Encoder(path, False).texts(pa.array(texts, pa.string())) for c in counts.tolist()]
+    assert got == [len(ids_of(path, t)) for t in texts]
+
+
 @pytest.mark.parametrize("piece", [1, 2, 3, 64, 1 << 16])
 def test_grammar_places_whatever_the_slices(monkeypatch, piece):
     """Pairs looked up slice by slice against a plain walk; runs of one symbol cross the slices."""
