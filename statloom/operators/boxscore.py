@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import written
-from .bags import build_bag
 
 # The fields that payloads hold.
 GAME = "struct<id:bigint,status:string,home_team_id:bigint,visitor_team_id:bigint,home_team_score:double,visitor_team_score:double>"
@@ -46,36 +48,72 @@ def typed_bags(payloads: DataFrame, payload: str = "payload") -> DataFrame:
     return p.select("fixture", F.col("player_id").alias("player"), F.col("team_id").alias("team"), last.alias("bag"))
 
 
+def _let(value: Column, made) -> Column:
+    """made(value), for which value is computed once."""
+    return F.transform(F.array(value), made)[0]
+
+
+def _last(items: Column, *keys: str) -> Column:
+    """Of items that are alike in keys the last one."""
+    later = lambda all_, i: F.slice(all_, i + 2, F.size(all_))
+    alike = lambda x, y: reduce(and_, (x[k] == y[k] for k in keys))
+    return _let(items, lambda all_: F.filter(all_, lambda x, i: ~F.exists(later(all_, i), lambda y: alike(x, y))))
+
+
 def _last_by_code(coded: Column) -> Column:
     """Numbers by code from coded pairs; a code's last number wins, what isn't a number is left out."""
     pairs = F.transform(coded, lambda x: F.struct(x["type"]["code"].alias("k"), x["data"]["value"].try_cast("double").alias("v")))
     pairs = F.filter(pairs, lambda x: x["k"].isNotNull() & x["v"].isNotNull())
-    return F.aggregate(F.coalesce(pairs, F.array().cast("array<struct<k:string,v:double>>")), F.expr("cast(map() as map<string,double>)"), lambda bag, x: F.map_concat(F.map_filter(bag, lambda k, _: k != x["k"]), F.create_map(x["k"], x["v"])))
+    return F.map_from_entries(_last(F.coalesce(pairs, F.array().cast("array<struct<k:string,v:double>>")), "k"))
+
+
+def _added(a: Column, b: Column) -> Column:
+    return F.map_zip_with(a, b, lambda _, x, y: F.coalesce(x + y, x, y))
+
+
+def _counts(names: Column) -> Column:
+    """How often each name occurs, as a bag."""
+    return _let(names, lambda all_: F.map_from_entries(F.transform(F.array_distinct(all_), lambda n: F.struct(n, F.size(F.filter(all_, lambda x: x == n)).cast("double")))))
+
+
+def _known(items: Column, kind: str, *fields: str) -> Column:
+    """Items whose fields are all known; none of them where there is no list."""
+    return F.coalesce(F.filter(items, lambda x: reduce(and_, (x[f].isNotNull() for f in fields))), F.array().cast(f"array<struct<{kind}>>"))
 
 
-def nested_rows(payloads: DataFrame, payload: str = "payload") -> tuple[DataFrame, DataFrame, DataFrame]:
+def nested_rows(payloads: DataFrame, payload: str = "payload", one_each: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Of payloads that nest their groups: each player's stats (fixture, player, team, stat, value), each team's (fixture, team, stat, value), and scores (fixture, team, score).
 
     Events count for their players beside what the line-up says. A team's stats are those given for it, and its players' added to them.
     A player that is listed twice is as the last line says; lines without player or team are left out; a team's score is its largest.
+    A fixture's lists are reduced within its row, and only what is left of them is written. one_each: no fixture has two
+    payloads, so nothing is shuffled; else a fixture's payloads are put together first, in one shuffle.
     """
-    p = written(payloads.select(F.from_json(payload, NESTED)["data"].alias("p")).select("p.*"), "parsed")  # read once a group
-    lines = p.select(F.col("id").alias("fixture"), F.posexplode("lineups").alias("pos", "l")).select("fixture", "pos", F.coalesce("l.player_id", "l.player.id").alias("player"), F.coalesce("l.team_id", "l.team.id").alias("team"), F.col("l.details").alias("details"))
-    last = lines.where("player is not null and team is not null").groupBy("fixture", "player").agg(F.max_by(F.struct("team", "details"), "pos").alias("l")).select("fixture", "player", "l.team", _last_by_code(F.col("l.details")).alias("bag"))
-    kind = F.element_at(F.create_map(*(F.lit(x) for pair in COUNTED.items() for x in pair)), F.col("e.type_id"))
-    beside = F.when((F.col("e.type_id") == GOAL) & F.col("e.player_id").isNotNull(), F.col("e.related_player_id"))
-    named = F.array(F.struct(F.col("e.player_id").alias("player"), kind.alias("stat")), F.struct(beside.alias("player"), F.lit("assists").alias("stat")))
-    e = p.select(F.col("id").alias("fixture"), F.explode("events").alias("e")).select("fixture", F.inline(named)).where("player is not null and stat is not null")
-    stats = sorted({*COUNTED.values(), "assists"})
-    counts = e.groupBy("fixture", "player").agg(build_bag(**{s: F.nullif(F.count_if(F.col("stat") == s), F.lit(0)) for s in stats}).alias("counts"))
-    none = F.create_map().cast("map<string,double>")
-    both = F.map_zip_with("bag", F.coalesce("counts", none), lambda _, a, b: F.coalesce(a + b, a, b))
-    players = last.join(counts, ["fixture", "player"], "left").select("fixture", "player", "team", F.explode(both).alias("stat", "value"))
-    given = p.select(F.col("id").alias("fixture"), F.posexplode("statistics").alias("pos", "s")).select("fixture", "pos", F.col("s.participant_id").alias("team"), F.col("s.type.code").alias("stat"), F.col("s.data.value").try_cast("double").alias("value"))
-    given = given.where("team is not null and stat is not null and value is not null").groupBy("fixture", "team", "stat").agg(F.max_by("value", "pos").alias("value"))
-    teams = given.unionByName(players.select("fixture", "team", "stat", "value")).groupBy("fixture", "team", "stat").agg(F.sum("value").alias("value"))
-    scores = p.select(F.col("id").alias("fixture"), F.explode("scores").alias("s")).groupBy("fixture", F.col("s.participant_id").alias("team")).agg(F.max(F.col("s.score.goals").try_cast("double")).cast("int").alias("score"))
-    return players, teams, scores.where("team is not null and score is not null")
+    p = payloads.select(F.from_json(payload, NESTED)["data"].alias("p")).select("p.*")
+    if not one_each:
+        p = p.groupBy("id").agg(*(F.flatten(F.collect_list(c)).alias(c) for c in ("lineups", "events", "statistics", "scores")))
+    lines = F.transform("lineups", lambda x: F.struct(F.coalesce(x["player_id"], x["player"]["id"]).alias("player"), F.coalesce(x["team_id"], x["team"]["id"]).alias("team"), x["details"].alias("details")))
+    lines = _last(_known(lines, f"player:bigint,team:bigint,details:array<struct<{_CODED}>>", "player", "team"), "player")
+    kinds = F.create_map(*(F.lit(x) for pair in COUNTED.items() for x in pair))
+    beside = lambda e: F.when((e["type_id"] == GOAL) & e["player_id"].isNotNull(), e["related_player_id"])
+    both = lambda e: F.array(F.struct(e["player_id"].alias("player"), F.element_at(kinds, e["type_id"]).alias("stat")), F.struct(beside(e).alias("player"), F.lit("assists").alias("stat")))
+    named = _known(F.flatten(F.transform("events", both)), "player:bigint,stat:string", "player", "stat")
+    own = lambda x, events: F.transform(F.filter(events, lambda e: e["player"] == x["player"]), lambda e: e["stat"])
+    one = lambda x, events: F.struct(x["player"].alias("player"), x["team"].alias("team"), _added(_last_by_code(x["details"]), _counts(own(x, events))).alias("stats"))
+    given = F.transform("statistics", lambda x: F.struct(x["participant_id"].alias("team"), x["type"]["code"].alias("stat"), x["data"]["value"].try_cast("double").alias("value")))
+    given = _last(_known(given, "team:bigint,stat:string,value:double", "team", "stat", "value"), "team", "stat")
+    goals = F.transform("scores", lambda x: F.struct(x["participant_id"].alias("team"), x["score"]["goals"].try_cast("double").alias("score")))
+    most = lambda all_, t: F.array_max(F.transform(F.filter(all_, lambda x: x["team"] == t), lambda x: x["score"])).cast("int")
+    scores = _let(_known(goals, "team:bigint,score:double", "team", "score"), lambda all_: F.transform(F.array_distinct(F.transform(all_, lambda x: x["team"])), lambda t: F.struct(t.alias("team"), most(all_, t).alias("score"))))
+    players = _let(named, lambda events: F.transform(lines, lambda x: one(x, events)))
+    p = written(p.select(F.col("id").alias("fixture"), players.alias("players"), given.alias("given"), scores.alias("scores")), "parsed")  # read once a group
+
+    apart = p.select("fixture", F.inline("players")).select("fixture", "player", "team", F.explode("stats").alias("stat", "value"))
+    stated = lambda t: F.map_from_entries(F.transform(F.filter("given", lambda x: x["team"] == t), lambda x: F.struct(x["stat"], x["value"])))
+    total = lambda t: F.aggregate(F.filter("players", lambda x: x["team"] == t), stated(t), lambda bag, x: _added(bag, x["stats"]))
+    of = F.array_distinct(F.concat(F.transform("given", lambda x: x["team"]), F.transform("players", lambda x: x["team"])))
+    teams = p.select("fixture", F.inline(F.transform(of, lambda t: F.struct(t.alias("team"), total(t).alias("stats"))))).select("fixture", "team", F.explode("stats").alias("stat", "value"))
+    return apart, teams, p.select("fixture", F.inline("scores"))
 
 
 def verdicts(rows: DataFrame) -> DataFrame:

@@ -58,23 +58,25 @@ def boxscore_parse(spark, d):
 def _nested(spark, d):
     """Each order's lines as a payload of the nested layout: parts are players; every line has an event, and its supplier a total of its own."""
     line = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.col("l_quantity").cast("int").alias("q"))
+    line = line.repartition("l_orderkey").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_suppkey", "q", "l_partkey"))).alias("lines"))  # lines are dealt out as they are, what stands around them is made then
+    each = lambda made: F.transform("lines", lambda x: F.struct(*(c.alias(n) for n, c in made(x["l_partkey"], x["l_suppkey"], x["q"], x["l_linenumber"]).items())))
     coded = lambda code, value: F.struct(F.struct(F.lit(code).alias("code")).alias("type"), F.struct(value.cast("string").alias("value")).alias("data"))
-    details = F.array(coded("minutes-played", F.col("q")), coded("goals", F.col("q") % 3), coded("rating", F.when(F.col("q") % 5 == 0, F.lit("n/a")).otherwise(F.col("q").cast("string"))))
-    own = F.struct("l_linenumber", "l_suppkey", "q", F.col("l_partkey").alias("player_id"), F.when(F.col("q") % 2 == 0, F.col("l_suppkey")).alias("team_id"), F.struct(F.col("l_suppkey").alias("id")).alias("team"), details.alias("details"))
-    event = F.struct(F.col("l_partkey").alias("player_id"), (14 + F.col("q") % 9).alias("type_id"), F.col("l_partkey").alias("related_player_id"))
-    total = F.struct(F.col("l_suppkey").alias("participant_id"), F.struct(F.lit("corners").alias("code")).alias("type"), F.struct(F.lit(7).alias("value")).alias("data"))
-    score = F.struct(F.col("l_suppkey").alias("participant_id"), F.struct((F.col("q") % 4).alias("goals")).alias("score"))
-    data = F.struct(F.col("l_orderkey").alias("id"), F.array_sort(F.collect_list(own)).alias("lineups"), F.collect_list(event).alias("events"), F.collect_list(total).alias("statistics"), F.collect_list(score).alias("scores"))
-    return line.groupBy("l_orderkey").agg(F.to_json(F.struct(data.alias("data"))).alias("payload"))
+    details = lambda q: F.array(coded("minutes-played", q), coded("goals", q % 3), coded("rating", F.when(q % 5 == 0, F.lit("n/a")).otherwise(q.cast("string"))))
+    own = each(lambda part, supplier, q, n: {"l_linenumber": n, "l_suppkey": supplier, "q": q, "player_id": part, "team_id": F.when(q % 2 == 0, supplier), "team": F.struct(supplier.alias("id")), "details": details(q)})
+    event = each(lambda part, supplier, q, n: {"player_id": part, "type_id": 14 + q % 9, "related_player_id": part})
+    total = each(lambda part, supplier, q, n: {"participant_id": supplier, "type": F.struct(F.lit("corners").alias("code")), "data": F.struct(F.lit(7).alias("value"))})
+    score = each(lambda part, supplier, q, n: {"participant_id": supplier, "score": F.struct((q % 4).alias("goals"))})
+    data = F.struct(F.col("l_orderkey").alias("id"), own.alias("lineups"), event.alias("events"), total.alias("statistics"), score.alias("scores"))
+    return line.select("l_orderkey", F.to_json(F.struct(data.alias("data"))).alias("payload"))
 
 
 def boxscore_nested_players(spark, d):
-    return boxscore.nested_rows(_nested(spark, d))[0]
+    return boxscore.nested_rows(_nested(spark, d), one_each=True)[0]
 
 
 def boxscore_nested_teams(spark, d):
     """Teams' stats, and their scores as one more."""
-    _, teams, scores = boxscore.nested_rows(_nested(spark, d))
+    _, teams, scores = boxscore.nested_rows(_nested(spark, d), one_each=True)
     return teams.unionByName(scores.select("fixture", "team", F.lit("score").alias("stat"), F.col("score").cast("double").alias("value")))
 
 

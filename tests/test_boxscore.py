@@ -110,3 +110,16 @@ def test_nested_payloads_are_parsed_once(spark):
     players, teams, _ = boxscore.nested_rows(spark.createDataFrame([(payload,)], "payload string"))
     assert [tuple(r) for r in players.collect()] == [(1, 2, 3, "goals", 2.0)]
     assert all("from_json" not in df._jdf.queryExecution().optimizedPlan().toString() for df in (players, teams))
+
+
+def test_nested_groups_are_reduced_within_their_fixture(spark):
+    """Nothing is dealt out by player or team: what is written is read once a group. A fixture in two payloads is put together first."""
+    from statloom.plans import upkeep
+
+    d = "/root/testdata/sf0.001"
+    for made in (upkeep.boxscore_nested_players(spark, d), upkeep.boxscore_nested_teams(spark, d)):
+        assert "Exchange" not in made._jdf.queryExecution().executedPlan().toString()
+    own = lambda player, goals: {"player_id": player, "team_id": 4, "details": [{"type": {"code": "goals"}, "data": {"value": goals}}]}
+    parts = [{"data": {"id": 3, "lineups": [own(9, 2)], "scores": [{"participant_id": 4, "score": {"goals": 1}}]}}, {"data": {"id": 3, "lineups": [own(10, 5)], "events": [{"player_id": 9, "type_id": 14}], "scores": [{"participant_id": 4, "score": {"goals": 3}}]}}]
+    players, teams, scores = (sorted(map(tuple, t.collect())) for t in boxscore.nested_rows(frame(spark, *parts)))
+    assert players == [(3, 9, 4, "goals", 3.0), (3, 10, 4, "goals", 5.0)] and teams == [(3, 4, "goals", 8.0)] and scores == [(3, 4, 3)]
