@@ -102,3 +102,30 @@ def test_fantasy_points(spark):
     got = [r.f for r in df.select(ratings.fantasy(F.col("s"), F.col("p"), F.col("b")).alias("f")).collect()]
     base = 20.0 + 3.0 - 3.0
     assert got == [base + 12 - 2 + 2 + 5, base + 12 - 2, base + 10, base + 8, 14.38, 6.04, None, 0.0]
+
+
+def test_totals_of_all_sports_in_one_pass(spark):
+    """As the box scores of each sport add up; the lines are read once, not once a sport."""
+    from statloom.operators import rollup
+    from statloom.plans import sports
+
+    d = "/root/testdata/sf0.001"
+    made = sports.season_totals(spark, d)
+    assert made._jdf.queryExecution().executedPlan().toString().count("lineitem.parquet") == 1
+    got = {(r.sport, r.player, r.team, r.season): r.asDict() for r in made.collect()}
+    n = 0
+    for sport, names in sports.STATS.items():
+        rows = sports.counted(sports.box(spark, d, sport), sport)
+        want = rollup.season_rollup(rows, ["player", "team", "season"], {"minutes": F.sum("minutes"), "games": F.count("*"), **{s: F.sum(F.col("bag")[s]) for s in names}})
+        for r in want.collect():
+            x = got[sport, r.player, r.team, r.season]
+            assert (x["minutes"], x["games"], [x[f"x{i}"] for i in range(len(names))]) == (r.minutes, r.games, [r[s] for s in names])
+            n += 1
+    assert n == len(got) > 0
+
+
+def test_opponents_share_alone(spark):
+    rows = [(1, 2020, 7, True, 2.0, {"possession_pct": 60.0}), (1, 2020, 8, False, 1.0, {"possession_pct": 40.0}), (2, 2020, 7, False, 1.0, {"possession_pct": 0.0}), (2, 2020, 8, True, 1.0, {}), (3, 2020, 9, True, None, {})]
+    games = spark.createDataFrame(rows, GAMES)
+    whole = {(r.team, r.season): r.bag.get("opp_possession_pct") for r in teams.football_season(games).collect()}
+    assert {(r.team, r.season): r.opp_possession_pct for r in teams.opponents_share(games).collect()} == whole and whole[7, 2020] == 40.0 and whole[9, 2020] is None
