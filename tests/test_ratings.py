@@ -129,3 +129,15 @@ def test_opponents_share_alone(spark):
     games = spark.createDataFrame(rows, GAMES)
     whole = {(r.team, r.season): r.bag.get("opp_possession_pct") for r in teams.football_season(games).collect()}
     assert {(r.team, r.season): r.opp_possession_pct for r in teams.opponents_share(games).collect()} == whole and whole[7, 2020] == 40.0 and whole[9, 2020] is None
+
+
+def test_datapoints_in_the_plan_are_those_of_the_registry(spark):
+    from statloom.operators import datapoints as dp
+
+    own = {"NFL": {"passing_yards": 7.0, "fumbles_lost": 2.0, "tackles_for_loss": 1.0, "defensive_sacks": 3.0, "fumbles_lost_per_game": 0.5}, "NBA": {"pts": 9.0, "turnover": 4.0, "tov_per_36": 1.5, "plus_minus": 3.0, "plus_minus_per_36": 8.0}}
+    own["FOOTBALL"] = {"tackles": 6.0, "tackles_per_90": 2.0, "team_opp_possession": 20.0, "saves": 8.0, "saves_per_90": 1.0, "goals_conceded": 2.0, "league_avg_save_pct": 70.0}
+    for sport, bag in own.items():
+        players = spark.createDataFrame([(sport, i, p, b) for i, (p, b) in enumerate((p, b) for p in ("Goalkeeper", "QB", None) for b in (bag, {}))], "sport string, player int, position string, bag map<string,double>")
+        for suffix in (None, dp.SUFFIX[sport]):
+            want, got = dp.datapoints(players, dp.registry(spark, dp.PLAYER), bool(suffix)), dp.listed(players, [r for r in dp.PLAYER if r[0] == sport], suffix)
+            assert got.columns == want.columns and sorted(map(repr, got.collect())) == sorted(map(repr, want.collect())) != []
