@@ -141,3 +141,18 @@ def test_datapoints_in_the_plan_are_those_of_the_registry(spark):
         for suffix in (None, dp.SUFFIX[sport]):
             want, got = dp.datapoints(players, dp.registry(spark, dp.PLAYER), bool(suffix)), dp.listed(players, [r for r in dp.PLAYER if r[0] == sport], suffix)
             assert got.columns == want.columns and sorted(map(repr, got.collect())) == sorted(map(repr, want.collect())) != []
+
+
+def test_every_rate_is_whole(spark):
+    """Each rate has its datapoints and not a digest of them, football has both of its rates, and blocks are rated as other stats."""
+    rows = ratings.player_ratings(spark, "/root/testdata/sf0.001").collect()
+    value = lambda text, label: next(x.split("|")[1] for x in text.split("; ") if x.split("|")[0] == label)
+    blocks = set()
+    for r in rows:
+        lines = dict(x.split(": ", 1) for x in r.modes.split("\n"))
+        assert sorted(lines) == {"NBA": ["per_36"], "NFL": ["per_game"], "FOOTBALL": ["per_90", "per_game"]}[r.sport]
+        listed = {m: x.split(": ", 1)[1] for m, x in lines.items()}
+        assert all([x.split("|")[0] for x in t.split("; ")] == [x.split("|")[0] for x in r.breakdown.split("; ")] for t in listed.values())
+        if r.sport == "NBA" and value(r.breakdown, "Rim Protection") not in ("-", "0.0000"):
+            blocks.add(value(r.breakdown, "Rim Protection") != value(listed["per_36"], "Rim Protection"))
+    assert {r.sport for r in rows} == {"NBA", "NFL", "FOOTBALL"} and blocks == {True}
